@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massweave.llm.common import documents
+from massweave.llm.edit_embedding import edit_fingerprints
 from massweave.llm.exact_dedup import exact_groups
 from massweave.llm.mixing import mixture
+from massweave.llm.near_dedup import hex_digits, near_components
 from massweave.llm.packing import pack_documents
+from massweave.llm.secret_scan import secret_digest
 from massweave.llm.token_counts import token_counts
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_components(documents(spark, sf_dir))
+    return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -25,12 +38,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op5_packing, op8_exact_dedup, op10_mixing)
+    f.__name__: f
+    for f in (
+        op2_simhash_near_dedup, op3_edit_fingerprints, op4_token_counts, op5_packing, op8_exact_dedup, op9_secret_scan, op10_mixing,
+    )
 }
 
 OP8_SQL = r"""
