@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from massweave.llm.common import documents
 from massweave.llm.edit_embedding import edit_fingerprints
 from massweave.llm.exact_dedup import exact_groups
+from massweave.llm.lattice_lm import scored
+from massweave.llm.license_rules import license_digest
 from massweave.llm.mixing import mixture
 from massweave.llm.near_dedup import hex_digits, near_components
 from massweave.llm.packing import pack_documents
+from massweave.llm.quality import quality_scores
 from massweave.llm.secret_scan import secret_digest
 from massweave.llm.token_counts import token_counts
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_components(documents(spark, sf_dir))
     return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -34,6 +41,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(documents(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -49,7 +64,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_simhash_near_dedup, op3_edit_fingerprints, op4_token_counts, op5_packing, op8_exact_dedup, op9_secret_scan, op10_mixing,
+        op1_quality_classifier, op2_simhash_near_dedup, op3_edit_fingerprints, op4_token_counts, op5_packing,
+        op6_lattice_scores, op7_license_scan, op8_exact_dedup, op9_secret_scan, op10_mixing,
     )
 }
 
