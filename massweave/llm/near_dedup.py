@@ -125,11 +125,11 @@ def cells(fps: DataFrame, cell: int = CELL) -> DataFrame:
     return rest.unionByName(dealt.select("mask", "key", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "fp"))
 
 
-def close(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    """Where the Manhattan distance of the counts allows a link and the Hamming distance confirms it."""
+def close(x: np.ndarray, y: np.uint64, bits: int) -> np.ndarray:
+    """Where in ``x`` the Manhattan distance of the counts allows a link and the Hamming distance confirms it."""
     hit = np.bitwise_count(counts_code(x) ^ counts_code(y)) <= bits
     where = np.flatnonzero(hit)
-    hit[where] = np.bitwise_count(x[where] ^ y[where] if len(y) == len(x) else x[where] ^ y) <= bits
+    hit[where] = np.bitwise_count(x[where] ^ y) <= bits
     return hit
 
 
