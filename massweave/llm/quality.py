@@ -27,6 +27,8 @@ from massweave.llm.common import small_batches
 
 SAMPLE = 6000
 PASSAGE = 768
+#: Bytes of text whose features are made at once.
+CHUNK = 1_500_000
 FOLDS, THRESHOLD = 5, 0.3
 HIDDEN, GATES, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 32, 16, 14, 700, 128, 4e-3, 1e-4, 11
 BUCKETS = 256
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention |
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("label", "text")
 
     def features(batches):
-        for batch, texts in by_bytes(batches):
+        for batch, texts in by_bytes(batches, most=CHUNK):
             x, first = encode(texts)
             ends = [*first[1:].tolist(), len(x)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())], names=["label", "x"])
@@ -165,7 +167,7 @@ def with_score(docs: DataFrame, model: Attention | None, name: str = "score") ->
     """``docs`` with the score of each whole text in one more column."""
 
     def score(batches):
-        for batch, texts in by_bytes(batches):
+        for batch, texts in by_bytes(batches, most=CHUNK):
             y = np.full(len(texts), 0.5) if model is None else model.forward(*encode(texts))["y"].astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], names=[*batch.schema.names, name])
 
