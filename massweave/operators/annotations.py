@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from massweave.functions.formula import NEUTRON, adduct_table, elements_of, mass_of
 from massweave.operators.aggregates import TINY
 from massweave.operators.joins import band_join, nearest
-from massweave.operators.peaks import SPECTRUM, l1
+from massweave.operators.peaks import spectrum, l1
 
 
 def annotated_intensity(ann: DataFrame, peaks: DataFrame, max_isotope: int = 2, max_da: float | None = None, max_ppm: float | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def annotated_intensity(ann: DataFrame, peaks: DataFrame, max_isotope: int = 2,
     rows = ann.join(p, ["spec_id", "peak_mz"])
     off = F.abs(F.col("peak_mz").cast("double") - F.col("exact_mz"))
     if max_da is not None:
-        rows = rows.withColumn("_far", F.max(off).over(SPECTRUM)).where(F.col("_far") <= max_da).drop("_far")
+        rows = rows.withColumn("_far", F.max(off).over(spectrum())).where(F.col("_far") <= max_da).drop("_far")
     if max_ppm is not None:
         rows = rows.where(off / F.greatest(F.col("peak_mz").cast("double"), F.lit(200.0)) <= max_ppm * 1e-6)
     rows = rows.where(F.col("isotope").between(0, max_isotope))

@@ -30,7 +30,7 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> Data
     sizes = placed.groupBy("_s").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
     inside = F.row_number().over(W.partitionBy("_s").orderBy(*order)) - 1
-    return placed.withColumn("_i", inside).join(before, "_s").withColumn(name, F.col("_before") + F.col("_i") + start).drop("_s", "_i", "_before")
+    return placed.withColumn("_mw_i", inside).join(before, "_s").withColumn(name, F.col("_before") + F.col("_mw_i") + start).drop("_s", "_mw_i", "_before")
 
 
 def hash_order(seed: int | str, *keys: str) -> Column:

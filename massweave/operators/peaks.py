@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from massweave.operators.aggregates import TINY
 
-SPECTRUM = W.partitionBy("spec_id")
+
+def spectrum():
+    """The window of a spectrum's peaks."""
+    return W.partitionBy("spec_id")
 
 
 def kept(peaks: DataFrame, least: float = 0.0, mz_max: float = 0.0) -> DataFrame:
@@ -21,38 +24,38 @@ def top(peaks: DataFrame, k: int, drop_least: bool = False) -> DataFrame:
     """The k most intense of each spectrum, after its single weakest went (if it has more than one); k below 0: all."""
     if k == 0:
         raise ValueError("k = 0 would keep no peak")
-    ranked = peaks.withColumn("_r", F.row_number().over(SPECTRUM.orderBy(F.col("ints").desc(), "mz", "peak_idx")))
+    ranked = peaks.withColumn("_r", F.row_number().over(spectrum().orderBy(F.col("ints").desc(), "mz", "peak_idx")))
     if drop_least:
-        ranked = ranked.withColumn("_n", F.count("*").over(SPECTRUM)).where("_n = 1 or _r < _n").drop("_n")
+        ranked = ranked.withColumn("_n", F.count("*").over(spectrum())).where("_n = 1 or _r < _n").drop("_n")
     return (ranked.where(F.col("_r") <= k) if k > 0 else ranked).drop("_r")
 
 
-def l1(ints: Column, window=SPECTRUM) -> Column:
-    return ints / F.greatest(F.sum(ints).over(window), F.lit(TINY))
+def l1(ints: Column, window=None) -> Column:
+    return ints / F.greatest(F.sum(ints).over(window or spectrum()), F.lit(TINY))
 
 
-def l2(ints: Column, window=SPECTRUM) -> Column:
-    return ints / F.greatest(F.sqrt(F.sum(ints * ints).over(window)), F.lit(TINY))
+def l2(ints: Column, window=None) -> Column:
+    return ints / F.greatest(F.sqrt(F.sum(ints * ints).over(window or spectrum())), F.lit(TINY))
 
 
-def max_scaled(ints: Column, to: float = 1000.0, window=SPECTRUM) -> Column:
-    return ints / F.max(ints).over(window) * to
+def max_scaled(ints: Column, to: float = 1000.0, window=None) -> Column:
+    return ints / F.max(ints).over(window or spectrum()) * to
 
 
-def softmax(x: Column, window=SPECTRUM) -> Column:
-    e = F.exp(x - F.max(x).over(window))
-    return e / F.sum(e).over(window)
+def softmax(x: Column, window=None) -> Column:
+    e = F.exp(x - F.max(x).over(window or spectrum()))
+    return e / F.sum(e).over(window or spectrum())
 
 
-def log_softmax(x: Column, window=SPECTRUM) -> Column:
-    m = F.max(x).over(window)
-    return x - m - F.ln(F.sum(F.exp(x - m)).over(window))
+def log_softmax(x: Column, window=None) -> Column:
+    m = F.max(x).over(window or spectrum())
+    return x - m - F.ln(F.sum(F.exp(x - m)).over(window or spectrum()))
 
 
-def log_l2(x: Column, window=SPECTRUM) -> Column:
+def log_l2(x: Column, window=None) -> Column:
     """Logs of intensities normalised by L2."""
-    m = F.max(2 * x).over(window)
-    return x - 0.5 * (m + F.ln(F.sum(F.exp(2 * x - m)).over(window)))
+    m = F.max(2 * x).over(window or spectrum())
+    return x - 0.5 * (m + F.ln(F.sum(F.exp(2 * x - m)).over(window or spectrum())))
 
 
 def bin_of(mz: Column, res: float) -> Column:

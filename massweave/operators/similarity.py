@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators.aggregates import TINY
 from massweave.operators.joins import band_join
-from massweave.operators.peaks import SPECTRUM, bin_of
+from massweave.operators.peaks import spectrum, bin_of
 
 
 def paired_bins(true: DataFrame, pred: DataFrame, res: float, sqrt: bool = False) -> DataFrame:
@@ -23,7 +23,7 @@ def paired_bins(true: DataFrame, pred: DataFrame, res: float, sqrt: bool = False
     rows = both.repartition("spec_id").groupBy("spec_id", "bin").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
     if sqrt:
         rows = rows.withColumn("t", F.sqrt("t")).withColumn("p", F.sqrt("p"))
-    return rows.withColumn("_any", F.max("t").over(SPECTRUM)).where("_any > 0").drop("_any")
+    return rows.withColumn("_any", F.max("t").over(spectrum())).where("_any > 0").drop("_any")
 
 
 def norm(x: Column) -> Column:
@@ -53,7 +53,7 @@ def plnp(p: Column) -> Column:
 
 def binned_jss(true: DataFrame, pred: DataFrame, res: float = 0.01) -> DataFrame:
     """One minus the Jensen-Shannon divergence over ln 2, in [0, 1]."""
-    share = lambda c: F.col(c) / F.greatest(F.sum(c).over(SPECTRUM), F.lit(TINY))
+    share = lambda c: F.col(c) / F.greatest(F.sum(c).over(spectrum()), F.lit(TINY))
     rows = paired_bins(true, pred, res).withColumn("t", share("t")).withColumn("p", share("p"))
     m = (F.col("t") + F.col("p")) / 2
     jsd = F.sum(0.5 * plnp(F.col("t")) + 0.5 * plnp(F.col("p")) - plnp(m))
@@ -105,7 +105,7 @@ def agreement(true: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def entropy(peaks: DataFrame) -> DataFrame:
     """Entropy of a spectrum, and over the log of its support."""
-    p = F.col("ints") / F.greatest(F.sum("ints").over(SPECTRUM), F.lit(TINY))
+    p = F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY))
     out = peaks.withColumn("_p", p).groupBy("spec_id").agg((-F.sum(plnp(F.col("_p")))).alias("entropy"), F.count("*").alias("n"))
     return out.select("spec_id", "entropy", (F.col("entropy") / F.greatest(F.ln(F.col("n").cast("double")), F.lit(TINY))).alias("entropy_norm"))
 
@@ -129,9 +129,9 @@ def divergences(a: DataFrame, b: DataFrame, keys: list[str], item: str, p: str)
 
 def peak_marginal_cross_entropy(true: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cross-entropy of true peaks under the summed probability of the predicted peaks they match, and the true mass without a match."""
-    q = pred.withColumn("q", F.col("ints") / F.greatest(F.sum("ints").over(SPECTRUM), F.lit(TINY))).select("spec_id", F.col("peak_idx").alias("p_idx"), "q")
+    q = pred.withColumn("q", F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY))).select("spec_id", F.col("peak_idx").alias("p_idx"), "q")
     hit = pairs.join(q, ["spec_id", "p_idx"]).groupBy("spec_id", F.col("t_idx").alias("peak_idx")).agg(F.sum("q").alias("q"))
-    t = F.col("ints") / F.greatest(F.sum("ints").over(SPECTRUM), F.lit(TINY))
+    t = F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY))
     rows = true.withColumn("t", t).join(hit, ["spec_id", "peak_idx"], "left")
     return rows.groupBy("spec_id").agg(F.sum(F.when(F.col("q").isNotNull(), -F.col("t") * F.ln(F.greatest("q", F.lit(TINY)))).otherwise(0.0)).alias("ce"), F.sum(F.when(F.col("q").isNull(), F.col("t")).otherwise(0.0)).alias("oos_mass"))
 
@@ -139,11 +139,11 @@ def peak_marginal_cross_entropy(true: DataFrame, pred: DataFrame, pairs: DataFra
 def mixture_cross_entropy(true: DataFrame, pred: DataFrame, sigma: float, reach: float = 3.0) -> DataFrame:
     """Cross-entropy of true peaks under Gaussians around predicted peaks, cut off at ``reach`` sigmas."""
     pairs = matches(true, pred, reach * sigma, relative=False, width=reach * sigma * 1.0001)
-    q = pred.withColumn("q", F.col("ints") / F.greatest(F.sum("ints").over(SPECTRUM), F.lit(TINY))).select("spec_id", F.col("peak_idx").alias("p_idx"), "q")
+    q = pred.withColumn("q", F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY))).select("spec_id", F.col("peak_idx").alias("p_idx"), "q")
     z = (F.col("t_mz") - F.col("p_mz")) / sigma
     density = F.col("q") * F.exp(-z * z / 2) / (sigma * 2.5066282746310002)
     hit = pairs.join(q, ["spec_id", "p_idx"]).groupBy("spec_id", F.col("t_idx").alias("peak_idx")).agg(F.sum(density).alias("d"))
-    t = F.col("ints") / F.greatest(F.sum("ints").over(SPECTRUM), F.lit(TINY))
+    t = F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY))
     return true.withColumn("t", t).join(hit, ["spec_id", "peak_idx"], "left").groupBy("spec_id").agg(F.sum(F.when(F.col("d").isNotNull(), -F.col("t") * F.ln(F.greatest("d", F.lit(TINY)))).otherwise(0.0)).alias("ce"), F.sum(F.when(F.col("d").isNull(), F.col("t")).otherwise(0.0)).alias("oos_mass"))
 
 
@@ -151,6 +151,6 @@ def pairwise_cosine(peaks: DataFrame, res: float = 0.01, within: str | None = No
     """Cosine of every two spectra that share a bin: ``a, b, cos`` with a below b."""
     keys = [within] if within else []
     rows = peaks.groupBy("spec_id", *keys, bin_of(F.col("mz"), res).alias("bin")).agg(F.sum("ints").alias("ints"))
-    rows = rows.withColumn("x", F.col("ints") / F.greatest(F.sqrt(F.sum(F.col("ints") * F.col("ints")).over(SPECTRUM)), F.lit(TINY)))
+    rows = rows.withColumn("x", F.col("ints") / F.greatest(F.sqrt(F.sum(F.col("ints") * F.col("ints")).over(spectrum())), F.lit(TINY)))
     a, b = rows.select("bin", *keys, F.col("spec_id").alias("a"), "x"), rows.select("bin", *keys, F.col("spec_id").alias("b"), F.col("x").alias("y"))
     return a.join(b, ["bin", *keys]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))

@@ -24,7 +24,7 @@ def canon(df: pd.DataFrame) -> pd.DataFrame:
 
 def main(sf: str, names: list[str]) -> None:
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for p in Path(sf).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p / '*.parquet' if p.is_dir() else p}')")
@@ -36,7 +36,7 @@ def main(sf: str, names: list[str]) -> None:
         try:
             got = f(spark, sf).toPandas()
         except Exception as e:  # noqa: BLE001
-            print("ERROR", name, str(e)[:1500])
+            print("ERROR", name, str(e)[:400])
             continue
         took = time.time() - t
         if name not in sql:
