@@ -56,13 +56,13 @@ ATOM = r"([A-Z][a-z]?)(\d*)"
 def elements_of(formula: Column) -> Column:
     """Element map; null for a text that isn't a formula. A later count of one element adds to the earlier."""
     text = cut(formula)
-    names, counts = F.regexp_extract_all(text, F.lit(ATOM), F.lit(1)), F.regexp_extract_all(text, F.lit(ATOM), F.lit(2))
-    pairs = F.arrays_zip(names.alias("e"), counts.alias("n"))
-    number = lambda n: F.when(n == "", 1).otherwise(n.cast("int"))
-    total = lambda e: F.aggregate(pairs, F.lit(0), lambda s, p: s + F.when(p["e"] == e, number(p["n"])).otherwise(0))
-    unique = F.array_distinct(names)
+    atoms = F.regexp_extract_all(text, F.lit(ATOM), F.lit(0))
+    name = lambda a: F.regexp_extract(a, ATOM, 1)
+    count = lambda a: F.coalesce(F.nullif(F.regexp_extract(a, ATOM, 2), F.lit("")).cast("int"), F.lit(1))
+    unique = F.array_distinct(F.transform(atoms, lambda a: name(a)))
+    total = lambda e: F.aggregate(F.filter(atoms, lambda a: name(a) == e), F.lit(0), lambda s, a: s + count(a))
     valid = F.regexp_like(text, F.lit(r"^([A-Z][a-z]?\d*)*$"))
-    return F.when(valid, F.map_from_arrays(unique, F.transform(unique, total)))
+    return F.when(valid, F.map_from_arrays(unique, F.transform(unique, lambda e: total(e))))
 
 
 def mass_of(elements: Column) -> Column:

@@ -233,7 +233,7 @@ def scratch(v: Views) -> str:
     return f"{base}/massweave-{uuid.uuid4().hex}"
 
 
-@query(sql(["spectra", "peaks"], "SELECT spec_id::VARCHAR AS spec_id, round(prec_mz, 4) AS prec_mz, prec_type, count(*) AS n_peaks, round(sum(round(mz, 4)), 3) AS sum_mz, round(sum(ints), 3) AS sum_ints FROM spectra JOIN peaks USING (spec_id) GROUP BY spec_id, prec_mz, prec_type"))
+@query(sql(["spectra", "peaks"], "SELECT spec_id::VARCHAR AS spec_id, round(prec_mz, 4) AS prec_mz, prec_type, count(*) AS n_peaks, round(sum(round(mz, 4)), 4) AS sum_mz, round(sum(ints), 4) AS sum_ints FROM spectra JOIN peaks USING (spec_id) GROUP BY spec_id, prec_mz, prec_type"))
 def vendor_text_roundtrip(v: Views) -> DataFrame:
     """All spectra written as MGF records and read back."""
     path = scratch(v)
@@ -243,7 +243,7 @@ def vendor_text_roundtrip(v: Views) -> DataFrame:
 
     back = readers.mgf(v.spark, path).withColumn("p", peaks_of(F.col("peaks")))
     total = lambda f: F.aggregate("p", F.lit(0.0), lambda a, x: a + x[f])
-    return back.select("spec_id", "prec_mz", "prec_type", F.size("p").cast("bigint").alias("n_peaks"), F.round(total("mz"), 3).alias("sum_mz"), F.round(total("ints"), 3).alias("sum_ints"))
+    return back.select("spec_id", "prec_mz", "prec_type", F.size("p").cast("bigint").alias("n_peaks"), F.round(total("mz"), 4).alias("sum_mz"), F.round(total("ints"), 4).alias("sum_ints"))
 
 
 def events(v: Views) -> DataFrame:

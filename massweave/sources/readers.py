@@ -48,7 +48,7 @@ def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r", ""), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def entries(pairs: Column) -> Column:
@@ -67,7 +67,7 @@ def picked(df: DataFrame, source: str, columns: dict[str, str]) -> list[Column]:
 
 def msp(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """MSP records; a line with both ``CAS#`` and ``NIST#`` is two; unknown keys and empty records go."""
-    df = records(spark, path, "\n\n").withColumn("_l", F.flatten(F.transform(lines(F.col("value")), lambda x: F.when(F.contains(x, F.lit("CAS#")) & F.contains(x, F.lit("NIST#")), F.transform(F.split(x, ";"), F.trim)).otherwise(F.array(x)))))
+    df = records(spark, path, "\n\n").withColumn("_l", F.flatten(F.transform(lines(F.col("value")), lambda x: F.when(F.contains(x, F.lit("CAS#")) & F.contains(x, F.lit("NIST#")), F.transform(F.split(x, ";"), lambda x: F.trim(x))).otherwise(F.array(x)))))
     at = F.array_position(F.transform("_l", lambda x: F.regexp_like(x, F.lit(r"^Num [pP]eaks:"))), F.lit(True))
     df = df.withColumn("_at", at)
     head = F.when(F.col("_at") > 0, F.slice("_l", 1, F.col("_at").cast("int"))).otherwise(F.col("_l"))
@@ -102,7 +102,7 @@ def ms_files(spark: SparkSession, path: str) -> DataFrame:
     one = df.select("stem", *[F.nullif(F.regexp_extract("value", rf"(?m)^{k} (.*)$", 1), F.lit("")).alias(c) for k, c in meta.items()], F.posexplode(blocks).alias("idx", "_b"))
     head = F.split_part("_b", F.lit("\n"), F.lit(1))
     level = F.when(head.startswith(">ms1"), 1).otherwise(2)
-    peaks = F.array_join(F.filter(F.transform(F.split(F.substring("_b", F.length(head) + 2, F.length("_b")), "\n"), F.trim), lambda x: x != ""), "\n")
+    peaks = F.array_join(F.filter(F.transform(F.split(F.substring("_b", F.length(head) + 2, F.length("_b")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     out = one.select("stem", F.concat_ws("_", "stem", "idx").alias("dset_spec_id"), level.alias("level"), F.nullif(F.regexp_extract(head, r"^>collision (.*)$", 1), F.lit("")).alias("col_energy"), peaks.alias("peaks"), *meta.values())
     return out.where("level = 2").drop("level")
 

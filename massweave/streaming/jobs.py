@@ -28,13 +28,13 @@ def tumbling(events: DataFrame, time: str, by: list[str], x: str, width: str = "
     return g.select(F.col("w.start").alias("start"), *by, "n", "mean")
 
 
-def packed(events: DataFrame, key: str, size: str, budget: int, shards: int = 8, drop_oversize: bool = False, flush: str = "flush") -> DataFrame:
+def packed(events: DataFrame, key: str, size: str, budget: int, shards: int = 8, drop_oversize: bool = False, flush: str = "flush", idle_ms: int | None = None) -> DataFrame:
     """Batches ``shard, batch, ids, total`` closed by a budget; the open batch of a shard is its state.
 
     A row whose ``flush`` column is true closes its shard's open batch (as the end of a stream does);
-    in a long-running query a processing-time timeout of a minute does so too.
+    in a long-running query ``idle_ms`` without rows does so too.
     """
-    rows = events.select(F.col(key).cast("long").alias("id"), F.col(size).cast("long").alias("size"), F.col(flush).alias("flush"), F.pmod(F.coalesce(F.col("shard") if "shard" in events.columns else F.xxhash64(key)), F.lit(shards)).cast("int").alias("shard"))
+    rows = events.select(F.col(key).cast("long").alias("id"), F.col(size).cast("long").alias("size"), F.col(flush).alias("flush"), F.pmod(F.col("shard") if "shard" in events.columns else F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
 
     def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, ids, total = state.get if state.exists else (0, [], 0)
@@ -61,10 +61,11 @@ def packed(events: DataFrame, key: str, size: str, budget: int, shards: int = 8,
                     ids.append(int(i))
                     total += int(s)
         state.update((number, ids, total))
-        state.setTimeoutDuration(60_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["shard", "batch", "ids", "total"])
 
-    return rows.groupBy("shard").applyInPandasWithState(step, "shard int, batch long, ids array<long>, total long", "batch long, ids array<long>, total long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("shard").applyInPandasWithState(step, "shard int, batch long, ids array<long>, total long", "batch long, ids array<long>, total long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def to_files(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
