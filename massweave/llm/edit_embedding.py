@@ -180,3 +180,70 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     digits = lambda c: F.lower(F.hex(c)).alias(c)
     every = done.where("tail is null").select("doc_id", *[n for n, _ in FIELDS]).unionByName(last)
     return every.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
+
+
+#: Bands of samples that near documents must share one of; each takes so many samples of the first 64.
+BANDS, WIDTH = 48, 8
+SIMILAR = 0.8
+
+
+def band_keys(e: int, samples: np.ndarray) -> list[str]:
+    """Keys of bit-sampled bands, at the fingerprint's own coarseness and the next coarser one (texts of nearly one length may differ by one)."""
+    out = []
+    places = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 64, size=(BANDS, WIDTH))
+    for coarse, x in ((e, samples), (e + 1, samples[::2])):
+        if len(x):
+            for b, at in enumerate(places):
+                out.append(f"{coarse}:{b}:" + bytes(x[at % len(x) if len(x) < 64 else at]).hex())
+    return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance; a column of the table is one number of as many bits as ``a`` has characters."""
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        eq = places.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | ~(across | up) & full, up & across
+        score += 1 if plus & top else -1 if minus & top else 0
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | ~((eq | down) | plus) & full, plus & (eq | down)
+    return score
+
+
+def near_pairs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``a, b, similarity``: links between different texts, each text by its smallest doc_id.
+
+    Every text meets, in each band it shares with others, the band's smallest text and its
+    neighbours in the order of a second fingerprint hash; a chain of such links joins all texts of a
+    band, and each link is verified by edit distance over the longer length.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def banded(batches):
+        for batch, texts in by_bytes(batches):
+            own = [classes(t) for t in texts]
+            prints = [sampled(t, s) for t, s in zip(own, walks(own, [0] * len(own)))]
+            schema = pa.schema([batch.schema.field("doc_id"), ("bands", pa.list_(pa.string()))])
+            yield table(schema, doc_id=batch.column("doc_id"), bands=[band_keys(*p) for p in prints])
+
+    def verified(batches):
+        for batch in batches:
+            a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
+            likeness_ = [1 - edit_distance(x, y) / max(len(x), len(y), 1) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likeness_, pa.float64())], names=["a", "b", "similarity"])
+
+    one = materialize(docs.select("doc_id", text_of().alias("text")).groupBy("text").agg(F.min("doc_id").alias("doc_id")))
+    bands = small_batches(one.select("doc_id", "text")).mapInArrow(banded, f"doc_id {kind}, bands array<string>").select("doc_id", F.explode("bands").alias("band"))
+    order = W.partitionBy("band").orderBy("doc_id")
+    near = bands.withColumn("first", F.min("doc_id").over(W.partitionBy("band"))).withColumn("before", F.lag("doc_id").over(order))
+    pairs = near.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).unionByName(near.select(F.col("before").alias("a"), F.col("doc_id").alias("b"))).where("a < b").distinct()
+    texts = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    close = F.least(F.length("a_text"), F.length("b_text")) >= similar * F.greatest(F.length("a_text"), F.length("b_text"))
+    return small_batches(texts.where(close)).mapInArrow(verified, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)

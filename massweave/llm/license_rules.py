@@ -63,8 +63,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)),
 )
 
-#: A sentence ends at a stop, mark or colon before white space, and at each line's end unless the next line goes on in lower case.
-BREAK = re.compile(r"(?<=[.!?:;])[\x20\x09-\x0D]+(?=[^a-z])|\n(?![\x20\x09]*[a-z])")
+#: A sentence ends at a stop, mark or colon before white space, unless the line goes on in lower case, and at a line's end unless the next line does.
+BREAK = re.compile(r"(?<=[.!?:;])(?:[\x20\x09]+(?=[^a-z])|[\x20\x09]*[\x0A-\x0D]+)|\n(?![\x20\x09]*[a-z])")
 NOISE = re.compile(r"[^a-z0-9.]+")
 
 
@@ -80,7 +80,7 @@ SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright")
 def rulebook() -> tuple[dict[str, int], list[tuple[str, tuple[int, ...]]]]:
     """Sentence to identifier, and the rules over identifiers."""
     ids: dict[str, int] = {}
-    rules = [(name, tuple(ids.setdefault(normal(s), len(ids)) for s in sentences)) for name, sentences in RULES]
+    rules = [(name, tuple(ids.setdefault(normal(part), len(ids)) for s in sentences for part in BREAK.split(s))) for name, sentences in RULES]
     return ids, rules
 
 

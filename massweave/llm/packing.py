@@ -17,7 +17,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +72,10 @@ def pack(sizes: list[int], length: int) -> list[list[int]]:
     return out
 
 
-def pack_group(docs: pd.DataFrame, length: int = LENGTH, slack: int = SLACK) -> list[list[tuple]]:
+def pack_group(docs: dict[str, list], length: int = LENGTH, slack: int = SLACK) -> list[list[tuple]]:
     """The sequences of a group; each a list of pieces (row, start, length, checksum)."""
     sequences, tails = [], []
-    for row, (tokens, full, tail, parts) in enumerate(zip(docs.doc_tokens, docs.full_crcs, docs.tail_crc, docs.part_crcs)):
+    for row, (tokens, full, tail, parts) in enumerate(zip(docs["doc_tokens"], docs["full_crcs"], docs["tail_crc"], docs["part_crcs"])):
         sequences += [[(row, k * length, length, crc)] for k, crc in enumerate(full)]
         start = len(full) * length
         if tokens > start:
@@ -138,11 +137,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     groups = max(1, -(-docs.count() // group))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "tail_crc"], ignore_index=True)
-        out = [(row, start, size, crc, n, at) for n, s in enumerate(pack_group(rows, length, slack)) for (row, start, size, crc), at in zip(s, np.cumsum([0, *(p[2] for p in s)]).tolist())]
-        row, start, size, crc, n, at = (np.array(x, dtype=np.int64) for x in zip(*out))
-        return pd.DataFrame({"doc_id": rows.doc_id.to_numpy()[row], "start": start, "length": size, "ids_crc32": crc, "doc_tokens": rows.doc_tokens.to_numpy()[row], "sequence_id": (int(key[0]) << 32) + n, "offset": at})
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("tail_crc", "ascending")])
+        sequences = pack_group({c: rows.column(c).to_pylist() for c in ("doc_tokens", "full_crcs", "tail_crc", "part_crcs")}, length, slack)
+        out = [(row, start, size, crc, n, at) for n, s in enumerate(sequences) for (row, start, size, crc), at in zip(s, np.cumsum([0, *(p[2] for p in s)]).tolist())]
+        row, start, size, crc, n, at = (pa.array(x, pa.int64()) for x in zip(*out))
+        number = pa.array([(key[0].as_py() << 32) + x for x in n.to_pylist()], pa.int64())
+        return pa.table({"doc_id": rows.column("doc_id").take(row), "start": start, "length": size, "ids_crc32": crc, "doc_tokens": rows.column("doc_tokens").take(row), "sequence_id": number, "offset": at})
 
     dealt = encoded(docs, path, length).withColumn("_group", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(packed, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return dealt.groupBy("_group").applyInArrow(packed, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
