@@ -52,12 +52,12 @@ def plnp(p: Column) -> Column:
 
 
 def binned_jss(true: DataFrame, pred: DataFrame, res: float = 0.01) -> DataFrame:
-    """One minus the Jensen-Shannon divergence over ln 2, in [0, 1]."""
+    """One minus the Jensen-Shannon divergence over ln 2, in [0, 1]; 0 without a predicted peak."""
     share = lambda c: F.col(c) / F.greatest(F.sum(c).over(spectrum()), F.lit(TINY))
     rows = paired_bins(true, pred, res).withColumn("t", share("t")).withColumn("p", share("p"))
     m = (F.col("t") + F.col("p")) / 2
     jsd = F.sum(0.5 * plnp(F.col("t")) + 0.5 * plnp(F.col("p")) - plnp(m))
-    return rows.groupBy("spec_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - jsd / F.ln(F.lit(2.0)))).alias("jss"))
+    return rows.groupBy("spec_id").agg(F.when(F.max("p") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - jsd / F.ln(F.lit(2.0))))).otherwise(0.0).alias("jss"))
 
 
 def matches(true: DataFrame, pred: DataFrame, tol: float | Column = 1e-5, floor: float | Column = 200.0, relative: bool = True, pred_divisor: bool = False, width: float = 0.05) -> DataFrame:

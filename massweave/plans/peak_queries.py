@@ -105,7 +105,7 @@ def oracle_cosine(v: Views) -> DataFrame:
     return similarity.oracle_cosine(v.plain_peaks(), v.pred_peaks(), 0.01)
 
 
-@query(sql(["peaks", "pred_peaks"], f"""SELECT spec_id, round(greatest(0, least(1, 1 - sum(CASE WHEN t > 0 THEN 0.5 * t * ln(t) ELSE 0 END + CASE WHEN p > 0 THEN 0.5 * p * ln(p) ELSE 0 END - CASE WHEN t + p > 0 THEN (t + p) / 2 * ln((t + p) / 2) ELSE 0 END) / {LN2})), 6) AS jss
+@query(sql(["peaks", "pred_peaks"], f"""SELECT spec_id, round(CASE WHEN max(p) = 0 THEN 0 ELSE greatest(0, least(1, 1 - sum(CASE WHEN t > 0 THEN 0.5 * t * ln(t) ELSE 0 END + CASE WHEN p > 0 THEN 0.5 * p * ln(p) ELSE 0 END - CASE WHEN t + p > 0 THEN (t + p) / 2 * ln((t + p) / 2) ELSE 0 END) / {LN2})) END, 6) AS jss
   FROM n GROUP BY spec_id HAVING max(t) > 0""", **paired("0.01"), n="SELECT spec_id, t / greatest(sum(t) OVER (PARTITION BY spec_id), 1e-7) AS t, p / greatest(sum(p) OVER (PARTITION BY spec_id), 1e-7) AS p FROM duo"))
 def binned_jss(v: Views) -> DataFrame:
     return similarity.binned_jss(v.plain_peaks(), v.pred_peaks(), 0.01)

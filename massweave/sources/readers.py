@@ -119,7 +119,7 @@ def sirius(spark: SparkSession, path: str) -> DataFrame:
     groups = F.regexp_extract_all("value", F.lit(r"(?:(?<=\n)|^)((?:[>#][^\n]*\n)+(?:[^>#\n][^\n]*\n?|\n)*)"), F.lit(1))
     df = df.withColumn("_g", groups)
     keys = F.transform(F.filter(F.split(F.col("_g")[0], "\n"), lambda x: F.regexp_like(x, F.lit(r"^[>#]\S+ "))), lambda x: pair(F.substring(x, 2, 1_000_000), " "))
-    blocks = df.select("file", entries(keys).alias("meta"), F.explode(F.slice("_g", 2, 1_000_000)).alias("b"))
+    blocks = df.withColumn("meta", entries(keys)).select("file", "meta", F.explode(F.slice("_g", 2, 1_000_000)).alias("b"))
     rows = F.filter(F.split("b", "\n"), lambda x: F.regexp_like(x, F.lit(r"^\s*\d")))
     peaks = F.transform(rows, lambda x: F.struct(F.split(F.trim(x), r"\s+")[0].cast("double").alias("mz"), F.split(F.trim(x), r"\s+")[1].cast("double").alias("ints")))
     return blocks.select("file", "meta", F.regexp_extract("b", r"^[>#]([^\n]*)", 1).alias("header"), peaks.alias("peaks")).where(F.size("peaks") > 0)
