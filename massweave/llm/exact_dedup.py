@@ -64,11 +64,12 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
 def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    A group of any size is one pre-aggregated row on one side of the join back, so a group that
-    holds a third of all rows only makes a partition that adaptive execution can split.
+    A group of any size is one pre-aggregated row on one side of the join back. That side is written
+    first, so the join has an exchange of its own on both sides and adaptive execution can split the
+    partition of a group that holds a third of all rows.
     """
     rows = materialize(recipes(docs, bits).groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("rows")))
-    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    groups = materialize(rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")))
     return (
         rows.join(groups, "recipe")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
