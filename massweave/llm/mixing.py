@@ -29,7 +29,7 @@ RAMP = 0.5
 #: A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: Documents in one stretch of a source's stream, on average at most; a stretch is summed in one task.
-STRETCH = 2000
+STRETCH = 500
 
 
 def sizes(docs: DataFrame) -> DataFrame:
