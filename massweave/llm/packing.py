@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
 from massweave.llm.common import small_batches
-from massweave.llm.tokens import ByteEncoder, vocabulary
+from massweave.llm.tokens import byte_encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 1024
@@ -110,7 +110,7 @@ def encoded(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> D
     """``doc_id, doc_tokens`` and the checksums of each document's pieces; ids are those of the public vocabulary, then 0."""
 
     def encode(batches):
-        encoder, schema = ByteEncoder(path or vocabulary(VOCABULARY)), None
+        encoder, schema = byte_encoder(path or vocabulary(VOCABULARY)), None
         for batch, texts in by_bytes(batches):
             schema = schema or pa.schema([batch.schema.field("doc_id"), ("doc_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())), ("tail_crc", pa.int64()), ("part_crcs", pa.list_(pa.int64()))])
             tokens, full, tail, part = [], [], [], []

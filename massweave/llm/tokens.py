@@ -150,3 +150,9 @@ class ByteEncoder:
             parts = [text[a:b] for a, b in zip(at, at[1:])]
             out[i] = b"".join(known.get(p[1:]) or self._alone(p) if p[:1] == " " else self._alone(p) for p in parts)
         return out
+
+
+@lru_cache(maxsize=1)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder for all tasks of a worker process, with what it has encoded so far."""
+    return ByteEncoder(path)
