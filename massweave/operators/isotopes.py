@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massweave.functions.formula import ADDUCTS, MASSES, NEUTRON, SPACING, count_of
+from massweave.functions.formula import MASSES, NEUTRON, SPACING, count_of, literal_map
 from massweave.operators.joins import band_join
 
 #: What an atom adds to the M+1 and M+2 peaks.
@@ -55,35 +55,26 @@ def by_offsets(peaks: DataFrame, offsets: DataFrame, tol: float = 0.02, check: b
     return flagged(peaks, mono.where(ok))
 
 
-def expected_ratio(elements: Column, scale: Column, k: int, adduct: dict[str, Column] | None = None) -> Column:
+def shares(elements: Column) -> tuple[Column, Column]:
+    """What a formula's atoms add to M+1 (Poisson part) and, beyond that, to M+2."""
+    total = lambda table: sum((count_of(elements, e) * c for e, c in table.items()), F.lit(0.0))
+    return total(M1), total(M2)
+
+
+def expected_ratio(first: Column, second: Column, k: int) -> Column:
     """Expected M+k over M: a Poisson term from M+1 shares, for k = 2 an additive term; never below 1e-4."""
-    total = lambda table, of: sum((of(e) * c for e, c in table.items()), F.lit(0.0))
-    added = lambda e: (adduct or {}).get(e, F.lit(0))
-    own = lambda e: count_of(elements, e)
-    first = total(M1, own) * scale + total(M1, added)
     out = F.pow(first, F.lit(float(k))) / math.factorial(k)
-    if k == 2:
-        out = out + total(M2, own) * scale + total(M2, added)
-    return F.greatest(out, F.lit(1e-4))
+    return F.greatest(out + second if k == 2 else out, F.lit(1e-4))
 
 
 #: Elements of an adduct's formula as read up to its first minus sign, where negative counts read as positive.
 READ = {"[M+H]+": {"H": 1}, "[M+Na]+": {"Na": 1}, "[M+H+2i]+": {"H": 1, "I": 2}, "[M+K]+": {"K": 1}, "[M+NH4]+": {"N": 1, "H": 4}, "[M-H]-": {"H": 1}, "[M-H-CO2]-": {"H": 1}, "[M+Cl]-": {"Cl": 1}, "[M-H-H2O]-": {"H": 1}, "[M-H+2i]-": {"H": 1}, "[M+HCOOH-H]-": {"C": 1, "H": 2, "O": 2}, "[M+CH3COOH-H]-": {"C": 2, "H": 3, "O": 2}, "[M+CH3COO]-": {"C": 2, "H": 3, "O": 2}, "[M-H2O+H]+": {"O": 1}, "[M-2H2O+H]+": {"O": 1}, "[M+H-NH3]+": {"H": 1}}
 
 
-def adduct_counts(prec_type: Column) -> dict[str, Column]:
-    out = {}
-    for e in sorted({e for v in READ.values() for e in v}):
-        col = F.lit(0)
-        for name, counts in READ.items():
-            if e in counts:
-                col = F.when(prec_type == name, counts[e]).otherwise(col)
-        out[e] = F.coalesce(col, F.lit(0))
-    return out
-
-
-def adduct_mass(prec_type: Column) -> Column:
-    return sum((n * MASSES[e] for e, n in adduct_counts(prec_type).items()), F.lit(0.0))
+def of_adduct(prec_type: Column, weights: dict[str, float]) -> Column:
+    """Weighted sum of the elements that an adduct adds; 0 for an unknown one."""
+    sums = {name: float(sum(n * weights.get(e, 0.0) for e, n in counts.items())) for name, counts in READ.items()}
+    return F.coalesce(F.try_element_at(literal_map(sums), prec_type), F.lit(0.0))
 
 
 def coisolation(spectra: DataFrame, peaks: DataFrame, orders: int = 2) -> DataFrame:
@@ -95,8 +86,9 @@ def coisolation(spectra: DataFrame, peaks: DataFrame, orders: int = 2) -> DataFr
     for inst, t in FINE.items():
         tol = F.when(F.col("inst_type") == inst, t).otherwise(tol)
     s = spectra.withColumn("tol", tol).where("tol is not null and prec_mz > 0 and elements is not null")
-    added = adduct_counts(F.col("prec_type"))
-    s = s.withColumns({f"r_{k}": expected_ratio(F.col("elements"), F.lit(1.0), k, added) for k in range(1, orders + 1)})
+    first, second = shares(F.col("elements"))
+    added = [of_adduct(F.col("prec_type"), m) for m in (M1, M2)]
+    s = s.withColumns({f"r_{k}": expected_ratio(first + added[0], second + added[1], k) for k in range(1, orders + 1)})
     p = peaks.join(s.select("spec_id", "prec_mz", "tol"), "spec_id")
     best = lambda at, t: F.max_by(F.struct("mz", "ints"), F.struct(F.when(F.abs(F.col("mz") - at) <= t, F.col("ints")), -F.col("mz")))
     near = lambda at, t: F.when(F.count_if(F.abs(F.col("mz") - at) <= t) > 0, best(at, t))
@@ -123,16 +115,17 @@ def group_fraction(values: DataFrame, by: list[str], x: str, least: int = 2, max
 
 def envelope_pairs(spectra: DataFrame, peaks: DataFrame, orders: int = 2) -> DataFrame:
     """Pairs of a peak and the strongest one k spacings above it, with the expected ratio at the fragment's share of the mass."""
-    s = spectra.where(F.col("inst_type").isin(*FINE) & F.col("elements").isNotNull()).withColumn("delta", adduct_mass(F.col("prec_type")))
-    s = s.withColumn("whole", F.col("prec_mz") - F.col("delta")).where("whole > 0")
-    added = adduct_counts(F.col("prec_type"))
+    s = spectra.where(F.col("inst_type").isin(*FINE) & F.col("elements").isNotNull()).withColumn("delta", of_adduct(F.col("prec_type"), MASSES))
+    first, second = shares(F.col("elements"))
+    s = s.withColumns({"whole": F.col("prec_mz") - F.col("delta"), "m1": first, "m2": second, "a1": of_adduct(F.col("prec_type"), M1), "a2": of_adduct(F.col("prec_type"), M2)}).where("whole > 0")
     tol = FINE["FT"]
     near = spaced(peaks, orders, SPACING, 2 * tol, down=False).where((F.col("k") > 1) | (F.abs(F.col("o_mz") - F.col("at")) <= tol))
     one = near.groupBy(*PEAK, "mz", "ints", "k").agg(F.max_by(F.struct("o_idx", "o_ints"), F.struct("o_ints", -F.col("o_mz"))).alias("o")).select(*PEAK, "mz", "ints", "k", "o.o_idx", "o.o_ints")
-    pairs = one.join(s.select("spec_id", "prec_type", "elements", "delta", "whole"), "spec_id")
+    pairs = one.join(s.select("spec_id", "delta", "whole", "m1", "m2", "a1", "a2"), "spec_id")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("mz") - F.col("delta")) / F.col("whole")))
-    ratio = lambda scale: F.when(F.col("k") == 1, expected_ratio(F.col("elements"), scale, 1, added)).otherwise(expected_ratio(F.col("elements"), scale, 2, added))
-    return pairs.withColumn("r_frag", ratio(share)).withColumn("r_prec", ratio(F.lit(1.0))).drop("elements", "prec_type", "delta", "whole")
+    one_, two = (lambda scale: F.col("m1") * scale + F.col("a1")), (lambda scale: F.col("m2") * scale + F.col("a2"))
+    ratio = lambda scale: F.when(F.col("k") == 1, expected_ratio(one_(scale), two(scale), 1)).otherwise(expected_ratio(one_(scale), two(scale), 2))
+    return pairs.withColumn("r_frag", ratio(share)).withColumn("r_prec", ratio(F.lit(1.0))).drop("delta", "whole", "m1", "m2", "a1", "a2")
 
 
 def consensus(pairs: DataFrame, least: int = 2, max_cv: float = 0.6) -> DataFrame:

@@ -167,3 +167,21 @@ def contrastive_pack(df: DataFrame, key: str, first: list[str], second: list[str
         return pd.DataFrame({key: [k for k, _ in out], "shard": int(group["shard"].iloc[0]), "batch": [b for _, b in out]})
 
     return rows.groupBy("shard").applyInPandas(pack, f"{key} {df.schema[key].dataType.simpleString()}, shard int, batch int")
+
+
+def by_adduct(df: DataFrame, adducts: list[str]) -> DataFrame:
+    """Copies of existing folds restricted to one adduct each, with a ``tag`` for their folder."""
+    from massweave.functions.text import adduct_tag
+
+    return df.where(F.col("prec_type").isin(*adducts)).withColumn("tag", adduct_tag(F.col("prec_type")))
+
+
+def loaded(df: DataFrame) -> DataFrame:
+    """Sorted distinct molecules and spectra of each split."""
+    ids = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    return df.groupBy("split").agg(ids("mol_id"), ids("spec_id"))
+
+
+def row_range(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows from place ``first`` to before ``last`` in an order that tells rows apart."""
+    return numbered(df, order, "_n").where(F.col("_n").between(first, last - 1)).drop("_n")
