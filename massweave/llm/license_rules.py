@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
-A text's sentences are normalised (lower case, letters, digits and dots only, single spaces) and
-those known from licence texts become identifiers; a licence rule is an ordered list of
-identifiers, and a document carries the licence where its identifiers hold that list in order, with
-nothing but unknown sentences between. Of rules that end in one place, the one with most sentences wins.
+A text is read as words (lower case, letters, digits and inner dots), so line ends, indents, comment
+marks and blank comment lines inside a sentence don't matter, and sentences known from licence texts
+become identifiers; a licence rule is an ordered list of identifiers, and a document carries the licence
+where its identifiers hold that list in order, with nothing but unknown sentences between. Of rules that
+begin in one place, the one with most sentences wins. A full licence text is known by sentences that no other text holds.
 
 Defined results: a null or empty text has no licence; a licence found twice is listed twice; rows keep
 their ``doc_id``, repeated or null; an empty table gives no rows; other columns are ignored.
@@ -38,6 +39,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     )),
+    ("Apache-2.0", (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    )),
+    ("Apache-2.0", ("\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",)),
     ("GPL-3.0", ("This work is licensed under the GNU General Public License, version 3.",)),
     ("GPL-3.0", ("Licensed under the GNU General Public License, version 3.",)),
     ("GPL-3.0", ("SPDX-License-Identifier: GPL-3.0-only",)),
@@ -45,6 +51,20 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     )),
+    ("GPL-3.0", ("SPDX-License-Identifier: GPL-3.0-or-later",)),
+    ("GPL-3.0", ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",)),
+    ("GPL-3.0", ("The GNU General Public License is a free, copyleft license for software and other kinds of works.",)),
+    ("GPL-2.0", ("SPDX-License-Identifier: GPL-2.0-only",)),
+    ("GPL-2.0", ("SPDX-License-Identifier: GPL-2.0-or-later",)),
+    ("GPL-2.0", ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",)),
+    ("GPL-2.0", ("You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",)),
+    ("GPL-2.0", ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",)),
+    ("LGPL-2.1", ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",)),
+    ("LGPL-2.1", ("This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1.",)),
+    ("LGPL-3.0", ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",)),
+    ("LGPL-3.0", ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",)),
+    ("AGPL-3.0", ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",)),
+    ("AGPL-3.0", ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works",)),
     ("CC-BY-NC-4.0", ("Licensed under CC BY-NC 4.0.",)),
     ("CC-BY-NC-4.0", ("This work is licensed under CC BY-NC 4.0.",)),
     ("CC-BY-4.0", ("Licensed under CC BY 4.0.",)),
@@ -55,48 +75,99 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     )),
+    ("BSD-3-Clause", (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "May be used to endorse or promote products derived from this software without specific prior written permission.",
+    )),
+    ("BSD-4-Clause", (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+        "May be used to endorse or promote products derived from this software without specific prior written permission.",
+    )),
     ("BSD-2-Clause", (
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     )),
     ("ISC", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
+    ("ISC", ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
+    ("ISC", ("SPDX-License-Identifier: ISC",)),
+    ("BSD-2-Clause", ("SPDX-License-Identifier: BSD-2-Clause",)),
+    ("MPL-2.0", ("SPDX-License-Identifier: MPL-2.0",)),
     ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)),
 )
 
 #: A sentence ends at a stop, mark or colon before white space, unless the line goes on in lower case, and at a line's end unless the next line does.
 BREAK = re.compile(r"(?<=[.!?:;])(?:[\x20\x09]+(?=[^a-z])|[\x20\x09]*[\x0A-\x0D]+)|\n(?![\x20\x09]*[a-z])")
-NOISE = re.compile(r"[^a-z0-9.]+")
+#: Words of a text or sentence; a line comment's word at a line's start is none.
+WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*", re.ASCII | re.IGNORECASE)
+REMARK = re.compile(r"^[\x20\x09]*(?:dnl|@?rem|c)(?=[\x20\x09])", re.ASCII | re.IGNORECASE | re.MULTILINE)
+#: A known sentence of so many words is found anywhere, a shorter one between breaks only.
+LONG = 12
+#: Words by which a known sentence is looked up.
+HEAD = 3
 
 
-def normal(sentence: str) -> str:
-    return NOISE.sub(" ", sentence.lower()).strip(" .")
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(text)]
 
 
 #: Each known sentence holds one of these.
-SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright")
+SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright", "acknowledg")
 
 
 @lru_cache(maxsize=1)
-def rulebook() -> tuple[dict[str, int], list[tuple[str, tuple[int, ...]]]]:
+def rulebook() -> tuple[dict[tuple[str, ...], int], list[tuple[str, tuple[int, ...]]]]:
     """Sentence to identifier, and the rules over identifiers."""
-    ids: dict[str, int] = {}
-    rules = [(name, tuple(ids.setdefault(normal(part), len(ids)) for s in sentences for part in BREAK.split(s))) for name, sentences in RULES]
+    ids: dict[tuple[str, ...], int] = {}
+    rules = [(name, tuple(ids.setdefault(tuple(words_of(s)), len(ids)) for s in sentences)) for name, sentences in RULES]
     return ids, rules
 
 
+@lru_cache(maxsize=1)
+def heads() -> dict[tuple[str, ...], list[tuple[str, ...]]]:
+    """Known sentences by their first words, the longest first."""
+    out: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for s in sorted(rulebook()[0], key=len, reverse=True):
+        out.setdefault(s[:HEAD], []).append(s)
+    return out
+
+
 def known_sentences(text: str) -> list[tuple[int, int, int]]:
-    """Known sentences as (identifier, first, last), in order."""
-    ids, _ = rulebook()
+    """Known sentences as (identifier, first, last), in order; of those that begin at one word the longest."""
     low = text.lower()
     if not any(s in low for s in SIGNS):
         return []
+    plain = REMARK.sub(lambda m: " " * len(m[0]), text)
+    words = words_of(plain)
+    joined = f" {' '.join(words)} "
+    if not any(f" {' '.join(h)} " in joined for h in heads()):
+        return []
+    ids, by_head = rulebook()[0], heads()
+    spans = [m.span() for m in WORD.finditer(plain)]
+
+    def breaks(i: int) -> list[tuple[int, int]]:
+        """Breaks (begin, end) before word i; the text's begin and end count as breaks."""
+        a, b = spans[i - 1][1] if i else 0, spans[i][0] if i < len(spans) else len(text)
+        cuts = [(a + m.start(), a + m.end()) for m in BREAK.finditer(text[a : b + 1]) if a + m.end() <= b]
+        return ([] if i else [(0, 0)]) + cuts + ([] if i < len(spans) else [(b, b)])
+
     found, at = [], 0
-    for m in [*BREAK.finditer(text), None]:
-        end = m.start() if m else len(text)
-        known = ids.get(normal(text[at:end]))
-        if known is not None:
-            found.append((known, at, end))
-        at = m.end() if m else end
+    while at < len(words):
+        for s in by_head.get(tuple(words[at : at + HEAD]), ()):
+            end = at + len(s)
+            if tuple(words[at:end]) != s:
+                continue
+            before, after = breaks(at), breaks(end)
+            line_end = s[0] == "spdx" and re.search(r"[\x0A-\x0D]", text[spans[end - 1][1] : spans[end][0] if end < len(spans) else len(text)])
+            if len(s) >= LONG or (before and (after or line_end)):
+                first = before[-1][1] if before else spans[at][0]
+                last = after[0][0] if after else spans[end - 1][1]
+                found.append((ids[s], first, last))
+                at = end - 1
+                break
+        at += 1
     return found
 
 

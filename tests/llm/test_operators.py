@@ -307,6 +307,59 @@ def test_license_rules(odd, none):
         assert all(any(s in x.lower() for s in license_rules.SIGNS) for x in sentences)
 
 
+NOTICES = {
+    "MIT": """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-3-Clause": """1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_published_notices(name):
+    lines = NOTICES[name].split("\n")
+    texts = ["\n".join(mark + x for x in lines) for mark in ("", "    ", "# ", "// ", " * ", "dnl ", "REM ")]
+    texts += ["/*\n" + texts[4] + "\n */\nint main;", "\r\n".join(lines), " ".join(" ".join(lines).split())]
+    for text in texts:
+        assert [x[0] for x in license_rules.licences("code\n" + text + "\nmore")] == [name], text
+    cut = re.sub(r"\bof\b", "x", "\n".join(lines))
+    assert license_rules.licences(cut) == []
+
+
 # secrets
 
 
