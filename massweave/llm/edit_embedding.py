@@ -10,6 +10,9 @@ For the next document (descending ``doc_id``) rows are dealt and sorted by range
 the next text of all its rows but the last; these last rows, one for each partition, meet the first
 row of the next partition in a small join.
 
+Texts that share a bit-sampled band of their fingerprints are compared, all with all, by edit distance;
+each row carries the number of different texts that are near its own (``n_links``).
+
 Defined results: a null text is empty; an empty text has the empty fingerprint, like another empty
 one by 1 and any other by 0; rows of one ``doc_id`` follow each other by a hash of their text, a null
 ``doc_id`` comes last; a table's only row is its own next document; an empty table gives no rows;
@@ -29,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
-from massweave.llm.common import materialize, small_batches, text_of
+from massweave.llm.common import discard, materialize, small_batches, text_of
 
 CLASSES, PERIOD, SEED = 32, 1 << 16, 2017
 #: A text of 2^k characters or more, k at least this, is sampled every 2^(k - this + 1) steps: 128 to 300 samples.
@@ -116,8 +119,8 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     return float((x[:n] == y[:n]).sum()) / max(len(x), len(y))
 
 
-FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-FIELDS_SQL = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+FIELDS = [("text_key", pa.binary()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+FIELDS_SQL = "text_key binary, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def described(texts: list[str], after: list[int]) -> dict[str, list]:
@@ -131,6 +134,7 @@ def described(texts: list[str], after: list[int]) -> dict[str, list]:
     more = walks(moved, [int(steps[i][k]) for i, k in enumerate(kept)])
     edited = [sampled(np.concatenate([own[i][:k], moved[i]]), np.concatenate([steps[i][:k], more[i]])) for i, k in enumerate(kept)]
     return {
+        "text_key": [hashlib.md5(t.encode()).digest() for t in texts[: len(after)]],
         "n_chars": [len(own[i]) for i in range(len(after))],
         "edited_sha256": [hashlib.sha256((texts[i][:k] + texts[j][:h]).encode()).digest() for i, (k, j, h) in enumerate(zip(kept, after, half))],
         "fingerprint": [packed(*prints[i]) for i in range(len(after))],
@@ -178,8 +182,12 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     edges = tails.join(following, "part").join(heads, "next_part").select("doc_id", "tail", "head")
     last = edges.mapInArrow(at_edges, f"doc_id {kind}, {FIELDS_SQL}")
     digits = lambda c: F.lower(F.hex(c)).alias(c)
-    every = done.where("tail is null").select("doc_id", *[n for n, _ in FIELDS]).unionByName(last)
-    return every.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
+    every = materialize(done.where("tail is null").select("doc_id", *[n for n, _ in FIELDS]).unionByName(last))
+    discard(done)
+    found = links(every.select("text_key", "n_chars", "fingerprint"), docs)
+    counts = found.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("n_links"))
+    linked = every.join(counts, "text_key", "left")
+    return linked.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 #: Bands of samples that near documents must share one of; each takes so many samples of the first 64.
@@ -187,19 +195,34 @@ BANDS, WIDTH = 48, 8
 SIMILAR = 0.8
 
 
-def band_keys(e: int, samples: np.ndarray) -> list[str]:
+#: Texts of a crowded band that one join key holds.
+BLOCK = 256
+
+
+@lru_cache(maxsize=1)
+def band_places() -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 64, size=(BANDS, WIDTH))
+
+
+def band_keys(e: int, samples: np.ndarray) -> list[int]:
     """Keys of bit-sampled bands, at the fingerprint's own coarseness and the next coarser one (texts of nearly one length may differ by one)."""
-    out = []
-    places = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 64, size=(BANDS, WIDTH))
+    out: list[int] = []
+    at = band_places()
     for coarse, x in ((e, samples), (e + 1, samples[::2])):
         if len(x):
-            for b, at in enumerate(places):
-                out.append(f"{coarse}:{b}:" + bytes(x[at % len(x) if len(x) < 64 else at]).hex())
+            each = x[at % len(x) if len(x) < 64 else at].astype(np.int64)
+            values = (each << (4 * np.arange(WIDTH))).sum(axis=1)
+            out += (values | np.arange(BANDS) << 32 | coarse << 38).tolist()
     return out
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance; a column of the table is one number of as many bits as ``a`` has characters."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, or some number above ``most`` where it is above; a column of the table is one number of as many bits as ``a`` has characters."""
+    most = max(len(a), len(b)) if most is None else most
+    first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[first:], b[first:]
+    last = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - last], b[: len(b) - last]
     if not a or not b:
         return max(len(a), len(b))
     places: dict[str, int] = {}
@@ -207,43 +230,72 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         eq = places.get(c, 0)
         across = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | ~(across | up) & full, up & across
         score += 1 if plus & top else -1 if minus & top else 0
+        if score - left > most:
+            return score - left
         plus, minus = (plus << 1 | 1) & full, minus << 1 & full
         up, down = minus | ~((eq | down) | plus) & full, plus & (eq | down)
     return score
 
 
-def near_pairs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``a, b, similarity``: links between different texts, each text by its smallest doc_id.
+def links(prints: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``a, b, similarity``: links between different texts, as keys (a < b).
 
-    Every text meets, in each band it shares with others, the band's smallest text and its
-    neighbours in the order of a second fingerprint hash; a chain of such links joins all texts of a
-    band, and each link is verified by edit distance over the longer length.
+    All texts of a band are compared with each other; those of a crowded band are dealt to blocks, and
+    each two blocks meet in a join key of their own. Each link is verified by edit distance over the
+    longer length. ``prints``: ``text_key, n_chars, fingerprint``; ``docs`` holds the texts.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def banded(batches):
-        for batch, texts in by_bytes(batches):
-            own = [classes(t) for t in texts]
-            prints = [sampled(t, s) for t, s in zip(own, walks(own, [0] * len(own)))]
-            schema = pa.schema([batch.schema.field("doc_id"), ("bands", pa.list_(pa.string()))])
-            yield table(schema, doc_id=batch.column("doc_id"), bands=[band_keys(*p) for p in prints])
+        schema = pa.schema([("text_key", pa.binary()), ("n_chars", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        for batch in batches:
+            bands = [band_keys(*unpacked(f)) for f in batch.column("fingerprint").to_pylist()]
+            yield table(schema, text_key=batch.column("text_key"), n_chars=batch.column("n_chars"), bands=bands)
 
     def verified(batches):
         for batch in batches:
-            a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
-            likeness_ = [1 - edit_distance(x, y) / max(len(x), len(y), 1) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likeness_, pa.float64())], names=["a", "b", "similarity"])
-
-    one = materialize(docs.select("doc_id", text_of().alias("text")).groupBy("text").agg(F.min("doc_id").alias("doc_id")))
-    bands = small_batches(one.select("doc_id", "text")).mapInArrow(banded, f"doc_id {kind}, bands array<string>").select("doc_id", F.explode("bands").alias("band"))
-    order = W.partitionBy("band").orderBy("doc_id")
-    near = bands.withColumn("first", F.min("doc_id").over(W.partitionBy("band"))).withColumn("before", F.lag("doc_id").over(order))
-    pairs = near.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).unionByName(near.select(F.col("before").alias("a"), F.col("doc_id").alias("b"))).where("a < b").distinct()
-    texts = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    close = F.least(F.length("a_text"), F.length("b_text")) >= similar * F.greatest(F.length("a_text"), F.length("b_text"))
-    return small_batches(texts.where(close)).mapInArrow(verified, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
+            found = []
+            for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()):
+                longer = max(len(x), len(y), 1)
+                found.append(1 - edit_distance(x, y, int((1 - similar) * longer) + 1) / longer)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+
+    one = prints.dropDuplicates(["text_key"])
+    bands = one.mapInArrow(banded, "text_key binary, n_chars bigint, bands array<bigint>").select("text_key", "n_chars", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = materialize(bands.withColumn("size", F.count("*").over(W.partitionBy("band"))).where("size > 1"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = shared.withColumn("own", F.pmod(F.xxhash64("text_key"), blocks).cast("int"))
+    x = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", blocks - 1)).alias("j"), F.col("text_key").alias("x"), F.col("n_chars").alias("x_chars"))
+    y = dealt.select("band", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("text_key").alias("y"), F.col("n_chars").alias("y_chars"))
+    close = F.least("x_chars", "y_chars") >= similar * F.greatest("x_chars", "y_chars")
+    met = x.join(y, ["band", "i", "j"]).where(close & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
+    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(shared)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    keyed = docs.select(F.unhex(F.md5(text_of())).alias("text_key"), text_of().alias("text"))
+    texts = materialize(keyed.join(needed, "text_key", "left_semi").dropDuplicates(["text_key"]))
+    both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
+    return small_batches(both).mapInArrow(verified, "a binary, b binary, similarity double").where(F.col("similarity") >= similar)
+
+
+def near_pairs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``links`` with each text by its smallest doc_id, the smaller one first (null last)."""
+
+    def printed(batches):
+        schema = pa.schema([("text_key", pa.binary()), ("n_chars", pa.int64()), ("fingerprint", pa.binary())])
+        for _, texts in by_bytes(batches):
+            own = [classes(t) for t in texts]
+            prints = [packed(*sampled(t, s)) for t, s in zip(own, walks(own, [0] * len(own)))]
+            yield table(schema, text_key=[hashlib.md5(t.encode()).digest() for t in texts], n_chars=[len(t) for t in own], fingerprint=prints)
+
+    rows = docs.select("doc_id", text_of().alias("text"))
+    ids = rows.groupBy(F.unhex(F.md5("text")).alias("text_key")).agg(F.min("doc_id").alias("doc_id"))
+    found = links(small_batches(rows).select("text").mapInArrow(printed, "text_key binary, n_chars bigint, fingerprint binary"), docs, similar)
+    named = found.join(ids.toDF("a", "a_id"), "a").join(ids.toDF("b", "b_id"), "b")
+    ordered = F.col("b_id").isNull() | (F.col("a_id") <= F.col("b_id"))
+    pick = lambda first, then, name: F.when(ordered, F.col(first)).otherwise(F.col(then)).alias(name)
+    return named.select(pick("a_id", "b_id", "a"), pick("b_id", "a_id", "b"), "similarity")

@@ -167,6 +167,39 @@ def test_near_pairs(spark):
     assert pairs == {(i, 100 + i) for i in range(12)}
 
 
+def test_links_in_a_crowded_band(spark, monkeypatch):
+    """Texts of one opening meet in all bands; unrelated ones between two near ones don't hide their link."""
+    monkeypatch.setattr(edit_embedding, "BLOCK", 2)
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    opening = words(80)
+    texts = {i: opening + " " + words(120) for i in (1, 2, 3, 5)}
+    texts[4] = texts[2][:-3] + "xyz"
+    texts[6] = texts[5][:-2] + "zz"
+    texts[7] = texts[5][:-2] + "yy"
+    rows = [*((i, t, "s") for i, t in texts.items()), (7, texts[4], "s"), (None, texts[5], "s"), (None, texts[6][:-1], "s"), (8, None, "s"), (8, "", "s")]
+    near = {(a, b) for a in texts.values() for b in texts.values() if a != b and edit_embedding.edit_distance(a, b) <= 0.2 * max(len(a), len(b))}
+    assert len(near) == 2 + 6
+    pairs = {(r["a"], r["b"]) for r in edit_embedding.near_pairs(rows_of(spark, rows)).collect()}
+    assert pairs == {(2, 4), (5, 6), (5, 7), (6, 7), (5, None), (6, None), (7, None)}
+    got = Counter((r["doc_id"], r["n_links"]) for r in edit_embedding.edit_fingerprints(rows_of(spark, rows)).collect())
+    assert got == Counter([(1, 0), (2, 1), (3, 0), (4, 1), (5, 3), (6, 3), (7, 3), (7, 1), (None, 3), (None, 3), (8, 0), (8, 0)])
+
+
+def test_edit_distance():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[j] + 1, old[j + 1] + 1, old[j] + (x != y)))
+        for most in (None, 0, 2, 5):
+            got = edit_embedding.edit_distance(a, b, most)
+            assert got == row[-1] or (most is not None and most < got <= row[-1])
+
+
 # tokens
 
 
