@@ -2,7 +2,8 @@
 
 The patterns give the base spans. The method adds spans of the kind ``novel``: a run of key
 characters close behind a sensitive word is measured by the bytes it adds when compressed against a
-dictionary of common identifiers and the code around it; what hardly compresses is reported.
+dictionary of common identifiers and the code around it; what hardly compresses is reported. A long run
+is measured in pieces, as entropy coding alone makes a long random string shorter.
 
 Defined results: a null or empty text has no spans (the digest of no spans is that of the empty
 string); rows keep their ``doc_id``, repeated or null; an empty table gives no rows; other columns
@@ -12,6 +13,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -36,6 +38,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 NEAR, AROUND = 40, 600
 #: Added bytes for each character from which a candidate is novel.
 NOVEL = 0.85
+#: Characters of a piece; so few aren't worth an entropy code.
+PIECE = 32
 #: Identifiers that code is full of.
 IDENTIFIERS = (
     "username user_id client_id client_secret access_token refresh_token session_id authorization content_type application_json "
@@ -57,15 +61,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def added_bytes(candidate: str, around: str) -> int:
-    """Bytes that the candidate adds when compressed against identifiers and what stands around it."""
+def compressor(around: str):
+    """zstandard primed with identifiers and what stands around."""
     import zstandard
 
     prime = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def added_bytes(candidate: str, around: str) -> int:
+    """Bytes that the candidate adds when compressed against identifiers and what stands around it."""
+    press = compressor(around)
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def is_novel(candidate: str, around: str) -> bool:
+    """Whether the candidate hardly compresses: as a whole, or in pieces where it doesn't repeat itself (as a whole near its alphabet's bound)."""
+    n, whole = len(candidate), added_bytes(candidate, around)
+    if whole >= NOVEL * n:
+        return True
+    if n <= PIECE or whole < NOVEL * n * math.log2(len(set(candidate))) / 8:
+        return False
+    press, parts = compressor(around), -(-n // PIECE)
+    none = len(press.compress(b""))
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return sum(len(press.compress(candidate[a:b].encode())) - none for a, b in zip(cuts, cuts[1:])) >= NOVEL * n
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that no pattern covers: novel strings close behind a sensitive word."""
     low = text.lower()
@@ -78,7 +100,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if not (any(c.isdigit() for c in one) and any(c.isalpha() for c in one)) or any(x < b and a < y for x, y, _ in base):
             continue
         before = text[max(0, a - NEAR) : a].lower()
-        if any(w in before for w in SENSITIVE) and added_bytes(one, text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL * len(one):
+        if any(w in before for w in SENSITIVE) and is_novel(one, text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
             found.append((a, b, "novel"))
     return found
 

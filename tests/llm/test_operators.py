@@ -417,6 +417,18 @@ def test_secrets(spark, odd, none):
     assert secret_scan.secret_digest(odd).count() == len(TEXTS) and secret_scan.secret_digest(none).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_long_secrets(alphabet):
+    rng = random.Random(9)
+    for n in (20, 48, 64, 96, 128, 344, 600, 1600):
+        for _ in range(20):
+            secret = "7A" + "".join(rng.choice(alphabet) for _ in range(n - 2))
+            text = f'private_key = "{secret}"'
+            assert secret_scan.novel_spans(text, []) == [(15, 15 + n, "novel")], secret
+    for text in ("key " + "0123456789ABCDEF" * 40, "key " + "configuration_access_token1" * 9, "key " + "A1" * 300):
+        assert secret_scan.novel_spans(text, []) == []
+
+
 # mixing
 
 
