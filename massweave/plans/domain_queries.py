@@ -219,14 +219,24 @@ def theoretical_peaks(v: Views) -> DataFrame:
 @query(sql(["spectra", "molecules"], f"""SELECT spec_id, concat(round(prec_mz, 4)::VARCHAR) AS peak_mz, CASE spec_id % 3 WHEN 0 THEN concat('C', num_atoms::VARCHAR, 'H', (2 * num_atoms + CASE WHEN prec_type = '[M+H]+' THEN 1 ELSE -1 END)::VARCHAR, 'O1') ELSE 'C2H5' END AS product, CASE WHEN spec_id % 3 = 1 THEN 1 ELSE 0 END AS isotope
   FROM spectra JOIN molecules USING (mol_id) WHERE prec_type IN ('[M+H]+', '[M-H]-') AND mol_id % 3 = 0 AND spec_id % 3 <> 2"""))
 def annotation_parse(v: Views) -> DataFrame:
-    """Annotation texts built from spectra and molecules, read back as products and isotopes."""
-    s = v.spectra().join(v.molecules().where("mol_id % 3 = 0").select("mol_id", "formula"), "mol_id")
-    a = F.when(F.col("spec_id") % 3 == 0, "p-H2O/2.1ppm 3/4;?").when(F.col("spec_id") % 3 == 1, "C2H5+i=odd/1.0ppm").otherwise("C2Hx5")
-    rows = s.select("spec_id", F.lit("lib").alias("dset"), F.lit("").alias("notes"), "prec_type", "formula", F.concat(F.round("prec_mz", 4).cast("string"), F.lit(' 100 "'), a, F.lit('"')).alias("peaks"))
-    good, _ = annotation.annotations(rows, ["lib"])
+    """Annotation texts built from spectra and molecules, read back as products and isotopes; its SQL takes every third molecule."""
+    good, _ = annotation.annotations(annotation_texts(v, v.molecules().where("mol_id % 3 = 0")), ["lib"])
     return good.select("spec_id", "peak_mz", "product", "isotope")
 
 
+def annotation_texts(v: Views, molecules: DataFrame) -> DataFrame:
+    s = v.spectra().join(molecules.select("mol_id", "formula"), "mol_id")
+    a = F.when(F.col("spec_id") % 3 == 0, "p-H2O/2.1ppm 3/4;?").when(F.col("spec_id") % 3 == 1, "C2H5+i=odd/1.0ppm").otherwise("C2Hx5")
+    return s.select("spec_id", F.lit("lib").alias("dset"), F.lit("").alias("notes"), "prec_type", "formula", F.concat(F.round("prec_mz", 4).cast("string"), F.lit(' 100 "'), a, F.lit('"')).alias("peaks"))
+
+
+@query()
+def annotation_parse_all(v: Views) -> DataFrame:
+    """``annotation_parse`` over the spectra of all molecules, with losses, exact masses and the rejected spectra's reasons."""
+    good, rejected = annotation.annotations(annotation_texts(v, v.molecules()), ["lib"])
+    return good.unionByName(rejected, allowMissingColumns=True).select("spec_id", "peak_mz", "product", "loss", "isotope", "exact_mz", "reason")
+
+
 def scratch(v: Views) -> str:
     """A folder that driver and executors share."""
     base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")

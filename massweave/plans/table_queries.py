@@ -123,6 +123,15 @@ def formula_subsets_rdbe(v: Views) -> DataFrame:
     return rows.groupBy("mol_id").agg(F.count("*").alias("n"), F.max("sub_mass").alias("heaviest"))
 
 
+@query()
+def formula_subsets_all(v: Views) -> DataFrame:
+    """Sub-formulas of every molecule's own formula, all elements; molecules of one formula share one enumeration."""
+    m = v.molecules().select("mol_id", "formula")
+    e = m.select("formula").distinct().withColumn("e", formula.elements_of(F.col("formula")))
+    rows = formula.subformulas(e, "e", list(formula.MASSES)).groupBy("formula").agg(F.count("*").alias("n"), F.max("sub_mass").alias("heaviest"))
+    return m.join(rows, "formula", "left").select("mol_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "heaviest")
+
+
 @query(sql(["grouped"], """SELECT spec_id, group_id, (SELECT count(*) FROM grouped g WHERE g.group_id = s.group_id) AS spec_per_group, m.groups_per_mol, m.spec_per_mol FROM grouped s JOIN (SELECT mol_id, count(DISTINCT group_id) AS groups_per_mol, count(*) AS spec_per_mol FROM grouped GROUP BY mol_id) m USING (mol_id)"""))
 def group_ids_and_counts(v: Views) -> DataFrame:
     g = v.grouped()

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -235,3 +237,60 @@ def test_annotation_agreement(spark):
     b = spark.createDataFrame([(0, "A", 0.5), (0, "C", 0.5)], "spec_id int, formula string, p double")
     r = annotations.annotation_agreement(a, b).first()
     assert (r["recall"], r["wt_recall"], r["precision"], r["f1"]) == pytest.approx((0.5, 0.6, 0.5, 0.5))
+
+
+class FewViews:
+    """Seven molecules with spectra of all adducts."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.formulas = {0: "C2H6O2", 1: "C3H8Cl", 2: "C4H10NaS", 3: "C12H26O2", 4: "C9H20Cl", 5: "C10H22NaS", 6: "C2H6O2"}
+        self.rows = [(12 * m + a, m, p) for m in self.formulas for a, p in enumerate(("[M+H]+", "[M-H]-", "[M+Na]+", "[M+H]+") * 3)]
+
+    def molecules(self):
+        return self.spark.createDataFrame(list(self.formulas.items()), "mol_id int, formula string")
+
+    def spectra(self):
+        return self.spark.createDataFrame([(*r, 100.5) for r in self.rows], "spec_id int, mol_id int, prec_type string, prec_mz double")
+
+
+def counts(f):
+    return {e: int(n or 1) for e, n in re.findall(r"([A-Z][a-z]?)(\d*)", f)}
+
+
+def test_annotation_parse_all(spark):
+    from massweave.plans import domain_queries
+
+    v, want = FewViews(spark), {}
+    for i, m, p in v.rows:
+        if p == "[M+Na]+":
+            want[i] = (None, None, None, "adduct not supported")
+        elif i % 3 == 2:
+            want[i] = (None, None, None, "annotation can't be read")
+        else:
+            own = Counter(counts(v.formulas[m]))
+            own["H"] += 1 if p == "[M+H]+" else -1
+            product = Counter({"C": 2, "H": 5}) if i % 3 == 1 else Counter(own)
+            if i % 3 == 0:
+                product.subtract({"H": 2, "O": 1})
+            loss = Counter(own)
+            loss.subtract(product)
+            text = lambda c: "".join(f"{e}{n}" for e, n in sorted(c.items()) if n)
+            want[i] = (text(product), text(loss), int(i % 3 == 1), None)
+    got = domain_queries.annotation_parse_all(v).collect()
+    assert len(got) == len(v.rows) and {r["spec_id"]: (r["product"], r["loss"], r["isotope"], r["reason"]) for r in got} == want
+
+
+def test_formula_subsets_all(spark):
+    from massweave.plans import table_queries
+
+    v = FewViews(spark)
+    got = {r["mol_id"]: (r["n"], round(r["heaviest"], 6)) for r in table_queries.formula_subsets_all(v).collect()}
+    for m, f in v.formulas.items():
+        own, masses = counts(f), []
+        for n in itertools.product(*[range(k + 1) for k in own.values()]):
+            sub = dict(zip(own, n))
+            if 1 + 0.5 * (2 * sub["C"] - sub["H"] - sub.get("Cl", 0)) >= 0:
+                masses.append(sum(formula.MASSES[e] * k for e, k in sub.items()))
+        assert got[m] == (len(masses), round(max(masses), 6))
+    assert len(got) == len(v.formulas)
