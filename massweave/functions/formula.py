@@ -65,6 +65,12 @@ def elements_of(formula: Column) -> Column:
     return F.when(valid, F.map_from_arrays(unique, F.transform(unique, lambda e: total(e))))
 
 
+def parsed_elements(formula: Column) -> Column:
+    """``elements_of``; a text that isn't a formula is an error."""
+    e = elements_of(formula)
+    return F.when(formula.isNotNull() & e.isNull(), F.raise_error(F.concat(F.lit("not a formula: "), formula)).cast("map<string,int>")).otherwise(e)
+
+
 def mass_of(elements: Column) -> Column:
     """Mass of an element map; an unknown element makes it null."""
     masses = literal_map(MASSES)
@@ -106,10 +112,14 @@ def only_elements(formula: Column, allowed: list[str]) -> Column:
     return F.coalesce(F.forall(F.map_keys(elements_of(formula)), lambda e: e.isin(*allowed)), F.lit(False))
 
 
-def inferred_precursor(prec_mz: Column, spec_type: Column, exact_mw: Column, prec_type: Column) -> Column:
-    """A missing precursor m/z of an MS2 spectrum from mass and adduct."""
+def inferred_precursor(prec_mz: Column, spec_type: Column, exact_mw: Column, prec_type: Column, dset: Column | None = None) -> Column:
+    """A missing precursor m/z of an MS2 spectrum from mass and adduct; in a dataset named after NIST a missing one is an error."""
     known = literal_map({p: shift(*a) for p, a in INFERRED.items()})
-    return F.when(prec_mz.isNull() & (spec_type == "MS2"), exact_mw + F.element_at(known, prec_type)).otherwise(prec_mz)
+    missing = prec_mz.isNull() & (spec_type == "MS2")
+    out = F.when(missing, exact_mw + F.element_at(known, prec_type)).otherwise(prec_mz)
+    if dset is None:
+        return out
+    return F.when(missing & F.contains(dset, F.lit("nist")), F.raise_error(F.concat(F.lit("no precursor m/z in "), dset)).cast("double")).otherwise(out)
 
 
 def subformulas(df: DataFrame, elements: str, order: list[str], most: int = 200_000) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from massweave.operators.shared import running
+
 TINY = 1e-7
 
 
@@ -20,11 +22,12 @@ def log_mean_exp(df: DataFrame, by: list[str], x: str, name: str = "lme") -> Dat
     return top.groupBy(*by).agg((F.max("_m") + F.ln(F.sum(F.exp(F.col(x) - F.col("_m")))) - F.ln(F.count("*").cast("double"))).alias(name))
 
 
-def masked_softmax(x: Column, mask: Column, window) -> Column:
-    """Softmax over the rows of a window where ``mask`` holds; 0 elsewhere."""
-    kept = F.when(mask, x)
-    e = F.exp(kept - F.max(kept).over(window))
-    return F.coalesce(e / F.sum(e).over(window), F.lit(0.0))
+def masked_softmax(df: DataFrame, by: list[str], x: str, mask: Column, name: str = "p") -> DataFrame:
+    """``df`` with the softmax over the rows of each group where ``mask`` holds; 0 elsewhere."""
+    w = W.partitionBy(*by)
+    rows = df.withColumn("_x", F.when(mask, F.col(x)))
+    rows = rows.withColumn("_e", F.exp(F.col("_x") - F.max("_x").over(w)))
+    return rows.withColumn(name, F.coalesce(F.col("_e") / F.sum("_e").over(w), F.lit(0.0))).drop("_x", "_e")
 
 
 def reduced(df: DataFrame, groups: DataFrame, by: str, x: str, how: str, default: float = 0.0) -> DataFrame:
@@ -36,6 +39,27 @@ def reduced(df: DataFrame, groups: DataFrame, by: str, x: str, how: str, default
     return groups.select(by).distinct().join(got, by, "left").fillna({x: default})
 
 
+def variance(df: DataFrame, by: list[str], x: str, correction: int = 1, sqrt: bool = False, name: str = "var") -> DataFrame:
+    """Variance (or its root) of each group over its count less the correction; a count that leaves nothing counts as almost 0."""
+    v = F.var_pop(x) * F.count(x) / F.greatest(F.count(x) - correction, F.lit(TINY))
+    return df.groupBy(*by).agg((F.sqrt(v) if sqrt else v).alias(name))
+
+
+def vocabulary(*tables: DataFrame, column: str = "formula", name: str = "idx") -> DataFrame:
+    """The distinct values of a column over several tables, with their places from 0."""
+    from massweave.operators.ordering import numbered
+
+    every = tables[0].select(column)
+    for t in tables[1:]:
+        every = every.unionByName(t.select(column))
+    return numbered(every.distinct(), [column], name)
+
+
+def rebased(df: DataFrame, by: list[str], ids: str, name: str) -> DataFrame:
+    """``df`` with its ids renumbered from 0 without gaps in each group."""
+    return df.withColumn(name, F.dense_rank().over(W.partitionBy(*by).orderBy(ids)) - 1)
+
+
 def average_rank(score: str, by: list[str]) -> Column:
     """Rank by falling score; ties share the average of their places."""
     place = F.rank().over(W.partitionBy(*by).orderBy(F.col(score).desc()))
@@ -71,14 +95,33 @@ def pearson(x: str, y: str, exact: bool = False) -> Column:
     return F.corr(x, y) if exact else F.corr(x, y) * (n - 1) / n
 
 
+def quantiles(df: DataFrame, by: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, between neighbours in proportion; nulls don't count.
+
+    Distinct values are counted first and placed by a running sum over ranges, so no state holds a group's values.
+    """
+    if not by:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], x, wanted).drop("_all")
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    placed = running(counts, [*by, "_x"], _n=F.col("_c"))
+    sizes = placed.groupBy(*by).agg(F.min("_n").alias("_first"), F.sum("_c").alias("_size"))
+    rows = placed.join(sizes, by)
+    low = F.col("_n") - F.col("_first")
+    out = []
+    for name, q in wanted.items():
+        at = (F.col("_size") - 1) * F.lit(float(q))
+        value = lambda place: F.max(F.when((low <= place) & (place < low + F.col("_c")), F.col("_x")))
+        out.append((value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * F.max(at - F.floor(at))).alias(name))
+    return rows.groupBy(*by).agg(*out)
+
+
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each column: count, mean, std, min, quartiles, max."""
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
-    return df.select(parts.alias("p")).groupBy(F.col("p.column").alias("column")).agg(
-        F.count("p.x").alias("n"), F.avg("p.x").alias("mean"), F.stddev_samp("p.x").alias("std"), F.min("p.x").alias("min"),
-        F.percentile("p.x", 0.25).alias("q25"), F.percentile("p.x", 0.5).alias("q50"), F.percentile("p.x", 0.75).alias("q75"), F.max("p.x").alias("max"),
-        F.count_if(F.col("p.x").isNull()).alias("nulls"),
-    )
+    rows = df.select(parts.alias("p")).select("p.column", "p.x")
+    sums = rows.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count_if(F.col("x").isNull()).alias("nulls"))
+    found = quantiles(rows, ["column"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return sums.join(found, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max", "nulls")
 
 
 def by_seed(df: DataFrame, by: list[str], seed: str, x: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from massweave.functions.formula import NEUTRON, adduct_table, elements_of, mass_of
 from massweave.operators.aggregates import TINY
-from massweave.operators.joins import band_join, nearest
+from massweave.operators.joins import at_most, band_join, nearest, with_conditions
 from massweave.operators.peaks import spectrum, l1
 
 
@@ -46,9 +46,9 @@ def annotated_share(spectra: DataFrame, rows: DataFrame) -> DataFrame:
 def library_peaks(spectra: DataFrame, library: DataFrame, max_isotope: int = 1) -> DataFrame:
     """The library's m/z in each spectrum: products as they are, losses from the precursor; isotopes above; one row for each formula.
 
-    The library is a fitted top-k table, so the broadcast is bounded by k.
+    The library is a fitted top-k table; it travels as a list in the plan (an error beyond 10,000 entries).
     """
-    rows = spectra.select("spec_id", "prec_mz").join(F.broadcast(library.select("formula", "kind", F.col("mz").alias("lib_mz"))))
+    rows = with_conditions(spectra.select("spec_id", "prec_mz"), library.select("formula", "kind", F.col("mz").alias("lib_mz")))
     at = F.when(F.col("kind") == "product", F.col("lib_mz")).otherwise(F.col("prec_mz") - F.col("lib_mz"))
     rows = rows.withColumn("isotope", F.explode(F.sequence(F.lit(0), F.lit(max_isotope)))).withColumn("mz", at + F.col("isotope") * NEUTRON)
     return rows.where("mz > 0").dropDuplicates(["spec_id", "formula", "kind", "isotope"])
@@ -69,13 +69,29 @@ def formula_table(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by, "formula").agg(F.max("ints").alias("ints"), F.max_by("mz", F.struct("ints", -F.col("mz"))).alias("mz"))
 
 
-def fragment_of_peak(peaks: DataFrame, fragments: DataFrame, by: list[str], ppm: float) -> DataFrame:
-    """Each peak with the fragments of least (ppm, score), all ties kept."""
+def first_formulas(hits: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each formula: its peak of least m/z."""
+    return hits.groupBy(*by, "formula").agg(F.min("mz").alias("mz"), F.min_by("ints", F.struct(F.col("mz"), -F.col("ints"))).alias("ints"))
+
+
+def fragment_of_peak(peaks: DataFrame, fragments: DataFrame, by: list[str], ppm: float, precursors: DataFrame | None = None, most: float = 2000.0) -> DataFrame:
+    """Each peak with the fragments of least (ppm, score), all ties kept; an m/z beyond ``most`` is an error.
+
+    With ``precursors`` (``spec_id, prec_mz``) a spectrum without any such peak gets the one nearest its precursor, with
+    the fragment nearest that, so that no spectrum's tree is empty.
+    """
     right = fragments.select(*by, "frag_id", "score", F.col("mass").alias("f_mass"))
     off = F.abs(F.col("mz") - F.col("f_mass")) / F.greatest(F.col("mz"), F.lit(200.0)) * 1e6
-    near = band_join(peaks, right, by, "mz", "f_mass", off <= ppm, 2000 * ppm * 1e-6)
+    near = band_join(peaks.withColumn("mz", at_most("mz", most, "m/z")), right, by, "mz", "f_mass", off <= ppm, most * ppm * 1e-6 * 1.0001)
     order = W.partitionBy("spec_id", "peak_idx").orderBy(F.round(off, 6), "score")
-    return near.withColumn("ppm", off).withColumn("_r", F.rank().over(order)).where("_r = 1").drop("_r")
+    found = near.withColumn("ppm", off).withColumn("_r", F.rank().over(order)).where("_r = 1").drop("_r")
+    if precursors is None:
+        return found
+    bare = peaks.join(found.select("spec_id").distinct(), "spec_id", "left_anti").join(precursors.select("spec_id", "prec_mz"), "spec_id")
+    one = nearest(bare, ["spec_id"], F.abs(F.col("mz") - F.col("prec_mz")), "mz", "peak_idx")
+    far = F.abs(F.col("f_mass") - F.col("prec_mz")) / F.col("f_mass")
+    fallback = nearest(one.join(right, by), ["spec_id"], far, "score", "frag_id").drop("prec_mz").withColumn("ppm", off)
+    return found.unionByName(fallback)
 
 
 def theoretical_peaks(spectra: DataFrame, frag_formulas: DataFrame, n_isotopes: int = 3) -> DataFrame:
@@ -90,19 +106,20 @@ def theoretical_peaks(spectra: DataFrame, frag_formulas: DataFrame, n_isotopes:
     return plain.select(*names).unionByName(moved.select(*names))
 
 
-def formula_coverage(spectra: DataFrame, peaks: DataFrame, frag_formulas: DataFrame, tol: float = 0.01, ppm: bool = False, h_transfer: int = 4) -> DataFrame:
+def formula_coverage(spectra: DataFrame, peaks: DataFrame, frag_formulas: DataFrame, tol: float = 0.01, ppm: bool = False, h_transfer: int = 4, most: float = 2000.0) -> DataFrame:
     """How a molecule's theoretical peaks cover each spectrum: recall, by intensity, precision, peaks and formulas for each covered peak, precursor recalls.
 
     A peak is covered by the adduct's mass shift or by a migrated charge; allowed are formulas whose
-    hydrogen shift is below ``h_transfer`` in size. Molecules without formulas give no rows.
+    hydrogen shift is below ``h_transfer`` in size. Molecules without formulas give no rows; with a relative
+    tolerance an m/z beyond ``most`` is an error.
     """
     f = frag_formulas.where(F.abs(F.col("h_delta")) < h_transfer)
     s = spectra.select("spec_id", "mol_id", "prec_mz", "prec_type").join(F.broadcast(adduct_table(spectra.sparkSession)), "prec_type")
     theory = s.join(f, "mol_id").select("spec_id", "prec_mz", "formula_idx", "k", "prob", F.array_distinct(F.array(F.col("mz_shift"), F.coalesce("migrated_shift", F.col("mz_shift")))).alias("_shift"), F.col("mz").alias("_mz"), "mz_shift")
     shifted = theory.withColumn("_s", F.explode("_shift")).select("spec_id", "formula_idx", "k", (F.col("_mz") + F.when(F.col("prob") > 0, F.col("_s")).otherwise(0.0)).alias("o_mz"))
     reach = (lambda x: x * tol * 1e-6) if ppm else (lambda x: F.lit(tol))
-    width = 2000 * tol * 1e-6 if ppm else tol * 1.001
-    near = band_join(peaks, shifted, ["spec_id"], "mz", "o_mz", F.abs(F.col("mz") - F.col("o_mz")) < reach(F.col("mz")), width)
+    width = most * tol * 1e-6 * 1.0001 if ppm else tol * 1.001
+    near = band_join(peaks.withColumn("mz", at_most("mz", most, "m/z")) if ppm else peaks, shifted, ["spec_id"], "mz", "o_mz", F.abs(F.col("mz") - F.col("o_mz")) < reach(F.col("mz")), width)
     hits = near.select("spec_id", "peak_idx", "ints", "formula_idx", "k").distinct()
     by_peak = hits.groupBy("spec_id", "peak_idx", "ints").agg(F.count("*").alias("n_peak"), F.countDistinct("formula_idx").alias("n_formula"))
     covered = by_peak.groupBy("spec_id").agg(F.count("*").alias("c"), F.sum("ints").alias("ci"), F.avg("n_peak").alias("peaks_per_true"), F.avg("n_formula").alias("formulas_per_true"))
@@ -128,3 +145,27 @@ def annotation_agreement(true: DataFrame, pred: DataFrame) -> DataFrame:
     )
     f1 = lambda a, b: F.when(F.col(a) + F.col(b) > 0, 2 * F.col(a) * F.col(b) / (F.col(a) + F.col(b))).otherwise(0.0)
     return out.withColumn("f1", f1("recall", "precision")).withColumn("wt_f1", f1("wt_recall", "wt_precision"))
+
+
+def distinct_formulas(frag_formulas: DataFrame) -> DataFrame:
+    """One row: how many different formulas all molecules' fragments have."""
+    return frag_formulas.agg(F.countDistinct("formula").alias("total_num_formulae"))
+
+
+def entity_counts(nodes: DataFrame, formulas: DataFrame, edges: DataFrame, by: str = "spec_id") -> DataFrame:
+    """Predicted entities of each spectrum: nodes, formulas (less the one that stands for what is outside) and edges."""
+    n = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    rows = n(nodes, "node_count").join(n(formulas, "formula_count"), by, "left").join(n(edges, "edge_count"), by, "left")
+    return rows.select(by, "node_count", (F.coalesce("formula_count", F.lit(1)) - 1).alias("formula_count"), F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
+
+
+def coverage_tables(coverage: DataFrame, merged: DataFrame, spectra: DataFrame, merged_spectra: DataFrame) -> dict[str, DataFrame]:
+    """Coverage of single and of merged spectra, each by spectrum and as its molecules' means.
+
+    ``coverage``: as ``formula_coverage`` gives it by ``spec_id``; ``merged``: the same over merged spectra, by ``group_id``.
+    """
+    measures = [c for c in coverage.columns if c != "spec_id"]
+    mean = lambda df: df.groupBy("mol_id").agg(*[F.avg(c).alias(c) for c in measures], F.count("*").alias("n"))
+    one = coverage.join(spectra.select("spec_id", "mol_id"), "spec_id")
+    many = merged.join(merged_spectra.select("group_id", "mol_id"), "group_id")
+    return {"spectra": one, "molecules": mean(one), "merged_spectra": many, "merged_molecules": mean(many)}

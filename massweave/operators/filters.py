@@ -120,6 +120,15 @@ def energy_in_range(ranges: dict[str, tuple[float, float]], key: str = "nce") ->
     return out
 
 
+def split_adducts(df: DataFrame, molecules: DataFrame, allowed: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """Of the splits named in ``allowed`` only spectra of their adducts, and the molecules that are still in use; other splits stay whole."""
+    keep = F.lit(True)
+    for split, adducts in allowed.items():
+        keep = F.when(F.col("split") == split, F.coalesce(F.col("prec_type").isin(*adducts), F.lit(False))).otherwise(keep)
+    kept = df.where(keep)
+    return kept, molecules.join(kept.select("mol_id").distinct(), "mol_id", "left_semi")
+
+
 def any_energy(energies: str, wanted: list[float]) -> Column:
     return F.arrays_overlap(F.col(energies), F.array(*[F.lit(float(w)) for w in wanted]))
 
@@ -137,9 +146,14 @@ def strong_predictions(peaks: DataFrame, joint: DataFrame, least: float) -> tupl
     return strong, joint.join(formulas, ["spec_id", "formula_idx"], "left_semi")
 
 
+def is_sound(elements: list[str], max_atoms: int = MAX_ATOMS) -> Column:
+    """Neutral, of allowed elements, without radicals, not too large."""
+    return (F.col("num_atoms") <= max_atoms) & (F.col("num_radicals") == 0) & (F.col("charge") == 0) & only_elements(F.col("formula"), elements)
+
+
 def sound_candidates(df: DataFrame, elements: list[str], max_atoms: int = MAX_ATOMS) -> DataFrame:
-    """One neutral molecule of allowed elements, without radicals, not too large."""
-    return df.where(~F.contains(F.col("smiles"), F.lit(".")) & (F.col("num_atoms") <= max_atoms) & (F.col("num_radicals") == 0) & (F.col("charge") == 0) & only_elements(F.col("formula"), elements))
+    """One molecule that is sound."""
+    return df.where(~F.contains(F.col("smiles"), F.lit(".")) & is_sound(elements, max_atoms))
 
 
 def peaks_missing(spectra: DataFrame) -> DataFrame:

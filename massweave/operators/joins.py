@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,11 +28,24 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def window_join(targets: DataFrame, base: DataFrame, x: str, y: str, tolerance: float, relative: bool, most: float) -> DataFrame:
-    """Every base row whose ``y`` is within the tolerance (ppm if relative, inclusive) of a target's ``x``; ``most``: the largest ``x``."""
+def window_join(targets: DataFrame, base: DataFrame, x: str, y: str, tolerance: float, relative: bool) -> DataFrame:
+    """Every base row whose ``y`` is within the tolerance (ppm of ``x`` if relative, inclusive) of a target's ``x``.
+
+    Relative windows have buckets of equal ratio, so they fit values of any size; values must then be above 0.
+    A crowded bucket is a skewed join key, which adaptive execution splits.
+    """
     half = F.col(x) * tolerance * 1e-6 if relative else F.lit(float(tolerance))
-    width = (most * tolerance * 1e-6 if relative else float(tolerance)) * 1.0001
-    return band_join(targets, base, [], x, y, (F.col(y) >= F.col(x) - half) & (F.col(y) <= F.col(x) + half), width)
+    near = (F.col(y) >= F.col(x) - half) & (F.col(y) <= F.col(x) + half)
+    if not relative:
+        return band_join(targets, base, [], x, y, near, float(tolerance) * 1.0001)
+    width = -math.log1p(-tolerance * 1e-6) * 1.0001
+    t, b = targets.withColumn("_ln_x", F.ln(x)), base.withColumn("_ln_y", F.ln(y))
+    return band_join(t, b, [], "_ln_x", "_ln_y", near, width).drop("_ln_x", "_ln_y")
+
+
+def at_most(x: str, limit: float, what: str) -> Column:
+    """A column as it is, and an error for a value beyond what a bucket's width allows."""
+    return F.when(F.col(x) > limit, F.raise_error(F.concat(F.lit(f"{what} beyond {limit}: "), F.col(x).cast("string"))).cast("double")).otherwise(F.col(x))
 
 
 def nearest(pairs: DataFrame, by: list[str], distance: Column, *ties: str) -> DataFrame:
@@ -47,13 +62,30 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose named column (an id, mass, key, SMILES or formula) is one of the values; the list becomes a table to join with."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column}")
+    wanted = df.sparkSession.createDataFrame([(v,) for v in values], f"_v {df.schema[column].dataType.simpleString()}").distinct()
+    return df.join(wanted, df[column] == wanted["_v"], "left_semi")
+
+
+def pairs_within(pairs: DataFrame, molecules: DataFrame, ids: DataFrame, sides: tuple[str, str] = ("mol_id_1", "mol_id_2")) -> tuple[DataFrame, DataFrame]:
+    """Pairs of which both sides are among ``ids``, and the molecules that are on either side of one."""
+    kept = pairs
+    for side in sides:
+        kept = kept.join(ids.select(F.col("mol_id").alias(side)).distinct(), side, "left_semi")
+    used = kept.select(F.col(sides[0]).alias("mol_id")).unionByName(kept.select(F.col(sides[1]).alias("mol_id"))).distinct()
+    return kept, molecules.join(used, "mol_id", "left_semi")
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def expand(queries: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """Each query with every candidate of its target."""
-    return queries.join(candidates, key)
+def expand(queries: DataFrame, candidates: DataFrame, key: str, mol: str = "mol_id") -> DataFrame:
+    """Each query with every candidate of its target; ``is_sanity`` marks the subset in which the candidate is the target itself."""
+    return queries.join(candidates, key).withColumn("is_sanity", F.col(mol) == F.col(key))
 
 
 def with_conditions(molecules: DataFrame, conditions: DataFrame) -> DataFrame:

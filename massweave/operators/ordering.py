@@ -6,31 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from massweave.operators.shared import running
 
-#: Rows that one task numbers, and stretches at most.
-STRETCH, STRETCHES, SAMPLED = 50_000, 4096, 32
+#: Rows that one task may number; more are dealt by range over all columns of the order.
+ALONE = 50_000
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
-    """``df`` with each row's place in the order of ``order`` (which must tell rows apart).
-
-    Bounds from a hash sample (at most SAMPLED for each of STRETCHES stretches) cut the first
-    column's values into stretches; rows of a stretch are numbered in one task, and a window over
-    the stretches' counts (a few thousand rows) says where each begins.
-    """
-    n = df.count()
-    cuts = max(1, min(STRETCHES, n // STRETCH))
-    edges: list = []
-    if cuts > 1:
-        every = max(1, n // (cuts * SAMPLED))
-        sample = sorted({r[0] for r in df.select(order[0]).where(F.pmod(F.xxhash64(order[0]), F.lit(every)) == 0).distinct().collect() if r[0] is not None})
-        edges = sample[:: max(1, len(sample) // cuts)]
-    stretch = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order[0]))) if edges else F.lit(0)
-    placed = df.withColumn("_s", stretch)
-    sizes = placed.groupBy("_s").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_s").orderBy(*order)) - 1
-    return placed.withColumn("_mw_i", inside).join(before, "_s").withColumn(name, F.col("_before") + F.col("_mw_i") + start).drop("_s", "_mw_i", "_before")
+    """``df`` with each row's place in the order of ``order`` (which must tell rows apart)."""
+    if df.count() <= ALONE:
+        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint") - 1 + start)
+    return running(df, order, **{name: F.lit(1).cast("bigint")}).withColumn(name, F.col(name) + start)
 
 
 def hash_order(seed: int | str, *keys: str) -> Column:

@@ -30,6 +30,22 @@ def top(peaks: DataFrame, k: int, drop_least: bool = False) -> DataFrame:
     return (ranked.where(F.col("_r") <= k) if k > 0 else ranked).drop("_r")
 
 
+def top_above(peaks: DataFrame, k: int | None = 60, least: float = 0.0) -> DataFrame:
+    """The k most intense peaks of each spectrum (all without a k), and of these the ones above ``least``."""
+    return kept(top(peaks, k) if k is not None else peaks, least)
+
+
+def fused(peaks: DataFrame, spectra: DataFrame, decimals: int = 4) -> DataFrame:
+    """Peaks of all energies of a spectrum as one: the largest intensity of each rounded m/z at the first such m/z, none beyond the parent mass plus 1, as roots of shares of the largest.
+
+    A spectrum without a parent mass keeps all its peaks; one that none is left of goes.
+    """
+    bound = spectra.select("spec_id", (F.coalesce("prec_mz", F.lit(1_000_000.0)) + 1).alias("_most"))
+    one = peaks.groupBy("spec_id", F.bround("mz", decimals).alias("_r")).agg(F.min_by("mz", "peak_idx").alias("mz"), F.max("ints").alias("ints"))
+    one = one.join(bound, "spec_id").where(F.col("mz") <= F.col("_most"))
+    return one.select("spec_id", "mz", F.sqrt(F.col("ints") / F.max("ints").over(spectrum())).alias("ints"))
+
+
 def l1(ints: Column, window=None) -> Column:
     return ints / F.greatest(F.sum(ints).over(window or spectrum()), F.lit(TINY))
 
@@ -42,20 +58,13 @@ def max_scaled(ints: Column, to: float = 1000.0, window=None) -> Column:
     return ints / F.max(ints).over(window or spectrum()) * to
 
 
-def softmax(x: Column, window=None) -> Column:
-    e = F.exp(x - F.max(x).over(window or spectrum()))
-    return e / F.sum(e).over(window or spectrum())
-
-
-def log_softmax(x: Column, window=None) -> Column:
-    m = F.max(x).over(window or spectrum())
-    return x - m - F.ln(F.sum(F.exp(x - m)).over(window or spectrum()))
-
-
-def log_l2(x: Column, window=None) -> Column:
-    """Logs of intensities normalised by L2."""
-    m = F.max(2 * x).over(window or spectrum())
-    return x - 0.5 * (m + F.ln(F.sum(F.exp(2 * x - m)).over(window or spectrum())))
+def with_log_weights(peaks: DataFrame, x: str, window=None) -> DataFrame:
+    """``soft, log_soft, log_l2``: softmax of a column of logs over each spectrum, its log, and the logs normalised by L2; no window stands inside another."""
+    w = window or spectrum()
+    rows = peaks.withColumn("_m", F.max(x).over(w))
+    rows = rows.withColumns({"_s": F.sum(F.exp(F.col(x) - F.col("_m"))).over(w), "_s2": F.sum(F.exp(2 * (F.col(x) - F.col("_m")))).over(w)})
+    weights = {"soft": F.exp(F.col(x) - F.col("_m")) / F.col("_s"), "log_soft": F.col(x) - F.col("_m") - F.ln("_s"), "log_l2": F.col(x) - 0.5 * (2 * F.col("_m") + F.ln("_s2"))}
+    return rows.withColumns(weights).drop("_m", "_s", "_s2")
 
 
 def bin_of(mz: Column, res: float) -> Column:
@@ -91,8 +100,9 @@ def rounded(peaks: DataFrame, decimals: int = 4, agg: str = "sum") -> DataFrame:
 
 
 def without_precursor(peaks: DataFrame, spectra: DataFrame, res: float) -> DataFrame:
-    """Peaks outside the precursor's bin."""
-    return peaks.join(spectra.select("spec_id", "prec_mz"), "spec_id").where(bin_of(F.col("mz"), res) != bin_of(F.col("prec_mz"), res)).drop("prec_mz")
+    """Peaks outside the precursor's bin; a spectrum without a precursor m/z keeps all."""
+    outside = F.coalesce(bin_of(F.col("mz"), res) != bin_of(F.col("prec_mz"), res), F.lit(True))
+    return peaks.join(spectra.select("spec_id", "prec_mz"), "spec_id").where(outside).drop("prec_mz")
 
 
 def merged(peaks: DataFrame, group: str, sum_ints: bool = True, renormalize: bool = False) -> DataFrame:
@@ -120,8 +130,16 @@ def to_rows(spectra: DataFrame) -> DataFrame:
     return spectra.select("spec_id", F.posexplode("peaks").alias("peak_idx", "p")).select("spec_id", (F.col("peak_idx") + 1).alias("peak_idx"), "p.mz", "p.ints")
 
 
-def as_vector(peaks: DataFrame, mz_max: float, res: float) -> DataFrame:
-    """Dense bins as an array, for export only: every bin of every spectrum."""
+def padded(spectra: DataFrame, n: int) -> DataFrame:
+    """Peak arrays of one length: cut after ``n``, or filled with (0, 0); ``n_peaks`` tells how many are real."""
+    fill = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("peaks", i), F.struct(F.lit(0.0).alias("mz"), F.lit(0.0).alias("ints"))))
+    return spectra.withColumn("n_peaks", F.least(F.size("peaks"), F.lit(n))).withColumn("peaks", fill)
+
+
+def as_vector(peaks: DataFrame, mz_max: float, res: float, agg: str = "sum") -> DataFrame:
+    """Dense bins as an array, for export only: every bin of every spectrum; a spectrum without a peak below ``mz_max`` is all zeros."""
     n = check_bins(mz_max, res)
     bins = F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), "ints")))
-    return binned(peaks.where(F.col("mz") < mz_max), res).groupBy("spec_id").agg(bins.alias("_m")).select("spec_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("ints"))
+    found = binned(peaks.where(F.col("mz") < mz_max), res, agg).groupBy("spec_id").agg(bins.alias("_m"))
+    every = peaks.select("spec_id").distinct().join(found, "spec_id", "left")
+    return every.select("spec_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("ints"))

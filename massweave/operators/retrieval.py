@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massweave.operators.aggregates import average_rank
+from massweave.operators.aggregates import average_rank, quantiles
 from massweave.operators.joins import window_join
 from massweave.operators.ordering import unit
 
@@ -31,10 +31,10 @@ def dice(a: list[str], b: list[str]) -> Column:
     return F.when(every > 0, 2 * shared / every).otherwise(0.0)
 
 
-def mass_candidates(targets: DataFrame, base: DataFrame, ppm: float, most: float) -> DataFrame:
-    """Base molecules within a mass window of each target: ``target_mol_id, target_key, mol_id, key, similarity columns``."""
-    t = targets.select(F.col("mol_id").alias(TARGET), F.col("inchikey_s").alias("target_key"), F.col("exact_mw").alias("target_mw"))
-    return window_join(t, base, "target_mw", "exact_mw", ppm, True, most)
+def mass_candidates(targets: DataFrame, base: DataFrame, ppm: float, carry: dict[str, str] | None = None) -> DataFrame:
+    """Base molecules within a mass window of each target: ``target_mol_id, target_key, target_mw``, the base's columns, and the target's that ``carry`` renames."""
+    t = targets.select(F.col("mol_id").alias(TARGET), F.col("inchikey_s").alias("target_key"), F.col("exact_mw").alias("target_mw"), *[F.col(a).alias(b) for a, b in (carry or {}).items()])
+    return window_join(t, base, "target_mw", "exact_mw", ppm, True)
 
 
 def top_candidates(candidates: DataFrame, score: str, k: int) -> DataFrame:
@@ -76,7 +76,9 @@ def summary(rows: DataFrame, by: list[str], flag: str = "is_target", score: str
     counts = [F.count_if(F.col(flag) & (F.col("rank") <= k)).alias(f"top_{k}") for k in ks]
     shares = [(F.count_if(F.col(flag) & (F.col("rank") <= k)) / n).alias(f"top_{k}_ratio") for k in ks]
     answer = F.when(F.col(flag), F.col(score))
-    return rows.groupBy(*by).agg(n.alias("n"), *counts, *shares, F.avg(answer).alias("score_mean"), F.stddev_samp(answer).alias("score_std"), F.avg(hit).alias("rank_mean"), F.stddev_samp(hit).alias("rank_std"), F.percentile(hit, 0.5).alias("rank_median"), F.avg(F.when(F.col("rank") == 1, F.col(similarity))).alias("first_similarity"))
+    sums = rows.groupBy(*by).agg(n.alias("n"), *counts, *shares, F.avg(answer).alias("score_mean"), F.stddev_samp(answer).alias("score_std"), F.avg(hit).alias("rank_mean"), F.stddev_samp(hit).alias("rank_std"), F.avg(F.when(F.col("rank") == 1, F.col(similarity))).alias("first_similarity"))
+    median = quantiles(rows.where(flag), by, "rank", {"rank_median": 0.5})
+    return sums.join(median, by, "left")
 
 
 def topk_curve(rows: DataFrame, by: list[str], seed: str, flag: str = "is_target", most: int = 50) -> DataFrame:
@@ -86,6 +88,20 @@ def topk_curve(rows: DataFrame, by: list[str], seed: str, flag: str = "is_target
     return each.select(*by, F.col("s.k").alias("k"), (F.col("s.h") / F.col("_n")).alias("_x")).groupBy(*by, "k").agg(F.avg("_x").alias("topk"), F.stddev_pop("_x").alias("topk_std"))
 
 
+def rank_curve(rows: DataFrame, by: list[str], seed: str, flag: str = "is_target", most: int = 50) -> DataFrame:
+    """Share of answers at rank k, k up to ``most``, by seed, then mean and population deviation over seeds."""
+    each = rows.where(flag).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy(*by, seed, "k").agg(F.avg((F.col("rank") == F.col("k")).cast("double")).alias("_x"))
+    return each.groupBy(*by, "k").agg(F.avg("_x").alias("at_k"), F.stddev_pop("_x").alias("at_k_std"))
+
+
+def with_random(curve: DataFrame, model: str, most: int = 50) -> DataFrame:
+    """A curve of top-k or rank-k shares with the row of a random order among ``most`` candidates, deviation 0."""
+    names = [c for c in curve.columns if c not in (model, "k")]
+    share = F.col("k") / most if "topk" in names else F.lit(1.0 / most)
+    row = curve.sparkSession.range(1, most + 1).select(F.lit("random").alias(model), F.col("id").cast(curve.schema["k"].dataType).alias("k"))
+    return curve.unionByName(row.withColumns({n: F.lit(0.0) if n.endswith("_std") else share for n in names}))
+
+
 def baseline(rows: DataFrame, kind: str, similarity: str = "similarity", seed: int = 0) -> DataFrame:
     """Scores of the worst order (one minus similarity) or a seeded random one."""
     if kind == "worst":
@@ -107,9 +123,35 @@ def ensemble(joint: DataFrame, marginal: DataFrame, keys: list[str], part: str,
     return j.join(m, keys).select(*keys, part, "_j", "_m", F.least(F.col("_j") - F.col("_m"), F.lit(0.0)).alias("log_conditional"))
 
 
-def top_items(rows: DataFrame, group: list[str], item: str, x: str, k: int, least: float = 0.0) -> DataFrame:
-    """The k best items of each group above a threshold, with their place."""
-    return rows.where(F.col(x) > least).withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.desc(x), item))).where(F.col("place") <= k)
+def top_items(rows: DataFrame, group: list[str], item: str, x: str, k: int, least: float = 0.0, largest: bool = True) -> DataFrame:
+    """The k best items of each group above a threshold, with their place; on ties the largest item comes first (or the smallest)."""
+    tie = F.desc(item) if largest else F.asc(item)
+    return rows.where(F.col(x) > least).withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.desc(x), tie))).where(F.col("place") <= k)
+
+
+def top_lists(rows: DataFrame, group: list[str], item: str, x: str, k: int, least: float = float("-inf")) -> DataFrame:
+    """One row for each group: ``items``, its k best above a threshold with -1 for missing ones, and ``n``, how many are above it."""
+    above = F.col(x) > least
+    best = F.slice(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(item).cast("bigint").alias("i"))), asc=False), 1, k)
+    cut = top_items(rows, group, item, x, k, least).groupBy(*group).agg(best.alias("_b"))
+    every = rows.groupBy(*group).agg(F.count_if(above).alias("n"))
+    pad = lambda b: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at(b, j)["i"], F.lit(-1).cast("bigint")))
+    return every.join(cut, group, "left").select(*group, pad(F.col("_b")).alias("items"), "n")
+
+
+def agreement_of_all(rows: DataFrame, model: str, group: list[str], outer: str, item: str) -> DataFrame:
+    """The share of groups in which all models have one item: mean within ``outer``, then over it; ``models``: how many there are."""
+    models = rows.select(F.countDistinct(model)).first()[0]
+    one = rows.groupBy(*dict.fromkeys([outer, *group])).agg((F.countDistinct(item) == 1).alias("_one"), F.countDistinct(model).alias("_m")).where(F.col("_m") == models)
+    return one.groupBy(outer).agg(F.avg(F.col("_one").cast("double")).alias("s")).agg(F.avg("s").alias("agreement"), F.count("*").alias("n")).withColumn("models", F.lit(models))
+
+
+def ensemble_summary(single: DataFrame, joint: DataFrame, model: str, scores: list[str]) -> DataFrame:
+    """For each score: mean over models and spectra, deviation of the models' means, and the ensemble's mean."""
+    each = single.groupBy(model).agg(*[F.avg(c).alias(c) for c in scores], F.count("*").alias("_n"))
+    long = lambda df, *more: df.select(*more, F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("x")) for c in scores])).alias("s")).select(*more, "s.*")
+    own = long(each, "_n").groupBy("score").agg((F.sum(F.col("x") * F.col("_n")) / F.sum("_n")).alias("ind_mean"), F.stddev_samp("x").alias("ind_std"))
+    return own.join(long(joint).groupBy("score").agg(F.avg("x").alias("ens_mean")), "score")
 
 
 def agreement(rows: DataFrame, model: str, group: list[str], outer: str, item: str) -> DataFrame:

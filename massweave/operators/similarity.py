@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.operators.aggregates import TINY
-from massweave.operators.joins import band_join
+from massweave.operators.joins import at_most, band_join
 from massweave.operators.peaks import spectrum, bin_of
 
 
@@ -64,9 +64,16 @@ def matches(true: DataFrame, pred: DataFrame, tol: float | Column = 1e-5, floor:
     """Pairs of peaks of one spectrum closer than the tolerance (strictly): ``spec_id, t_idx, t_mz, t_ints, p_idx, p_mz, p_ints``.
 
     Relative distances are over the true (or predicted) m/z, at least ``floor``. ``tol`` and
-    ``floor`` may be columns of ``true``; ``width`` must be as large as the largest absolute tolerance.
+    ``floor`` may be columns of ``true``; ``width`` must be as large as the largest absolute tolerance
+    (an m/z for which a given relative one is larger is an error).
     """
     t = true.withColumnsRenamed({"peak_idx": "t_idx", "mz": "t_mz", "ints": "t_ints"})
+    if relative and not isinstance(tol, Column):
+        limit = width / float(tol)
+        if pred_divisor:
+            pred = pred.withColumn("mz", at_most("mz", limit, "m/z"))
+        else:
+            t = t.withColumn("t_mz", at_most("t_mz", limit, "m/z"))
     p = pred.select("spec_id", F.col("peak_idx").alias("p_idx"), F.col("mz").alias("p_mz"), F.col("ints").alias("p_ints"))
     tol, floor = (x if isinstance(x, Column) else F.lit(float(x)) for x in (tol, floor))
     far = F.abs(F.col("t_mz") - F.col("p_mz"))
@@ -103,11 +110,19 @@ def agreement(true: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.where("n_true > 0").withColumn("unexplained_entropy", entropy).drop("_s", "_h")
 
 
-def entropy(peaks: DataFrame) -> DataFrame:
-    """Entropy of a spectrum, and over the log of its support."""
-    p = F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY))
-    out = peaks.withColumn("_p", p).groupBy("spec_id").agg((-F.sum(plnp(F.col("_p")))).alias("entropy"), F.count("*").alias("n"))
-    return out.select("spec_id", "entropy", (F.col("entropy") / F.greatest(F.ln(F.col("n").cast("double")), F.lit(TINY))).alias("entropy_norm"))
+def entropy(peaks: DataFrame, rest: DataFrame | None = None, renormalize: bool = True, more_support: float = 0.0) -> DataFrame:
+    """Entropy of a spectrum, and over the log of its support.
+
+    ``rest`` (``spec_id, rest``) holds mass outside the peaks, one more bucket of the support. Without
+    ``renormalize`` intensities are probabilities as they are; ``more_support`` adds to the support's size.
+    """
+    rows = peaks.select("spec_id", "ints")
+    if rest is not None:
+        rows = rows.unionByName(rest.select("spec_id", F.col("rest").alias("ints")))
+    total = F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY)) if renormalize else F.lit(1.0)
+    out = rows.withColumn("_p", F.least(F.col("ints") / total, F.lit(1.0))).groupBy("spec_id").agg((-F.sum(plnp(F.col("_p")))).alias("_h"), F.count("*").alias("n"))
+    top = F.greatest(F.ln(F.col("n") + F.lit(float(more_support))), F.lit(TINY))
+    return out.select("spec_id", F.greatest(F.lit(0.0), F.least("_h", top)).alias("entropy"), F.greatest(F.lit(0.0), F.least(F.col("_h") / top, F.lit(1.0))).alias("entropy_norm"))
 
 
 def conditional_entropy(rows: DataFrame, outer: list[str], inner: str, p: str) -> DataFrame:
@@ -156,15 +171,35 @@ def pairwise_cosine(peaks: DataFrame, res: float = 0.01, within: str | None = No
     return a.join(b, ["bin", *keys]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
 
 
-def pairwise_jss(peaks: DataFrame, res: float = 0.01) -> DataFrame:
+def pairwise_bins(peaks: DataFrame, res: float, within: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Shares of every two spectra in the bins that both have: ``a, b, p, q`` with a below b, and the keys they met by.
+
+    A common bin is a skewed join key with sorted partial sums behind it; adaptive execution splits it.
+    """
+    keys = [within] if within else []
+    rows = peaks.groupBy("spec_id", *keys, bin_of(F.col("mz"), res).alias("bin")).agg(F.sum("ints").alias("ints"))
+    rows = rows.withColumn("x", F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY)))
+    a, b = rows.select("bin", *keys, F.col("spec_id").alias("a"), F.col("x").alias("p")), rows.select("bin", *keys, F.col("spec_id").alias("b"), F.col("x").alias("q"))
+    return a.join(b, ["bin", *keys]), keys
+
+
+def pairwise_jss(peaks: DataFrame, res: float = 0.01, within: str | None = None) -> DataFrame:
     """Jensen-Shannon similarity of every two spectra that share a bin: ``a, b, jss`` with a below b.
 
     A bin that only one side has adds half its share times ln 2, so shared bins are enough.
     """
-    rows = peaks.groupBy("spec_id", bin_of(F.col("mz"), res).alias("bin")).agg(F.sum("ints").alias("ints"))
-    rows = rows.withColumn("x", F.col("ints") / F.greatest(F.sum("ints").over(spectrum()), F.lit(TINY)))
-    a, b = rows.select("bin", F.col("spec_id").alias("a"), F.col("x").alias("p")), rows.select("bin", F.col("spec_id").alias("b"), F.col("x").alias("q"))
+    both, _ = pairwise_bins(peaks, res, within)
     p, q, m, ln2 = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / 2, F.ln(F.lit(2.0))
-    sums = a.join(b, "bin").where("a < b").groupBy("a", "b").agg(F.sum(0.5 * plnp(p) + 0.5 * plnp(q) - plnp(m)).alias("_s"), F.sum(p).alias("_p"), F.sum(q).alias("_q"))
+    sums = both.where("a < b").groupBy("a", "b").agg(F.sum(0.5 * plnp(p) + 0.5 * plnp(q) - plnp(m)).alias("_s"), F.sum(p).alias("_p"), F.sum(q).alias("_q"))
     jsd = F.col("_s") + 0.5 * ln2 * (1 - F.col("_p")) + 0.5 * ln2 * (1 - F.col("_q"))
     return sums.select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - jsd / ln2)).alias("jss"))
+
+
+def pairwise_cross_entropy(peaks: DataFrame, res: float = 0.01, within: str | None = None) -> DataFrame:
+    """Cross-entropy of spectrum a under the bins of spectrum b, for every two (in both directions) that share a bin: ``a, b, ce``.
+
+    TINY is added to each probability of b, so what a has in shared bins is enough: the rest of its mass costs -ln TINY.
+    """
+    both, _ = pairwise_bins(peaks, res, within)
+    sums = both.where("a <> b").groupBy("a", "b").agg(F.sum(-F.col("p") * F.ln(F.col("q") + TINY)).alias("_s"), F.sum("p").alias("_p"))
+    return sums.select("a", "b", (F.col("_s") - (1 - F.col("_p")) * F.ln(F.lit(TINY))).alias("ce"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators.joins import drop_ids, keep_ids
 from massweave.operators.ordering import hash_order, numbered, unit
+from massweave.operators.shared import running
 
 
 def keyed_split(df: DataFrame, key: str, test: float, val: float, seed: int = 420, total: float = 1.0) -> DataFrame:
@@ -78,29 +81,40 @@ def weighted_sample(df: DataFrame, n: int, weight: str, *keys: str, seed: int =
     return df.withColumn("_e", -F.ln(unit(seed, *keys)) / F.col(weight)).orderBy("_e", *keys).limit(n).drop("_e")
 
 
-def weighted_draws(df: DataFrame, n: int, weight: str, key: str, seed: int = 420, cells: int = 1024) -> DataFrame:
+def first_share(seed: int) -> float:
+    """Where in the first step systematic draws begin."""
+    return int(hashlib.md5(str(seed).encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
+def weighted_draws(df: DataFrame, n: int, weight: str, key: str, seed: int = 420) -> DataFrame:
     """``key, draws``: n draws with replacement by weight, systematically from one seeded start.
 
-    A row is drawn as often as start + i * total / n falls into its stretch of the running weight
-    over hash cells; the running sum goes over cells first, then inside each.
+    A row is drawn as often as start + i * total / n falls into its stretch of the running weight, in
+    the order of weight and seeded hash, so that rows of each weight get their share.
     """
-    rows = df.select(key, F.col(weight).alias("_w"), F.pmod(F.xxhash64(key), F.lit(cells)).alias("_c"))
-    per = rows.groupBy("_c").agg(F.sum("_w").alias("_cw"))
-    per = per.withColumn("_before", F.sum("_cw").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("_cw"))
-    total = df.agg(F.sum(weight)).first()[0] or 0.0
+    rows = df.select(key, F.col(weight).cast("double").alias("_w"), hash_order(seed, key).alias("_h"))
+    total = rows.agg(F.sum("_w")).first()[0] or 0.0
     if not total:
         return rows.select(key, F.lit(0).cast("bigint").alias("draws"))
     step = total / n
-    start = int(pd.util.hash_array(pd.array([seed], dtype="int64").to_numpy())[0] % 1_000_003) / 1_000_003 * step
-    after = F.sum("_w").over(W.partitionBy("_c").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    placed = rows.withColumn("_a", after).join(per.select("_c", "_before"), "_c").withColumn("_to", F.col("_before") + F.col("_a"))
+    start = first_share(seed) * step
+    placed = running(rows, ["_w", "_h", key], _from=F.col("_w"))
     hits = lambda x: F.greatest(F.ceil((x - start) / step), F.lit(0))
-    return placed.select(key, (hits(F.col("_to")) - hits(F.col("_to") - F.col("_w"))).cast("bigint").alias("draws"))
+    return placed.select(key, (hits(F.col("_from") + F.col("_w")) - hits(F.col("_from"))).cast("bigint").alias("draws"))
+
+
+#: Rows in a shard that is packed in one task, on average.
+SHARD = 20_000
 
 
-def greedy_pack(df: DataFrame, key: str, budgets: dict[str, int], shards: int = 64, drop_oversize: bool = True, flush_every: int | None = None, seed: int = 420) -> DataFrame:
+def shards_for(df: DataFrame, shards: int | None) -> int:
+    """The number of shards: as given, or so many that SHARD rows are in one."""
+    return shards or max(1, -(-df.count() // SHARD))
+
+
+def greedy_pack(df: DataFrame, key: str, budgets: dict[str, int], shards: int | None = None, drop_oversize: bool = True, flush_every: int | None = None, seed: int = 420) -> DataFrame:
     """``key, shard, batch``: rows packed in a seeded order, each shard on its own, until a budget is full."""
-    names = list(budgets)
+    names, shards = list(budgets), shards_for(df, shards)
     rows = df.select(key, *names, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), hash_order(seed, key).alias("_h"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -121,12 +135,12 @@ def greedy_pack(df: DataFrame, key: str, budgets: dict[str, int], shards: int =
     return rows.groupBy("shard").applyInPandas(pack, f"{key} {df.schema[key].dataType.simpleString()}, shard int, batch int")
 
 
-def contrastive_pack(df: DataFrame, key: str, first: list[str], second: list[str], budget: int, size: str, k1: int, k2: int, shards: int = 64, seed: int = 420) -> DataFrame:
+def contrastive_pack(df: DataFrame, key: str, first: list[str], second: list[str], budget: int, size: str, k1: int, k2: int, shards: int | None = None, seed: int = 420) -> DataFrame:
     """``key, shard, batch``: each batch takes up to k1 whole groups of ``first``, then up to k2 of ``second``, then fills up; each row once.
 
     Shards are dealt by ``second`` so that a group of it stays together.
     """
-    cols = list(dict.fromkeys([*first, *second]))
+    cols, shards = list(dict.fromkeys([*first, *second])), shards_for(df, shards)
     rows = df.select(key, size, *cols, F.pmod(F.xxhash64(*second, F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), hash_order(seed, key).alias("_h"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -176,10 +190,18 @@ def by_adduct(df: DataFrame, adducts: list[str]) -> DataFrame:
     return df.where(F.col("prec_type").isin(*adducts)).withColumn("tag", adduct_tag(F.col("prec_type")))
 
 
-def loaded(df: DataFrame) -> DataFrame:
-    """Sorted distinct molecules and spectra of each split."""
-    ids = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
-    return df.groupBy("split").agg(ids("mol_id"), ids("spec_id"))
+def loaded(df: DataFrame) -> dict[str, DataFrame]:
+    """The distinct molecules and spectra of each split or fold, as sorted tables ``split, id``."""
+    return {c: df.select("split", F.col(c).alias("id")).distinct().orderBy("split", "id") for c in ("mol_id", "spec_id")}
+
+
+def with_sizes(spectra: DataFrame, sizes: DataFrame, molecules: DataFrame) -> DataFrame:
+    """Each spectrum with its molecule's size columns and formula; one whose molecule has none is an error."""
+    extra = [c for c in sizes.columns if c != "mol_id"]
+    rows = spectra.join(sizes.withColumn("_there", F.lit(True)), "mol_id", "left").join(molecules.select("mol_id", "formula"), "mol_id", "left")
+    ok = F.col("_there").isNotNull() & F.col("formula").isNotNull()
+    checked = F.when(ok, F.col("mol_id")).otherwise(F.raise_error(F.concat(F.lit("no sizes or formula for molecule "), F.col("mol_id").cast("string"))).cast(spectra.schema["mol_id"].dataType))
+    return rows.withColumn("mol_id", checked).select(*spectra.columns, *extra, "formula")
 
 
 def row_range(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:

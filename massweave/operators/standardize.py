@@ -19,30 +19,37 @@ def molecules_of(raw: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def standardized(raw: DataFrame, properties: DataFrame) -> dict[str, DataFrame]:
-    """``spectra, molecules`` and the audits ``formula_audit, unknown_molecules``.
+    """``spectra, molecules`` and the audits ``unknown_molecules, formula_audit, inchikey_audit, mass_audit``.
 
-    Of rows of one (dset, spec_id) the first by its text stays; texts become typed columns; groups
-    are (molecule, adduct, instrument); spectra whose formula is not their molecule's go.
+    Of rows of one (dset, spec_id) the first by its text stays; texts become typed columns, all three
+    energies too; groups are (molecule, adduct, instrument). Spectra whose formula is not their molecule's,
+    or whose mass is off by more than 0.1, go; another key is only reported. A missing precursor m/z is
+    filled in last, for what is left.
     """
     first = W.partitionBy("dset", "spec_id").orderBy(F.md5(F.concat_ws("|", "peaks", "smiles")))
     raw = raw.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     mols = molecules_of(raw, properties)
+    energies = {f"{kind}{extra}": parse(F.col(f"col_energy{extra}")) for extra in ("", "_extra_1", "_extra_2") for kind, parse in (("ace", energy.absolute_energy), ("nce", energy.normalised_energy))}
     rows = raw.select(
-        "dset", F.col("spec_id").alias("dset_spec_id"), "smiles", F.col("formula").alias("formula"),
+        "dset", F.col("spec_id").alias("dset_spec_id"), "smiles", F.nullif("formula", F.lit("")).alias("formula"), F.substring("inchikey", 1, 14).alias("inchikey_s"), F.col("exact_mass").try_cast("double").alias("exact_mw"),
         text.adduct(F.col("prec_type")).alias("prec_type"), text.instrument(F.col("inst_type"), F.col("inst")).alias("inst_type"),
         text.fragmentation(F.col("inst_type"), F.col("frag_mode"), F.col("col_energy")).alias("frag_mode"), "spec_type", text.ion_mode(F.col("ion_mode")).alias("ion_mode"), "col_gas",
-        text.resolution(F.col("peaks")).alias("res"), energy.absolute_energy(F.col("col_energy")).alias("ace"), energy.normalised_energy(F.col("col_energy")).alias("nce"),
+        text.resolution(F.col("peaks")).alias("res"), *[c.alias(n) for n, c in energies.items()],
         F.col("prec_mz").try_cast("double").alias("prec_mz"), F.col("ri").try_cast("double").alias("ri"), text.peaks_of(F.col("peaks")).alias("peaks"),
     )
-    unknown = rows.join(mols.select("smiles"), "smiles", "left_anti").select("dset", "dset_spec_id", "smiles")
-    known = rows.join(mols.select("smiles", "mol_id", "exact_mw"), "smiles")
-    known = known.withColumn("prec_mz", formula.inferred_precursor(F.col("prec_mz"), F.col("spec_type"), F.col("exact_mw"), F.col("prec_type")))
-    known = numbered(known, ["dset_spec_id", "dset"], "spec_id")
-    claimed = known.select("spec_id", "mol_id", "formula").where("formula is not null")
-    audit = mismatches(claimed, mols, "mol_id", {"formula": None})
-    kept = drop_ids(known, audit, "spec_id").drop("smiles", "formula", "exact_mw")
-    kept = kept.withColumn("ce_type", F.when(F.col("nce").isNotNull() | F.col("ace").isNotNull(), "single").otherwise("none"))
-    return {"spectra": dense_ids(kept, ["mol_id", "prec_type", "inst_type"], "group_id"), "molecules": mols, "formula_audit": audit.select("spec_id", "mol_id", "formula", "formula_right"), "unknown_molecules": unknown}
+    none = rows.join(mols.select("smiles"), "smiles", "left_anti").select("dset", "dset_spec_id", "smiles")
+    known = numbered(rows.join(mols.select("smiles", "mol_id"), "smiles"), ["dset_spec_id", "dset"], "spec_id")
+    has = lambda extra: F.col(f"ace{extra}").isNotNull() | F.col(f"nce{extra}").isNotNull()
+    known = known.withColumn("ce_type", F.when(~(has("") | has("_extra_1") | has("_extra_2")), "none").when(has("_extra_2"), "stepped").when(has("_extra_1"), "ramped").otherwise("single"))
+    known = dense_ids(known, ["mol_id", "prec_type", "inst_type"], "group_id")
+    audit = lambda column, off: mismatches(known.select("dset_spec_id", "spec_id", "mol_id", column).where(F.col(column).isNotNull()), mols, "mol_id", {column: off}).drop("reason")
+    formula_audit, inchikey_audit = audit("formula", None), audit("inchikey_s", None) if "inchikey_s" in mols.columns else None
+    mass_audit = mismatches(known.select("dset_spec_id", "spec_id", "mol_id", "exact_mw").where("exact_mw > 0"), mols, "mol_id", {"exact_mw": 0.1}).drop("reason")
+    kept = drop_ids(drop_ids(known, formula_audit, "spec_id"), mass_audit, "spec_id").drop("smiles", "formula", "inchikey_s", "exact_mw")
+    kept = kept.join(mols.select("mol_id", "exact_mw"), "mol_id")
+    kept = kept.withColumn("prec_mz", formula.inferred_precursor(F.col("prec_mz"), F.col("spec_type"), F.col("exact_mw"), F.col("prec_type"), F.col("dset"))).drop("exact_mw")
+    audits = {"unknown_molecules": none, "formula_audit": formula_audit, "inchikey_audit": inchikey_audit, "mass_audit": mass_audit}
+    return {"spectra": kept, "molecules": mols} | {k: v for k, v in audits.items() if v is not None}
 
 
 def with_taxonomy(molecules: DataFrame, taxonomy: DataFrame) -> DataFrame:

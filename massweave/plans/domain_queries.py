@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.functions import annotation, formula
-from massweave.operators import aggregates, annotations, isotopes, peaks, retrieval, similarity
+from massweave.operators import aggregates, annotations, filters, isotopes, peaks, retrieval, similarity, splits
+from massweave.operators.shared import scratch
 from massweave.plans.registry import query
 from massweave.plans.views import Views, sql
 from massweave.sources import readers, sinks
@@ -22,10 +20,8 @@ T = retrieval.TARGET
 @query(sql(["candidates"], """SELECT target_mol_id, mol_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY target_mol_id ORDER BY is_target DESC, similarity DESC, mol_id) AS r FROM (
   SELECT *, row_number() OVER (PARTITION BY target_mol_id, inchikey_s ORDER BY is_target DESC, similarity DESC, mol_id) AS d FROM candidates WHERE is_target OR (charge = 0 AND num_radicals = 0 AND num_atoms <= 128 AND formula NOT LIKE '%NaS%')) WHERE d = 1) WHERE r <= 10"""))
 def mass_window_candidates(v: Views) -> DataFrame:
-    from massweave.functions.formula import only_elements
-
-    sound = (F.col("charge") == 0) & (F.col("num_radicals") == 0) & (F.col("num_atoms") <= 128) & only_elements(F.col("formula"), ["C", "H", "O", "N", "Cl"])
-    return retrieval.top_candidates(v.candidates().where(F.col("is_target") | sound), "similarity", 10).select(T, "mol_id", "similarity")
+    sound = filters.is_sound(["C", "H", "O", "N", "Cl"], 128).alias("is_sound")
+    return retrieval.top_candidates(v.candidates(sound).where(F.col("is_target") | F.col("is_sound")), "similarity", 10).select(T, "mol_id", "similarity")
 
 
 BITS = "SELECT vec_id, label, list_sum(list_transform(generate_series(1, 32), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS w0, list_sum(list_transform(generate_series(1, 32), lambda i: CASE WHEN embedding[i + 32] > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS w1 FROM embeddings"
@@ -92,7 +88,7 @@ def ensemble_logmean(v: Views) -> DataFrame:
   best="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, spec_id, grp ORDER BY ints DESC, peak_idx) AS r FROM (SELECT *, floor(mz / 300)::BIGINT AS grp FROM model_scores WHERE ints > 1)) WHERE r = 1"))
 def topk_agreement(v: Views) -> DataFrame:
     rows = v.model_scores().withColumn("grp", F.floor(F.col("mz") / 300))
-    best = retrieval.top_items(rows, ["model", "spec_id", "grp"], "peak_idx", "ints", 1, 1.0)
+    best = retrieval.top_items(rows, ["model", "spec_id", "grp"], "peak_idx", "ints", 1, 1.0, largest=False)
     return retrieval.agreement(best, "model", ["spec_id", "grp"], "spec_id", "peak_idx")
 
 
@@ -237,16 +233,10 @@ def annotation_parse_all(v: Views) -> DataFrame:
     return good.unionByName(rejected, allowMissingColumns=True).select("spec_id", "peak_mz", "product", "loss", "isotope", "exact_mz", "reason")
 
 
-def scratch(v: Views) -> str:
-    """A folder that driver and executors share."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/massweave-{uuid.uuid4().hex}"
-
-
 @query(sql(["spectra", "peaks"], "SELECT spec_id::VARCHAR AS spec_id, round(prec_mz, 4) AS prec_mz, prec_type, count(*) AS n_peaks, round(sum(round(mz, 4)), 4) AS sum_mz, round(sum(ints), 4) AS sum_ints FROM spectra JOIN peaks USING (spec_id) GROUP BY spec_id, prec_mz, prec_type"))
 def vendor_text_roundtrip(v: Views) -> DataFrame:
     """All spectra written as MGF records and read back."""
-    path = scratch(v)
+    path = scratch(v.spark)
     s = peaks.to_arrays(v.plain_peaks()).join(v.spectra(), "spec_id").select(F.col("spec_id").alias("INDEX"), F.round("prec_mz", 4).alias("PRECURSOR_MZ"), F.col("prec_type").alias("ADDUCT"), "peaks")
     sinks.mgf(s, path, ["INDEX", "PRECURSOR_MZ", "ADDUCT"])
     from massweave.functions.text import peaks_of
@@ -259,14 +249,14 @@ def vendor_text_roundtrip(v: Views) -> DataFrame:
 def events(v: Views) -> DataFrame:
     """The events table as a stream."""
     one = v.table("events")
-    path = scratch(v)
+    path = scratch(v.spark)
     one.write.parquet(path)
     return v.spark.readStream.schema(one.schema).parquet(path)
 
 
 def drained(v: Views, rows: DataFrame, mode: str) -> DataFrame:
     """Runs a query over what is there and returns its last state (complete) or all it appended."""
-    path, checkpoint = scratch(v), scratch(v)
+    path, checkpoint = scratch(v.spark), scratch(v.spark)
     how = "overwrite" if mode == "complete" else "append"
     rows.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(how).parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.schema(rows.schema).parquet(path)
@@ -285,12 +275,16 @@ def stream_dedup(v: Views) -> DataFrame:
 
 @query()
 def stream_pack(v: Views) -> DataFrame:
-    """Events packed into batches of at most 64 units, each shard's open batch being its state, closed by one flush row a shard."""
-    one = v.table("events")
-    shards = 4
+    """Events packed into batches of at most 64 units, each shard's open batch being its state; a last micro-batch holds a flush row for each shard."""
+    one, path = v.table("events"), scratch(v.spark)
+    shards = splits.shards_for(one, None)
     rows = one.select(F.col("event_id").cast("long").alias("id"), (F.col("event_id") % 9 + 1).alias("size"), F.lit(False).alias("flush"), F.pmod("event_id", F.lit(shards)).alias("shard"))
-    flush = v.spark.range(shards).select(F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("flush"), F.col("id").alias("shard"))
-    path = scratch(v)
-    rows.unionByName(flush.select("id", "size", "flush", "shard")).coalesce(1).write.parquet(path)
-    stream = v.spark.readStream.schema(v.spark.read.parquet(path).schema).parquet(path)
-    return drained(v, jobs.packed(stream, "id", "size", 64, shards), "append").select("shard", "batch", F.array_join("ids", ",").alias("ids"), "total")
+    rows.write.parquet(path)
+    stream = v.spark.readStream.schema(rows.schema).parquet(path)
+    out, checkpoint = scratch(v.spark), scratch(v.spark)
+    packed = jobs.packed(stream, "id", "size", 64, shards)
+    jobs.to_files(packed, out, checkpoint).awaitTermination()
+    flush = v.spark.range(shards).select(F.lit(-1).cast("long").alias("id"), F.lit(0).cast(rows.schema["size"].dataType).alias("size"), F.lit(True).alias("flush"), F.col("id").cast(rows.schema["shard"].dataType).alias("shard"))
+    flush.write.mode("append").parquet(path)
+    jobs.to_files(packed, out, checkpoint).awaitTermination()
+    return v.spark.read.schema(packed.schema).parquet(out).select("shard", "batch", F.array_join("ids", ",").alias("ids"), "total")

@@ -32,10 +32,9 @@ def peak_topk_dropmin(v: Views) -> DataFrame:
   FROM (SELECT *, sum(exp(ints - mx)) OVER (PARTITION BY spec_id) AS s, sum(exp(2 * ints - 2 * mx)) OVER (PARTITION BY spec_id) AS s2 FROM (SELECT *, max(ints) OVER (PARTITION BY spec_id) AS mx FROM peaks))
   WINDOW w AS (PARTITION BY spec_id)"""))
 def peak_l1_l2_max1000(v: Views) -> DataFrame:
-    p = v.plain_peaks().withColumn("mx", F.max("ints").over(peaks.spectrum()))
-    p = p.withColumn("s", F.sum(F.exp(F.col("ints") - F.col("mx"))).over(peaks.spectrum())).withColumn("s2", F.sum(F.exp(2 * F.col("ints") - 2 * F.col("mx"))).over(peaks.spectrum()))
+    p = peaks.with_log_weights(v.plain_peaks(), "ints")
     x = F.col("ints")
-    return p.select("spec_id", "peak_idx", peaks.l1(x).alias("l1"), peaks.l2(x).alias("l2"), peaks.max_scaled(x).alias("max1000"), (F.exp(x - F.col("mx")) / F.col("s")).alias("soft"), (x - F.col("mx") - F.ln("s")).alias("log_soft"), (x - 0.5 * (2 * F.col("mx") + F.ln("s2"))).alias("log_l2"))
+    return p.select("spec_id", "peak_idx", peaks.l1(x).alias("l1"), peaks.l2(x).alias("l2"), peaks.max_scaled(x).alias("max1000"), "soft", "log_soft", "log_l2")
 
 
 @query(sql(["peaks"], """SELECT spec_id, peak_idx, round(log10(ints + 1), 6) AS log10, round(log10(ints / 3 + 1), 6) AS log10t3, round(ln(ints + 1), 6) AS loge, round(sqrt(ints), 6) AS sqrt,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,15 +84,14 @@ class Views:
         rows = self.nodes().select("mol_id", F.col("node").alias("formula_idx")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
         return rows.select("mol_id", "formula_idx", F.concat(F.lit("C"), F.col("formula_idx").cast("string")).alias("formula"), "k", (14.01565 * F.col("formula_idx") + 1.00783 * F.col("k")).alias("mz"), (1.0 / (1 + F.col("k"))).alias("prob"), (F.col("formula_idx") % 5 - 2).alias("h_delta"))
 
-    def candidates(self) -> DataFrame:
-        """Every molecule within 500 ppm of every other, with a similarity and a score."""
+    def candidates(self, *more: Column) -> DataFrame:
+        """Every molecule within 500 ppm of every other, with a similarity and a score; ``more``: further columns of the molecule, made before the pairs."""
         from massweave.operators.retrieval import TARGET, mass_candidates
 
         m = self.molecules()
-        rows = mass_candidates(m, m, 500.0, 1000.0)
-        rows = rows.join(m.select(F.col("mol_id").alias(TARGET), F.col("num_atoms").alias("t_atoms"), F.col("charge").alias("t_charge")), TARGET)
+        rows = mass_candidates(m, m.select("*", *more), 500.0, {"num_atoms": "t_atoms", "charge": "t_charge"})
         low, high = F.least("num_atoms", "t_atoms"), F.greatest("num_atoms", "t_atoms")
-        return rows.select(TARGET, "mol_id", "inchikey_s", "charge", "num_atoms", "num_radicals", "formula", (F.col("mol_id") == F.col(TARGET)).alias("is_target"), (low / high).alias("similarity"), ((low + F.when(F.col("charge") == F.col("t_charge"), 1).otherwise(0)) / (high + 1)).alias("score"))
+        return rows.select(TARGET, "mol_id", "inchikey_s", "charge", "num_atoms", "num_radicals", "formula", *[c for c in rows.columns if c.startswith("is_")], (F.col("mol_id") == F.col(TARGET)).alias("is_target"), (low / high).alias("similarity"), ((low + F.when(F.col("charge") == F.col("t_charge"), 1).otherwise(0)) / (high + 1)).alias("score"))
 
 
 #: The same views as SQL.

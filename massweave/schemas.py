@@ -31,6 +31,7 @@ PREDICTIONS = _table(model=T.StringType, spec_id=T.LongType, mol_id=T.LongType,
 RAW_COLUMNS = (
     "dset", "spec_id", "peaks", "prec_mz", "prec_type", "inst_type", "inst", "frag_mode", "col_energy", "spec_type", "ion_mode",
     "col_gas", "ri", "smiles", "inchi", "inchikey", "formula", "exact_mw", "mw", "name", "notes",
+    "col_energy_extra_1", "col_energy_extra_2", "exact_mass",
 )
 
 

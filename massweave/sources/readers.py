@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 import zipfile
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,16 @@ PEAK_LINE = r"^\d+(?:\.\d+)?\s\d+(?:\.\d+)?"
 
 
 def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """``value``: one record of text a row; blank ones go."""
-    return spark.read.text(path, lineSep=sep).where(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
+    """``value``: one record of text a row; blank ones go. Records that a blank line ends may have either kind of line end."""
+    if sep != "\n\n":
+        found = spark.read.text(path, lineSep=sep)
+    else:
+        ends = spark.read.text(path, lineSep="\n").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(F.endswith("value", F.lit("\r"))).alias("cr")).collect()
+        kinds = {cr: [r["file"] for r in ends if r["cr"] == cr] for cr in (False, True)}
+        parts = [spark.read.text(files, lineSep="\r\n\r\n" if cr else sep) for cr, files in kinds.items() if files]
+        found = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else spark.read.text(path)
+        found = found.select(F.explode(F.split("value", r"\n[ \t\r]*\n")).alias("value"))
+    return found.where(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
 
 
 def lines(text: Column) -> Column:
@@ -66,8 +75,10 @@ def picked(df: DataFrame, source: str, columns: dict[str, str]) -> list[Column]:
 
 
 def msp(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """MSP records; a line with both ``CAS#`` and ``NIST#`` is two; unknown keys and empty records go."""
-    df = records(spark, path, "\n\n").withColumn("_l", F.flatten(F.transform(lines(F.col("value")), lambda x: F.when(F.contains(x, F.lit("CAS#")) & F.contains(x, F.lit("NIST#")), F.transform(F.split(x, ";"), lambda x: F.trim(x))).otherwise(F.array(x)))))
+    """MSP records (at most ``first`` of them, in the order of a hash); a line with both ``CAS#`` and ``NIST#`` is two; unknown keys and empty records go."""
+    found = records(spark, path, "\n\n")
+    found = found.orderBy(F.md5("value")).limit(first) if first is not None else found
+    df = found.withColumn("_l", F.flatten(F.transform(lines(F.col("value")), lambda x: F.when(F.contains(x, F.lit("CAS#")) & F.contains(x, F.lit("NIST#")), F.transform(F.split(x, ";"), lambda x: F.trim(x))).otherwise(F.array(x)))))
     at = F.array_position(F.transform("_l", lambda x: F.regexp_like(x, F.lit(r"^Num [pP]eaks:"))), F.lit(True))
     df = df.withColumn("_at", at)
     head = F.when(F.col("_at") > 0, F.slice("_l", 1, F.col("_at").cast("int"))).otherwise(F.col("_l"))
@@ -78,8 +89,7 @@ def msp(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     cols["peaks"] = peaks.alias("peaks")
     for c, key in (("smiles", "computed SMILES"), ("rating", "MoNA Rating"), ("frag_mode", "fragmentation mode")):
         cols[c] = F.coalesce(comment_value(F.col("_c"), key), cols[c]).alias(c)
-    out = df.select(*cols.values()).dropna("all")
-    return out.limit(first) if first is not None else out
+    return df.select(*cols.values()).dropna("all")
 
 
 def mgf(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +136,7 @@ def sirius(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzipped(spark: SparkSession, path: str) -> DataFrame:
-    """``library, member, value``: text of the members of zip files."""
+    """``library, member, value``: text of the members of zip files, one row each (small ones: a record a member)."""
 
     def members(batches):
         for batch in batches:
@@ -138,6 +148,24 @@ def unzipped(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "library string, member string, value string")
 
 
+def unzipped_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """``member, n, value``: the numbered lines of zip members with a suffix, streamed out of the archive."""
+
+    def members(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for m in z.namelist():
+                        if not m.endswith(suffix):
+                            continue
+                        with io.TextIOWrapper(z.open(m), encoding="utf-8") as text:
+                            numbers = enumerate(text)
+                            while part := list(islice(numbers, 10_000)):
+                                yield pd.DataFrame({"member": m, "n": [i for i, _ in part], "value": [x.rstrip("\r\n") for _, x in part]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "member string, n bigint, value string")
+
+
 def pcdl(spark: SparkSession, path: str) -> DataFrame:
     """Zipped records of prefixed lines; of one compound, adduct and energy the record with most peaks."""
     df = unzipped(spark, path).withColumn("_l", F.split(F.regexp_replace("value", "\r", ""), "\n"))
@@ -196,21 +224,28 @@ def fragment_predictions(spark: SparkSession, path: str, merge: bool = False) ->
 
 
 def candidate_map(spark: SparkSession, path: str) -> DataFrame:
-    """``target, candidate`` from a JSON map of lists; also inside ``.tar.gz``."""
-    if path.endswith((".tar.gz", ".tgz")):
-
-        def inside(batches):
-            for batch in batches:
-                for content in batch["content"]:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        for m in t.getmembers():
-                            if m.name.endswith(".json"):
-                                yield pd.DataFrame({"value": [json.dumps(json.load(t.extractfile(m)))]})
-
-        text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(inside, "value string")
-    else:
-        text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType())))).alias("target", "c")).select("target", F.explode("c").alias("candidate"))
+    """``target, candidate`` from a JSON map of lists; also inside ``.tar.gz``. A task reads a map and hands on one row for each target."""
+    packed = path.endswith((".tar.gz", ".tgz"))
+
+    def maps(content: bytes):
+        if not packed:
+            yield json.loads(content)
+            return
+        with tarfile.open(fileobj=io.BytesIO(content)) as t:
+            for m in t:
+                if m.name.endswith(".json"):
+                    yield json.load(t.extractfile(m))
+
+    def inside(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                for one in maps(content):
+                    entries_ = iter(one.items())
+                    while part := list(islice(entries_, 1000)):
+                        yield pd.DataFrame({"target": [k for k, _ in part], "c": [list(v) for _, v in part]})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(inside, "target string, c array<string>")
+    return rows.select("target", F.explode("c").alias("candidate"))
 
 
 def smiles_list(spark: SparkSession, path: str, column: str = "smiles") -> DataFrame:
@@ -240,13 +275,12 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """The one table inside a zip (exactly one TSV expected), or a plain TSV."""
     if not path.endswith(".zip"):
         return spark.read.csv(path, sep="\t", header=True)
-    df = unzipped(spark, path).where(F.col("member").endswith(".tsv"))
-    names = [r["member"] for r in df.select("member").limit(2).collect()]
-    if len(names) != 1:
-        raise ValueError(f"expected one TSV in {path}, found {names or 'none'}")
-    head = df.select(F.split_part("value", F.lit("\n"), F.lit(1)).alias("h")).first()["h"].rstrip("\r").split("\t")
-    row = df.select(F.explode(F.slice(F.split(F.regexp_replace("value", "\r", ""), "\n"), 2, 100_000_000)).alias("r")).where("r <> ''")
-    return row.select(*[F.split("r", "\t")[i].alias(c) for i, c in enumerate(head)])
+    df = unzipped_lines(spark, path, ".tsv")
+    heads = df.where("n = 0").limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError(f"expected one TSV in {path}, found {[r['member'] for r in heads] or 'none'}")
+    row = df.where("n > 0 and value <> ''")
+    return row.select(*[F.split("value", "\t")[i].alias(c) for i, c in enumerate(heads[0]["value"].split("\t"))])
 
 
 def results(spark: SparkSession, pattern: str) -> DataFrame:

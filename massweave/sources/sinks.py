@@ -17,6 +17,7 @@ def table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def tables(parts: dict[str, DataFrame], folder: str) -> None:
+    """The standardised tables and their audits, one folder each."""
     for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
@@ -74,6 +75,37 @@ def ranking_only(df: DataFrame, heavy: tuple[str, ...] = ("pred_mzs", "pred_ints
     return df.drop(*heavy)
 
 
-def predictions(df: DataFrame, path: str) -> None:
-    """Appends a chunk of prediction rows; ragged values are arrays."""
-    df.write.mode("append").parquet(path)
+def predictions(df: DataFrame, path: str, chunk: int | None = None, columns: list[str] | None = None) -> None:
+    """Appends a chunk of prediction rows (a subset of columns if named); ragged values are arrays, which need no offsets.
+
+    A numbered chunk has a folder of its own, which a repeated attempt writes anew.
+    """
+    rows = df.select(*columns) if columns is not None else df
+    if chunk is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/chunk={chunk}")
+
+
+#: Columns of every prediction table, those asked for by an option, and the score families that need no bins.
+BASE_COLUMNS = (
+    "spec_id", "mol_id", "pred_mzs", "pred_ints", "pred_oos_prob", "frag_formula_peak_idxs", "frag_formula_peak_mzs", "pred_formula_formula_idxs", "pred_formula_probs", "pred_joint_formula_idxs",
+    "pred_formula_node_probs", "pred_joint_node_idxs", "pred_node_formula_probs", "pred_node_probs", "pred_node_node_idxs", "index_rebased",
+)
+OPTIONAL_COLUMNS = {"formula_str": "pred_formula_strs", "cc_hash": "pred_node_ccs"}
+
+
+def score_columns(scores: list[str], resolutions: list[float], bin_sqrt: bool = False, matched_sqrt: bool = False) -> list[str]:
+    """Column names of the scores: a matched one (``_hun``) once, a binned one for each resolution, with variants over roots."""
+    out: list[str] = []
+    for score in scores:
+        matched = "_hun" in score
+        forms = [score, *([f"{score}_sqrt"] if (matched_sqrt if matched else bin_sqrt) else [])]
+        out += forms if matched else [f"{form}_{res}" for res in resolutions for form in forms]
+    return out
+
+
+def tabular(df: DataFrame, scores: list[str], options: tuple[str, ...] = (), subset: list[str] | None = None) -> DataFrame:
+    """The prediction columns in order, with those of the options and the scores; of a subset those that exist."""
+    names = [*BASE_COLUMNS, *(OPTIONAL_COLUMNS[o] for o in options), *scores]
+    return df.select(*[c for c in names if c in df.columns and (subset is None or c in subset)])

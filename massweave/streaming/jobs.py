@@ -31,8 +31,8 @@ def tumbling(events: DataFrame, time: str, by: list[str], x: str, width: str = "
 def packed(events: DataFrame, key: str, size: str, budget: int, shards: int = 8, drop_oversize: bool = False, flush: str = "flush", idle_ms: int | None = None) -> DataFrame:
     """Batches ``shard, batch, ids, total`` closed by a budget; the open batch of a shard is its state.
 
-    A row whose ``flush`` column is true closes its shard's open batch (as the end of a stream does);
-    in a long-running query ``idle_ms`` without rows does so too.
+    A row whose ``flush`` column is true closes its shard's open batch (as the end of a stream does) after
+    all other rows of its micro-batch; rows of later micro-batches open new ones. In a long-running query ``idle_ms`` without rows does so too.
     """
     rows = events.select(F.col(key).cast("long").alias("id"), F.col(size).cast("long").alias("size"), F.col(flush).alias("flush"), F.pmod(F.col("shard") if "shard" in events.columns else F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
 
@@ -49,17 +49,18 @@ def packed(events: DataFrame, key: str, size: str, budget: int, shards: int = 8,
         if state.hasTimedOut:
             close()
         else:
-            for rows_ in batches:
-                for i, s, end in rows_.sort_values(["flush", "id"])[["id", "size", "flush"]].itertuples(index=False):
-                    if end:
-                        close()
-                        continue
-                    if s > budget and drop_oversize:
-                        continue
-                    if ids and total + s > budget:
-                        close()
-                    ids.append(int(i))
-                    total += int(s)
+            # A micro-batch's rows of a shard come in several pieces: all of them before any flush.
+            rows_ = pd.concat(list(batches), ignore_index=True)
+            for i, s, end in rows_.sort_values(["flush", "id"])[["id", "size", "flush"]].itertuples(index=False):
+                if end:
+                    close()
+                    continue
+                if s > budget and drop_oversize:
+                    continue
+                if ids and total + s > budget:
+                    close()
+                ids.append(int(i))
+                total += int(s)
         state.update((number, ids, total))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
