@@ -4,16 +4,20 @@ A document is a bag of passages. Every passage is encoded: counts of pairs of by
 byte triples and how concentrated those are go through a learned layer; gated attention, learned
 from document labels only, weighs the passages; a logistic layer scores the weighted sum.
 
-The model is fitted on a bounded sample, SAMPLE labelled documents in the order of a hash (a
-documented bound: the fit costs the same at every size); every whole document is scored.
+The model is fitted on a bounded sample (documented bounds: the fit costs the same at every size):
+SAMPLE labelled doc_ids in the order of a hash, and of a longer document BAG passages spread evenly
+over its whole text. Every passage of every document is scored: features are made for CHUNK bytes at
+a time and the attention's sum is carried across, so a text of any length needs no more memory.
 
 Defined results: a null or empty text is one passage of no bytes and gets a score like any other;
-rows keep their ``doc_id``, repeated or null; with no labelled rows every score is 0.5; an empty table
-gives no rows; other columns are never inputs.
+rows keep their ``doc_id``, repeated or null; a labelled doc_id that several rows carry is fitted once,
+by the row whose features hash lowest; with no labelled rows every score is 0.5; an empty table gives
+no rows; other columns are never inputs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +29,10 @@ from pyspark.sql import types as T
 from massweave.llm.arrow import by_bytes
 from massweave.llm.common import small_batches
 
-SAMPLE = 6000
+SAMPLE, BAG = 6000, 24
 PASSAGE = 768
 #: Bytes of text whose features are made at once.
-CHUNK = 1_500_000
+CHUNK = 1 << 18
 FOLDS, THRESHOLD = 5, 0.3
 HIDDEN, GATES, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 32, 16, 14, 700, 128, 4e-3, 1e-4, 11
 BUCKETS = 256
@@ -49,38 +53,51 @@ def byte_classes() -> np.ndarray:
     return kind
 
 
-KIND, KINDS = byte_classes(), 13
+KIND, KINDS = byte_classes().astype(np.int32), 13
 WIDTH = KINDS * KINDS + BUCKETS + 3
 
 
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of every text, and where each text's passages begin."""
-    raw = [t.encode() for t in texts]
-    sizes = np.array([len(r) for r in raw], dtype=np.int64)
-    many = np.maximum(1, -(-sizes // PASSAGE))
-    first = np.cumsum(many) - many
-    out = np.zeros((int(many.sum()), WIDTH), dtype=np.float32)
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    if len(data):
-        # Passages of a text are equally long, but for one byte.
-        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        length, parts = np.repeat(sizes, sizes), np.repeat(many, sizes)
-        passage = np.repeat(first, sizes) + (np.arange(len(data)) - begin) * parts // length
-        bytes_in = np.bincount(passage, minlength=len(out)).astype(np.float32)
-        kind = KIND[data]
-        same = passage[1:] == passage[:-1]
-        pair = passage[1:] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
-        pairs = np.bincount(pair[same], minlength=len(out) * KINDS * KINDS).reshape(len(out), -1)
-        low = data.astype(np.uint32)
-        triple = ((low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)).astype(np.int64) if len(low) > 2 else np.zeros(0, dtype=np.int64)
-        triples = np.bincount((passage[:-2] * BUCKETS + triple)[same[1:] & same[:-1]], minlength=len(out) * BUCKETS).reshape(len(out), -1)
-        n = np.maximum(bytes_in, 1)[:, None]
-        out[:, : KINDS * KINDS] = np.sqrt(pairs / n)
-        out[:, KINDS * KINDS : -3] = 2 * np.sqrt(triples / n)
-        out[:, -3] = np.log1p((triples.astype(np.float32) ** 2).sum(axis=1) * BUCKETS / (n[:, 0] ** 2))
-        out[:, -2] = np.log1p(bytes_in) / 8
-    out[:, -1] = np.log1p(np.repeat(sizes, many)) / 12
-    return out, first
+def features(data: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One row for each passage: ``data`` holds their bytes one after the other, ``sizes`` the bytes of the whole text of each."""
+    n = len(lengths)
+    out = np.zeros((n, WIDTH), dtype=np.float32)
+    passage, kind = np.repeat(np.arange(n, dtype=np.int32), lengths), KIND[data]
+    same = passage[1:] == passage[:-1]
+    pair = passage[1:] * np.int32(KINDS * KINDS) + kind[:-1] * np.int32(KINDS) + kind[1:]
+    pairs = np.bincount(pair[same], minlength=n * KINDS * KINDS).reshape(n, -1)
+    low = data.astype(np.uint32)
+    hashed = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
+    triple = passage[:-2] * np.int32(BUCKETS) + hashed.astype(np.int32)
+    triples = np.bincount(triple[same[1:] & same[:-1]], minlength=n * BUCKETS).reshape(n, -1)
+    held = np.maximum(lengths, 1).astype(np.float32)[:, None]
+    out[:, : KINDS * KINDS] = np.sqrt(pairs / held)
+    out[:, KINDS * KINDS : -3] = 2 * np.sqrt(triples / held)
+    out[:, -3] = np.log1p((triples.astype(np.float32) ** 2).sum(axis=1) * BUCKETS / (held[:, 0] ** 2))
+    out[:, -2] = np.log1p(lengths) / 8
+    out[:, -1] = np.log1p(sizes) / 12
+    return out
+
+
+def passages(texts: list[str], bag: int | None = None, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of passages in order and the index of each one's text, at most about ``most`` bytes of text at a time.
+
+    Passages of a text are equally long, but for one byte. Of a text of more than ``bag`` passages that many are taken, spread evenly.
+    """
+    held: list[tuple[bytes, int, int]] = []
+    count, most = 0, most or CHUNK
+    made = lambda: (features(np.frombuffer(b"".join(h[0] for h in held), np.uint8), np.array([len(h[0]) for h in held]), np.array([h[1] for h in held])), np.array([h[2] for h in held]))
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        size, many = len(raw), max(1, -(-len(raw) // PASSAGE))
+        for k in range(many) if bag is None or many <= bag else (j * many // bag for j in range(bag)):
+            part = raw[-(-k * size // many) : -(-(k + 1) * size // many)]
+            held.append((part, size, i))
+            count += len(part) + 64
+            if count >= most:
+                yield made()
+                held, count = [], 0
+    if held:
+        yield made()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,6 +126,22 @@ class Attention:
         z = np.add.reduceat(a[:, None] * h, first, axis=0)
         return {"doc": doc, "h": h, "t": t, "s": s, "a": a, "z": z, "y": sigmoid((z @ p["c"] + p["d"])[:, 0])}
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of whole texts: the running maximum, sum of weights and weighted sum of each go on from chunk to chunk."""
+        p, n = self.p, len(texts)
+        top, weight, total = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+        for x, of in passages(texts):
+            h = np.tanh(x @ p["w"] + p["b"])
+            e = (np.tanh(h @ p["v"]) * sigmoid(h @ p["u"]) @ p["g"])[:, 0].astype(np.float64)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            docs = of[first]
+            best = np.maximum(top[docs], np.maximum.reduceat(e, first))
+            kept, a = np.exp(top[docs] - best), np.exp(e - np.repeat(best, np.diff(first, append=len(of))))
+            weight[docs] = weight[docs] * kept + np.add.reduceat(a, first)
+            total[docs] = total[docs] * kept[:, None] + np.add.reduceat(a[:, None] * h, first, axis=0)
+            top[docs] = best
+        return sigmoid((total / weight[:, None] @ p["c"] + p["d"])[:, 0]) if n else np.zeros(0)
+
     def gradients(self, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.p, self.forward(x, first)
         dy = ((f["y"] - label) / len(label)).astype(np.float32)[:, None]
@@ -146,29 +179,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention |
     """The model, from at most ``sample`` labelled documents outside the held-out part."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
 
-    def features(batches):
+    def bags(batches):
         for batch, texts in by_bytes(batches, most=CHUNK):
-            x, first = encode(texts)
-            ends = [*first[1:].tolist(), len(x)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())], names=["label", "x"])
-
-    bags = small_batches(rows).mapInArrow(features, "label double, x binary").orderBy(F.xxhash64("x"), "label").limit(2 * sample).toArrow()
-    if not bags.num_rows:
+            out: list[list[bytes]] = [[] for _ in texts]
+            for x, of in passages(texts, BAG):
+                for i, row in zip(of.tolist(), x.astype(np.float16)):
+                    out[i].append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([b"".join(b) for b in out], pa.binary())], names=["doc_id", "label", "x"])
+
+    made = small_batches(rows).mapInArrow(bags, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, x binary")
+    found = made.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("x").alias("order"), "x", "label")).alias("bag")).select("bag.*").toArrow().sort_by("order")
+    if not found.num_rows:
         return None
-    each = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in bags.column("x").to_pylist()]
+    each = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in found.column("x").to_pylist()]
     sizes = np.array([len(b) for b in each])
     x = np.concatenate(each).astype(np.float32)
-    return Attention.new().fit(x, np.cumsum(sizes) - sizes, bags.column("label").to_numpy())
+    return Attention.new().fit(x, np.cumsum(sizes) - sizes, found.column("label").to_numpy())
 
 
 def with_score(docs: DataFrame, model: Attention | None, name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in one more column."""
 
     def score(batches):
-        for batch, texts in by_bytes(batches, most=CHUNK):
-            y = np.full(len(texts), 0.5) if model is None else model.forward(*encode(texts))["y"].astype(np.float64)
+        for batch, texts in by_bytes(batches):
+            y = np.full(len(texts), 0.5) if model is None else model.scores(texts).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], names=[*batch.schema.names, name])
 
     return small_batches(docs).mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
