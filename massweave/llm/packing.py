@@ -8,8 +8,8 @@ taken apart; their tails are cut in powers of two, which fill sequences exactly,
 over at the end becomes sequences whose length is a power of two, which need no padding.
 
 Defined results: a null or empty text is one document of its end token; a null ``doc_id`` is packed
-like any other; repeated rows are documents of their own; ties in length go by ``doc_id`` and
-checksum; an empty table gives no rows; other columns are ignored.
+like any other; repeated rows are documents of their own; groups are dealt by a row's place in the
+input, ties in length go by ``doc_id`` and checksum; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,15 +107,15 @@ def pack_group(docs: dict[str, list], length: int = LENGTH, slack: int = SLACK)
 
 
 def encoded(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """``doc_id, doc_tokens`` and the checksums of each document's pieces; ids are those of the public vocabulary, then 0."""
+    """``_row, doc_id, doc_tokens`` and the checksums of each document's pieces; ids are those of the public vocabulary, then 0."""
 
     def encode(batches):
         encoder, schema = byte_encoder(path or vocabulary(VOCABULARY)), None
         for batch, texts in by_bytes(batches):
-            schema = schema or pa.schema([batch.schema.field("doc_id"), ("doc_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())), ("tail_crc", pa.int64()), ("part_crcs", pa.list_(pa.int64()))])
+            schema = schema or pa.schema([batch.schema.field("_row"), batch.schema.field("doc_id"), ("doc_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())), ("tail_crc", pa.int64()), ("part_crcs", pa.list_(pa.int64()))])
             tokens, full, tail, part = [], [], [], []
-            for ids in encoder.ids(texts):
-                ids += END
+            for text in texts:
+                ids = encoder.ids(text) + END
                 n, view = len(ids) // 4, memoryview(ids)
                 tokens.append(n)
                 full.append([zlib.crc32(view[4 * a : 4 * (a + length)]) for a in range(0, n - length + 1, length)])
@@ -125,11 +125,11 @@ def encoded(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> D
                     crcs.append(zlib.crc32(view[4 * at : 4 * (at + size)]))
                     at += size
                 part.append(crcs)
-            yield table(schema, doc_id=batch.column("doc_id"), doc_tokens=tokens, full_crcs=full, tail_crc=tail, part_crcs=part)
+            yield table(schema, _row=batch.column("_row"), doc_id=batch.column("doc_id"), doc_tokens=tokens, full_crcs=full, tail_crc=tail, part_crcs=part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(encode, f"doc_id {kind}, doc_tokens bigint, full_crcs array<bigint>, tail_crc bigint, part_crcs array<bigint>")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    return small_batches(rows).mapInArrow(encode, f"_row bigint, doc_id {kind}, doc_tokens bigint, full_crcs array<bigint>, tail_crc bigint, part_crcs array<bigint>")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, slack: int = SLACK, group: int = GROUP, seed: int = 7) -> DataFrame:
@@ -145,5 +145,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
         number = pa.array([(key[0].as_py() << 32) + x for x in n.to_pylist()], pa.int64())
         return pa.table({"doc_id": rows.column("doc_id").take(row), "start": start, "length": size, "ids_crc32": crc, "doc_tokens": rows.column("doc_tokens").take(row), "sequence_id": number, "offset": at})
 
-    dealt = encoded(docs, path, length).withColumn("_group", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
+    # Groups are dealt by a row's place in the input, so equal rows, repeated and null doc_ids spread like any other.
+    dealt = encoded(docs, path, length).withColumn("_group", F.pmod(F.xxhash64(F.col("_row"), F.lit(seed)), F.lit(groups))).drop("_row")
     return dealt.groupBy("_group").applyInArrow(packed, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
