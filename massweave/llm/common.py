@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massweave.operators.shared import materialize, running  # noqa: F401
+
 #: The white space of every contract here: space and U+0009 to U+000D, nothing else.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/massweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._massweave_path = path
-    return back
-
-
 def discard(df: DataFrame) -> None:
     """Deletes the table of a ``materialize`` that no later step reads."""
     path = getattr(df, "_massweave_path", None)
@@ -44,6 +24,38 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: What names a row of a table: its file's hash and its place there.
+ROW = ["_mw_file", "_mw_row"]
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ROW. Rows of a file scan are named by where they are; any other frame is written to the shared folder first."""
+    for rows in (docs, None):
+        rows = materialize(docs) if rows is None else rows
+        try:
+            meta = rows.metadataColumn("_metadata")
+            return rows.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
+        except AnalysisException:
+            continue
+    raise ValueError("the rows of this table can't be named")
+
+
+def tie(docs: DataFrame) -> Column:
+    """A hash of all columns that puts rows of one doc_id and text in an order that doesn't depend on where they are."""
+    return F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if c not in ROW and "map<" not in kind and "variant" not in kind])
+
+
+def rows_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (as ``numbered_rows`` gives them) that ``kept`` names; each text moves once."""
+    return docs.join(kept.select(*ROW), ROW, "left_semi").drop(*ROW)
+
+
+def released(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, on which Spark deletes the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches to Python bounded by bytes unless the session bounds them itself."""
     spark = df.sparkSession

@@ -8,8 +8,8 @@ verifying pass moves text, once and after a map-side distinct; comparing moves t
 
 Defined results: a null text counts as empty; an empty text has the empty recipe, so all empty
 texts are one group; a null ``doc_id`` sorts after every other (it stays only in a group of nulls);
-of repeated rows (same ``doc_id``, equal text) one stays; an empty table gives no rows; other
-columns are ignored, whatever their names.
+of repeated rows (same ``doc_id``, equal text) the one stays whose columns hash lowest; an empty table
+gives no rows; other columns are never compared, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massweave.llm.common import materialize, squeezed, text_of
+from massweave.llm.common import ROW, materialize, numbered_rows, rows_named, squeezed, text_of, tie
 
-#: A chunk ends at the first space after a vowel and one of these consonants, 512 characters in at
-#: the earliest; a stretch of 4,096 more without such a place is one chunk.
-CHUNK = r"(?s).{512,4608}?[aeiouy][lnrst] |.{1,4608}"
+#: A chunk ends, 512 characters in at the earliest, at the first window of three characters whose last
+#: is its first; a stretch of 4,096 more without such a window is one chunk. This holds in any script.
+CHUNK = r"(?s).{512,4608}?(.).\1|.{1,4608}"
 
 
 def chunks(text: Column) -> Column:
@@ -36,8 +36,8 @@ def chunk_key(chunk: Column, bits: int = 64) -> Column:
 
 
 def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """``doc_id, text_sha256, recipe`` with a recipe of verified identifiers for each row of ``docs``."""
-    cut = docs.select("doc_id", squeezed(text_of()).alias("norm"))
+    """ROW, ``doc_id, tie, text_sha256, recipe`` with a recipe of verified identifiers for each row of ``docs``, which ``numbered_rows`` has named."""
+    cut = docs.select(*ROW, "doc_id", tie(docs).alias("tie"), squeezed(text_of()).alias("norm"))
     distinct = (
         cut.select(F.explode(chunks(F.col("norm"))).alias("chunk"))
         .select(chunk_key(F.col("chunk"), bits).alias("key"), "chunk")
@@ -47,44 +47,37 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
     sha = F.sha2(F.col("norm"), 256).alias("text_sha256")
     if shared.isEmpty():
         ids = F.transform(chunks(F.col("norm")), lambda c: F.struct(chunk_key(c, bits).alias("key"), F.lit(0).alias("variant")))
-        return cut.select("doc_id", sha, ids.alias("recipe"))
+        return cut.select(*ROW, "doc_id", "tie", sha, ids.alias("recipe"))
     # Several contents under one hash: number them in the order of their text, and put the numbers into the recipes.
     twins = distinct.join(shared, "key", "left_semi")
     below = twins.select("key", F.col("chunk").alias("other"))
     numbered = twins.join(below, "key").groupBy("key", "chunk").agg(F.sum(F.when(F.col("other") < F.col("chunk"), 1).otherwise(0)).cast("int").alias("variant"))
-    parts = cut.select("doc_id", sha, F.posexplode_outer(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("key", chunk_key(F.col("chunk"), bits))
-    named = parts.join(numbered, ["key", "chunk"], "left").select("doc_id", "text_sha256", "pos", F.struct("key", F.coalesce("variant", F.lit(0)).alias("variant")).alias("id"))
-    # One row for each document and digest: a repeated row has the same parts again.
-    once = named.groupBy("doc_id", "text_sha256", "pos").agg(F.first("id").alias("id"), F.count("*").alias("rows"))
+    parts = cut.select(*ROW, "doc_id", "tie", sha, F.posexplode_outer(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("key", chunk_key(F.col("chunk"), bits))
+    named = parts.join(numbered, ["key", "chunk"], "left").withColumn("id", F.struct("key", F.coalesce("variant", F.lit(0)).alias("variant")))
     ids = F.filter(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda p: p["pos"].isNotNull())
-    whole = once.groupBy("doc_id", "text_sha256").agg(F.transform(ids, lambda p: p["id"]).alias("recipe"), F.min("rows").alias("rows"))
-    return whole.select("doc_id", "text_sha256", "recipe", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy")
+    return named.groupBy(*ROW, "doc_id", "tie", "text_sha256").agg(F.transform(ids, lambda p: p["id"]).alias("recipe"))
 
 
-def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+def exact_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """ROW and ``doc_id, keep_id, group_size, kept, text_sha256`` for each row of ``docs``, which ``numbered_rows`` has named.
 
-    A group of any size is one pre-aggregated row on one side of the join back. That side is written
+    A group of any size is one pre-aggregated row on one side of the join back. Both sides are written
     first, so the join has an exchange of its own on both sides and adaptive execution can split the
     partition of a group that holds a third of all rows.
     """
-    rows = materialize(recipes(docs, bits).groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("rows")))
-    groups = materialize(rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")))
-    return (
-        rows.join(groups, "recipe")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .select(
-            "doc_id", "keep_id", "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            "text_sha256",
-        )
-    )
+    rows = materialize(recipes(docs, bits))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", *ROW)
+    groups = materialize(rows.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size")))
+    kept = (F.col(ROW[0]) == F.col(f"first.{ROW[0]}")) & (F.col(ROW[1]) == F.col(f"first.{ROW[1]}"))
+    return rows.join(groups, "recipe").select(*ROW, "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+
+
+def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    return exact_rows(numbered_rows(docs), bits).drop(*ROW)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest ``doc_id`` of each group of equal texts."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_mw_id"), F.col("text_sha256").alias("_mw_sha"))
-    keyed = docs.withColumn("_mw_text", F.sha2(squeezed(text_of()), 256))
-    # A doc_id may come twice with one text: of such rows the first by their other columns stays.
-    once = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_mw_id")) & (F.col("_mw_text") == F.col("_mw_sha")), "left_semi")
-    return once.dropDuplicates(["doc_id", "_mw_text"]).select(*[docs[c] for c in docs.columns])
+    docs = numbered_rows(docs)
+    return rows_named(docs, exact_rows(docs).where("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm.common import documents
+from massweave.llm.common import documents, numbered_rows
 from massweave.llm.edit_embedding import edit_fingerprints
 from massweave.llm.exact_dedup import exact_groups
 from massweave.llm.lattice_lm import scored
@@ -25,7 +25,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_components(documents(spark, sf_dir))
+    rows = near_components(numbered_rows(documents(spark, sf_dir)))
     return rows.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
