@@ -15,7 +15,8 @@ rows. No link is lost on either way.
 
 Defined results: null and empty texts have the fingerprint 0 and link like any other; a null
 ``doc_id`` takes part, and ``component_id`` is null only where all doc_ids of a group are; repeated
-rows get a row each; an empty table gives no rows; other columns are ignored.
+rows get a row each, and of rows with the smallest ``doc_id`` the one stays whose columns hash lowest;
+an empty table gives no rows; other columns are never compared.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
-from massweave.llm.common import materialize, small_batches, text_of
+from massweave.llm.common import ROW, discard, materialize, numbered_rows, rows_named, small_batches, tie
 from massweave.llm.components import components
 
 SHINGLE = 4
@@ -67,16 +68,16 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, fp`` for each row; ``key`` is a hash of the text that tells rows of one doc_id apart."""
+    """ROW, ``doc_id, tie, fp`` for each row of ``docs``, which ``numbered_rows`` has named."""
 
     def encode(batches):
         schema = None
         for batch, texts in by_bytes(batches):
-            schema = schema or pa.schema([batch.schema.field("doc_id"), batch.schema.field("key"), ("fp", pa.int64())])
-            yield table(schema, doc_id=batch.column("doc_id"), key=batch.column("key"), fp=[fingerprint(t) for t in texts])
+            schema = schema or pa.schema([f for f in batch.schema if f.name != "text"] + [("fp", pa.int64())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != "fp"), pa.array([fingerprint(t) for t in texts], pa.int64())], schema=schema)
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(text_of()).alias("key"))
-    return small_batches(rows).mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint")
+    rows = docs.select(*ROW, "doc_id", tie(docs).alias("tie"), F.col("text").cast("string").alias("text"))
+    return small_batches(rows).mapInArrow(encode, f"{ROW[0]} bigint, {ROW[1]} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, fp bigint")
 
 
 def long(x: int) -> int:
@@ -221,20 +222,22 @@ def cell_links(batches, bits: int = BITS):
 
 
 def near_components(docs: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
-    """``doc_id, key, fp, component_id, stays`` for each row of ``docs``.
+    """ROW and ``doc_id, fp, component_id, stays`` for each row of ``docs``, which ``numbered_rows`` has named.
 
-    ``component_id``: the smallest doc_id reachable over links; ``stays``: the one (doc_id, key) of the component that near-dedup keeps.
+    ``component_id``: the smallest doc_id reachable over links; ``stays``: whether near-dedup keeps the row, one of each component.
     """
     rows = materialize(fingerprints(docs))
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("keep")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", *ROW)
+    fps = materialize(rows.groupBy("fp").agg(F.min(first).alias("keep")))
     grid = cells(fps.select("fp"), cell).repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part")
     links = grid.mapInArrow(lambda batches: cell_links(batches, bits), "a bigint, b bigint")
     roots = components(links)
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id", "keep")
-    groups = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("keep").alias("keep"))
-    known = named.select("fp", "root").join(groups, "root").select("fp", "component_id", "keep")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("key") == F.col("keep.key"))
-    return rows.join(known, "fp").select("doc_id", "key", "fp", "component_id", stays.alias("stays"))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "keep")
+    groups = named.groupBy("root").agg(F.min("keep").alias("keep"))
+    known = materialize(named.select("fp", "root").join(groups, "root").select("fp", "keep"))
+    discard(fps)
+    stays = (F.col(ROW[0]) == F.col(f"keep.{ROW[0]}")) & (F.col(ROW[1]) == F.col(f"keep.{ROW[1]}"))
+    return rows.join(known, "fp").select(*ROW, "doc_id", "fp", F.col("keep.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -243,7 +246,5 @@ def hex_digits(fp: Column) -> Column:
 
 def near_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component."""
-    kept = near_components(docs, bits).where("stays").select(F.col("doc_id").alias("_mw_id"), F.col("key").alias("_mw_key2")).distinct()
-    keyed = docs.withColumn("_mw_key", F.xxhash64(text_of()))
-    once = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_mw_id")) & (F.col("_mw_key") == F.col("_mw_key2")), "left_semi")
-    return once.dropDuplicates(["doc_id", "_mw_key"]).select(*[docs[c] for c in docs.columns])
+    docs = numbered_rows(docs)
+    return rows_named(docs, near_components(docs, bits).where("stays"))
