@@ -10,13 +10,15 @@ For the next document (descending ``doc_id``) rows are dealt and sorted by range
 the next text of all its rows but the last; these last rows, one for each partition, meet the first
 row of the next partition in a small join.
 
-Texts that share a bit-sampled band of their fingerprints are compared, all with all, by edit distance;
-each row carries the number of different texts that are near its own (``n_links``).
+Fingerprints that share a band (a few samples at places drawn once) are verified by their Hamming
+distance over all samples: those alike by SIMILAR or more link, and a row's ``class_id`` is the smallest
+doc_id that its fingerprint reaches over links. Equal fingerprints are one before anything is compared;
+all members of a band meet, a crowded band's in pairs of blocks, and hand on spanning stars only.
 
 Defined results: a null text is empty; an empty text has the empty fingerprint, like another empty
-one by 1 and any other by 0; rows of one ``doc_id`` follow each other by a hash of their text, a null
-``doc_id`` comes last; a table's only row is its own next document; an empty table gives no rows;
-other columns are ignored.
+one by 1 and any other by 0, so all empty texts are one class; rows of one ``doc_id`` follow each other
+by a hash of their text, a null ``doc_id`` comes last (``class_id`` is null where a class has no other);
+a table's only row is its own next document; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
-from massweave.llm.common import discard, materialize, small_batches, text_of
+from massweave.llm.common import discard, materialize, released, small_batches, text_of
+from massweave.llm.components import components
 
 CLASSES, PERIOD, SEED = 32, 1 << 16, 2017
 #: A text of 2^k characters or more, k at least this, is sampled every 2^(k - this + 1) steps: 128 to 300 samples.
@@ -119,8 +122,8 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     return float((x[:n] == y[:n]).sum()) / max(len(x), len(y))
 
 
-FIELDS = [("text_key", pa.binary()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-FIELDS_SQL = "text_key binary, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+FIELDS_SQL = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def described(texts: list[str], after: list[int]) -> dict[str, list]:
@@ -134,7 +137,6 @@ def described(texts: list[str], after: list[int]) -> dict[str, list]:
     more = walks(moved, [int(steps[i][k]) for i, k in enumerate(kept)])
     edited = [sampled(np.concatenate([own[i][:k], moved[i]]), np.concatenate([steps[i][:k], more[i]])) for i, k in enumerate(kept)]
     return {
-        "text_key": [hashlib.md5(t.encode()).digest() for t in texts[: len(after)]],
         "n_chars": [len(own[i]) for i in range(len(after))],
         "edited_sha256": [hashlib.sha256((texts[i][:k] + texts[j][:h]).encode()).digest() for i, (k, j, h) in enumerate(zip(kept, after, half))],
         "fingerprint": [packed(*prints[i]) for i in range(len(after))],
@@ -184,24 +186,23 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     digits = lambda c: F.lower(F.hex(c)).alias(c)
     every = materialize(done.where("tail is null").select("doc_id", *[n for n, _ in FIELDS]).unionByName(last))
     discard(done)
-    found = links(every.select("text_key", "n_chars", "fingerprint"), docs)
-    counts = found.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("n_links"))
-    linked = every.join(counts, "text_key", "left")
-    return linked.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    del ranged, done, heads, tails, edges, last
+    released(docs.sparkSession)
+    named = every.join(fingerprint_classes(every), "fingerprint")
+    return named.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next", "class_id")
 
 
-#: Bands of samples that near documents must share one of; each takes so many samples of the first 64.
-BANDS, WIDTH = 48, 8
+#: Bands that alike fingerprints must share one of, and the samples each takes: half the bands from the first 64, half from twice as many.
+BANDS, WIDTH, REACH = 16, 8, 128
 SIMILAR = 0.8
-
-
-#: Texts of a crowded band that one join key holds.
-BLOCK = 256
+#: Fingerprints of a band that one task compares.
+CELL = 4096
 
 
 @lru_cache(maxsize=1)
 def band_places() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 64, size=(BANDS, WIDTH))
+    rng = np.random.Generator(np.random.PCG64(SEED + 1))
+    return np.concatenate([rng.integers(0, REACH // 2, size=(BANDS // 2, WIDTH)), rng.integers(0, REACH, size=(BANDS // 2, WIDTH))])
 
 
 def band_keys(e: int, samples: np.ndarray) -> list[int]:
@@ -210,92 +211,73 @@ def band_keys(e: int, samples: np.ndarray) -> list[int]:
     at = band_places()
     for coarse, x in ((e, samples), (e + 1, samples[::2])):
         if len(x):
-            each = x[at % len(x) if len(x) < 64 else at].astype(np.int64)
+            there = np.flatnonzero(at.max(axis=1) < max(len(x), REACH // 2))
+            each = x[at[there] % len(x)].astype(np.int64)
             values = (each << (4 * np.arange(WIDTH))).sum(axis=1)
-            out += (values | np.arange(BANDS) << 32 | coarse << 38).tolist()
+            out += (values | there << 32 | coarse << 38).tolist()
     return out
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance, or some number above ``most`` where it is above; a column of the table is one number of as many bits as ``a`` has characters."""
-    most = max(len(a), len(b)) if most is None else most
-    first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    a, b = a[first:], b[first:]
-    last = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
-    a, b = a[: len(a) - last], b[: len(b) - last]
-    if not a or not b:
-        return max(len(a), len(b))
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):
-        eq = places.get(c, 0)
-        across = (((eq & up) + up) ^ up) | eq | down
-        plus, minus = down | ~(across | up) & full, up & across
-        score += 1 if plus & top else -1 if minus & top else 0
-        if score - left > most:
-            return score - left
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | ~((eq | down) | plus) & full, plus & (eq | down)
-    return score
-
-
-def links(prints: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``a, b, similarity``: links between different texts, as keys (a < b).
-
-    All texts of a band are compared with each other; those of a crowded band are dealt to blocks, and
-    each two blocks meet in a join key of their own. Each link is verified by edit distance over the
-    longer length. ``prints``: ``text_key, n_chars, fingerprint``; ``docs`` holds the texts.
-    """
+def alike(band: int, prints: list[bytes], similar: float = SIMILAR) -> tuple[list[int], list[int]]:
+    """Spanning stars (member, centre) of the links between fingerprints of one band; what a member has reached is not compared again."""
+    coarse = band >> 38
+    each = [x[:: 1 << max(0, coarse - e)] for e, x in map(unpacked, prints)]
+    sizes = np.array([len(x) for x in each])
+    rows = np.full((len(each), sizes.max()), 255, dtype=np.uint8)
+    for i, x in enumerate(each):
+        rows[i, : len(x)] = x
+    free, members, centres = np.arange(len(each)), [], []
+    while len(free) > 1:
+        centre, free, todo = int(free[0]), free[1:], [int(free[0])]
+        while todo and len(free):
+            one = todo.pop()
+            n = sizes[one]
+            hit = (rows[free, :n] == rows[one, :n]).sum(axis=1) >= similar * np.maximum(sizes[free], n)
+            new = free[hit].tolist()
+            members += new
+            centres += [centre] * len(new)
+            todo += new
+            free = free[~hit]
+    return members, centres
+
+
+def fingerprint_classes(rows: DataFrame, similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
+    """``fingerprint, class_id``: of each fingerprint in ``rows`` (``doc_id, fingerprint``) the smallest doc_id that it reaches over links."""
 
     def banded(batches):
-        schema = pa.schema([("text_key", pa.binary()), ("n_chars", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            bands = [band_keys(*unpacked(f)) for f in batch.column("fingerprint").to_pylist()]
-            yield table(schema, text_key=batch.column("text_key"), n_chars=batch.column("n_chars"), bands=bands)
+            yield table(schema, id=batch.column("id"), bands=[band_keys(*unpacked(f)) for f in batch.column("fingerprint").to_pylist()])
 
-    def verified(batches):
+    def linked(batches):
+        """Rows come sorted by band and part; one of them may go on in the next batch."""
+        held, name = [], None
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()):
-                longer = max(len(x), len(y), 1)
-                found.append(1 - edit_distance(x, y, int((1 - similar) * longer) + 1) / longer)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-
-    one = prints.dropDuplicates(["text_key"])
-    bands = one.mapInArrow(banded, "text_key binary, n_chars bigint, bands array<bigint>").select("text_key", "n_chars", F.explode(F.array_distinct("bands")).alias("band"))
-    shared = materialize(bands.withColumn("size", F.count("*").over(W.partitionBy("band"))).where("size > 1"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = shared.withColumn("own", F.pmod(F.xxhash64("text_key"), blocks).cast("int"))
-    x = dealt.select("band", F.col("own").alias("i"), F.explode(F.sequence("own", blocks - 1)).alias("j"), F.col("text_key").alias("x"), F.col("n_chars").alias("x_chars"))
-    y = dealt.select("band", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("text_key").alias("y"), F.col("n_chars").alias("y_chars"))
-    close = F.least("x_chars", "y_chars") >= similar * F.greatest("x_chars", "y_chars")
-    met = x.join(y, ["band", "i", "j"]).where(close & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
-    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    discard(shared)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    keyed = docs.select(F.unhex(F.md5(text_of())).alias("text_key"), text_of().alias("text"))
-    texts = materialize(keyed.join(needed, "text_key", "left_semi").dropDuplicates(["text_key"]))
-    both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
-    return small_batches(both).mapInArrow(verified, "a binary, b binary, similarity double").where(F.col("similarity") >= similar)
-
-
-def near_pairs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``links`` with each text by its smallest doc_id, the smaller one first (null last)."""
-
-    def printed(batches):
-        schema = pa.schema([("text_key", pa.binary()), ("n_chars", pa.int64()), ("fingerprint", pa.binary())])
-        for _, texts in by_bytes(batches):
-            own = [classes(t) for t in texts]
-            prints = [packed(*sampled(t, s)) for t, s in zip(own, walks(own, [0] * len(own)))]
-            yield table(schema, text_key=[hashlib.md5(t.encode()).digest() for t in texts], n_chars=[len(t) for t in own], fingerprint=prints)
-
-    rows = docs.select("doc_id", text_of().alias("text"))
-    ids = rows.groupBy(F.unhex(F.md5("text")).alias("text_key")).agg(F.min("doc_id").alias("doc_id"))
-    found = links(small_batches(rows).select("text").mapInArrow(printed, "text_key binary, n_chars bigint, fingerprint binary"), docs, similar)
-    named = found.join(ids.toDF("a", "a_id"), "a").join(ids.toDF("b", "b_id"), "b")
-    ordered = F.col("b_id").isNull() | (F.col("a_id") <= F.col("b_id"))
-    pick = lambda first, then, name: F.when(ordered, F.col(first)).otherwise(F.col(then)).alias(name)
-    return named.select(pick("a_id", "b_id", "a"), pick("b_id", "a_id", "b"), "similarity")
+            for band, part, f in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "fingerprint"))):
+                if (band, part) != name:
+                    yield from stars(name, held)
+                    held, name = [], (band, part)
+                held.append(f)
+        yield from stars(name, held)
+
+    def stars(name, held):
+        if len(held) > 1:
+            members, centres = alike(name[0], held, similar)
+            if members:
+                yield table(pa.schema([("a", pa.binary()), ("b", pa.binary())]), a=[held[i] for i in members], b=[held[i] for i in centres])
+
+    prints = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.xxhash64("fingerprint")))
+    bands = materialize(prints.select("id", "fingerprint").mapInArrow(banded, "id bigint, bands array<bigint>").select("id", F.explode(F.array_distinct("bands")).alias("band")))
+    shared = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    met = bands.join(shared, "band")
+    blocks = F.ceil(F.col("n") / (cell / 2)).cast("int")
+    own = F.pmod(F.col("id"), blocks).cast("int")
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("n") <= cell, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    part = F.when(F.col("other") < 0, F.lit("")).otherwise(F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")))
+    cells = dealt.select("band", part.alias("part"), "id").join(prints.select("id", "fingerprint"), "id").drop("id")
+    links = materialize(cells.repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(linked, "a binary, b binary"))
+    discard(bands)
+    roots = components(links)
+    named = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "doc_id")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return materialize(named.select("fingerprint", "root").join(least, "root").select("fingerprint", "class_id"))
