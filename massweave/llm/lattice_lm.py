@@ -1,58 +1,61 @@
 """Language-model scores: marginal probability over the subword lattice of an existing vocabulary.
 
-The pieces of a public vocabulary get unigram probabilities from how it cuts the distinct training
-words. A word's lattice holds every way to spell it with pieces (characters outside the vocabulary
-with byte pieces), and a forward recursion adds up all of them. The whole word, where the training
-documents have it, is one more edge of its lattice: G(w) = g c/N + (1 - g) sum over spellings of the
-product of piece probabilities, g being one minus the share of words seen once (Good-Turing). A last
-edge is the document's own history: after t tokens, k of them w, P(w) = (1 - q) G(w) + q k/t with
-q = HISTORY t / (t + 20). All edges' weights are known before the token, so P is a distribution.
-
-What grows: the count of every training word, pre-aggregated in each task. The most frequent words
-(HOT at most) go to all tasks; every other word of every document meets its count in a join.
+A document is a string of pieces of a public vocabulary, then an end. Pieces have unigram
+probabilities, and a text's probability is the sum over all its segmentations of the product of its
+pieces' (a character outside the vocabulary is spelled with byte pieces). A piece that begins a word
+begins with the word sign, so the sum is the product over words of the sums over each word's lattice,
+which a forward recursion in log space gives; all strings' probabilities add up to one.
+
+The vocabulary's own scores are the ranks of its merges. Rank r starts as the weight 1 / (r + 1);
+ROUNDS passes of forward-backward over the counts of all training words then weigh the pieces anew.
+What is gathered grows with the input: the count of every training word, pre-aggregated in each task.
+The most frequent words (HOT at most) go to all tasks; every other word of every document meets its
+count in a join.
 
 Defined results: a null or empty text is its end token alone; rows keep their ``doc_id`` (a null one
 counts as the text "" for its remainder); repeated rows are scored each; with no training documents
-N and V are 0, the base gives every token probability 1 and the lattice has equal piece
-probabilities; an empty table gives no rows; other columns are ignored.
+N and V are 0, the base gives every token probability 1 and the pieces keep the weights of their
+ranks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
-from massweave.llm.common import materialize, small_batches
+from massweave.llm.common import discard, materialize, small_batches
 from massweave.llm.tokens import _pieces_model, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS = 10
 #: Words with their counts that every task holds, at most.
-HOT = 1_000_000
-#: Distinct words that a task counts or keeps before it hands them on or forgets them.
-KEEP = 500_000
-#: Added to the count of each piece.
-FLOOR = 0.01
-#: Weight of a long document's own words.
-HISTORY = 0.3
-LONGEST = 24
-SMALLEST = 1e-200
+HOT = 200_000
+#: Distinct words that a task counts before it hands them on.
+KEEP = 300_000
+#: Passes of forward-backward, and what is added to the expected count of each piece.
+ROUNDS, FLOOR = 2, 0.01
+#: Words whose lattices are worked on in step, and characters from which a word is on its own (its places must fit 16 bits).
+STEP, LONG = 20_000, 48
+#: The sign that begins a word, and what stands for that character inside a text.
+SIGN, OTHER = 0x2581, 0xFFFE
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words with A-Z in lower case; bytes split at exactly the six white-space characters."""
-    return text.encode().lower().split()
+def words_of(texts: list[str]) -> pa.Array:
+    """For each text its words with A-Z in lower case; split at exactly the six white-space characters, with empty strings where a text begins or ends with one."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -61,9 +64,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         schema, seen = pa.schema([("word", pa.string()), ("n", pa.int64())]), Counter()
         for batch, texts in by_bytes(batches):
-            for text in texts:
-                seen.update(words_of(text))
-            seen[b""] += batch.num_rows
+            for one in words_of(texts).values.value_counts().to_pylist():
+                if one["values"]:
+                    seen[one["values"]] += one["counts"]
+            seen[""] += batch.num_rows
             if len(seen) > KEEP:
                 yield from flush(schema, seen)
         yield from flush(schema, seen)
@@ -71,183 +75,276 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def flush(schema, seen):
         entries = iter(seen.items())
         while part := list(islice(entries, 50_000)):
-            yield table(schema, word=[w.decode() for w, _ in part], n=[n for _, n in part])
+            yield table(schema, word=[w for w, _ in part], n=[n for _, n in part])
         seen.clear()
 
     train = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
     return small_batches(train).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def piece_counts(words: DataFrame, path: str | None) -> dict[int, int]:
-    """How often each piece of the vocabulary cuts the distinct words; as many entries as the vocabulary has pieces at most."""
-
-    def cut(batches):
-        model = _pieces_model(path or vocabulary(VOCABULARY))
-        seen = np.zeros(model.get_piece_size(), dtype=np.int64)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            for a in range(0, len(words), 2000):
-                ids = model.encode(" ".join(w.replace("▁", "") for w in words[a : a + 2000]), num_threads=1)
-                seen += np.bincount(ids, minlength=len(seen))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], names=["piece", "n"])
-
-    rows = small_batches(words.where("word <> ''").select("word")).mapInArrow(cut, "piece bigint, n bigint")
-    return {r["piece"]: r["n"] for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+class Pieces:
+    """The vocabulary's pieces as a trie in arrays: (node, character) to node in a table of open addresses."""
 
-
-def history(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``n`` tokens log10(1 - q), and q / ((1 - q) t), with which one earlier sight of the token counts."""
-    t = np.arange(n, dtype=np.float64)
-    q = HISTORY * t / (t + 20)
-    return np.log10(1 - q), HISTORY / (t + 20 - HISTORY * t)
+    def __init__(self, path: str):
+        model = _pieces_model(path)
+        self.size = model.get_piece_size()
+        self.byte = np.zeros(256, dtype=np.int64)
+        #: Weights from the ranks of the merges (the vocabulary's scores are 0, -1, -2 and so on); what was not merged comes last.
+        self.ranked = np.full(self.size, 1 / self.size)
+        steps: dict[tuple[int, int], int] = {}
+        names: dict[int, int] = {}
+        self.longest = 1
+        for i in range(self.size):
+            name = model.id_to_piece(i)
+            if model.is_byte(i):
+                self.byte[int(name[3:5], 16)] = i
+            elif not (model.is_control(i) or model.is_unknown(i)):
+                node = 0
+                for c in name:
+                    node = steps.setdefault((node, ord(c)), len(steps) + 1)
+                names[node] = i
+                self.ranked[i] = 1 / (1 - model.get_score(i))
+                self.longest = max(self.longest, len(name))
+        self.piece = np.full(len(steps) + 1, -1, dtype=np.int32)
+        self.piece[list(names)] = list(names.values())
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        for (node, c), to in steps.items():
+            key = node << 21 | c
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.nodes[at] = key, to
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next node, or -1."""
+        key = node.astype(np.int64) << 21 | c
+        at, out = self._slot(key), np.full(len(key), -1, dtype=np.int32)
+        left = np.arange(len(key))
+        while len(left):
+            there = self.keys[at[left]]
+            hit = there == key[left]
+            out[left[hit]] = self.nodes[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+            at[left] = (at[left] + 1) % len(self.keys)
+        return out
+
+
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 class Lattice:
-    """Log10 of the summed probability of all spellings of a word."""
-
-    def __init__(self, counts: dict[int, int], path: str | None = None):
-        model = _pieces_model(path or vocabulary(VOCABULARY))
-        size = model.get_piece_size()
-        total = sum(counts.values()) + FLOOR * size
-        chance = [(counts.get(i, 0) + FLOOR) / total for i in range(size)]
-        self.known: dict[bytes, float] = {}
-        self.bytes = [1 / total] * 256
-        #: Probability of each piece by its name, and 0 for what only begins one.
-        self.edges: dict[str, float] = {}
-        for i in range(size):
-            name = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.bytes[int(name[3:5], 16)] = chance[i]
-            elif not (model.is_control(i) or model.is_unknown(i)) and len(name) <= LONGEST:
-                for k in range(1, len(name)):
-                    self.edges.setdefault(name[:k], 0.0)
-                self.edges[name] = chance[i]
-        self.longest = max(map(len, self.edges), default=1)
-
-    def spelled(self, c: str) -> float:
-        """A character as its bytes."""
-        p = 1.0
-        for b in c.encode():
-            p *= self.bytes[b]
-        return p
-
-    def log10(self, word: str) -> float:
-        text = "▁" + word.replace("▁", "￾")
-        n, edges, longest = len(text), self.edges, self.longest
-        reach, scale = [0.0] * (n + 1), 0.0
-        reach[0] = 1.0
-        for i in range(n):
-            x = reach[i]
-            if x < SMALLEST:  # the recursion goes on in a new log scale
-                for j in range(i, min(n, i + longest) + 1):
-                    reach[j] /= SMALLEST
-                x = reach[i]
-                scale += math.log10(SMALLEST)
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = edges.get(text[i:j])
-                if p is None:
-                    break
-                if p:
-                    reach[j] += x * p
-            if not edges.get(text[i]):
-                reach[i + 1] += x * self.spelled(text[i])
-        return math.log10(reach[n]) + scale
-
-    def of(self, word: bytes) -> float:
-        """``log10``, remembered."""
-        p = self.known.get(word)
-        if p is None:
-            if len(self.known) > KEEP:
-                self.known.clear()
-            p = self.known[word] = self.log10(word.decode())
-        return p
+    """Lattices of many words at once over pieces of given weights."""
+
+    def __init__(self, weights: np.ndarray, end: float, path: str | None = None):
+        """``weights``: of each piece, ``end``: of a document's end, not normalised."""
+        self.pieces = pieces(path or vocabulary(VOCABULARY))
+        total = weights.sum() + end
+        self.log = np.log(weights / total)
+        self.end = math.log10(end / total)
+
+    def _edges(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        """Edges (start place, characters, piece, log probability); the piece of a character spelled in bytes is -1."""
+        p, ends = self.pieces, np.repeat(begin + length, length)
+        start, node = np.arange(len(flat)), np.zeros(len(flat), dtype=np.int32)
+        starts, sizes, names = [], [], []
+        alone = np.ones(len(flat), dtype=bool)
+        for n in range(1, p.longest + 1):
+            inside = start + n <= ends[start]
+            start, node = start[inside], node[inside]
+            node = p.step(node, flat[start + n - 1])
+            alive = node >= 0
+            start, node = start[alive], node[alive]
+            if not len(start):
+                break
+            name = p.piece[node]
+            there = name >= 0
+            if n == 1:
+                alone[start[there]] = False
+            starts.append(start[there])
+            sizes.append(np.full(int(there.sum()), n))
+            names.append(name[there])
+        rest = np.flatnonzero(alone)
+        starts.append(rest)
+        sizes.append(np.ones(len(rest), dtype=np.int64))
+        names.append(np.full(len(rest), -1, dtype=np.int32))
+        start, size, name = map(np.concatenate, (starts, sizes, names))
+        log = self.log[name]
+        if len(rest):
+            chars, at = np.unique(flat[rest], return_inverse=True)
+            log[-len(rest) :] = np.array([self.log[p.byte[list(chr(c).encode("utf-8", "surrogatepass"))]].sum() for c in chars.tolist()])[at]
+        return start, size, name, log
+
+    def words(self, words: pa.Array, counts: np.ndarray | None = None) -> np.ndarray:
+        """Log10 of the summed probability of all spellings of each word; or, given the words' counts, the expected count of each piece."""
+        found, expected = np.zeros(len(words)), np.zeros(self.pieces.size)
+        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        short, long = np.flatnonzero(lengths < LONG), np.flatnonzero(lengths >= LONG)
+        for part in [*(short[a : a + STEP] for a in range(0, len(short), STEP)), *(long[a : a + 1] for a in range(len(long)))]:
+            found[part] = self._forward(words.take(pa.array(part)), lengths[part], None if counts is None else counts[part], expected)
+        return found / math.log(10) if counts is None else expected
+
+    def _forward(self, words: pa.Array, lengths: np.ndarray, counts: np.ndarray | None, expected: np.ndarray) -> np.ndarray:
+        points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        size = lengths.astype(np.int64) + 1
+        begin = np.cumsum(size) - size
+        flat = np.full(int(size.sum()), SIGN, dtype=np.int64)
+        inner = np.ones(len(flat), dtype=bool)
+        inner[begin] = False
+        flat[inner] = np.where(points == SIGN, OTHER, points)
+        start, n, name, log = self._edges(flat, begin, size)
+        # A word has a node before each character and one after the last.
+        word = np.repeat(np.arange(len(size)), size)
+        first = begin + np.arange(len(size))
+        source = start + word[start]
+        target = source + n
+        place = target - first[word[start]]
+        reach = np.full(len(flat) + len(size), -np.inf)
+        reach[first] = 0
+        last = first + size
+        if len(size) == 1:
+            order = np.argsort(place, kind="stable")
+            add_up(reach, source[order], target[order], log[order])
+            slices = None
+        else:
+            order = np.argsort((place * 64 + n).astype(np.int16), kind="stable")
+            key = (place * 64 + n)[order]
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            source, target, log, name, start = source[order], target[order], log[order], name[order], start[order]
+            slices = list(zip(edges, edges[1:]))
+            for a, b in slices:  # one end and one length, so each word has one edge at most
+                to = target[a:b]
+                reach[to] = np.logaddexp(reach[to], reach[source[a:b]] + log[a:b])
+        whole = reach[last]
+        if counts is not None:
+            back = np.full(len(reach), -np.inf)
+            back[last] = 0
+            if slices is None:
+                order = np.argsort(-source, kind="stable")
+                add_up(back, target[order], source[order], log[order])
+            else:
+                order = np.argsort(-((source - first[word[start]]) * 64 + (target - source)), kind="stable")
+                key = ((source - first[word[start]]) * 64 + (target - source))[order]
+                edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+                for a, b in zip(edges, edges[1:]):
+                    i = order[a:b]
+                    to = source[i]
+                    back[to] = np.logaddexp(back[to], back[target[i]] + log[i])
+            share = np.exp(reach[source] + log + back[target] - whole[word[start]]) * counts[word[start]]
+            known = name >= 0
+            expected += np.bincount(name[known], weights=share[known], minlength=len(expected))
+            for c, x in zip(flat[start[~known]].tolist(), share[~known].tolist()):
+                np.add.at(expected, self.pieces.byte[list(chr(c).encode("utf-8", "surrogatepass"))], x)
+        return whole
+
+
+def add_up(reach: np.ndarray, source: np.ndarray, target: np.ndarray, log: np.ndarray) -> None:
+    """The recursion over the edges of one word, given in an order that settles a node before it is left."""
+    at = reach.tolist()
+    for i, j, x in zip(source.tolist(), target.tolist(), log.tolist()):
+        x += at[i]
+        y = at[j]
+        if y == -math.inf:
+            at[j] = x
+        elif x != -math.inf:
+            at[j] = max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    reach[:] = at
+
+
+def fitted(counts: DataFrame, docs: int, path: str | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights of the pieces and of a document's end, from ``word, n`` of all training words.
+
+    A task sends one number for each piece it has met; the driver gets as many as the vocabulary has pieces.
+    """
+    weights = pieces(path or vocabulary(VOCABULARY)).ranked
+    end = float(weights.mean())
+    words = counts.where("word <> ''")
+    for _ in range(rounds if docs else 0):
+        shared = counts.sparkSession.sparkContext.broadcast((weights, end))
+
+        def expected(batches, shared=shared):
+            lattice = Lattice(*shared.value, path)
+            seen = np.zeros(len(shared.value[0]))
+            for batch in batches:
+                if batch.num_rows:
+                    seen += lattice.words(batch.column("word"), batch.column("n").to_numpy())
+            some = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.float64())], names=["piece", "n"])
+
+        rows = small_batches(words).mapInArrow(expected, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        weights = np.full(len(weights), FLOOR)
+        weights[[r["piece"] for r in rows]] += [r["n"] for r in rows]
+        end = float(docs)
+        shared.unpersist()
+    return weights, end
 
 
 def scored(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``."""
     spark = docs.sparkSession
     counts = materialize(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("docs")).first()
     n, v = total["n"], total["v"]
     # The largest set of words, by count, that is within the bound.
     least, taken = None, 0
-    for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+    for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).limit(hot + 1).collect():
         if taken + r["count"] > hot:
             break
         taken, least = taken + r["count"], r["n"]
     often = counts.where(F.col("n") >= least).toArrow() if least is not None else None
-    pieces = piece_counts(counts, path)
-    good = 1 - total["once"] / n if n else 0.0
     floor = n + 0.1 * (v + 1)
-    shared = spark.sparkContext.broadcast((pieces, often.column("word").to_pylist() if often else [], often.column("n").to_pylist() if often else []))
+    names = often.column("word").combine_chunks().cast(pa.large_string()) if often else pa.array([], pa.large_string())
+    shared = spark.sparkContext.broadcast((*fitted(counts, total["docs"], path), names, often.column("n").to_numpy() if often else np.zeros(0, np.int64)))
 
     def score(batches):
-        pieces, names, numbers = shared.value
-        lattice, schema = Lattice(pieces, path), None
-        frequent = {w.encode(): c for w, c in zip(names, numbers)}
-        settled: dict[bytes, tuple[float, float, float]] = {}
-
-        def settle(word: bytes, c: int) -> tuple[float, float, float]:
-            chance = good * c / n + (1 - good) * (10 ** max(-300.0, lattice.of(word)) if word else 0.0)
-            settled[word] = found = (math.log10((c + 0.1) / floor), math.log10(chance), chance)
-            return found
-
+        weights, end, names, numbers = shared.value
+        lattice, schema = Lattice(weights, end, path), None
+        last = pc.index_in(pa.array([""], pa.large_string()), value_set=names)[0].as_py()
         for batch, texts in by_bytes(batches):
-            entry = pa.struct([("word", pa.string()), ("tf", pa.int32()), ("spelled", pa.float64()), ("past", pa.list_(pa.float64()))])
+            entry = pa.struct([("word", pa.string()), ("tf", pa.int64())])
             schema = schema or pa.schema([batch.schema.field("row"), batch.schema.field("doc_id"), batch.schema.field("held_out"), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(entry))])
-            tokens, known, base, model, ends, word, tf, spelled, past = [], [], [], [], [0], [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                words.append(b"")
-                tokens.append(len(words))
-                stay, weight = history(len(words))
-                seen: dict[bytes, int] = {}
-                again = []
-                for w, x in zip(words, weight.tolist()):
-                    k = seen.get(w, 0)
-                    if k:
-                        again.append((w, x * k))
-                    seen[w] = k + 1
-                k, b, m, own = 0, 0.0, float(stay.sum()), {}
-                for w, t in seen.items():
-                    found = settled.get(w)
-                    if found is None:
-                        c = frequent.get(w)
-                        if c is None:
-                            own[w] = len(past)
-                            word.append(w.decode())
-                            tf.append(t)
-                            spelled.append(lattice.of(w) if w else -math.log10(len(lattice.edges) + 1))
-                            past.append([])
-                            continue
-                        found = settle(w, c)
-                    k += t
-                    b += t * found[0]
-                    m += found[1]
-                for w, x in again:
-                    if w in own:
-                        past[own[w]].append(x)
-                    else:
-                        m += math.log10(settled[w][2] + x)
-                known.append(k)
-                base.append(b)
-                model.append(m)
-                ends.append(len(word))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(word, pa.string()), pa.array(tf, pa.int32()), pa.array(spelled, pa.float64()), pa.array(past, pa.list_(pa.float64()))], names=["word", "tf", "spelled", "past"]))
-            yield table(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=tokens, known=known, base=base, model=model, rare=rare)
+            split = words_of(texts)
+            coded = split.values.dictionary_encode()
+            words, of = coded.dictionary, coded.indices.to_numpy()
+            doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+            real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[of]
+            of, doc = of[real], doc[real]
+            spelled = lattice.words(words)
+            found = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy()
+            often = found >= 0
+            base = np.where(often, np.log10(((numbers[found] if len(numbers) else 0) + 0.1) / floor), 0)
+            each = len(texts)
+            tokens = np.bincount(doc, minlength=each) + 1
+            model = np.bincount(doc, weights=spelled[of], minlength=each) + lattice.end
+            known = np.bincount(doc, weights=often[of], minlength=each).astype(np.int64)
+            sums = np.bincount(doc, weights=base[of], minlength=each)
+            pair, tf = np.unique((doc * len(words) + of)[~often[of]], return_counts=True)
+            if last is not None:
+                known, sums = known + 1, sums + math.log10((numbers[last] + 0.1) / floor)
+                rare, to = words.take(pa.array(pair % max(len(words), 1))), pair // max(len(words), 1)
+            else:  # the end is as rare as the words
+                rare = pa.concat_arrays([words.take(pa.array(pair % max(len(words), 1))), pa.array([""] * each, pa.large_string())])
+                to, tf = np.concatenate([pair // max(len(words), 1), np.arange(each)]), np.concatenate([tf, np.ones(each, np.int64)])
+                order = np.argsort(to, kind="stable")
+                rare, to, tf = rare.take(pa.array(order)), to[order], tf[order]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=each))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([rare.cast(pa.string()), pa.array(tf, pa.int64())], names=["word", "tf"]))
+            yield table(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=tokens, known=known, base=sums, model=model, rare=lists)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    fields = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<struct<word:string,tf:int,spelled:double,past:array<double>>>"
+    fields = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<struct<word:string,tf:bigint>>"
     done = materialize(small_batches(rows).mapInArrow(score, fields))
     met = done.select("row", F.inline("rare")).join(counts.where(F.col("n") < least) if least is not None else counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
-    own = F.when(c > 0, F.log10(good * c / F.lit(float(max(n, 1))) + (1 - good) * F.pow(F.lit(10.0), F.col("spelled")))).otherwise(F.lit(math.log10(1 - good) if good < 1 else 0.0) + F.col("spelled"))
-    rest = met.select("row", F.when(c > 0, F.col("tf")).otherwise(0).cast("bigint").alias("known"), (F.col("tf") * F.log10((c + 0.1) / F.lit(floor))).alias("base"), F.aggregate("past", own, lambda sum_, x: sum_ + F.log10(F.pow(F.lit(10.0), own) + x)).alias("model"))
-    none = lambda kind_: F.lit(None).cast(kind_)
-    every = done.select("row", "known", "base", "model", "doc_id", "held_out", "n_tokens").unionByName(rest.select("*", none(kind).alias("doc_id"), none("boolean").alias("held_out"), none("bigint").alias("n_tokens")))
-    return every.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("model").alias("score"),
-    ).drop("row")
+    rest = met.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known2"), F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(floor))).alias("base2"))
+    every = done.drop("rare").join(rest, "row", "left")
+    return every.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), F.col("model").alias("score"),
+    )
