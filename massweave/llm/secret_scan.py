@@ -93,11 +93,16 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
+    covered, k = sorted(base), 0
+    reach = 0  # the furthest end of the base spans that begin before the candidate's end
     found = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
+        while k < len(covered) and covered[k][0] < b:
+            reach = max(reach, covered[k][1])
+            k += 1
         one = m[0]
-        if not (any(c.isdigit() for c in one) and any(c.isalpha() for c in one)) or any(x < b and a < y for x, y, _ in base):
+        if reach > a or not (any(c.isdigit() for c in one) and any(c.isalpha() for c in one)):
             continue
         before = text[max(0, a - NEAR) : a].lower()
         if any(w in before for w in SENSITIVE) and is_novel(one, text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
@@ -133,7 +138,8 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"], s["last"])), ",")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
     return secret_spans(docs).select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS if k != "novel"],
         F.sha2(named(F.filter("found", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
         named(F.col("found")).alias("spans"),
+        count("novel").alias("n_novel"),
     )
