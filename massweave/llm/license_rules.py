@@ -13,6 +13,7 @@ their ``doc_id``, repeated or null; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,18 +24,11 @@ from massweave.llm.arrow import by_bytes, table
 from massweave.llm.common import small_batches
 
 #: Rules as (licence, its sentences in order), from the published licence texts and notices.
-RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("MIT", ("Released under the MIT License.",)),
-    ("MIT", ("Licensed under the MIT License.",)),
-    ("MIT", ("This project is licensed under the MIT License.",)),
-    ("MIT", ("SPDX-License-Identifier: MIT",)),
+PUBLISHED: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     )),
-    ("Apache-2.0", ("Licensed under the Apache License, Version 2.0.",)),
-    ("Apache-2.0", ("Released under the Apache License, Version 2.0.",)),
-    ("Apache-2.0", ("SPDX-License-Identifier: Apache-2.0",)),
     ("Apache-2.0", (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -44,18 +38,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
         "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
     )),
     ("Apache-2.0", ("\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",)),
-    ("GPL-3.0", ("This work is licensed under the GNU General Public License, version 3.",)),
-    ("GPL-3.0", ("Licensed under the GNU General Public License, version 3.",)),
-    ("GPL-3.0", ("SPDX-License-Identifier: GPL-3.0-only",)),
     ("GPL-3.0", (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     )),
-    ("GPL-3.0", ("SPDX-License-Identifier: GPL-3.0-or-later",)),
     ("GPL-3.0", ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",)),
     ("GPL-3.0", ("The GNU General Public License is a free, copyleft license for software and other kinds of works.",)),
-    ("GPL-2.0", ("SPDX-License-Identifier: GPL-2.0-only",)),
-    ("GPL-2.0", ("SPDX-License-Identifier: GPL-2.0-or-later",)),
     ("GPL-2.0", ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",)),
     ("GPL-2.0", ("You can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",)),
     ("GPL-2.0", ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",)),
@@ -65,11 +53,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("LGPL-3.0", ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",)),
     ("AGPL-3.0", ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",)),
     ("AGPL-3.0", ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works",)),
-    ("CC-BY-NC-4.0", ("Licensed under CC BY-NC 4.0.",)),
-    ("CC-BY-NC-4.0", ("This work is licensed under CC BY-NC 4.0.",)),
-    ("CC-BY-4.0", ("Licensed under CC BY 4.0.",)),
-    ("CC-BY-SA-4.0", ("Licensed under CC BY-SA 4.0.",)),
-    ("BSD-3-Clause", ("SPDX-License-Identifier: BSD-3-Clause",)),
     ("BSD-3-Clause", (
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -92,12 +75,66 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     )),
     ("ISC", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
     ("ISC", ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
-    ("ISC", ("SPDX-License-Identifier: ISC",)),
-    ("BSD-2-Clause", ("SPDX-License-Identifier: BSD-2-Clause",)),
-    ("MPL-2.0", ("SPDX-License-Identifier: MPL-2.0",)),
     ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)),
+    ("MIT-0", ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",)),
+    ("0BSD", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",)),
+    ("Apache-2.0", (
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:",
+    )),
+    ("MPL-2.0", ("Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:", "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License.")),
+    ("EPL-1.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",)),
+    ("EPL-2.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)),
+    ("EPL-2.0", ("THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\").",)),
+    ("CC0-1.0", ("has waived all copyright and related or neighboring rights to this work.",)),
+    ("CC0-1.0", ("To the greatest extent permitted by, but not in contravention of, applicable law, Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights",)),
+    ("Unlicense", ("This is free and unencumbered software released into the public domain.",)),
+    ("Zlib", ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",)),
+    ("BSL-1.0", ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",)),
+    ("CDDL-1.0", ("The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").", "You may not use this file except in compliance with the License.")),
+    ("Artistic-2.0", ("This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",)),
+    ("MS-PL", ("This license governs use of the accompanying software.", "If you use the software, you accept this license.")),
+    ("GPL-2.0", ("The GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",)),
+    ("GPL-3.0", ("The GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",)),
+    ("LGPL-2.1", ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License",)),
+    ("PSF-2.0", ("This LICENSE AGREEMENT is between the Python Software Foundation (\"PSF\"), and the Individual or Organization (\"Licensee\") accessing and otherwise using this software (\"Python\") in source or binary form and its associated documentation.",)),
+    ("OFL-1.1", ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",)),
+    ("PostgreSQL", ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",)),
 )
 
+#: Licence names as short notices give them; a version follows the name.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "MPL-2.0": ("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GPLv2"), "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPLv2.1"), "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPLv3"), "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0"), "BSL-1.0": ("Boost Software License, Version 1.0",), "Unlicense": ("Unlicense",), "Zlib": ("zlib License",),
+}
+#: The public licences of one family, with their parts' names.
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+VERSIONS = {"3.0": "Unported", "4.0": "International"}
+OPENINGS = ("Licensed under", "Released under", "Distributed under", "This project is licensed under", "This work is licensed under", "This software is licensed under", "This code is licensed under")
+
+
+def short_rules() -> Iterator[tuple[str, tuple[str, ...]]]:
+    """Rules of one sentence: each opening with each title, and each licence's identifier line."""
+    for name, titles in TITLES.items():
+        for opening in OPENINGS:
+            yield from ((name, (f"{opening} the {title}.",)) for title in titles)
+    for kind, long in CREATIVE.items():
+        for version, area in VERSIONS.items():
+            for opening in OPENINGS:
+                for title in (f"CC {kind} {version}", f"a Creative Commons {long} {version} {area} License", f"the Creative Commons {long} {version} {area} License"):
+                    yield f"CC-{kind}-{version}", (f"{opening} {title}.",)
+    names = dict.fromkeys([*(n for n, _ in PUBLISHED), *TITLES, *(f"CC-{k}-{v}" for k in CREATIVE for v in VERSIONS)])
+    for name in names:
+        for suffix in ("-only", "-or-later", "") if "GPL" in name else ("",):
+            yield name, (f"SPDX-License-Identifier: {name}{suffix}",)
+
+
+RULES: tuple[tuple[str, tuple[str, ...]], ...] = (*PUBLISHED, *short_rules())
+
 #: A sentence ends at a stop, mark or colon before white space, unless the line goes on in lower case, and at a line's end unless the next line does.
 BREAK = re.compile(r"(?<=[.!?:;])(?:[\x20\x09]+(?=[^a-z])|[\x20\x09]*[\x0A-\x0D]+)|\n(?![\x20\x09]*[a-z])")
 #: Words of a text or sentence; a line comment's word at a line's start is none.
@@ -114,7 +151,7 @@ def words_of(text: str) -> list[str]:
 
 
 #: Each known sentence holds one of these.
-SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright", "acknowledg")
+SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright", "acknowledg", "public domain", "gpl", "under cc", "derivative works")
 
 
 @lru_cache(maxsize=1)
@@ -134,6 +171,15 @@ def heads() -> dict[tuple[str, ...], list[tuple[str, ...]]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def openings() -> dict[int, list[tuple[str, tuple[int, ...]]]]:
+    """Rules by their first sentence, the longest first."""
+    out: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
+    for rule in sorted(rulebook()[1], key=lambda r: -len(r[1])):
+        out.setdefault(rule[1][0], []).append(rule)
+    return out
+
+
 def known_sentences(text: str) -> list[tuple[int, int, int]]:
     """Known sentences as (identifier, first, last), in order; of those that begin at one word the longest."""
     low = text.lower()
@@ -141,9 +187,6 @@ def known_sentences(text: str) -> list[tuple[int, int, int]]:
         return []
     plain = REMARK.sub(lambda m: " " * len(m[0]), text)
     words = words_of(plain)
-    joined = f" {' '.join(words)} "
-    if not any(f" {' '.join(h)} " in joined for h in heads()):
-        return []
     ids, by_head = rulebook()[0], heads()
     spans = [m.span() for m in WORD.finditer(plain)]
 
@@ -173,11 +216,11 @@ def known_sentences(text: str) -> list[tuple[int, int, int]]:
 
 def licences(text: str) -> list[tuple[str, int, int]]:
     """Licences as (name, first, last): at each known sentence the longest rule that begins there; its sentences are then used up."""
-    _, rules = rulebook()
+    by_first = openings()
     sentences, out, at = known_sentences(text), [], 0
     ids = [s[0] for s in sentences]
     while at < len(ids):
-        best = max((r for r in rules if tuple(ids[at : at + len(r[1])]) == r[1]), key=lambda r: len(r[1]), default=None)
+        best = next((r for r in by_first.get(ids[at], ()) if tuple(ids[at : at + len(r[1])]) == r[1]), None)
         if best:
             out.append((best[0], sentences[at][1], sentences[at + len(best[1]) - 1][2]))
         at += len(best[1]) if best else 1
