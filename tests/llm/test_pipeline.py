@@ -3,9 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from llm_data import documents_of
 from massweave.llm.common import materialize
-from test_operators import brute_components, brute_fingerprint, brute_targets, norm
+from test_llm_operators import brute_components, brute_fingerprint, brute_targets, norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,12 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert documents_of(spark).count() == 1000
+
+
+@pytest.mark.parametrize("case", ["odd", "none"])
+def test_run_on_odd_rows(spark, odd, none, tmp_path, case):
+    """Nulls, empty and long texts, repeated rows, clashing names; and no rows at all."""
+    (odd if case == "odd" else none).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, 0)] if case == "odd" else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    assert (pieces.count() > 0) == (case == "odd") and "ids_crc32" in pieces.columns
