@@ -120,17 +120,21 @@ def formula_coverage(spectra: DataFrame, peaks: DataFrame, frag_formulas: DataFr
     reach = (lambda x: x * tol * 1e-6) if ppm else (lambda x: F.lit(tol))
     width = most * tol * 1e-6 * 1.0001 if ppm else tol * 1.001
     near = band_join(peaks.withColumn("mz", at_most("mz", most, "m/z")) if ppm else peaks, shifted, ["spec_id"], "mz", "o_mz", F.abs(F.col("mz") - F.col("o_mz")) < reach(F.col("mz")), width)
-    hits = near.select("spec_id", "peak_idx", "ints", "formula_idx", "k").distinct()
-    by_peak = hits.groupBy("spec_id", "peak_idx", "ints").agg(F.count("*").alias("n_peak"), F.countDistinct("formula_idx").alias("n_formula"))
-    covered = by_peak.groupBy("spec_id").agg(F.count("*").alias("c"), F.sum("ints").alias("ci"), F.avg("n_peak").alias("peaks_per_true"), F.avg("n_formula").alias("formulas_per_true"))
-    used = hits.select("spec_id", "formula_idx", "k").distinct().groupBy("spec_id").agg(F.count("*").alias("u"))
+    # One array of distinct hits for each spectrum says all: no spectrum has more than its peaks times its formulas.
+    hit = F.col("_h")
+    parts = lambda *names: F.size(F.array_distinct(F.transform(hit, lambda x: F.struct(*[x[n].alias(n) for n in names]))))
+    found = near.groupBy("spec_id").agg(F.collect_set(F.struct("peak_idx", "ints", "formula_idx", "k")).alias("_h"))
+    seen = F.array_distinct(F.transform(hit, lambda x: F.struct(x["peak_idx"].alias("i"), x["ints"].alias("x"))))
+    found = found.select("spec_id", F.size(seen).alias("c"), F.aggregate(seen, F.lit(0.0), lambda a, x: a + x["x"]).alias("ci"), F.size(hit).alias("_n"), parts("peak_idx", "formula_idx").alias("_f"), parts("formula_idx", "k").alias("u"))
     base = theory.groupBy("spec_id").agg(
-        F.count_if(F.col("prob") > 0).alias("m"), F.max("prec_mz").alias("prec_mz"),
+        F.count_if(F.col("prob") > 0).alias("m"),
         F.max(F.when(F.abs(F.col("_mz") + F.when(F.col("prob") > 0, F.col("mz_shift")).otherwise(0.0) - F.col("prec_mz")) < reach(F.col("prec_mz")), 1.0).otherwise(0.0)).alias("prec_recall"),
     )
-    own = peaks.join(base.select("spec_id", "prec_mz"), "spec_id").groupBy("spec_id").agg(F.count("*").alias("n"), F.sum("ints").alias("ni"), F.max(F.when(F.abs(F.col("mz") - F.col("prec_mz")) < reach(F.col("prec_mz")), 1.0).otherwise(0.0)).alias("prec_spec_recall"))
-    rows = own.join(base, "spec_id").join(covered, "spec_id", "left").join(used, "spec_id", "left").fillna({"c": 0, "ci": 0.0, "u": 0})
-    return rows.select("spec_id", (F.col("c") / F.col("n")).alias("recall"), (F.col("ci") / F.col("ni")).alias("wt_recall"), (F.col("u") / F.col("m")).alias("precision"), "peaks_per_true", "formulas_per_true", "prec_recall", "prec_spec_recall")
+    at = F.abs(F.col("mz") - F.col("prec_mz")) < reach(F.col("prec_mz"))
+    own = peaks.join(s.select("spec_id", "prec_mz"), "spec_id").groupBy("spec_id").agg(F.count("*").alias("n"), F.sum("ints").alias("ni"), F.max(F.when(at, 1.0).otherwise(0.0)).alias("prec_spec_recall"))
+    rows = own.join(base, "spec_id").join(found, "spec_id", "left").fillna({"c": 0, "ci": 0.0, "u": 0})
+    each = lambda n: (F.col(n) / F.nullif("c", F.lit(0)))
+    return rows.select("spec_id", (F.col("c") / F.col("n")).alias("recall"), (F.col("ci") / F.col("ni")).alias("wt_recall"), (F.col("u") / F.col("m")).alias("precision"), each("_n").alias("peaks_per_true"), each("_f").alias("formulas_per_true"), "prec_recall", "prec_spec_recall")
 
 
 def annotation_agreement(true: DataFrame, pred: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, near: Column, width: float, how: str = "inner") -> DataFrame:
     """Rows of both sides with equal ``keys`` and ``near``, which must imply ``abs(x - y) <= width``.
 
-    The left side's rows go to their bucket and both neighbours, the right side's to one, so a pair
-    meets once. Both sides' column names must differ, but for ``keys``.
+    The right side's rows go to one bucket, the left side's to the one or two that their window
+    touches, so a pair meets once. Within keys (a spectrum) buckets are wide, and few rows go to two.
+    Both sides' column names must differ, but for ``keys``.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    a = left.withColumn("_b", F.explode(F.array(bucket(x) - 1, bucket(x), bucket(x) + 1)))
-    b = right.withColumn("_b", bucket(y))
+    size = width * (8 if keys else 2)
+    low, high = F.floor((F.col(x) - width) / size), F.floor((F.col(x) + width) / size)
+    a = left.withColumn("_b", F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
+    b = right.withColumn("_b", F.floor(F.col(y) / size))
     return a.join(b.withColumnsRenamed({k: f"_r_{k}" for k in keys} | {"_b": "_r_b"}), _all([F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_b") == F.col("_r_b"), near]), how).drop("_b", "_r_b", *[f"_r_{k}" for k in keys])
 
 
