@@ -112,10 +112,14 @@ def shards_for(df: DataFrame, shards: int | None) -> int:
     return shards or max(1, -(-df.count() // SHARD))
 
 
+def shard_of(seed: int, key: str, shards: int) -> Column:
+    return F.pmod(F.conv(F.substring(hash_order(seed, key), 9, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
+
+
 def greedy_pack(df: DataFrame, key: str, budgets: dict[str, int], shards: int | None = None, drop_oversize: bool = True, flush_every: int | None = None, seed: int = 420) -> DataFrame:
     """``key, shard, batch``: rows packed in a seeded order, each shard on its own, until a budget is full."""
     names, shards = list(budgets), shards_for(df, shards)
-    rows = df.select(key, *names, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), hash_order(seed, key).alias("_h"))
+    rows = df.select(key, *names, shard_of(seed, key, shards).alias("shard"), hash_order(seed, key).alias("_h"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_h", key])

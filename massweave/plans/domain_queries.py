@@ -144,7 +144,25 @@ def coiso_fraction_group(v: Views) -> DataFrame:
     return isotopes.group_fraction(f, ["mol_id"], "f_1", least=1)
 
 
-@query()
+MOL_M2 = f"(CASE mol_id % 3 WHEN 0 THEN 2 * {M2['O']}::DOUBLE WHEN 1 THEN {M2['Cl']}::DOUBLE ELSE {M2['S']}::DOUBLE END)"
+ADD_MASS = f"CASE prec_type WHEN '[M]+' THEN 0 WHEN '[M+Na]+' THEN {formula.MASSES['Na']}::DOUBLE ELSE {formula.MASSES['H']}::DOUBLE END"
+
+
+def _ratio(scale: str) -> str:
+    return f"greatest(CASE k WHEN 1 THEN m1 * {scale} + a1 ELSE pow(m1 * {scale} + a1, 2) / 2 + m2 * {scale} END, 1e-4::DOUBLE)"
+
+
+@query(sql(["spectra", "molecules", "peaks", "isotope_peaks"], """SELECT spec_id, peak_idx, round(mz, 6) AS mz, ints FROM (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY spec_id) AS n FROM flags) WHERE n = 0 OR NOT gone""",
+  s=f"SELECT spec_id, prec_mz, delta, prec_mz - delta AS whole, m1, m2, a1 FROM (SELECT spec_id, p.prec_mz, {ADD_MASS} AS delta, {MOL_M1} AS m1, {MOL_M2} AS m2, {ADD_M1} AS a1 FROM spectra JOIN molecules USING (mol_id) JOIN (SELECT spec_id, max(mz) AS prec_mz FROM peaks GROUP BY spec_id) p USING (spec_id) WHERE inst_type = 'FT') WHERE prec_mz - delta > 0",
+  pair=f"""SELECT *, {_ratio('share')} AS r_frag, {_ratio('1')} AS r_prec FROM (SELECT x.spec_id, x.peak_idx, x.ints, x.k, x.o_idx, x.o_ints, s.m1, s.m2, s.a1, greatest(0, least(1, (x.mz - s.delta) / s.whole)) AS share FROM (
+    SELECT p.spec_id, p.peak_idx, p.mz, p.ints, k, arg_max(o.peak_idx, {{'i': o.ints, 'm': -o.mz}}) AS o_idx, max(o.ints) AS o_ints FROM isotope_peaks p, (SELECT unnest([1, 2]) AS k), isotope_peaks o
+    WHERE o.spec_id = p.spec_id AND o.mz >= p.mz + k * 1.003355::DOUBLE - 0.008::DOUBLE AND o.mz <= p.mz + k * 1.003355::DOUBLE + 0.008::DOUBLE AND (k > 1 OR abs(o.mz - (p.mz + k * 1.003355::DOUBLE)) <= 0.004::DOUBLE) GROUP BY 1, 2, 3, 4, 5) x JOIN s USING (spec_id))""",
+  f="""SELECT spec_id, k, f FROM (SELECT spec_id, k, count(*) AS n, quantile_cont(f, 0.5) AS f, stddev_pop(f) AS s FROM (SELECT spec_id, k, CASE WHEN d > 0 THEN seen / d END AS f FROM (
+    SELECT *, o_ints / ints AS seen, CASE k WHEN 1 THEN r_frag - o_ints / ints * (r_prec - r_frag) ELSE r_frag END AS d FROM pair WHERE ints > 0 AND o_ints < ints)) WHERE f IS NOT NULL GROUP BY 1, 2) WHERE f >= 0.05 AND (n = 1 OR s / f <= 0.6)""",
+  good="""SELECT * FROM (SELECT pair.*, CASE pair.k WHEN 1 THEN f.f * r_frag / (1 + f.f * (r_prec - r_frag)) ELSE f.f * r_frag END AS want FROM pair JOIN f ON f.spec_id = pair.spec_id AND f.k = pair.k) WHERE o_ints < ints AND o_ints / ints BETWEEN 0.05 * want AND 10 * want""",
+  leak="SELECT spec_id, o_idx FROM good WHERE k = 1 UNION SELECT spec_id, o_idx FROM good g WHERE k = 2 AND EXISTS (SELECT 1 FROM good h WHERE h.k = 1 AND h.spec_id = g.spec_id AND h.peak_idx = g.peak_idx)",
+  spaced="SELECT DISTINCT p.spec_id, p.peak_idx FROM isotope_peaks p, (SELECT unnest([1, 2, 3]) AS k), isotope_peaks o WHERE o.spec_id = p.spec_id AND o.mz >= p.mz - k * 1.008665::DOUBLE - 0.02::DOUBLE AND o.mz <= p.mz - k * 1.008665::DOUBLE + 0.02::DOUBLE AND o.ints >= p.ints",
+  flags="SELECT p.*, (p.spec_id, p.peak_idx) IN (SELECT * FROM leak) OR (p.spec_id, p.peak_idx) IN (SELECT * FROM spaced) AS gone FROM isotope_peaks p"))
 def isotope_cleanup(v: Views) -> DataFrame:
     """Peaks without regular isotopes or what co-isolation explains; no spectrum is emptied."""
     p, s = v.isotope_peaks(), precursor_spectra(v)
@@ -273,7 +291,10 @@ def stream_dedup(v: Views) -> DataFrame:
     return drained(v, jobs.first_seen(events(v).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
 
 
-@query()
+@query(sql([], """SELECT r.shard::INT AS shard, b.batch, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, sum(size)::BIGINT AS total FROM (WITH RECURSIVE b AS (
+    SELECT shard, 0::BIGINT AS batch, 0::HUGEINT AS base, max(cum) AS top FROM r WHERE cum <= 64 GROUP BY shard UNION ALL
+    SELECT b.shard, b.batch + 1, b.top, max(r.cum) FROM b JOIN r ON r.shard = b.shard AND r.cum > b.top AND r.cum <= b.top + 64 GROUP BY 1, 2, 3) SELECT * FROM b) b JOIN r ON r.shard = b.shard AND r.cum > b.base AND r.cum <= b.top GROUP BY 1, 2""",
+  sh="SELECT event_id AS id, event_id % 9 + 1 AS size, event_id % greatest(1, ceil(count(*) OVER () / 20000.0))::BIGINT AS shard FROM events", r="SELECT *, sum(size) OVER (PARTITION BY shard ORDER BY id ROWS UNBOUNDED PRECEDING) AS cum FROM sh"))
 def stream_pack(v: Views) -> DataFrame:
     """Events packed into batches of at most 64 units, each shard's open batch being its state; a last micro-batch holds a flush row for each shard."""
     one, path = v.table("events"), scratch(v.spark)

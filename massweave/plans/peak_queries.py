@@ -187,7 +187,20 @@ def pairwise_cosine_topk(v: Views) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.round("cos", 6).desc(), "b"))).where("r <= 5").drop("r")
 
 
-@query()
+#: Best assignments of tangled peaks: all partial ones of a spectrum, one true peak after another; what has only each other is taken.
+ASSIGN = {
+    "ht": "SELECT spec_id, mz, ints / greatest(sqrt(sum(ints * ints) OVER (PARTITION BY spec_id)), 1e-7) AS x FROM (SELECT spec_id, floor(mz * 10000 + 0.5) / 10000 AS mz, sum(ints) AS ints FROM true_side GROUP BY 1, 2)",
+    "hp": "SELECT spec_id, mz, ints / greatest(sqrt(sum(ints * ints) OVER (PARTITION BY spec_id)), 1e-7) AS x FROM (SELECT spec_id, floor(mz * 10000 + 0.5) / 10000 AS mz, sum(ints) AS ints FROM pred_side GROUP BY 1, 2)",
+    "deg": "SELECT *, count(*) OVER (PARTITION BY spec_id, t) AS dt, count(*) OVER (PARTITION BY spec_id, p) AS dp FROM (SELECT ht.spec_id, ht.mz AS t, hp.mz AS p, ht.x * hp.x AS score FROM ht JOIN hp ON ht.spec_id = hp.spec_id AND abs(ht.mz - hp.mz) / greatest(ht.mz, 200) < 1e-5::DOUBLE)",
+    "tq": "SELECT spec_id, dense_rank() OVER (PARTITION BY spec_id ORDER BY t) AS i, p, score FROM deg WHERE dt > 1 OR dp > 1",
+    "own": "SELECT spec_id, sum(score) AS total FROM deg WHERE dt = 1 AND dp = 1 GROUP BY spec_id",
+    "rest": """SELECT spec_id, max(total) AS total FROM (WITH RECURSIVE st AS (SELECT DISTINCT spec_id, 0::BIGINT AS i, []::DOUBLE[] AS used, 0.0::DOUBLE AS total FROM tq UNION ALL
+      SELECT st.spec_id, st.i + 1, CASE WHEN o.p IS NULL THEN used ELSE list_append(used, o.p) END, total + coalesce(o.score, 0) FROM st JOIN (SELECT spec_id, i, p, score FROM tq UNION ALL SELECT DISTINCT spec_id, i, NULL, NULL FROM tq) o ON o.spec_id = st.spec_id AND o.i = st.i + 1 WHERE o.p IS NULL OR NOT list_contains(used, o.p)) SELECT * FROM st) GROUP BY spec_id""",
+}
+MATCHED = "SELECT {} round(coalesce(own.total, 0) + coalesce(rest.total, 0), 6) AS cos_hun FROM (SELECT DISTINCT spec_id FROM ids) i LEFT JOIN own USING (spec_id) LEFT JOIN rest USING (spec_id)"
+
+
+@query(sql(["peaks", "pred_peaks"], MATCHED.format("spec_id,"), true_side="SELECT * FROM peaks", pred_side="SELECT * FROM pred_peaks", ids="SELECT spec_id FROM peaks", **ASSIGN))
 def hungarian_cosine(v: Views) -> DataFrame:
     return matching.matched_cosine(v.plain_peaks(), v.pred_peaks())
 
@@ -197,13 +210,30 @@ def hungarian_jss(v: Views) -> DataFrame:
     return matching.matched_jss(v.plain_peaks(), v.pred_peaks())
 
 
-@query()
+#: The same with raw intensities, and the pairs of the best assignment.
+PAIRS = {
+    "ht": "SELECT spec_id, floor(mz * 10000 + 0.5) / 10000 AS mz, sum(ints) AS x FROM peaks GROUP BY 1, 2", "hp": "SELECT spec_id, floor(mz * 10000 + 0.5) / 10000 AS mz, sum(ints) AS x FROM pred_peaks GROUP BY 1, 2", "deg": ASSIGN["deg"],
+    "tq": "SELECT spec_id, dense_rank() OVER (PARTITION BY spec_id ORDER BY t) AS i, t, p, score FROM deg WHERE dt > 1 OR dp > 1",
+    "bp": """SELECT spec_id, unnest(arg_max(taken, total)) AS x FROM (WITH RECURSIVE st AS (SELECT DISTINCT spec_id, 0::BIGINT AS i, []::DOUBLE[] AS used, []::STRUCT(t DOUBLE, p DOUBLE)[] AS taken, 0.0::DOUBLE AS total FROM tq UNION ALL
+      SELECT st.spec_id, st.i + 1, CASE WHEN o.p IS NULL THEN used ELSE list_append(used, o.p) END, CASE WHEN o.p IS NULL THEN taken ELSE list_append(taken, {'t': o.t, 'p': o.p}) END, total + coalesce(o.score, 0)
+      FROM st JOIN (SELECT spec_id, i, t, p, score FROM tq UNION ALL SELECT DISTINCT spec_id, i, NULL, NULL, NULL FROM tq) o ON o.spec_id = st.spec_id AND o.i = st.i + 1 WHERE o.p IS NULL OR NOT list_contains(used, o.p)) SELECT * FROM st) GROUP BY spec_id""",
+    "m": "SELECT spec_id, t, p FROM deg WHERE dt = 1 AND dp = 1 UNION ALL SELECT spec_id, x.t, x.p FROM bp",
+    "inn": "SELECT m.spec_id, t, p, ht.x AS gain, hp.x AS shown FROM m JOIN ht ON ht.spec_id = m.spec_id AND ht.mz = t JOIN hp ON hp.spec_id = m.spec_id AND hp.mz = p",
+    "uni": """SELECT spec_id, t, p, coalesce(gain, 0) AS gain, coalesce(shown, -row_number() OVER (PARTITION BY spec_id, shown IS NULL ORDER BY gain DESC, t)) AS shown FROM (
+      SELECT coalesce(a.spec_id, hp.spec_id) AS spec_id, a.t, hp.mz AS p, a.gain, hp.x AS shown FROM (SELECT ht.spec_id, ht.mz AS t, ht.x AS gain, m.p FROM ht LEFT JOIN m ON m.spec_id = ht.spec_id AND m.t = ht.mz) a FULL JOIN hp ON hp.spec_id = a.spec_id AND hp.mz = a.p)""",
+}
+RANKED = "SELECT spec_id, sum(gain / log2(r + 1)) / nullif(sum(gain / log2(i + 1)), 0) AS v FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY shown DESC, t NULLS LAST, p NULLS FIRST) AS r, row_number() OVER (PARTITION BY spec_id ORDER BY gain DESC, t NULLS LAST, p NULLS FIRST) AS i FROM {}) GROUP BY spec_id"
+
+
+@query(sql(["peaks", "pred_peaks"], "SELECT spec_id, round(coalesce(a.v, 0), 6) AS ndcg, round(coalesce(b.v, 0), 6) AS ndcg_union FROM (SELECT DISTINCT spec_id FROM peaks) LEFT JOIN a USING (spec_id) LEFT JOIN b USING (spec_id)", **PAIRS, a=RANKED.format("inn"), b=RANKED.format("uni")))
 def matched_ndcg(v: Views) -> DataFrame:
     t, p = v.plain_peaks(), v.pred_peaks()
     return matching.matched_ndcg(t, p).join(matching.matched_ndcg(t, p, union=True).withColumnRenamed("ndcg", "ndcg_union"), "spec_id")
 
 
-@query()
+@query(sql(["peaks"], MATCHED.format("split_part(spec_id, '-', 1)::BIGINT AS a, split_part(spec_id, '-', 2)::BIGINT AS b,"),
+  bins="SELECT DISTINCT spec_id, floor(round(mz / 0.01::DOUBLE, 6)) AS bin FROM peaks", pr="SELECT DISTINCT x.spec_id AS a, y.spec_id AS b FROM bins x JOIN bins y ON x.bin = y.bin AND x.spec_id < y.spec_id",
+  ids="SELECT concat(a, '-', b) AS spec_id FROM pr", true_side="SELECT concat(a, '-', b) AS spec_id, mz, ints FROM pr JOIN peaks ON spec_id = a", pred_side="SELECT concat(a, '-', b) AS spec_id, mz, ints FROM pr JOIN peaks ON spec_id = b", **ASSIGN))
 def pairwise_hungarian(v: Views) -> DataFrame:
     """Matched cosine of every two spectra that share a hundredth-Dalton bin."""
     p = v.plain_peaks()

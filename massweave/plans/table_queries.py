@@ -208,7 +208,13 @@ def weighted_draws(v: Views) -> DataFrame:
     return splits.weighted_draws(rows, rows.count(), "w", "spec_id")
 
 
-@query()
+#: Batches one after another: each ends at the last row that keeps its sums within the budgets.
+@query(sql(["peaks"], """SELECT r.spec_id, r.shard, b.batch::INT AS batch FROM (WITH RECURSIVE b AS (
+    SELECT shard, 0::BIGINT AS batch, 0::HUGEINT AS n0, 0::HUGEINT AS e0, max(cn) AS n1, max(ce) AS e1 FROM r WHERE cn <= 64 AND ce <= 400 GROUP BY shard UNION ALL
+    SELECT b.shard, b.batch + 1, b.n1, b.e1, max(r.cn), max(r.ce) FROM b JOIN r ON r.shard = b.shard AND r.cn > b.n1 AND r.cn <= b.n1 + 64 AND r.ce <= b.e1 + 400 GROUP BY 1, 2, 3, 4) SELECT * FROM b) b JOIN r ON r.shard = b.shard AND r.cn > b.n0 AND r.cn <= b.n1""",
+  one="SELECT spec_id, count(*) AS nodes, count(*) * count(*) AS edges, md5(concat(spec_id::VARCHAR, '|420')) AS h FROM peaks GROUP BY spec_id",
+  sh="SELECT *, (concat('0x', h[9:16])::BIGINT % greatest(1, ceil(count(*) OVER () / 20000.0))::BIGINT)::INT AS shard FROM one",
+  r="SELECT *, sum(nodes) OVER w AS cn, sum(edges) OVER w AS ce FROM sh WHERE nodes <= 64 AND edges <= 400 WINDOW w AS (PARTITION BY shard ORDER BY h, spec_id ROWS UNBOUNDED PRECEDING)"))
 def greedy_pack(v: Views) -> DataFrame:
     n = v.plain_peaks().groupBy("spec_id").agg(F.count("*").alias("nodes")).withColumn("edges", F.col("nodes") * F.col("nodes"))
     return splits.greedy_pack(n, "spec_id", {"nodes": 64, "edges": 400})
