@@ -95,6 +95,12 @@ def pearson(x: str, y: str, exact: bool = False) -> Column:
     return F.corr(x, y) if exact else F.corr(x, y) * (n - 1) / n
 
 
+def same_group(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join on the keys of a grouping, in which null is a key like any other."""
+    on = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in by]
+    return left.alias("_l").join(right.alias("_r"), on, how).select("_l.*", *[F.col(f"_r.{c}") for c in right.columns if c not in by])
+
+
 def quantiles(df: DataFrame, by: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
     """Exact quantiles of each group, between neighbours in proportion; nulls don't count.
 
@@ -105,7 +111,7 @@ def quantiles(df: DataFrame, by: list[str], x: str, wanted: dict[str, float]) ->
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     placed = running(counts, [*by, "_x"], _n=F.col("_c"))
     sizes = placed.groupBy(*by).agg(F.min("_n").alias("_first"), F.sum("_c").alias("_size"))
-    rows = placed.join(sizes, by)
+    rows = same_group(placed, sizes, by)
     low = F.col("_n") - F.col("_first")
     out = []
     for name, q in wanted.items():
@@ -124,6 +130,24 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.join(found, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max", "nulls")
 
 
+def stratified(df: DataFrame, by: list[str], x: str, least: int) -> DataFrame:
+    """Count, median, mean, deviation, half a 95 % interval and range of a value in each stratum of at least so many rows."""
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (1.96 * F.stddev_samp(x) / F.sqrt(F.count("*"))).alias("ci95"), F.min(x).alias("min"), F.max(x).alias("max")).where(F.col("n") >= least)
+    return same_group(sums, quantiles(df, by, x, {"median": 0.5}), by, "left")
+
+
+def group_counts(grouped: DataFrame, group: str = "group_id", outer: str = "mol_id") -> DataFrame:
+    """``grouped`` with ``spec_per_group, groups_per_mol, spec_per_mol``."""
+    g = grouped.groupBy(group).agg(F.count("*").alias("spec_per_group"))
+    m = grouped.groupBy(outer).agg(F.countDistinct(group).alias("groups_per_mol"), F.count("*").alias("spec_per_mol"))
+    return grouped.join(g, group).join(m, outer)
+
+
+def one_of_each(df: DataFrame, by: list[str], key: str, size: str) -> DataFrame:
+    """``first, last, best``: of each group the smallest and the largest key, and the key of the largest row (the smaller one on ties)."""
+    return df.groupBy(*by).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.min_by(key, F.struct(-F.col(size), F.col(key))).alias("best"))
+
+
 def by_seed(df: DataFrame, by: list[str], seed: str, x: str) -> DataFrame:
     """Mean of each seed first, then mean and sample deviation over seeds."""
     return df.groupBy(*by, seed).agg(F.avg(x).alias("_x")).groupBy(*by).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.count("*").alias("seeds"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massweave.operators.aggregates import average_rank, quantiles
+from massweave.operators.aggregates import average_rank, quantiles, same_group
 from massweave.operators.joins import window_join
 from massweave.operators.ordering import unit
 
@@ -78,7 +78,7 @@ def summary(rows: DataFrame, by: list[str], flag: str = "is_target", score: str
     answer = F.when(F.col(flag), F.col(score))
     sums = rows.groupBy(*by).agg(n.alias("n"), *counts, *shares, F.avg(answer).alias("score_mean"), F.stddev_samp(answer).alias("score_std"), F.avg(hit).alias("rank_mean"), F.stddev_samp(hit).alias("rank_std"), F.avg(F.when(F.col("rank") == 1, F.col(similarity))).alias("first_similarity"))
     median = quantiles(rows.where(flag), by, "rank", {"rank_median": 0.5})
-    return sums.join(median, by, "left")
+    return same_group(sums, median, by, "left")
 
 
 def topk_curve(rows: DataFrame, by: list[str], seed: str, flag: str = "is_target", most: int = 50) -> DataFrame:

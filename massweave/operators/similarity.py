@@ -6,6 +6,8 @@ spectrum like it, so a score costs one shuffle.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,6 +62,20 @@ def binned_jss(true: DataFrame, pred: DataFrame, res: float = 0.01) -> DataFrame
     return rows.groupBy("spec_id").agg(F.when(F.max("p") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - jsd / F.ln(F.lit(2.0))))).otherwise(0.0).alias("jss"))
 
 
+def cosine_grid(true: DataFrame, pred: DataFrame, resolutions: tuple[float, ...], roots: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """Binned cosine for every combination of bin width and square root, one column each, from one pass over both tables."""
+    grid, zero = list(product(resolutions, roots)), F.lit(0.0)
+    name = lambda r, q: f"cos{'_sqrt' * q}_{r:g}"
+    side = lambda df, x, y: df.select("spec_id", "mz", x.alias("t"), y.alias("p"))
+    both = side(true, F.col("ints"), zero).unionByName(side(pred, zero, F.col("ints"))).repartition("spec_id")
+    config = F.explode(F.array(*[F.struct(F.lit(name(r, q)).alias("name"), F.lit(r).alias("res"), F.lit(q).alias("sqrt")) for r, q in grid]))
+    rows = both.withColumn("c", config).groupBy("spec_id", "c.name", "c.sqrt", F.floor(F.round(F.col("mz") / F.col("c.res"), 6)).alias("bin")).agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    root = lambda x: F.when(F.col("sqrt"), F.sqrt(x)).otherwise(F.col(x))
+    rows = rows.withColumns({"t": root("t"), "p": root("p")})
+    cos = rows.groupBy("spec_id", "name").agg(F.max("t").alias("_t"), (F.sum(F.col("t") * F.col("p")) / (norm(F.col("t")) * norm(F.col("p")))).alias("cos")).where("_t > 0")
+    return cos.groupBy("spec_id").agg(*[F.max(F.when(F.col("name") == name(r, q), F.col("cos"))).alias(name(r, q)) for r, q in grid])
+
+
 def matches(true: DataFrame, pred: DataFrame, tol: float | Column = 1e-5, floor: float | Column = 200.0, relative: bool = True, pred_divisor: bool = False, width: float = 0.05) -> DataFrame:
     """Pairs of peaks of one spectrum closer than the tolerance (strictly): ``spec_id, t_idx, t_mz, t_ints, p_idx, p_mz, p_ints``.
 

@@ -103,9 +103,7 @@ def threshold_sweep(v: Views) -> DataFrame:
   FROM (SELECT *, (floor(CASE WHEN inst_type = 'QTOF' THEN coalesce(ace, nce) ELSE coalesce(nce, ace) END / 10) * 10)::BIGINT AS ce_bin FROM spectra) GROUP BY 1, 2, 3 HAVING count(*) >= 5"""))
 def strat_ce_table(v: Views) -> DataFrame:
     ce = F.when(F.col("inst_type") == "QTOF", F.coalesce("ace", "nce")).otherwise(F.coalesce("nce", "ace"))
-    g = v.spectra().withColumn("ce_bin", F.floor(ce / 10) * 10).groupBy("prec_type", "inst_type", "ce_bin")
-    x = "prec_mz"
-    return g.agg(F.count("*").alias("n"), F.percentile(x, 0.5).alias("median"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (1.96 * F.stddev_samp(x) / F.sqrt(F.count("*"))).alias("ci95"), F.min(x).alias("min"), F.max(x).alias("max")).where("n >= 5")
+    return aggregates.stratified(v.spectra().withColumn("ce_bin", F.floor(ce / 10) * 10), ["prec_type", "inst_type", "ce_bin"], "prec_mz", 5)
 
 
 @query(sql(["isotope_peaks"], """SELECT p.spec_id, p.peak_idx, EXISTS (SELECT 1 FROM isotope_peaks o, (SELECT unnest([1, 2, 3]) AS k) WHERE o.spec_id = p.spec_id AND o.mz >= p.mz - k * 1.008665::DOUBLE - 0.02::DOUBLE AND o.mz <= p.mz - k * 1.008665::DOUBLE + 0.02::DOUBLE AND o.ints >= p.ints) AS isotope FROM isotope_peaks p"""))

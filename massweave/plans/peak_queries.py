@@ -254,16 +254,4 @@ def weighted_cosine_by_instrument(v: Views) -> DataFrame:
   **{f"{n}{k}": body.replace("tb", f"tb{k}").replace("pb", f"pb{k}").replace("FROM duo", f"FROM duo{k}") for k, (r, q) in {1: ("1.0", False), 2: ("1.0", True), 3: ("10.0", False), 4: ("10.0", True)}.items() for n, body in (paired(r, sqrt=q) | {"c": COS}).items()}))
 def metric_grid(v: Views) -> DataFrame:
     """Cosine for every combination of bin width and square root, from one pass over both tables."""
-    from itertools import product
-
-    t, p = v.plain_peaks(), v.pred_peaks()
-    grid = list(product((1.0, 10.0), (False, True)))
-    zero = F.lit(0.0)
-    side = lambda df, x, y: df.select("spec_id", "mz", x.alias("t"), y.alias("p"))
-    both = side(t, F.col("ints"), zero).unionByName(side(p, zero, F.col("ints"))).repartition("spec_id")
-    config = F.explode(F.array(*[F.struct(F.lit(f"cos{'_sqrt' * q}_{r:g}").alias("name"), F.lit(r).alias("res"), F.lit(q).alias("sqrt")) for r, q in grid]))
-    rows = both.withColumn("c", config).groupBy("spec_id", "c.name", "c.sqrt", F.floor(F.round(F.col("mz") / F.col("c.res"), 6)).alias("bin")).agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
-    root = lambda x: F.when(F.col("sqrt"), F.sqrt(x)).otherwise(F.col(x))
-    rows = rows.withColumn("t", root("t")).withColumn("p", root("p"))
-    cos = rows.groupBy("spec_id", "name").agg(F.max("t").alias("_t"), (F.sum(F.col("t") * F.col("p")) / (similarity.norm(F.col("t")) * similarity.norm(F.col("p")))).alias("cos")).where("_t > 0")
-    return cos.groupBy("spec_id").agg(*[F.max(F.when(F.col("name") == n, F.col("cos"))).alias(n) for n in (f"cos{'_sqrt' * q}_{r:g}" for r, q in grid)])
+    return similarity.cosine_grid(v.plain_peaks(), v.pred_peaks(), (1.0, 10.0))

@@ -134,9 +134,7 @@ def formula_subsets_all(v: Views) -> DataFrame:
 
 @query(sql(["grouped"], """SELECT spec_id, group_id, (SELECT count(*) FROM grouped g WHERE g.group_id = s.group_id) AS spec_per_group, m.groups_per_mol, m.spec_per_mol FROM grouped s JOIN (SELECT mol_id, count(DISTINCT group_id) AS groups_per_mol, count(*) AS spec_per_mol FROM grouped GROUP BY mol_id) m USING (mol_id)"""))
 def group_ids_and_counts(v: Views) -> DataFrame:
-    g = v.grouped()
-    m = g.groupBy("mol_id").agg(F.countDistinct("group_id").alias("groups_per_mol"), F.count("*").alias("spec_per_mol"))
-    return g.withColumn("spec_per_group", F.count("*").over(W.partitionBy("group_id"))).join(m, "mol_id").select("spec_id", "group_id", "spec_per_group", "groups_per_mol", "spec_per_mol")
+    return aggregates.group_counts(v.grouped()).select("spec_id", "group_id", "spec_per_group", "groups_per_mol", "spec_per_mol")
 
 
 @query(sql(["spectra", "molecules"], """SELECT spec_id, concat_ws(',', CASE WHEN s.f <> m.formula THEN 'formula' END, CASE WHEN abs(s.mw - m.exact_mw) > 0.1 THEN 'exact_mw' END) AS reason FROM (
@@ -153,9 +151,7 @@ def audit_mismatches(v: Views) -> DataFrame:
   n="SELECT s.spec_id, mol_id, prec_type, coalesce(c.n, 0) AS n_peaks FROM spectra s LEFT JOIN (SELECT spec_id, count(*) AS n FROM peaks GROUP BY spec_id) c USING (spec_id)", f="SELECT mol_id, prec_type, min(spec_id) AS first_spec, max(spec_id) AS last_spec FROM spectra GROUP BY mol_id, prec_type"))
 def dedup_first_last(v: Views) -> DataFrame:
     n = v.spectra().join(v.plain_peaks().groupBy("spec_id").agg(F.count("*").alias("n_peaks")), "spec_id", "left").fillna({"n_peaks": 0})
-    by = W.partitionBy("mol_id", "prec_type")
-    best = n.withColumn("r", F.row_number().over(by.orderBy(F.desc("n_peaks"), "spec_id"))).where("r = 1").select("mol_id", "prec_type", F.col("spec_id").alias("best_spec"))
-    return n.groupBy("mol_id", "prec_type").agg(F.min("spec_id").alias("first_spec"), F.max("spec_id").alias("last_spec")).join(best, ["mol_id", "prec_type"])
+    return aggregates.one_of_each(n, ["mol_id", "prec_type"], "spec_id", "n_peaks").withColumnsRenamed({k: f"{k}_spec" for k in ("first", "last", "best")})
 
 
 KEYS = "SELECT inchikey_s, row_number() OVER (ORDER BY md5(concat(inchikey_s, '|420')), inchikey_s) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT inchikey_s FROM molecules)"

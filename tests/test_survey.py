@@ -271,7 +271,7 @@ def test_merged_values(spark):
 
 def test_quantiles(spark):
     rng = random.Random(3)
-    rows = [(g, float(rng.randrange(9))) for g in range(3) for _ in range(rng.randrange(1, 30))] + [(0, None)]
+    rows = [(g, float(rng.randrange(9))) for g in range(3) for _ in range(rng.randrange(1, 30))] + [(0, None), (None, 4.0), (None, 6.0)]
     got = aggregates.quantiles(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", {"a": 0.25, "b": 0.5, "c": 1.0}).collect()
     for r in got:
         x = [v for g, v in rows if g == r["g"] and v is not None]
