@@ -21,9 +21,7 @@ ranks; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +37,8 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLDS = 10
 #: Words with their counts that every task holds, at most.
 HOT = 200_000
-#: Distinct words that a task counts before it hands them on.
-KEEP = 300_000
+#: Words with counts (of a batch each) that a task holds before it adds them up and hands them on.
+KEEP = 1_000_000
 #: Passes of forward-backward, and what is added to the expected count of each piece.
 ROUNDS, FLOOR = 2, 0.01
 #: Words whose lattices are worked on in step, and characters from which a word is on its own (its places must fit 16 bits).
@@ -62,21 +60,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over the training documents; the word "" is the end of a document."""
 
     def count(batches):
-        schema, seen = pa.schema([("word", pa.string()), ("n", pa.int64())]), Counter()
+        schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+        held: list[pa.Table] = []
+        rows = ended = 0
         for batch, texts in by_bytes(batches):
-            for one in words_of(texts).values.value_counts().to_pylist():
-                if one["values"]:
-                    seen[one["values"]] += one["counts"]
-            seen[""] += batch.num_rows
-            if len(seen) > KEEP:
-                yield from flush(schema, seen)
-        yield from flush(schema, seen)
-
-    def flush(schema, seen):
-        entries = iter(seen.items())
-        while part := list(islice(entries, 50_000)):
-            yield table(schema, word=[w for w, _ in part], n=[n for _, n in part])
-        seen.clear()
+            found = words_of(texts).values.value_counts()
+            one = pa.table([found.field("values").cast(pa.string()), found.field("counts")], schema=schema)
+            held.append(one.filter(pc.not_equal(one.column("word"), "")))
+            rows, ended = rows + len(found), ended + batch.num_rows
+            if rows > KEEP:
+                yield from merged(held)
+                held, rows = [], 0
+        if ended:
+            yield from merged([*held, pa.table([[""], [ended]], schema=schema)])
+
+    def merged(held: list[pa.Table]):
+        yield from pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches(max_chunksize=50_000)
 
     train = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
     return small_batches(train).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
