@@ -9,6 +9,10 @@ so each fingerprint goes to the 15 grid cells that a pair of blocks and its coun
 cell the Manhattan distance is tested first, then the Hamming distance. A cell only hands on a
 spanning star of each of its groups, never all its pairs.
 
+One fingerprint of 64 bits finds copies with few edits only, so near-dedup takes PRINTS of them, over
+words in fives, from one hash of each shingle mixed anew: documents alike by 0.85 to 0.9 of their shingles agree
+to four bits in one fingerprint in four to ten. A link in any of them is a link.
+
 Skew: equal fingerprints become one row before anything is compared. A cell beyond CELL members is
 dealt again by the blocks of its other segments; one that is still beyond goes in pairs of blocks of
 rows. No link is lost on either way.
@@ -25,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,11 @@ from massweave.llm.arrow import by_bytes, table
 from massweave.llm.common import ROW, discard, materialize, numbered_rows, rows_named, small_batches, tie
 from massweave.llm.components import components
 
-SHINGLE = 4
+#: Words of a shingle: of the one fingerprint of ``near_components``, and of the fingerprints of ``near_dedup``.
+SHINGLE, WIDE = 4, 5
 SEED = 42
+#: Fingerprints that near-dedup compares.
+PRINTS = 12
 BITS = 4
 #: Members of a grid cell that one task compares.
 CELL = 50_000
@@ -42,42 +50,57 @@ SMALL = 256
 ODD = 0x5555555555555555
 
 
-def fingerprint(text: str) -> int:
-    """The text's 64 majority bits as a signed number."""
+def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles, repeats included; none for a text without words."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: -SHINGLE].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())), dtype=np.uint64, count=len(starts))
-    return majority(hashes)
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-width].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), dtype=np.uint64, count=len(starts))
 
 
-def majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(hashes), 1 << 15):
-        ones += np.unpackbits(hashes[a : a + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """ROW, ``doc_id, tie, fp`` for each row of ``docs``, which ``numbered_rows`` has named."""
+def fingerprint(text: str) -> int:
+    """The text's 64 majority bits as a signed number."""
+    return majorities(shingle_hashes(text), 1)[0]
+
+
+def majorities(hashes: np.ndarray, prints: int) -> list[int]:
+    """Majority bits of the hashes, then of the hashes mixed anew for each further fingerprint; 0 without hashes."""
+    if not len(hashes):
+        return [0] * prints
+    ones = np.zeros((prints, 64), dtype=np.int64)
+    salt = (np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for a in range(0, len(hashes), 4096):
+        h = hashes[None, a : a + 4096]
+        if prints > 1:
+            z = h + salt
+            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            h = np.where(salt == 0, h, z ^ z >> np.uint64(31))
+        bits = np.unpackbits(np.ascontiguousarray(h).astype("<u8").view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little")
+        ones += bits.sum(axis=1, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def fingerprints(docs: DataFrame, prints: int = 1, width: int = SHINGLE) -> DataFrame:
+    """ROW, ``doc_id, tie, fps`` for each row of ``docs``, which ``numbered_rows`` has named."""
 
     def encode(batches):
         schema = None
         for batch, texts in by_bytes(batches):
-            schema = schema or pa.schema([f for f in batch.schema if f.name != "text"] + [("fp", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != "fp"), pa.array([fingerprint(t) for t in texts], pa.int64())], schema=schema)
+            schema = schema or pa.schema([f for f in batch.schema if f.name != "text"] + [("fps", pa.list_(pa.int64()))])
+            found = pa.array([majorities(shingle_hashes(t, width), prints) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != "fps"), found], schema=schema)
 
     rows = docs.select(*ROW, "doc_id", tie(docs).alias("tie"), F.col("text").cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(encode, f"{ROW[0]} bigint, {ROW[1]} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, fp bigint")
+    return small_batches(rows).mapInArrow(encode, f"{ROW[0]} bigint, {ROW[1]} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, fps array<bigint>")
 
 
 def long(x: int) -> int:
@@ -106,24 +129,24 @@ def block_masks(fixed: int = 0) -> list[int]:
 
 
 def cells(fps: DataFrame, cell: int = CELL) -> DataFrame:
-    """``mask, key, part, fp``: the grid cells of each fingerprint; together they hold every linked pair."""
-    spark = fps.sparkSession
-    grid = lambda df: df.select("mask", counts_column(F.col("fp")).bitwiseAND(F.col("mask")).alias("key"), F.lit("").alias("part"), "fp")
-    coarse = grid(fps.select("fp", F.explode(F.array(*[F.lit(long(m)) for m in block_masks()])).alias("mask")))
+    """``nth, mask, key, part, fp``: the grid cells of each fingerprint; together they hold every pair of one ``nth`` that links."""
+    spark, of = fps.sparkSession, ["nth", "mask", "key"]
+    grid = lambda df: df.select("nth", "mask", counts_column(F.col("fp")).bitwiseAND(F.col("mask")).alias("key"), F.lit("").alias("part"), "fp")
+    coarse = grid(fps.select("nth", "fp", F.explode(F.array(*[F.lit(long(m)) for m in block_masks()])).alias("mask")))
     if fps.count() <= cell:
         return coarse
-    crowded = lambda df: materialize(df.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    crowded = lambda df: materialize(df.groupBy(*of).agg(F.count("*").alias("n")).where(F.col("n") > cell))
     hot = crowded(coarse)
     if hot.isEmpty():
         return coarse
     finer = spark.createDataFrame([(long(m), long(f)) for m in block_masks() for f in block_masks(m)], "mask bigint, finer bigint")
-    again = coarse.join(hot.select("mask", "key"), ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), "fp").distinct()
+    again = coarse.join(hot.select(*of), of, "left_semi").join(F.broadcast(finer), "mask").select("nth", F.col("finer").alias("mask"), "fp").distinct()
     fine = materialize(grid(again))
     still = crowded(fine)
-    rest = coarse.join(hot.select("mask", "key"), ["mask", "key"], "left_anti").unionByName(fine.join(still.select("mask", "key"), ["mask", "key"], "left_anti"))
+    rest = coarse.join(hot.select(*of), of, "left_anti").unionByName(fine.join(still.select(*of), of, "left_anti"))
     blocks = F.ceil(F.col("n") / (cell / 2)).cast("int")
-    dealt = fine.drop("part").join(still, ["mask", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rest.unionByName(dealt.select("mask", "key", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "fp"))
+    dealt = fine.drop("part").join(still, of).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rest.unionByName(dealt.select(*of, F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "fp"))
 
 
 def close(x: np.ndarray, y: np.uint64, bits: int) -> np.ndarray:
@@ -135,7 +158,13 @@ def close(x: np.ndarray, y: np.uint64, bits: int) -> np.ndarray:
 
 
 def stars_of_small(x: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of many small cells in step; ``size``: rows from each row to its cell's end, itself included."""
+    """Fingerprints that ``places_of_small`` links."""
+    member, centre = places_of_small(x, size, bits)
+    return x[member], x[centre]
+
+
+def places_of_small(x: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, centre) of many small cells in step; ``size``: rows from each row to its cell's end, itself included."""
     code, left, right = counts_code(x), [], []
     i = np.flatnonzero(size > 1)
     for d in range(1, int(size.max(initial=0))):
@@ -156,11 +185,17 @@ def stars_of_small(x: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarr
         np.minimum.at(root, b, low)
         root = root[root]
     member = np.flatnonzero(root != np.arange(len(x)))
-    return x[member], x[root[member]]
+    return member, root[member]
 
 
 def stars_of_large(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one cell: what a row has reached is not compared again, so a dense cell costs little more than its size."""
+    """Fingerprints that ``places_of_large`` links."""
+    member, centre = places_of_large(x, bits)
+    return x[member], x[centre]
+
+
+def places_of_large(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, centre) of one cell: what a row has reached is not compared again, so a dense cell costs little more than its size."""
     free, members, centres = np.arange(len(x)), [], []
     while len(free) > 1:
         centre, free, todo = free[0], free[1:], [free[0]]
@@ -172,38 +207,43 @@ def stars_of_large(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
                 centres.append(np.full(len(new), centre))
                 todo += new.tolist()
                 free = free[~hit]
-    if not members:
-        return x[:0], x[:0]
-    return x[np.concatenate(members)], x[np.concatenate(centres)]
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(members), np.concatenate(centres)) if members else (none, none)
 
 
 def cell_links(batches, bits: int = BITS):
-    """Links ``a, b`` from rows ``mask, key, part, fp`` that come sorted by cell."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links ``nth, a, b`` from rows ``nth, mask, key, part, fp`` that come sorted by cell."""
+    schema = pa.schema([("nth", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def links(x: np.ndarray, first: np.ndarray):
         """``first``: where cells begin."""
         sizes = np.diff(first, append=len(x))
         for k in np.flatnonzero(sizes > SMALL):
-            yield stars_of_large(x[first[k] : first[k] + sizes[k]], bits)
-        keep = np.repeat(sizes <= SMALL, sizes)
+            a, b = places_of_large(x[first[k] : first[k] + sizes[k]], bits)
+            yield first[k] + a, first[k] + b
+        keep = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
         small = sizes[sizes <= SMALL]
         ends = np.repeat(np.cumsum(small), small)
-        yield stars_of_small(x[keep], ends - np.arange(len(ends)), bits)
+        a, b = places_of_small(x[keep], ends - np.arange(len(ends)), bits)
+        yield keep[a], keep[b]
 
     held: list[pa.RecordBatch] = []
 
     def work(rows: pa.Table, first: np.ndarray):
-        x = rows.column("fp").to_numpy().view(np.uint64)
-        for a, b in links(x, first):
+        fp, nth = rows.column("fp").to_numpy(), rows.column("nth").to_numpy()
+        for a, b in links(fp.view(np.uint64), first):
             if len(a):
-                yield table(schema, a=np.ascontiguousarray(a).view(np.int64), b=np.ascontiguousarray(b).view(np.int64))
+                yield table(schema, nth=nth[a], a=fp[a], b=fp[b])
 
     def starts(rows: pa.Table) -> np.ndarray:
         new = np.zeros(rows.num_rows, dtype=bool)
         new[0] = True
-        for c in ("mask", "key", "part"):
-            v = rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        for c in ("nth", "mask", "key"):
+            v = rows.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        part = rows.column("part").combine_chunks()
+        if pc.any(pc.not_equal(part, "")).as_py():
+            v = part.to_numpy(zero_copy_only=False)
             new[1:] |= v[1:] != v[:-1]
         return np.flatnonzero(new)
 
@@ -221,30 +261,38 @@ def cell_links(batches, bits: int = BITS):
         yield from work(rows, starts(rows))
 
 
-def near_components(docs: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
-    """ROW and ``doc_id, fp, component_id, stays`` for each row of ``docs``, which ``numbered_rows`` has named.
+def near_components(docs: DataFrame, bits: int = BITS, cell: int = CELL, prints: int = 1, width: int = SHINGLE) -> DataFrame:
+    """ROW and ``doc_id, fp, component_id, stays`` for each row of ``docs``, which ``numbered_rows`` has named; ``fp``: its first fingerprint.
 
     ``component_id``: the smallest doc_id reachable over links; ``stays``: whether near-dedup keeps the row, one of each component.
     """
-    rows = materialize(fingerprints(docs))
+    rows = materialize(fingerprints(docs, prints, width).withColumn("node", F.xxhash64("fps") if prints > 1 else F.col("fps")[0]))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", *ROW)
-    fps = materialize(rows.groupBy("fp").agg(F.min(first).alias("keep")))
-    grid = cells(fps.select("fp"), cell).repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part")
-    links = grid.mapInArrow(lambda batches: cell_links(batches, bits), "a bigint, b bigint")
-    roots = components(links)
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "keep")
+    nodes = materialize(rows.groupBy("node").agg(F.min(first).alias("keep"), F.first("fps").alias("fps")))
+    each = nodes.select("node", F.posexplode("fps").alias("nth", "fp"))
+    fps = materialize(each.groupBy("nth", "fp").agg(F.min("node").alias("own"), F.count("*").alias("n")))
+    order = ["nth", "mask", "key", "part"]
+    grid = cells(fps.select("nth", "fp"), cell).repartition(*order).sortWithinPartitions(*order)
+    links = grid.mapInArrow(lambda batches: cell_links(batches, bits), "nth int, a bigint, b bigint")
+    if prints > 1:  # a link of fingerprints is one of the documents that have them
+        known = fps.select("nth", "fp", "own")
+        named = links.join(known.toDF("nth", "a", "x"), ["nth", "a"]).join(known.toDF("nth", "b", "y"), ["nth", "b"])
+        shared = each.join(fps.where("n > 1").select("nth", "fp", "own"), ["nth", "fp"]).where("node <> own")
+        links = named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("own").alias("b")))
+    roots = components(links.select("a", "b"))
+    named = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "keep")
     groups = named.groupBy("root").agg(F.min("keep").alias("keep"))
-    known = materialize(named.select("fp", "root").join(groups, "root").select("fp", "keep"))
+    known = materialize(named.select("node", "root").join(groups, "root").select("node", "keep"))
     discard(fps)
     stays = (F.col(ROW[0]) == F.col(f"keep.{ROW[0]}")) & (F.col(ROW[1]) == F.col(f"keep.{ROW[1]}"))
-    return rows.join(known, "fp").select(*ROW, "doc_id", "fp", F.col("keep.doc_id").alias("component_id"), stays.alias("stays"))
+    return rows.join(known, "node").select(*ROW, "doc_id", F.col("fps")[0].alias("fp"), F.col("keep.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each component."""
+def near_dedup(docs: DataFrame, bits: int = BITS, prints: int = PRINTS, width: int = WIDE) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each component over several fingerprints."""
     docs = numbered_rows(docs)
-    return rows_named(docs, near_components(docs, bits).where("stays"))
+    return rows_named(docs, near_components(docs, bits, prints=prints, width=width).where("stays"))

@@ -87,6 +87,41 @@ def brute_fingerprint(t):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
+def brute_prints(t, prints=near_dedup.PRINTS):
+    """Several fingerprints over shingles of five words, bit by bit."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    out = []
+    for nth in range(prints):
+        mixed = []
+        for h in hashes:
+            z = (h + nth * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            mixed.append(z ^ z >> 31 if nth else h)
+        out.append(sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in mixed) > len(mixed)) if mixed else 0)
+    return tuple(out)
+
+
+def brute_groups(prints):
+    """Keys of ``prints`` in groups that links of any fingerprint hold together."""
+    left, out = set(prints), []
+    while left:
+        todo = [left.pop()]
+        group = set(todo)
+        while todo:
+            x = prints[todo.pop()]
+            near = {i for i in left if any((a ^ b).bit_count() <= 4 for a, b in zip(x, prints[i]))}
+            left -= near
+            group |= near
+            todo += near
+        out.append(group)
+    return out
+
+
 def brute_components(fps):
     left, out = set(fps), {}
     while left:
@@ -126,8 +161,36 @@ def test_near_components(spark, cell):
         assert got[i]["component_id"] == min(j for j, g in fps.items() if g in groups[fp])
 
 
+@pytest.mark.parametrize("cell", [50_000, 2])
+def test_several_fingerprints(spark, cell):
+    rng = random.Random(12)
+    texts = near_texts()[:24] + [ODD[0], "", None, "one two"]
+    texts += [" ".join(w if rng.random() > 0.03 else "new" for w in t.split()) for t in texts[:12]]
+    docs = numbered_rows(rows_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(docs, cell=cell, prints=4, width=5).collect()}
+    groups = brute_groups({i: brute_prints(t, 4) for i, t in enumerate(texts)})
+    assert got == {i: min(g) for g in groups for i in g} and len(groups) < len(texts)
+
+
+def test_near_copies_are_found(spark):
+    """Of copies alike by 0.85 or more of their five-word shingles at least three in four are dropped; other texts stay."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(2000)]
+    rows, near = [], 0
+    for i in range(60):
+        own = [rng.choice(words) for _ in range(250)]
+        copy = list(own)
+        for at in rng.sample(range(250), 1 + i % 4):
+            copy[at] = rng.choice(words)
+        rows += [(i, " ".join(own), "s"), (100 + i, " ".join(copy), "s")]
+        sets = [{tuple(w[k : k + 5]) for k in range(246)} for w in (own, copy)]
+        near += len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.85
+    kept = {r["doc_id"] for r in near_dedup.near_dedup(rows_of(spark, rows)).collect()}
+    assert set(range(60)) <= kept and near > 40 and 60 - len(kept & set(range(100, 160))) >= 0.75 * near
+
+
 def test_near_dedup_odd(odd, none):
-    rows = near_dedup.near_components(numbered_rows(odd)).collect()
+    rows = near_dedup.near_components(numbered_rows(odd), prints=near_dedup.PRINTS, width=near_dedup.WIDE).collect()
     assert len(rows) == len(TEXTS)
     kept = near_dedup.near_dedup(odd)
     assert kept.columns == odd.columns and kept.count() == len({r["component_id"] for r in rows})

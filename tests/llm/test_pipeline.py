@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from llm_data import documents_of
 from massweave.llm.common import materialize
-from test_llm_operators import brute_components, brute_fingerprint, brute_targets, norm
+from test_llm_operators import brute_groups, brute_prints, brute_targets, norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +26,8 @@ def test_stages(spark):
     for i in sorted(before):
         groups.setdefault(norm(before[i]), i)
     assert sorted(r["doc_id"] for r in kept["exact_dedup_out"].collect()) == sorted(groups.values())
-    before = {r["doc_id"]: brute_fingerprint(r["text"]) for r in kept["near_dedup"].collect()}
-    parts = brute_components(before.values())
-    want = {min(i for i, f in before.items() if f in parts[fp]) for fp in before.values()}
+    before = {r["doc_id"]: brute_prints(r["text"]) for r in kept["near_dedup"].collect()}
+    want = {min(group) for group in brute_groups(before)}
     assert {r["doc_id"] for r in kept["near_dedup_out"].collect()} == want
     words = lambda df: Counter({s: n for s, n in df.rdd.map(lambda r: (r["source"], len((r["text"] or "").encode().split()))).reduceByKey(lambda a, b: a + b).collect()})
     target = brute_targets(words(kept["mixing"]))
