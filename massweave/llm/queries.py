@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from massweave.llm.common import documents, numbered_rows
 from massweave.llm.edit_embedding import edit_fingerprints
 from massweave.llm.exact_dedup import exact_groups
+from massweave.llm.hard_negatives import hard_negatives
 from massweave.llm.lattice_lm import scored
 from massweave.llm.license_rules import license_digest
 from massweave.llm.mixing import mixture
 from massweave.llm.near_dedup import hex_digits, near_components
 from massweave.llm.packing import pack_documents
+from massweave.llm.periodic_runs import run_digest, with_planted_runs
 from massweave.llm.quality import quality_scores
 from massweave.llm.secret_scan import secret_digest
 from massweave.llm.token_counts import token_counts
@@ -61,11 +63,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(with_planted_runs(documents(spark, sf_dir)))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_simhash_near_dedup, op3_edit_fingerprints, op4_token_counts, op5_packing,
         op6_lattice_scores, op7_license_scan, op8_exact_dedup, op9_secret_scan, op10_mixing,
+        op11_periodic_runs, op12_hard_negatives,
     )
 }
 
@@ -111,4 +122,24 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + extra AS BIGINT) A
 FROM q
 """
 
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+OP12_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM p a JOIN p b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT arid, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT pos.arid, pos.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY pos.arid, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM pos JOIN s ON s.arid = pos.arid AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op12_hard_negatives": OP12_SQL, "op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
