@@ -18,6 +18,7 @@ from massweave.llm.near_dedup import hex_digits, near_components
 from massweave.llm.packing import pack_documents
 from massweave.llm.periodic_runs import run_digest, with_planted_runs
 from massweave.llm.quality import quality_scores
+from massweave.llm.quality_rules import quality_rules
 from massweave.llm.secret_scan import secret_digest
 from massweave.llm.token_counts import token_counts
 
@@ -71,12 +72,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_simhash_near_dedup, op3_edit_fingerprints, op4_token_counts, op5_packing,
         op6_lattice_scores, op7_license_scan, op8_exact_dedup, op9_secret_scan, op10_mixing,
-        op11_periodic_runs, op12_hard_negatives,
+        op11_periodic_runs, op12_hard_negatives, op13_quality_rules,
     )
 }
 
