@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.functions import annotation, formula
-from massweave.operators import aggregates, annotations, filters, isotopes, peaks, retrieval, similarity, splits
+from massweave.operators import aggregates, allpairs, annotations, filters, isotopes, peaks, retrieval, similarity, splits
 from massweave.operators.shared import scratch
 from massweave.plans.registry import query
 from massweave.plans.views import Views, sql
@@ -34,10 +34,8 @@ def tanimoto_topk(v: Views) -> DataFrame:
     on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.element_at("embedding", i + 1) > 0)
     w0, w1 = retrieval.bits_of(on)
     f = v.table("embeddings").select("vec_id", "label", w0.alias("w0"), w1.alias("w1"))
-    g = f.select(F.col("vec_id").alias("b"), "label", F.col("w0").alias("v0"), F.col("w1").alias("v1"))
-    rows = f.withColumnRenamed("vec_id", "a").join(g, "label").where("a <> b")
-    rows = rows.withColumn("tanimoto", retrieval.tanimoto(["w0", "w1"], ["v0", "v1"])).withColumn("dice", retrieval.dice(["w0", "w1"], ["v0", "v1"]))
-    return rows.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("tanimoto"), "b"))).where("r <= 5").select("a", "b", "tanimoto", "dice")
+    rows = allpairs.tanimoto_topk(f, 5, "vec_id", ["w0", "w1"], "label")
+    return rows.select("a", "b", "tanimoto", retrieval.dice(["w0", "w1"], ["b_w0", "b_w1"]).alias("dice"))
 
 
 RANKED = "SELECT *, rank() OVER (PARTITION BY target_mol_id ORDER BY score DESC) + (count(*) OVER (PARTITION BY target_mol_id, score) - 1) / 2.0::DOUBLE AS rank FROM candidates"

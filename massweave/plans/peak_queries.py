@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massweave.functions import intensity
-from massweave.operators import matching, peaks, similarity
+from massweave.operators import allpairs, matching, peaks, similarity
 from massweave.operators.aggregates import weighted_moments
 from massweave.plans.registry import query
 from massweave.plans.views import Views, sql
@@ -181,10 +181,21 @@ def keyed_divergence(v: Views) -> DataFrame:
 @query(sql(["peaks"], """SELECT a, b, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cos, 6) DESC, b) AS r FROM (SELECT x.spec_id AS a, y.spec_id AS b, sum(x.x * y.x) AS cos FROM n x JOIN n y ON x.bin = y.bin AND x.spec_id < y.spec_id GROUP BY 1, 2)) WHERE r <= 5""",
   b="SELECT spec_id, floor(round(mz / 0.01::DOUBLE, 6)) AS bin, sum(ints) AS ints FROM peaks GROUP BY 1, 2", n="SELECT spec_id, bin, ints / greatest(sqrt(sum(ints * ints) OVER (PARTITION BY spec_id)), 1e-7) AS x FROM b"))
 def pairwise_cosine_topk(v: Views) -> DataFrame:
-    from pyspark.sql import Window as W
+    return allpairs.cosine_topk(v.plain_peaks(), 5, 0.01)
 
-    rows = similarity.pairwise_cosine(v.plain_peaks(), 0.01)
-    return rows.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.round("cos", 6).desc(), "b"))).where("r <= 5").drop("r")
+
+@query(sql(["peaks"], """SELECT a, b, round(cos, 6) AS cos FROM (SELECT x.spec_id AS a, y.spec_id AS b, sum(x.x * y.x) AS cos FROM n x JOIN n y ON x.bin = y.bin AND x.spec_id < y.spec_id GROUP BY 1, 2) WHERE round(cos, 6) >= 0.95""",
+  b="SELECT spec_id, floor(round(mz / 10.0::DOUBLE, 6)) AS bin, sum(ints) AS ints FROM peaks GROUP BY 1, 2", n="SELECT spec_id, bin, ints / greatest(sqrt(sum(ints * ints) OVER (PARTITION BY spec_id)), 1e-7) AS x FROM b"))
+def pairwise_cosine_above(v: Views) -> DataFrame:
+    """Every two spectra of a cosine of 0.95 or more over bins of ten Dalton, each of which a large part of the spectra has."""
+    return allpairs.cosine_above(v.plain_peaks(), 0.95, 10.0)
+
+
+@query(sql(["peaks"], """SELECT a, b, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cos, 6) DESC, b) AS r FROM (SELECT x.spec_id AS a, y.spec_id AS b, sum(x.x * y.x) AS cos FROM n x JOIN n y ON x.bin = y.bin AND x.spec_id < y.spec_id GROUP BY 1, 2)) WHERE r <= 5""",
+  b="SELECT spec_id, floor(round(mz / 10.0::DOUBLE, 6)) AS bin, sum(ints) AS ints FROM peaks GROUP BY 1, 2", n="SELECT spec_id, bin, ints / greatest(sqrt(sum(ints * ints) OVER (PARTITION BY spec_id)), 1e-7) AS x FROM b"))
+def pairwise_cosine_topk_coarse(v: Views) -> DataFrame:
+    """The best five over bins of ten Dalton."""
+    return allpairs.cosine_topk(v.plain_peaks(), 5, 10.0)
 
 
 #: Best assignments of tangled peaks: all partial ones of a spectrum, one true peak after another; what has only each other is taken.
