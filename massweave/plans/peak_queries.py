@@ -251,6 +251,31 @@ def pairwise_hungarian(v: Views) -> DataFrame:
     return matching.pairwise_matched(p, similarity.pairwise_cosine(p, 0.01).select("a", "b"))
 
 
+PAIR_SIDES = {
+    "bins": "SELECT DISTINCT spec_id, floor(round(mz / 0.01::DOUBLE, 6)) AS bin FROM peaks", "pr": "SELECT DISTINCT x.spec_id AS a, y.spec_id AS b FROM bins x JOIN bins y ON x.bin = y.bin AND x.spec_id < y.spec_id",
+    "ids": "SELECT concat(a, '-', b) AS spec_id FROM pr", "true_side": "SELECT concat(a, '-', b) AS spec_id, mz, ints FROM pr JOIN peaks ON spec_id = a", "pred_side": "SELECT concat(a, '-', b) AS spec_id, mz, ints FROM pr JOIN peaks ON spec_id = b",
+}
+SHARES = {k: f"SELECT spec_id, mz, ints / greatest(sum(ints) OVER (PARTITION BY spec_id), 1e-7) AS x FROM (SELECT spec_id, floor(mz * 10000 + 0.5) / 10000 AS mz, sum(ints) AS ints FROM {side} GROUP BY 1, 2)" for k, side in (("ht", "true_side"), ("hp", "pred_side"))}
+NAMED = "split_part(spec_id, '-', 1)::BIGINT AS a, split_part(spec_id, '-', 2)::BIGINT AS b"
+
+
+@query(sql(["peaks"], f"SELECT {NAMED}, round(16.11809565095832::DOUBLE - coalesce(own.total, 0) - coalesce(rest.total, 0), 6) AS ce_hun FROM (SELECT DISTINCT spec_id FROM ids) i LEFT JOIN own USING (spec_id) LEFT JOIN rest USING (spec_id) WHERE round(16.11809565095832::DOUBLE - coalesce(own.total, 0) - coalesce(rest.total, 0), 6) <= 8",
+  **PAIR_SIDES, **ASSIGN | SHARES | {"deg": ASSIGN["deg"].replace("ht.x * hp.x", "ht.x * (ln(hp.x + 1e-7::DOUBLE) + 16.11809565095832::DOUBLE)")}))
+def pairwise_matched_ce(v: Views) -> DataFrame:
+    """Matched cross-entropies of 8 or less of every two spectra that share a hundredth-Dalton bin."""
+    p = v.plain_peaks()
+    return matching.pairwise_matched(p, allpairs.sharing(p, 0.01), score="ce", least=8.0)
+
+
+@query(sql(["peaks"], f"""SELECT {NAMED}, round(s, 6) AS jss_hun FROM (SELECT m.spec_id, sum((ht.x + hp.x) / 2 - (0.5 * ht.x * ln(ht.x) + 0.5 * hp.x * ln(hp.x) - (ht.x + hp.x) / 2 * ln((ht.x + hp.x) / 2)) / {LN2}) AS s
+  FROM m JOIN ht ON ht.spec_id = m.spec_id AND ht.mz = t JOIN hp ON hp.spec_id = m.spec_id AND hp.mz = p GROUP BY m.spec_id) WHERE round(s, 6) >= 0.3""",
+  **PAIR_SIDES, **SHARES, **{"deg": ASSIGN["deg"].replace("ht.x * hp.x", "ht.x + hp.x"), "tq": PAIRS["tq"], "bp": PAIRS["bp"], "m": PAIRS["m"]}))
+def pairwise_matched_jss(v: Views) -> DataFrame:
+    """Matched Jensen-Shannon similarities of 0.3 or more of every two spectra that share a hundredth-Dalton bin."""
+    p = v.plain_peaks()
+    return matching.pairwise_matched(p, allpairs.sharing(p, 0.01), score="jss", least=0.3)
+
+
 @query(sql(["spectra", "peaks", "pred_peaks"], """SELECT inst_type, count(*) AS n, round(sum(w), 6) AS sum_w, round(sum(w * cos), 6) AS sum_wx, round(sum(w * cos * cos), 6) AS sum_wxx, round(sum(w * cos) / sum(w), 6) AS mean,
   round(sqrt(greatest(sum(w * cos * cos) / sum(w) - pow(sum(w * cos) / sum(w), 2), 0)), 6) AS std FROM (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY mol_id) AS w FROM c JOIN spectra USING (spec_id)) GROUP BY inst_type""", **paired("0.01"), c=COS.replace("round(", "").replace(", 6) AS", " AS")))
 def weighted_cosine_by_instrument(v: Views) -> DataFrame:
