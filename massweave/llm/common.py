@@ -3,41 +3,56 @@
 from __future__ import annotations
 
 import gc
+from functools import wraps
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.operators.shared import materialize, running  # noqa: F401
+from massweave.operators.shared import discard, materialize, running  # noqa: F401
 
 #: The white space of every contract here: space and U+0009 to U+000D, nothing else.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table of a ``materialize`` that no later step reads."""
-    path = getattr(df, "_massweave_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 #: What names a row of a table: its file's hash and its place there.
 ROW = ["_mw_file", "_mw_row"]
 
 
+#: Steps of a plan that give each row of a file at most once.
+PLAIN = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+
+
+def plain_scan(df: DataFrame) -> bool:
+    """Whether the plan is one scan of files below projections and filters; a join, generator, sample or union gives several rows one place."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in PLAIN:
+        if not node.children().size():
+            return "HadoopFsRelation" in node.relation().getClass().getName() if node.nodeName() == "LogicalRelation" else False
+        node = node.children().head()
+    return False
+
+
 def numbered_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ROW. Rows of a file scan are named by where they are; any other frame is written to the shared folder first."""
-    for rows in (docs, None):
-        rows = materialize(docs) if rows is None else rows
-        try:
-            meta = rows.metadataColumn("_metadata")
-            return rows.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
-        except AnalysisException:
-            continue
-    raise ValueError("the rows of this table can't be named")
+    """``docs`` with the columns ROW. Rows of a plain scan are named by where they are; any other frame is written to the shared folder first."""
+    rows = docs if plain_scan(docs) else materialize(docs)
+    meta = rows.metadataColumn("_metadata")
+    return rows.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
+
+
+def shielded(stage):
+    """A stage over documents whose own names (those that begin with ``_mw_``) may be columns of its input: they are renamed meanwhile."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *more, **named) -> DataFrame:
+        clash = [c for c in docs.columns if c.lower().startswith("_mw_")]
+        if not clash:
+            return stage(docs, *more, **named)
+        free = "x" * (1 + max(map(len, docs.columns)))
+        away = {c: f"{free}{i}" for i, c in enumerate(clash)}
+        return stage(docs.withColumnsRenamed(away), *more, **named).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
 
 
 def tie(docs: DataFrame) -> Column:

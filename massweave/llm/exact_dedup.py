@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massweave.llm.common import ROW, materialize, numbered_rows, rows_named, squeezed, text_of, tie
+from massweave.llm.common import ROW, materialize, numbered_rows, rows_named, shielded, squeezed, text_of, tie
 
 #: A chunk ends, 512 characters in at the earliest, at the first window of three characters whose last
 #: is its first; a stretch of 4,096 more without such a window is one chunk. This holds in any script.
@@ -77,6 +77,7 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     return exact_rows(numbered_rows(docs), bits).drop(*ROW)
 
 
+@shielded
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest ``doc_id`` of each group of equal texts."""
     docs = numbered_rows(docs)

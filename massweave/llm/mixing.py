@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from massweave.llm.common import ROW, WORD, materialize, numbered_rows, running, text_of, tie
+from massweave.llm.common import ROW, WORD, materialize, numbered_rows, running, shielded, text_of, tie
 
 #: Weights of the sources in order, again and again.
 WEIGHTS = (5, 2, 1)
@@ -128,6 +128,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     return rows.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
+@shielded
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, in training order: repeated, left out, or (one document of a source) cut after the words taken.
 

@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
-from massweave.llm.common import ROW, discard, materialize, numbered_rows, rows_named, small_batches, tie
+from massweave.llm.common import ROW, discard, materialize, numbered_rows, rows_named, shielded, small_batches, tie
 from massweave.llm.components import components
 
 #: Words of a shingle: of the one fingerprint of ``near_components``, and of the fingerprints of ``near_dedup``.
@@ -261,14 +262,25 @@ def cell_links(batches, bits: int = BITS):
         yield from work(rows, starts(rows))
 
 
+def numbered_prints(groups: DataFrame, bits: int = 64) -> DataFrame:
+    """``groups`` with the number ``node`` of their ``fps``, which no two share: the only fingerprint, or a hash of several with those that collide told apart.
+
+    Fewer ``bits`` of the hash make collisions in tests.
+    """
+    key = F.xxhash64("fps") if bits == 64 else F.xxhash64("fps").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    keyed = groups.withColumn("node", F.when(F.size("fps") > 1, key).otherwise(F.col("fps")[0]))
+    twin = F.row_number().over(W.partitionBy("node").orderBy("fps"))
+    return keyed.withColumn("twin", twin).withColumn("node", F.when(F.col("twin") > 1, F.xxhash64("node", "twin")).otherwise(F.col("node"))).drop("twin")
+
+
 def near_components(docs: DataFrame, bits: int = BITS, cell: int = CELL, prints: int = 1, width: int = SHINGLE) -> DataFrame:
     """ROW and ``doc_id, fp, component_id, stays`` for each row of ``docs``, which ``numbered_rows`` has named; ``fp``: its first fingerprint.
 
     ``component_id``: the smallest doc_id reachable over links; ``stays``: whether near-dedup keeps the row, one of each component.
     """
-    rows = materialize(fingerprints(docs, prints, width).withColumn("node", F.xxhash64("fps") if prints > 1 else F.col("fps")[0]))
+    rows = materialize(fingerprints(docs, prints, width))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", *ROW)
-    nodes = materialize(rows.groupBy("node").agg(F.min(first).alias("keep"), F.first("fps").alias("fps")))
+    nodes = materialize(numbered_prints(rows.groupBy("fps").agg(F.min(first).alias("keep"))))
     each = nodes.select("node", F.posexplode("fps").alias("nth", "fp"))
     fps = materialize(each.groupBy("nth", "fp").agg(F.min("node").alias("own"), F.count("*").alias("n")))
     order = ["nth", "mask", "key", "part"]
@@ -280,18 +292,19 @@ def near_components(docs: DataFrame, bits: int = BITS, cell: int = CELL, prints:
         shared = each.join(fps.where("n > 1").select("nth", "fp", "own"), ["nth", "fp"]).where("node <> own")
         links = named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("own").alias("b")))
     roots = components(links.select("a", "b"))
-    named = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "keep")
+    named = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fps", F.coalesce("root", "node").alias("root"), "keep")
     groups = named.groupBy("root").agg(F.min("keep").alias("keep"))
-    known = materialize(named.select("node", "root").join(groups, "root").select("node", "keep"))
+    known = materialize(named.select("fps", "root").join(groups, "root").select("fps", "keep"))
     discard(fps)
     stays = (F.col(ROW[0]) == F.col(f"keep.{ROW[0]}")) & (F.col(ROW[1]) == F.col(f"keep.{ROW[1]}"))
-    return rows.join(known, "node").select(*ROW, "doc_id", F.col("fps")[0].alias("fp"), F.col("keep.doc_id").alias("component_id"), stays.alias("stays"))
+    return rows.join(known, "fps").select(*ROW, "doc_id", F.col("fps")[0].alias("fp"), F.col("keep.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+@shielded
 def near_dedup(docs: DataFrame, bits: int = BITS, prints: int = PRINTS, width: int = WIDE) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component over several fingerprints."""
     docs = numbered_rows(docs)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massweave.llm.arrow import by_bytes, table
-from massweave.llm.common import small_batches
+from massweave.llm.common import ROW, numbered_rows, small_batches
 from massweave.llm.tokens import byte_encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -107,12 +107,12 @@ def pack_group(docs: dict[str, list], length: int = LENGTH, slack: int = SLACK)
 
 
 def encoded(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """``_row, doc_id, doc_tokens`` and the checksums of each document's pieces; ids are those of the public vocabulary, then 0."""
+    """ROW, ``doc_id, doc_tokens`` and the checksums of each document's pieces; ids are those of the public vocabulary, then 0."""
 
     def encode(batches):
         encoder, schema = byte_encoder(path or vocabulary(VOCABULARY)), None
         for batch, texts in by_bytes(batches):
-            schema = schema or pa.schema([batch.schema.field("_row"), batch.schema.field("doc_id"), ("doc_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())), ("tail_crc", pa.int64()), ("part_crcs", pa.list_(pa.int64()))])
+            schema = schema or pa.schema([*[batch.schema.field(c) for c in ROW], batch.schema.field("doc_id"), ("doc_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())), ("tail_crc", pa.int64()), ("part_crcs", pa.list_(pa.int64()))])
             tokens, full, tail, part = [], [], [], []
             for text in texts:
                 ids = encoder.ids(text) + END
@@ -125,11 +125,11 @@ def encoded(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> D
                     crcs.append(zlib.crc32(view[4 * at : 4 * (at + size)]))
                     at += size
                 part.append(crcs)
-            yield table(schema, _row=batch.column("_row"), doc_id=batch.column("doc_id"), doc_tokens=tokens, full_crcs=full, tail_crc=tail, part_crcs=part)
+            yield table(schema, **{c: batch.column(c) for c in ROW}, doc_id=batch.column("doc_id"), doc_tokens=tokens, full_crcs=full, tail_crc=tail, part_crcs=part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(encode, f"_row bigint, doc_id {kind}, doc_tokens bigint, full_crcs array<bigint>, tail_crc bigint, part_crcs array<bigint>")
+    rows = numbered_rows(docs).select(*ROW, "doc_id", F.col("text").cast("string").alias("text"))
+    return small_batches(rows).mapInArrow(encode, f"{ROW[0]} bigint, {ROW[1]} bigint, doc_id {kind}, doc_tokens bigint, full_crcs array<bigint>, tail_crc bigint, part_crcs array<bigint>")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, slack: int = SLACK, group: int = GROUP, seed: int = 7) -> DataFrame:
@@ -146,5 +146,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
         return pa.table({"doc_id": rows.column("doc_id").take(row), "start": start, "length": size, "ids_crc32": crc, "doc_tokens": rows.column("doc_tokens").take(row), "sequence_id": number, "offset": at})
 
     # Groups are dealt by a row's place in the input, so equal rows, repeated and null doc_ids spread like any other.
-    dealt = encoded(docs, path, length).withColumn("_group", F.pmod(F.xxhash64(F.col("_row"), F.lit(seed)), F.lit(groups))).drop("_row")
+    dealt = encoded(docs, path, length).withColumn("_group", F.pmod(F.xxhash64(*ROW, F.lit(seed)), F.lit(groups))).drop(*ROW)
     return dealt.groupBy("_group").applyInArrow(packed, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

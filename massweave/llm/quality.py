@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massweave.llm.arrow import by_bytes
-from massweave.llm.common import small_batches
+from massweave.llm.common import shielded, small_batches
 
 SAMPLE, BAG = 6000, 24
 PASSAGE = 768
@@ -216,6 +216,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@shielded
 def quality_filter(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     return with_score(docs, fit(docs, labels, sample), "_mw_score").where(F.col("_mw_score") >= THRESHOLD).drop("_mw_score")

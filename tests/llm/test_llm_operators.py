@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm_data import SF, TEXTS, documents_of, rows_of
-from massweave.llm import edit_embedding, exact_dedup, lattice_lm, license_rules, mixing, near_dedup, packing, quality, secret_scan, token_counts
+from massweave.llm import common, edit_embedding, exact_dedup, lattice_lm, license_rules, mixing, near_dedup, packing, quality, secret_scan, token_counts
 from massweave.llm.common import numbered_rows, running
 from massweave.llm.tokens import ByteEncoder, Known, PieceCounter, vocabulary
 
@@ -837,3 +837,55 @@ def test_gradients():
         down = loss()
         model.p[k][at] = old
         assert math.isclose((up - down) / 2e-5, g[at], rel_tol=1e-2, abs_tol=1e-6), k
+
+
+# rows that a plan multiplies, and names that clash
+
+
+def test_multiplied_rows_keep_one(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents_of(spark).where("doc_id < 40")
+    plain = {f: sorted(r["doc_id"] for r in f(docs).collect()) for f in (exact_dedup.exact_dedup, near_dedup.near_dedup)}
+    words = {r["doc_id"]: r["target"] for r in mixing.mixture(docs).collect()}
+    twice = {
+        "explode": docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(1)))).drop("n"),
+        "cross": docs.crossJoin(spark.range(2).select(F.lit(1).alias("n"))).drop("n"),
+        "sample": docs.sample(True, 3.0, 5),
+    }
+    for how, rows in twice.items():
+        rows = common.materialize(rows) if how == "sample" else rows
+        ids = {r["doc_id"] for r in rows.select("doc_id").distinct().collect()}
+        for f, want in plain.items():
+            if how == "cross" and f is near_dedup.near_dedup:
+                continue
+            got = [r["doc_id"] for r in f(rows).collect()]
+            assert len(got) == len(set(got)) and (how == "sample" or sorted(got) == want) and set(got) <= ids
+        named = numbered_rows(twice[how])
+        assert named.select(*common.ROW).distinct().count() == named.count()
+        if how != "sample":
+            taken = mixing.mixture(rows).collect()
+            assert len(taken) == 2 * len(words)
+            mixed = mixing.mix(rows).select(F.sum(F.size(F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))))).first()[0]
+            assert mixed == sum(r["taken"] for r in taken)
+
+
+def test_own_names_may_be_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents_of(spark).where("doc_id < 60")
+    odd_names = ["_mw_score", "_mw_row", "_mw_file", "_mw_size", "_mw_copies", "_mw_copy"]
+    clashing = docs.withColumns({c: F.lit(i) for i, c in enumerate(odd_names)})
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, mixing.mix, lambda d: quality.quality_filter(d, labels, 40)):
+        got, want = f(clashing), f(docs)
+        assert got.columns == clashing.columns
+        rows = got.collect()
+        assert all(r[c] == i for r in rows for i, c in enumerate(odd_names))
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in want.collect())
+
+
+def test_nodes_tell_collisions_apart(spark):
+    rows = spark.createDataFrame([([i, i + 1, 7],) for i in range(100)], "fps array<bigint>")
+    nodes = [r["node"] for r in near_dedup.numbered_prints(rows, bits=3).collect()]
+    assert len(set(nodes)) == 100
