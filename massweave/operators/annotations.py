@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from massweave.functions.formula import NEUTRON, adduct_table, elements_of, mass_of
 from massweave.operators.aggregates import TINY
+from massweave.operators.asof import nearest_value
 from massweave.operators.joins import at_most, band_join, nearest, with_conditions
 from massweave.operators.peaks import spectrum, l1
 
@@ -54,13 +55,13 @@ def library_peaks(spectra: DataFrame, library: DataFrame, max_isotope: int = 1)
     return rows.where("mz > 0").dropDuplicates(["spec_id", "formula", "kind", "isotope"])
 
 
-def nearest_formula(peaks: DataFrame, formulas: DataFrame, by: list[str], reach: float, ppm: float | None = None, floor: float = 200.0) -> DataFrame:
-    """Each peak with the formula of least mass difference within ``reach`` Da, kept if within ``ppm``."""
-    right = formulas.select(*by, "formula", F.col("mass").alias("f_mass"))
-    near = band_join(peaks, right, by, "mz", "f_mass", F.abs(F.col("mz") - F.col("f_mass")) <= reach, reach * 1.001)
-    one = nearest(near, ["spec_id", "peak_idx"], F.abs(F.col("mz") - F.col("f_mass")), "f_mass", "formula")
-    off = F.abs(F.col("mz") - F.col("f_mass")) / F.greatest(F.col("mz"), F.lit(floor)) * 1e6
-    out = one.withColumn("ppm", off)
+def nearest_formula(peaks: DataFrame, formulas: DataFrame, by: list[str], reach: float | None = None, ppm: float | None = None, floor: float = 200.0) -> DataFrame:
+    """Each peak with the formula of least mass difference (ties: least mass, then formula), kept if within ``reach`` Da and ``ppm``."""
+    right = formulas.select(*by, F.col("mass").alias("f_mass"), "formula")
+    one = nearest_value(peaks, right, by, "mz", "f_mass", "formula")
+    off = F.abs(F.col("mz") - F.col("f_mass"))
+    out = one.withColumn("ppm", off / F.greatest(F.col("mz"), F.lit(floor)) * 1e6)
+    out = out.where(off <= reach) if reach is not None else out
     return out.where(F.col("ppm") <= ppm) if ppm is not None else out
 
 

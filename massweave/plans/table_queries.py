@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.functions import energy, formula, text
-from massweave.operators import aggregates, filters, graphs, joins, splits
+from massweave.operators import aggregates, filters, graphs, joins, sequential, splits
 from massweave.operators.ordering import hash_order
 from massweave.plans.registry import query
 from massweave.plans.views import Views, sql
@@ -216,6 +216,28 @@ def greedy_pack(v: Views) -> DataFrame:
     return splits.greedy_pack(n, "spec_id", {"nodes": 64, "edges": 400})
 
 
+#: The same over one global order: a batch closes before the first row (from the second on) that passes a budget.
+IN_ORDER = """SELECT r.spec_id, b.batch FROM (WITH RECURSIVE b AS (
+    SELECT 0::BIGINT AS batch, 0::BIGINT AS i, 0::BIGINT AS n0, 0::BIGINT AS e0, (SELECT count(*) FROM r)::BIGINT AS last UNION ALL
+    SELECT b.batch + 1, min(r.place), min(r.cn - r.nodes), min(r.ce - r.edges), b.last FROM b JOIN r ON r.place > b.i AND r.place <= b.i + {reach} AND (r.cn > b.n0 + {nodes} OR r.ce > b.e0 + {edges}{flush}) GROUP BY b.batch, b.last) SELECT batch, i, lead(i, 1, last) OVER (ORDER BY batch) AS j FROM b) b JOIN r ON r.place >= b.i AND r.place < b.j"""
+SIZED = "SELECT spec_id, count(*)::BIGINT AS nodes, (count(*) * count(*))::BIGINT AS edges FROM peaks GROUP BY spec_id"
+PLACED = "SELECT *, row_number() OVER w - 1 AS place, (sum(nodes) OVER w)::BIGINT AS cn, (sum(edges) OVER w)::BIGINT AS ce FROM one {where} WINDOW w AS (ORDER BY spec_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(sql(["peaks"], IN_ORDER.format(reach=65, nodes=64, edges=400, flush=""), one=SIZED, r=PLACED.format(where="WHERE nodes <= 64 AND edges <= 400")))
+def sequential_pack(v: Views) -> DataFrame:
+    """Batches in the order of ids, oversized rows left out."""
+    n = v.plain_peaks().groupBy("spec_id").agg(F.count("*").alias("nodes")).withColumn("edges", F.col("nodes") * F.col("nodes"))
+    return sequential.sequential_pack(n, "spec_id", ["spec_id"], {"nodes": 64, "edges": 400})
+
+
+@query(sql(["peaks"], IN_ORDER.format(reach=13, nodes=40, edges=30, flush=" OR r.place >= b.i + 12"), one=SIZED, r=PLACED.format(where="")))
+def sequential_pack_all(v: Views) -> DataFrame:
+    """Batches of at most twelve in the order of ids; oversized rows are batches of their own."""
+    n = v.plain_peaks().groupBy("spec_id").agg(F.count("*").alias("nodes")).withColumn("edges", F.col("nodes") * F.col("nodes"))
+    return sequential.sequential_pack(n, "spec_id", ["spec_id"], {"nodes": 40, "edges": 30}, drop_oversize=False, flush_every=12)
+
+
 @query()
 def contrastive_pack(v: Views) -> DataFrame:
     n = v.plain_peaks().groupBy("spec_id").agg(F.count("*").alias("nodes")).join(v.spectra(), "spec_id").join(v.molecules().select("mol_id", "formula"), "mol_id")
