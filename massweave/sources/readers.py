@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from massweave.functions.text import comment_value, missing_as_null
 from massweave.operators.ordering import hash_order
 from massweave.schemas import RAW_COLUMNS
+from massweave.sources.records import BLANK, COMPOUND, IONS, records
 
 #: Keys of MSP records and their columns.
 MSP_COLUMNS = {
@@ -43,19 +44,6 @@ SDF_TAGS = {"PUBCHEM_COMPOUND_CID": "cid", "PUBCHEM_IUPAC_INCHIKEY": "inchikey",
 PEAK_LINE = r"^\d+(?:\.\d+)?\s\d+(?:\.\d+)?"
 
 
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """``value``: one record of text a row; blank ones go. Records that a blank line ends may have either kind of line end."""
-    if sep != "\n\n":
-        found = spark.read.text(path, lineSep=sep)
-    else:
-        ends = spark.read.text(path, lineSep="\n").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(F.endswith("value", F.lit("\r"))).alias("cr")).collect()
-        kinds = {cr: [r["file"] for r in ends if r["cr"] == cr] for cr in (False, True)}
-        parts = [spark.read.text(files, lineSep="\r\n\r\n" if cr else sep) for cr, files in kinds.items() if files]
-        found = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else spark.read.text(path)
-        found = found.select(F.explode(F.split("value", r"\n[ \t\r]*\n")).alias("value"))
-    return found.where(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
-
-
 def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -76,7 +64,7 @@ def picked(df: DataFrame, source: str, columns: dict[str, str]) -> list[Column]:
 
 def msp(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """MSP records (at most ``first`` of them, in the order of a hash); a line with both ``CAS#`` and ``NIST#`` is two; unknown keys and empty records go."""
-    found = records(spark, path, "\n\n")
+    found = records(spark, path, BLANK)
     found = found.orderBy(F.md5("value")).limit(first) if first is not None else found
     df = found.withColumn("_l", F.flatten(F.transform(lines(F.col("value")), lambda x: F.when(F.contains(x, F.lit("CAS#")) & F.contains(x, F.lit("NIST#")), F.transform(F.split(x, ";"), lambda x: F.trim(x))).otherwise(F.array(x)))))
     at = F.array_position(F.transform("_l", lambda x: F.regexp_like(x, F.lit(r"^Num [pP]eaks:"))), F.lit(True))
@@ -94,7 +82,7 @@ def msp(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
 
 def mgf(spark: SparkSession, path: str) -> DataFrame:
     """MGF records with exact keys; words for missing values as null, energies with their unit, first part of SMILES."""
-    df = records(spark, path, "END IONS").withColumn("_l", F.filter(lines(F.col("value")), lambda x: x != "BEGIN IONS"))
+    df = records(spark, path, IONS).withColumn("_l", F.filter(lines(F.col("value")), lambda x: x != "BEGIN IONS"))
     is_peak = lambda x: F.regexp_like(x, F.lit(PEAK_LINE))
     df = df.withColumn("_m", entries(F.transform(F.filter("_l", lambda x: ~is_peak(x) & F.contains(x, F.lit("="))), lambda x: pair(x, "="))))
     out = df.select(*[missing_as_null(c).alias(n) for n, c in zip(MGF_COLUMNS.values(), picked(df, "_m", MGF_COLUMNS))], F.array_join(F.transform(F.filter("_l", is_peak), lambda x: F.regexp_replace(x, r"\s+", " ")), "\n").alias("peaks"))
@@ -205,7 +193,7 @@ def ei_csv(spark: SparkSession, path: str) -> DataFrame:
 def sdf(spark: SparkSession, path: str) -> DataFrame:
     """Compound records: five tags each."""
     tag = lambda t: F.nullif(F.trim(F.regexp_extract("value", rf"> <{t}>\s*\n([^\n]*)", 1)), F.lit(""))
-    df = records(spark, path, "$$$$").select(*[tag(t).alias(c) for t, c in SDF_TAGS.items()])
+    df = records(spark, path, COMPOUND).select(*[tag(t).alias(c) for t, c in SDF_TAGS.items()])
     return df.withColumn("cid", F.col("cid").cast("bigint")).withColumn("exact_mass", F.col("exact_mass").cast("double"))
 
 

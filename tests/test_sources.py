@@ -108,3 +108,41 @@ def test_streams(spark, tmp_path):
     assert all(r["total"] <= 50 for r in packs) and len({i for r in packs for i in r["ids"]}) == sum(len(r["ids"]) for r in packs)
     windows = drain(spark, jobs.tumbling(stream(), "ts", ["m"], "x", "1 minute", "0 seconds"), tmp_path, "e", "append")
     assert windows.count() > 0
+
+
+def test_records_cut_anywhere(spark, tmp_path):
+    """Records of mixed line ends, cut by Spark at every few bytes, are the same as from one read."""
+    from massweave.sources.records import BLANK, IONS, records
+
+    ends = ["\n", "\r\n"]
+    each = [[f"Name: N{i}", f"Num Peaks: {i % 4}", *[f"{k}.5 {i}" for k in range(i % 4)]] for i in range(40)]
+    texts = {
+        "mixed.msp": "".join(ends[i % 2].join(r) + ends[i % 2] + "  " * (i % 3) + ends[i % 2] * (1 + i % 2) for i, r in enumerate(each)),
+        "last.msp": "\r\n\r\n".join("\r\n".join(r) for r in each[:5]),
+        "blank.msp": "\n\n\n \n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = sorted(["\n".join(r) for r in each] + ["\n".join(r) for r in each[:5]])
+    key = "spark.sql.files.maxPartitionBytes"
+    before, cost = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        for size in (1, 2, 3, 7, 16, 50, 333, 100_000):
+            spark.conf.set(key, f"{size}b")
+            if size < 7:
+                (tmp_path / f"few{size}").mkdir()
+                (tmp_path / f"few{size}" / "x.msp").write_bytes(texts["mixed.msp"].encode()[:130])
+                got = sorted(r["value"] for r in records(spark, str(tmp_path / f"few{size}"), BLANK).collect())
+                import re
+
+                assert got == sorted(x for x in (b.strip() for b in re.split(r"\n[ ]*\n", texts["mixed.msp"][:130].replace("\r\n", "\n"))) if x)
+            else:
+                got = records(spark, [str(tmp_path / n) for n in texts], BLANK)
+                assert sorted(r["value"] for r in got.collect()) == want
+        (tmp_path / "a.mgf").write_bytes(b"BEGIN IONS\r\nTITLE=x 1\r\n1.0 2\r\nEND IONS\r\n\r\nBEGIN IONS\nTITLE=y 2\n3.0 4\nEND IONS\n")
+        spark.conf.set(key, "9b")
+        assert sorted(r["value"].strip() for r in records(spark, str(tmp_path / "a.mgf"), IONS).collect()) == ["BEGIN IONS\nTITLE=x 1\n1.0 2", "BEGIN IONS\nTITLE=y 2\n3.0 4"]
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
