@@ -1,9 +1,13 @@
 """Secret scans: fixed patterns, and strings whose bytes zstandard can't find in their surroundings.
 
-The patterns give the base spans. The method adds spans of the kind ``novel``: a run of key
-characters close behind a sensitive word is measured by the bytes it adds when compressed against a
-dictionary of common identifiers and the code around it; what hardly compresses is reported. A long run
-is measured in pieces, as entropy coding alone makes a long random string shorter.
+The patterns give the base spans. The method measures every candidate in a sensitive context, inside base spans too: the
+bytes that it adds when compressed against a dictionary of common identifiers and the code around it. What hardly compresses
+and doesn't read like words is reported as ``novel``. A long run is measured in pieces, as entropy coding alone makes a long random string shorter.
+
+Sensitive contexts: a run of 16 or more key characters with a sensitive word among the last NEAR characters before it that aren't blank
+(at most LOOK characters back); such a run inside the armour of a private key, however far from its first line; the password of
+an address ``scheme://user:password@host``, of 8 characters or more. A candidate reads like words if, cut where case, letters and
+digits change, most of it is pieces of three letters or more and many of their pairs of letters are common in words.
 
 Defined results: a null or empty text has no spans (the digest of no spans is that of the empty
 string); rows keep their ``doc_id``, repeated or null; an empty table gives no rows; other columns
@@ -33,9 +37,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
-#: Characters before a candidate in which a sensitive word must stand, and around it that prime the dictionary.
-NEAR, AROUND = 40, 600
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(.*?)(?:-----END|\Z)", re.DOTALL)
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]*:([^\s/@]{8,})@", re.ASCII)
+#: Characters before a candidate, blanks not counted, in which a sensitive word must stand; how far back they may be; those around it that prime the dictionary.
+NEAR, LOOK, AROUND = 40, 400, 600
 #: Added bytes for each character from which a candidate is novel.
 NOVEL = 0.85
 #: Characters of a piece; so few aren't worth an entropy code.
@@ -45,6 +51,8 @@ IDENTIFIERS = (
     "username user_id client_id client_secret access_token refresh_token session_id authorization content_type application_json "
     "configuration connection_string database_url endpoint hostname localhost example.com return import export function public static "
     "private_key public_key certificate request response headers timeout default production development environment variable parameter "
+    "getUser setUser Account Settings Database Connection Service Manager Controller Factory Handler Provider Repository Instance Context Session "
+    "Message Response Request Resource Element Property Attribute Template Component Interface Implementation Exception Validation Authentication "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 xxxxxxxxxxxxxxxx your_api_key_here changeme placeholder"
 )
 
@@ -88,26 +96,43 @@ def is_novel(candidate: str, around: str) -> bool:
     return sum(len(press.compress(candidate[a:b].encode())) - none for a, b in zip(cuts, cuts[1:])) >= NOVEL * n
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that no pattern covers: novel strings close behind a sensitive word."""
+#: Parts of a candidate: a capitalised or lower-case word, capitals, or anything else of one kind.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^A-Za-z0-9]+|[A-Z]")
+#: The most common pairs of letters in English words.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ic io ne me co li ri ro ch ll be ma "
+    "om ca us ce ta la el ho ns em di ec pr tr su ac ke ss tu un id pe ct rs so ge wh ut ot no po pa mo ig vi ey ay ry ty ly da".split()
+)
+#: The part of a candidate that must be pieces of three letters or more, and of their pairs of letters that must be common ones.
+READS, COMMON = 0.7, 0.4
+
+
+def reads_like_words(candidate: str) -> bool:
+    words = [p.lower() for p in PARTS.findall(candidate) if len(p) >= 3 and p.isalpha()]
+    pairs = [w[i : i + 2] for w in words for i in range(len(w) - 1)]
+    return sum(map(len, words)) >= READS * len(candidate) and sum(p in PAIRS for p in pairs) >= COMMON * len(pairs)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings in a sensitive context, in order."""
     low = text.lower()
-    if not any(w in low for w in SENSITIVE):
-        return []
-    covered, k = sorted(base), 0
-    reach = 0  # the furthest end of the base spans that begin before the candidate's end
-    found = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while k < len(covered) and covered[k][0] < b:
-            reach = max(reach, covered[k][1])
-            k += 1
-        one = m[0]
-        if reach > a or not (any(c.isdigit() for c in one) and any(c.isalpha() for c in one)):
-            continue
-        before = text[max(0, a - NEAR) : a].lower()
-        if any(w in before for w in SENSITIVE) and is_novel(one, text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
-            found.append((a, b, "novel"))
-    return found
+    found = {m.span(1) for m in ADDRESS.finditer(text)} if "://" in text else set()
+    if any(w in low for w in SENSITIVE):
+        armoured = [m.span(1) for m in ARMOUR.finditer(text)] if "-----BEGIN" in text else []
+        k = 0
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            while k < len(armoured) and armoured[k][1] <= a:
+                k += 1
+            inside = k < len(armoured) and armoured[k][0] <= a
+            if inside or any(w in "".join(low[max(0, a - LOOK) : a].split())[-NEAR:] for w in SENSITIVE):
+                found.add((a, b))
+    return sorted(found)
+
+
+def novel_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of the candidates that are novel where they stand."""
+    return [(a, b, "novel") for a, b in candidates(text) if not reads_like_words(text[a:b]) and is_novel(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND])]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -125,7 +150,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             out = []
             for text in texts:
                 base = base_spans(text)
-                every = sorted(base + novel_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
+                every = sorted(base + novel_spans(text), key=lambda s: (s[0], KINDS.index(s[2])))
                 out.append([{"kind": k, "first": a, "last": b, "secret": text[a:b]} for a, b, k in every])
             yield table(schema, doc_id=batch.column("doc_id"), found=out)
 
