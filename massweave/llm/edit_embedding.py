@@ -192,8 +192,9 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next", "class_id")
 
 
-#: Bands that alike fingerprints must share one of, and the samples each takes: half the bands from the first 64, half from twice as many.
-BANDS, WIDTH, REACH = 16, 8, 128
+#: Bands of each reach that alike fingerprints must share one of, the samples each takes, from anywhere up to the reach, and the reaches.
+BANDS, WIDTH = 12, 8
+REACHES = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192)
 SIMILAR = 0.8
 #: Fingerprints of a band that one task compares.
 CELL = 4096
@@ -201,26 +202,32 @@ CELL = 4096
 
 @lru_cache(maxsize=1)
 def band_places() -> np.ndarray:
+    """Places of the samples of each band: by reach, band and sample."""
     rng = np.random.Generator(np.random.PCG64(SEED + 1))
-    return np.concatenate([rng.integers(0, REACH // 2, size=(BANDS // 2, WIDTH)), rng.integers(0, REACH, size=(BANDS // 2, WIDTH))])
+    return np.stack([rng.integers(0, r, size=(BANDS, WIDTH)) for r in REACHES])
+
+
+def reaches(n: int) -> list[int]:
+    """Which reaches a fingerprint of ``n`` samples uses: the greatest up to ``n``, and the one below if a fingerprint alike may be so much shorter."""
+    own = max([k for k, r in enumerate(REACHES) if r <= n], default=0)
+    return [own, own - 1] if own and SIMILAR * n < REACHES[own] else [own]
 
 
 def band_keys(e: int, samples: np.ndarray) -> list[int]:
-    """Keys of bit-sampled bands, at the fingerprint's own coarseness and the next coarser one (texts of nearly one length may differ by one)."""
+    """Keys of bit-sampled bands; where a text of one more bit of length may be alike, also at the next coarser sampling, which that one has."""
     out: list[int] = []
-    at = band_places()
     for coarse, x in ((e, samples), (e + 1, samples[::2])):
-        if len(x):
-            there = np.flatnonzero(at.max(axis=1) < max(len(x), REACH // 2))
-            each = x[at[there] % len(x)].astype(np.int64)
-            values = (each << (4 * np.arange(WIDTH))).sum(axis=1)
-            out += (values | there << 32 | coarse << 38).tolist()
+        if len(x) and (coarse == e or len(x) >= SIMILAR * (1 << FINE)):
+            for k in reaches(len(x)):
+                each = x[band_places()[k] % len(x)].astype(np.int64)
+                values = (each << (4 * np.arange(WIDTH))).sum(axis=1)
+                out += (values | np.arange(BANDS) << 32 | k << 36 | coarse << 40).tolist()
     return out
 
 
 def alike(band: int, prints: list[bytes], similar: float = SIMILAR) -> tuple[list[int], list[int]]:
     """Spanning stars (member, centre) of the links between fingerprints of one band; what a member has reached is not compared again."""
-    coarse = band >> 38
+    coarse = band >> 40
     each = [x[:: 1 << max(0, coarse - e)] for e, x in map(unpacked, prints)]
     sizes = np.array([len(x) for x in each])
     rows = np.full((len(each), sizes.max()), 255, dtype=np.uint8)

@@ -304,14 +304,19 @@ def test_classes(spark, cell):
     assert {i: got[f] for i, f in packed.items()} == want and len(set(want.values())) < 16
 
 
-def test_band_recall(spark):
-    """Of texts and their edited copies whose fingerprints are alike, the bands meet at least nine in ten."""
+@pytest.mark.parametrize("kind,share", [("random", 0.005), ("random", 0.02), ("opening", 0.1), ("opening", 0.15), ("ending", 0.15), ("cut", 0.15)])
+def test_band_recall(spark, kind, share):
+    """Of texts and their edited copies whose fingerprints are alike, the bands meet at least nine in ten, wherever the edits are."""
     rng = random.Random(11)
-    texts = [r[0] for r in documents_of(spark).where("n_chars > 60").orderBy("doc_id").select("text").limit(250).collect()]
+    texts = [r[0] for r in documents_of(spark).where("n_chars > 60").orderBy("doc_id").select("text").limit(300).collect()]
 
     def edited(t):
+        n = max(1, int(len(t) * share))
+        other = (rng.choice(texts) * (1 + n // 60))[:n]
+        if kind != "random":
+            return {"opening": other + t[n:], "ending": t[:-n] + other, "cut": t[:-n]}[kind]
         t = list(t)
-        for _ in range(max(1, len(t) * rng.randrange(1, 6) // 200)):
+        for _ in range(n):
             at = rng.randrange(len(t))
             t[at] = rng.choice(["", "x", t[at] + "y"])
         return "".join(t)
@@ -325,7 +330,7 @@ def test_band_recall(spark):
         if edit_embedding.likeness(x, y) >= edit_embedding.SIMILAR:
             alike += 1
             met += bool(set(edit_embedding.band_keys(*x)) & set(edit_embedding.band_keys(*y)))
-    assert alike > 50 and met >= 0.9 * alike, (met, alike)
+    assert alike > 30 and met >= 0.9 * alike, (met, alike)
 
 
 # tokens
