@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from massweave.llm.common import ROW, materialize, numbered_rows, rows_named, shielded, squeezed, text_of, tie
 
-#: A chunk ends, 512 characters in at the earliest, at the first window of three characters whose last
-#: is its first; a stretch of 4,096 more without such a window is one chunk. This holds in any script.
-CHUNK = r"(?s).{512,4608}?(.).\1|.{1,4608}"
+#: A chunk ends, 128 characters in at the earliest, at the first two windows of three characters, side by side, whose last is
+#: their first; where 2,000 characters have none (a large alphabet), at the first such window; a stretch of 4,608 without one is a chunk.
+#: So its ends are rare against its least length in any script, and after an insertion chunks soon end where they did.
+CHUNK = r"(?s).{128,2000}?(.).\1(.).\2|.{128,4608}?(.).\3|.{1,4608}"
 
 
 def chunks(text: Column) -> Column:
