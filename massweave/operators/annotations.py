@@ -11,6 +11,7 @@ from massweave.operators.aggregates import TINY
 from massweave.operators.asof import nearest_value
 from massweave.operators.joins import at_most, band_join, nearest, with_conditions
 from massweave.operators.peaks import spectrum, l1
+from massweave.operators.similarity import matches, plnp
 
 
 def annotated_intensity(ann: DataFrame, peaks: DataFrame, max_isotope: int = 2, max_da: float | None = None, max_ppm: float | None = None) -> DataFrame:
@@ -152,6 +153,58 @@ def annotation_agreement(true: DataFrame, pred: DataFrame) -> DataFrame:
     return out.withColumn("f1", f1("recall", "precision")).withColumn("wt_f1", f1("wt_recall", "wt_precision"))
 
 
+def agreement_by_threshold(peaks: DataFrame, annotated: DataFrame, predicted: DataFrame, thresholds: list[float], tol: float = 1e-5) -> DataFrame:
+    """How annotated and predicted formulas (``spec_id, formula, mz``, predictions with ``prob``) agree on the peaks of each spectrum, at each least probability.
+
+    A peak is explained by a formula within ``tol`` of it. ``t_formula_cov``, ``p_formula_cov``: shared formulas among annotated and among predicted
+    ones. ``t_peak_cov``: annotated peaks that a formula of both explains, ``t_peak_cov_2`` of all peaks; ``p_peak_cov``: predicted formulas that explain a peak
+    like an annotation does, of those that explain an annotated peak, ``p_peak_cov_2`` of all; with ``_w_`` weighted by intensity or probability. Without a
+    threshold: ``mode_peak_cov``, where only the likeliest formula of a peak counts (ties: the first), and ``jsd``, over the shares of the predictions and the
+    mean shares of the peaks that an annotation explains. A part of nothing is null.
+
+    A peak needs one number for all thresholds, the best probability of a formula that explains it on both sides; a formula has its own.
+    """
+    w = F.col("ints") / F.sum("ints").over(spectrum())
+    t = peaks.select("spec_id", "peak_idx", "mz", w.alias("ints"))
+    side = lambda df, x: df.select("spec_id", F.col("formula").alias("peak_idx"), "mz", x.alias("ints"))
+    explained = lambda df, x: matches(t, side(df, x), tol).select("spec_id", "t_idx", F.col("t_ints").alias("w"), F.col("p_idx").alias("formula"), F.col("p_ints").alias("prob"))
+    both = explained(annotated, F.lit(None).cast("double")).withColumn("a", F.lit(True)).unionByName(explained(predicted, F.col("prob")).withColumn("a", F.lit(False)))
+    met = both.groupBy("spec_id", "t_idx", "formula").agg(F.bool_or("a").alias("a"), F.max("prob").alias("p"), F.first("w").alias("w"))
+    met = met.withColumn("on_annotated", F.bool_or("a").over(W.partitionBy("spec_id", "t_idx")))
+    above = lambda x, c: F.col(x).isNotNull() if c == 0 else F.col(x) >= c
+    count, total = (lambda x: F.sum(x.cast("double"))), (lambda x, y: F.sum(F.when(x, F.col(y)).otherwise(0.0)))
+    each = lambda f: F.array(*[f(c) for c in thresholds])
+
+    seen = met.groupBy("spec_id", "t_idx").agg(F.first("w").alias("w"), F.bool_or("a").alias("a"), F.max(F.when(F.col("a"), F.col("p"))).alias("best"), F.min_by("a", F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("formula")))).alias("mode"))
+    by_peak = seen.groupBy("spec_id").agg(
+        count(F.col("a")).alias("n_a"), total(F.col("a"), "w").alias("w_a"), each(lambda c: count(above("best", c))).alias("t_n"), each(lambda c: total(above("best", c), "w")).alias("t_w"),
+        count(F.coalesce("mode", F.lit(False))).alias("n_m"), total(F.coalesce("mode", F.lit(False)), "w").alias("w_m"),
+    )
+    of = met.where("p is not null").groupBy("spec_id", "formula").agg(F.bool_or("a").alias("hit"), F.bool_or("on_annotated").alias("near"))
+    means = met.where("a").groupBy("spec_id", "formula").agg(F.avg("w").alias("share"))
+    formulas = predicted.select("spec_id", "formula", "prob").join(annotated.select("spec_id", "formula", F.lit(True).alias("known")), ["spec_id", "formula"], "full")
+    formulas = formulas.join(of, ["spec_id", "formula"], "left").join(means, ["spec_id", "formula"], "left").fillna({"known": False, "hit": False, "near": False})
+    shares = W.partitionBy("spec_id")
+    p, q = F.coalesce("prob", F.lit(0.0)) / F.sum("prob").over(shares), F.coalesce("share", F.lit(0.0)) / F.sum("share").over(shares)
+    formulas = formulas.withColumns({"_p": p, "_q": q})
+    here = lambda c, flag=None: above("prob", c) if flag is None else above("prob", c) & F.col(flag)
+    by_formula = formulas.groupBy("spec_id").agg(
+        count(F.col("known")).alias("n_known"), F.sum(F.when(F.col("_p").isNotNull() & F.col("_q").isNotNull(), 0.5 * plnp(F.col("_p")) + 0.5 * plnp(F.col("_q")) - plnp((F.col("_p") + F.col("_q")) / 2))).alias("jsd"),
+        *[each(lambda c, k=k: count(here(c, k))).alias(f"n_{k}s" if k else "n_p") for k in (None, "known", "hit", "near")],
+        *[each(lambda c, k=k: total(here(c, k), "prob")).alias(f"w_{k}s" if k else "w_p") for k in (None, "hit", "near")],
+    )
+    rows = t.groupBy("spec_id").agg(F.count("*").cast("double").alias("n_t")).join(by_formula, "spec_id").join(by_peak, "spec_id", "left").where("n_known > 0")
+    zero = F.lit(0.0)
+    rows = rows.withColumns({c: F.coalesce(c, zero) for c in ("n_a", "w_a", "n_m", "w_m")}).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
+    at = lambda name: F.coalesce(F.get(name, F.col("i")), zero)
+    part = lambda x, y: x / F.nullif(y, zero)
+    return rows.select(
+        "spec_id", F.get(F.array(*map(F.lit, thresholds)), F.col("i")).alias("threshold"), part(at("n_knowns"), F.col("n_known")).alias("t_formula_cov"), part(at("t_n"), F.col("n_a")).alias("t_peak_cov"), part(at("t_w"), F.col("w_a")).alias("t_w_peak_cov"),
+        (at("t_n") / F.col("n_t")).alias("t_peak_cov_2"), at("t_w").alias("t_w_peak_cov_2"), part(at("n_knowns"), at("n_p")).alias("p_formula_cov"), part(at("n_hits"), at("n_nears")).alias("p_peak_cov"), part(at("n_hits"), at("n_p")).alias("p_peak_cov_2"),
+        part(at("w_hits"), at("w_nears")).alias("p_w_peak_cov"), at("w_hits").alias("p_w_peak_cov_2"), part(F.col("n_m"), F.col("n_a")).alias("mode_peak_cov"), part(F.col("w_m"), F.col("w_a")).alias("mode_w_peak_cov"), "jsd",
+    )
+
+
 def distinct_formulas(frag_formulas: DataFrame) -> DataFrame:
     """One row: how many different formulas all molecules' fragments have."""
     return frag_formulas.agg(F.countDistinct("formula").alias("total_num_formulae"))

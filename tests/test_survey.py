@@ -220,6 +220,9 @@ def test_smiles_tokens(spark):
     for smiles in ("C[C@H](Cl)Br", "F/C=C\\F", "[Na+].[Cl-]", "c1ccc%12cc1", "CC>>C*", "N#N"):
         tokens = one(spark, text.smiles_tokens(F.lit(smiles)))
         assert "".join(tokens) == smiles and "\\" in tokens or "\\" not in smiles
+    assert one(spark, text.smiles_tokens(F.lit("C[13CH2]%(123)/[se]"))) == ["C", "[13CH2]", "%(123)", "/", "[se]"]
+    for wrong in ("C?", "C>C", "C@H", "C>>C>O", "[]", "C~C"):
+        assert one(spark, text.smiles_tokens(F.lit(wrong))) is None
     assert one(spark, text.smiles_tokens(F.lit("C!"))) is None and one(spark, text.smiles_tokens(F.lit("BrB"))) == ["Br", "B"]
 
 
