@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.operators.joins import drop_ids, keep_ids
+from massweave.operators.asof import neighbours
 from massweave.operators.ordering import hash_order, numbered, unit
 from massweave.operators.shared import running
 
@@ -103,6 +104,22 @@ def weighted_draws(df: DataFrame, n: int, weight: str, key: str, seed: int = 420
     return placed.select(key, (hits(F.col("_from") + F.col("_w")) - hits(F.col("_from"))).cast("bigint").alias("draws"))
 
 
+def independent_draws(df: DataFrame, n: int, weight: str, key: str, seed: int = 420) -> DataFrame:
+    """``key, draws``: how often each row comes up in ``n`` independent draws with replacement, by ``weight``; rows that never come up are left out.
+
+    Each draw is a seeded number on the line of running weights, and falls to the last row that begins at or before it, found by a nearest join over ranges.
+    """
+    rows = df.select(key, F.col(weight).cast("double").alias("_w")).where("_w > 0").withColumn("_h", hash_order(seed, key))
+    placed = running(rows, ["_h", key], _from=F.col("_w"))
+    total = placed.agg(F.sum("_w")).first()[0]
+    if not total or n <= 0:
+        return rows.select(key, F.lit(0).cast("bigint").alias("draws")).limit(0)
+    spark = df.sparkSession
+    draws = spark.range(n).select((unit(f"{seed}+", "id") * F.lit(total)).alias("_u"))
+    got = neighbours(draws, placed.select("_from", key), [], "_u", "_from", key).select(F.col(f"before.{key}").alias(key))
+    return got.groupBy(key).agg(F.count("*").alias("draws"))
+
+
 #: Rows in a shard that is packed in one task, on average.
 SHARD = 20_000
 

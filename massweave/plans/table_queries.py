@@ -207,6 +207,14 @@ def weighted_draws(v: Views) -> DataFrame:
     return splits.weighted_draws(rows, rows.count(), "w", "spec_id")
 
 
+@query(sql(["spectra"], """SELECT spec_id, count(*) AS draws FROM u ASOF JOIN c ON u.u >= c.start GROUP BY spec_id""",
+  w="SELECT spec_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY mol_id) AS w, md5(concat(spec_id::VARCHAR, '|420')) AS h FROM spectra", c="SELECT spec_id, coalesce(sum(w) OVER (ORDER BY h, spec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w",
+  u="SELECT (concat('0x', md5(concat(i::VARCHAR, '|420+'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE * (SELECT sum(w) FROM w) AS u FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM spectra) - 1)) AS i)"))
+def independent_draws(v: Views) -> DataFrame:
+    rows = v.spectra().withColumn("w", splits.inverse_frequency(["mol_id"]))
+    return splits.independent_draws(rows, rows.count(), "w", "spec_id")
+
+
 #: Batches one after another: each ends at the last row that keeps its sums within the budgets.
 @query(sql(["peaks"], """SELECT r.spec_id, r.shard, b.batch::INT AS batch FROM (WITH RECURSIVE b AS (
     SELECT shard, 0::BIGINT AS batch, 0::HUGEINT AS n0, 0::HUGEINT AS e0, max(cn) AS n1, max(ce) AS e1 FROM r WHERE cn <= 64 AND ce <= 400 GROUP BY shard UNION ALL

@@ -70,6 +70,11 @@ def packed(events: DataFrame, key: str, size: str, budget: int, shards: int = 8,
 
 
 def to_files(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends each micro-batch to a parquet table."""
-    writer = rows.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint)
+    """Writes each micro-batch to a folder of its own below ``path`` (read back with its number as ``batch_id``); a batch that is tried again replaces what it wrote."""
+    writer = rows.writeStream.foreachBatch(written_once(path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def written_once(path: str):
+    """A batch function whose repetition leaves a batch's rows once."""
+    return lambda df, batch_id: df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

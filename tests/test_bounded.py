@@ -147,3 +147,50 @@ def test_sequential_pack_of_nothing(spark):
     assert sequential.sequential_pack(df, "id", ["id"], {"n": 20}).count() == 0
     with pytest.raises(ValueError):
         sequential.sequential_pack(df, "id", ["id"], {"n": 0})
+
+
+def test_independent_draws(spark):
+    """Frequencies follow the weights, pairs of neighbours too; reruns and other partitions agree."""
+    from massweave.operators import splits
+
+    weights = [1.0, 3.0, 0.0, 6.0, 2.0]
+    df = spark.createDataFrame(list(enumerate(weights)), "id bigint, w double")
+    n = 6000
+    got = {r["id"]: r["draws"] for r in splits.independent_draws(df, n, "w", "id").collect()}
+    assert got == {r["id"]: r["draws"] for r in splits.independent_draws(df.repartition(4), n, "w", "id").collect()}
+    assert 2 not in got and sum(got.values()) == n
+    chi = sum((got[i] - n * w / 12) ** 2 / (n * w / 12) for i, w in enumerate(weights) if w)
+    assert chi < 16.3  # the 0.1 % point of three degrees
+    counts = [{r["id"]: r["draws"] for r in splits.independent_draws(df, 40, "w", "id", seed=s).collect()} for s in range(12)]
+    spread = [c.get(3, 0) for c in counts]
+    assert max(spread) - min(spread) >= 3  # systematic draws would differ by one at most
+    assert splits.independent_draws(df.where("w = 0"), 5, "w", "id").count() == 0
+
+
+def test_repeated_batch_is_written_once(spark, tmp_path):
+    from massweave.streaming import jobs
+
+    write = jobs.written_once(str(tmp_path / "out"))
+    one, two = spark.range(5), spark.range(5, 8)
+    for df, batch in ((one, 0), (two, 1), (two, 1), (one, 0)):
+        write(df, batch)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["id"], r["batch_id"]) for r in back.collect()) == [(i, int(i > 4)) for i in range(8)]
+
+
+def test_agreement_by_threshold(spark):
+    from massweave.operators import annotations
+
+    peaks = spark.createDataFrame([(1, 1, 100.0, 6.0), (1, 2, 200.0, 3.0), (1, 3, 300.0, 1.0), (2, 1, 50.0, 1.0)], "spec_id int, peak_idx bigint, mz double, ints double")
+    ann = spark.createDataFrame([(1, "A", 100.0), (1, "B", 200.0), (2, "A", 50.0)], "spec_id int, formula string, mz double")
+    pred = spark.createDataFrame([(1, "A", 100.0, 0.5), (1, "C", 200.0, 0.3), (1, "B", 200.0, 0.2), (1, "D", 900.0, 0.0)], "spec_id int, formula string, mz double, prob double")
+    got = {(r["spec_id"], r["threshold"]): r for r in annotations.agreement_by_threshold(peaks, ann, pred, [0.0, 0.25, 0.6]).collect()}
+    r = got[1, 0.0]
+    assert (r["t_formula_cov"], r["t_peak_cov"], r["t_w_peak_cov"]) == (1.0, 1.0, 1.0) and abs(r["t_peak_cov_2"] - 2 / 3) < 1e-12 and abs(r["t_w_peak_cov_2"] - 0.9) < 1e-12
+    assert (r["p_formula_cov"], r["p_peak_cov_2"]) == (0.5, 0.5) and abs(r["p_peak_cov"] - 2 / 3) < 1e-12 and abs(r["p_w_peak_cov"] - 0.7) < 1e-12
+    assert r["mode_peak_cov"] == 0.5 and abs(r["mode_w_peak_cov"] - 6 / 9) < 1e-12
+    r = got[1, 0.25]
+    assert (r["t_formula_cov"], r["t_peak_cov"], r["p_formula_cov"], r["p_peak_cov"]) == (0.5, 0.5, 0.5, 0.5)
+    r = got[1, 0.6]
+    assert r["t_formula_cov"] == 0 and r["p_formula_cov"] is None and r["p_peak_cov"] is None
+    assert got[2, 0.0]["t_peak_cov"] == 0 and got[2, 0.0]["jsd"] is None
