@@ -97,7 +97,32 @@ PUBLISHED: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MS-PL", ("This license governs use of the accompanying software.", "If you use the software, you accept this license.")),
     ("GPL-2.0", ("The GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",)),
     ("GPL-3.0", ("The GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",)),
-    ("LGPL-2.1", ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License",)),
+    ("LGPL-2.0", ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License",)),
+    ("LGPL-2.0", ("You can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License",)),
+    ("LGPL-2.0", ("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",)),
+    ("JSON", (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software shall be used for Good, not Evil.",
+    )),
+    ("MIT", (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    )),
+    ("BSD-2-Clause", (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    )),
+    ("BSD-3-Clause", (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    )),
+    ("WTFPL", ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",)),
+    ("WTFPL", ("You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar.",)),
     ("PSF-2.0", ("This LICENSE AGREEMENT is between the Python Software Foundation (\"PSF\"), and the Individual or Organization (\"Licensee\") accessing and otherwise using this software (\"Python\") in source or binary form and its associated documentation.",)),
     ("OFL-1.1", ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",)),
     ("PostgreSQL", ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",)),
@@ -151,7 +176,7 @@ def words_of(text: str) -> list[str]:
 
 
 #: Each known sentence holds one of these.
-SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright", "acknowledg", "public domain", "gpl", "under cc", "derivative works")
+SIGNS = ("licen", "permission", "redistribut", "warrant", "copyright", "acknowledg", "public domain", "gpl", "under cc", "derivative works", "good, not evil")
 
 
 @lru_cache(maxsize=1)
@@ -227,6 +252,29 @@ def licences(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: An identifier line that names several licences, with AND, OR, WITH an exception, and parentheses.
+EXPRESSION = re.compile(r"SPDX-License-Identifier:[\x20\x09]*((?:[(\x20\x09]*[A-Za-z0-9.+-]+[)\x20\x09]*)(?:(?:AND|OR|WITH)(?:[(\x20\x09]+[A-Za-z0-9.+-]+[)\x20\x09]*))+)", re.ASCII)
+OPERAND = re.compile(r"(?:(AND|OR|WITH)[(\x20\x09]+)?[(\x20\x09]*([A-Za-z0-9.+-]+)", re.ASCII)
+
+
+def expressions(text: str) -> list[tuple[str, int, int]]:
+    """The known licences that identifier lines with operators name, each where it stands; what follows WITH is no licence."""
+    if "SPDX" not in text:
+        return []
+    known, out = {name for name, _ in RULES}, []
+    for line in EXPRESSION.finditer(text):
+        for m in OPERAND.finditer(text, *line.span(1)):
+            name = re.sub(r"(?:-only|-or-later|\+)$", "", m[2])
+            if m[1] != "WITH" and name in known:
+                out.append((name, *m.span(2)))
+    return out
+
+
+def named_licences(text: str) -> list[tuple[str, int, int]]:
+    """Licences by rules and by expressions, in order."""
+    return sorted(licences(text) + expressions(text), key=lambda x: (x[1], x[2], x[0]))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_licenses, licenses, spans`` for each row; ``spans``: (license, first, last) in code points."""
 
@@ -235,7 +283,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         span = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
         for batch, texts in by_bytes(batches):
             schema = schema or pa.schema([batch.schema.field("doc_id"), ("spans", span)])
-            yield table(schema, doc_id=batch.column("doc_id"), spans=[[{"license": n, "first": a, "last": b} for n, a, b in licences(t)] for t in texts])
+            yield table(schema, doc_id=batch.column("doc_id"), spans=[[{"license": n, "first": a, "last": b} for n, a, b in named_licences(t)] for t in texts])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = small_batches(rows).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans array<struct<license:string,first:bigint,last:bigint>>")

@@ -934,3 +934,20 @@ def test_nodes_tell_collisions_apart(spark):
     rows = spark.createDataFrame([([i, i + 1, 7],) for i in range(100)], "fps array<bigint>")
     nodes = [r["node"] for r in near_dedup.numbered_prints(rows, bits=3).collect()]
     assert len(set(nodes)) == 100
+
+
+def test_licences_told_apart():
+    granted, kept = license_rules.PUBLISHED[0][1]
+    cases = {
+        f"{granted}\n\n{kept}\n\nThe Software shall be used for Good, not Evil.\n": ["JSON"], f"{granted}\n\n{kept}\n": ["MIT"],
+        "You can redistribute it and/or\n modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or later": ["LGPL-2.0"],
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": ["LGPL-2.1"],
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License": ["LGPL-2.0"],
+        "# SPDX-License-Identifier: MIT OR Apache-2.0\ncode": ["MIT", "Apache-2.0"], "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT)\n": ["GPL-2.0", "MIT"],
+        "/* SPDX-License-Identifier: MIT */": ["MIT"], "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Zlib AND ISC": ["MIT", "Zlib", "ISC"], "SPDX-License-Identifier: Unknown OR Other": [],
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.": ["WTFPL"],
+    }
+    for text, want in cases.items():
+        found = license_rules.named_licences(text)
+        assert [n for n, *_ in found] == want, (text[:60], found)
+        assert all(0 <= a < b <= len(text) for _, a, b in found)
