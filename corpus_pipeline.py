@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massweave.llm.common import documents, materialize
+from massweave.llm.common import discard, documents, materialize
 from massweave.llm.exact_dedup import exact_dedup
 from massweave.llm.mixing import mix
 from massweave.llm.near_dedup import near_dedup
@@ -64,10 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline over ``documents``; each stage's result is written and read back before the next."""
+    """The pipeline over ``documents``; each stage's result is written and read back before the next, and deleted once that one is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialize(docs)
+            discard(before)
     return docs
