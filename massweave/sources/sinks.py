@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,28 @@ def by_group(df: DataFrame, folder: str, key: str = "target_mol_id") -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(folder)
 
 
+def clustered(df: DataFrame, path: str, key: str, files: int) -> None:
+    """Rows by range of ``key`` in about ``files`` files, and a table of each file's range: for very many targets, in place of a folder each.
+
+    A target that holds many rows goes on over several files, which are as even as the range sample. A null key comes first.
+    """
+    spread = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    df.withColumn("_spread", spread).repartitionByRange(files, key, "_spread").sortWithinPartitions(key).drop("_spread").write.mode("overwrite").parquet(f"{path}/rows")
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    file = F.col("_metadata.file_path").alias("file")
+    ranges = rows.select(file, key).groupBy("file").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("rows"), F.bool_or(F.col(key).isNull()).alias("nulls"))
+    ranges.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def of_target(spark: SparkSession, path: str, key: str, target) -> DataFrame:
+    """The rows of one target from the files whose range holds it: one, or two where ranges meet, or as many as a large target fills."""
+    held = F.col("nulls") if target is None else F.lit(target).between(F.col("first"), F.col("last"))
+    names = [r["file"] for r in spark.read.parquet(f"{path}/ranges").where(held).select("file").collect()]
+    whole = spark.read.parquet(f"{path}/rows")
+    found = spark.read.schema(whole.schema).parquet(*names) if names else whole.limit(0)
+    return found.where(F.col(key).isNull() if target is None else F.col(key) == F.lit(target))
+
+
 def fold_lists(df: DataFrame, folder: str, folds: list[str], key: str = "spec_id") -> None:
     """One list of ids for each value of each fold column."""
     long = df.unpivot(key, folds, "fold_type", "fold")

@@ -146,3 +146,22 @@ def test_records_cut_anywhere(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_many_targets_in_few_files(spark, tmp_path):
+    """100,000 targets and a large one in a dozen files; one target is read from one file or two."""
+    from massweave.sources import sinks
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "by_target")
+    rows = spark.range(100_000).select(F.col("id").alias("target"), (F.col("id") * 2).alias("x")).unionByName(spark.range(60_000).select(F.lit(7).cast("bigint").alias("target"), F.col("id").alias("x")))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1)], "target bigint, x bigint"))
+    sinks.clustered(rows, path, "target", 12)
+    ranges = spark.read.parquet(f"{path}/ranges").collect()
+    assert len(ranges) <= 12 and sum(r["rows"] for r in ranges) == 160_001 and max(r["rows"] for r in ranges) < 40_000
+    for target in (0, 555, 31_000, 99_999):
+        held = [r for r in ranges if r["first"] <= target <= r["last"]]
+        got = sinks.of_target(spark, path, "target", target).collect()
+        assert [(r["target"], r["x"]) for r in got] == [(target, 2 * target)] and len(held) <= 2
+    assert sinks.of_target(spark, path, "target", 7).count() == 60_001
+    assert sinks.of_target(spark, path, "target", -5).count() == 0 and sinks.of_target(spark, path, "target", None).count() == 1
