@@ -123,6 +123,13 @@ def ensemble(joint: DataFrame, marginal: DataFrame, keys: list[str], part: str,
     return j.join(m, keys).select(*keys, part, "_j", "_m", F.least(F.col("_j") - F.col("_m"), F.lit(0.0)).alias("log_conditional"))
 
 
+def ensemble_of_conditionals(joint: DataFrame, marginal: DataFrame, keys: list[str], part: str, model: str, x: str) -> DataFrame:
+    """The other order: each model's conditional (joint minus marginal, not above 0) first, then their mean over models and its deviation, in logs."""
+    m = marginal.select(*keys, model, F.col(x).alias("_m"))
+    each = joint.select(*keys, part, model, x).join(m, [*keys, model]).withColumn(x, F.least(F.col(x) - F.col("_m"), F.lit(0.0)))
+    return log_mean(each, [*keys, part], model, x).withColumnRenamed("log_mean", "log_conditional")
+
+
 def top_items(rows: DataFrame, group: list[str], item: str, x: str, k: int, least: float = 0.0, largest: bool = True) -> DataFrame:
     """The k best items of each group above a threshold, with their place; on ties the largest item comes first (or the smallest)."""
     tie = F.desc(item) if largest else F.asc(item)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from massweave.functions import annotation, formula
 from massweave.operators import aggregates, allpairs, annotations, filters, isotopes, peaks, retrieval, similarity, splits
 from massweave.operators.shared import scratch
-from massweave.plans.registry import query
+from massweave.plans.registry import SQL, query
 from massweave.plans.views import Views, sql
 from massweave.sources import readers, sinks
 from massweave.streaming import jobs
@@ -140,6 +140,14 @@ def coiso_fraction_group(v: Views) -> DataFrame:
     return isotopes.group_fraction(f, ["mol_id"], "f_1", least=1)
 
 
+@query(SQL["coiso_fraction_group"].replace("count(f) >= 1", "count(f) >= 2").replace("<= 0.6", "<= 0.3"))
+def coiso_fraction_gated(v: Views) -> DataFrame:
+    """Groups of two spectra or more whose fractions agree."""
+    s = precursor_spectra(v)
+    f = isotopes.coisolation(s, v.isotope_peaks(), orders=1).join(s.select("spec_id", "mol_id"), "spec_id")
+    return isotopes.group_fraction(f, ["mol_id"], "f_1", least=2, max_cv=0.3)
+
+
 MOL_M2 = f"(CASE mol_id % 3 WHEN 0 THEN 2 * {M2['O']}::DOUBLE WHEN 1 THEN {M2['Cl']}::DOUBLE ELSE {M2['S']}::DOUBLE END)"
 ADD_MASS = f"CASE prec_type WHEN '[M]+' THEN 0 WHEN '[M+Na]+' THEN {formula.MASSES['Na']}::DOUBLE ELSE {formula.MASSES['H']}::DOUBLE END"
 

@@ -205,6 +205,15 @@ def ensemble_conditional(v: Views) -> DataFrame:
     return retrieval.ensemble(rows.withColumn("x", F.ln("ints")), marginal, ["spec_id", "grp"], "peak_idx", "model", "x").select("spec_id", "grp", "peak_idx", "log_conditional")
 
 
+@query(sql(["model_scores"], """SELECT spec_id, grp, peak_idx, round(ln(avg(least(ints / t, 1))), 6) AS log_conditional, count(*) AS models FROM s JOIN (SELECT model, spec_id, grp, sum(ints) AS t FROM s GROUP BY 1, 2, 3) USING (model, spec_id, grp) GROUP BY 1, 2, 3""",
+  s="SELECT *, floor(mz / 300)::BIGINT AS grp FROM model_scores WHERE ints > 0"))
+def ensemble_conditionals_first(v: Views) -> DataFrame:
+    """Mean over five models of joint over marginal."""
+    rows = v.model_scores().where("ints > 0").withColumn("grp", F.floor(F.col("mz") / 300))
+    marginal = rows.groupBy("model", "spec_id", "grp").agg(F.ln(F.sum("ints")).alias("x"))
+    return retrieval.ensemble_of_conditionals(rows.withColumn("x", F.ln("ints")), marginal, ["spec_id", "grp"], "peak_idx", "model", "x").select("spec_id", "grp", "peak_idx", "log_conditional", "models")
+
+
 @query(sql(["spectra", "molecules", "peaks"], "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN mol_id IN (3, 5, 700) THEN 'listed' END AS kind FROM spectra UNION ALL SELECT 'unmatched' FROM spectra WHERE mol_id NOT IN (SELECT mol_id FROM molecules WHERE single_mol) UNION ALL SELECT 'energy' FROM spectra WHERE coalesce(nce, ace) IN (20, 30)) WHERE kind IS NOT NULL GROUP BY kind"))
 def lookups(v: Views) -> DataFrame:
     """Spectra of listed molecules, without a single-part molecule, and at some of two energies."""
