@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massweave.operators.joins import spread
+
 
 def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Node labels after Weisfeiler-Lehman rounds: a hash of the label and the sorted labels around; ``mol_id, node, label``."""
@@ -24,7 +26,8 @@ def wl_hash(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
 def boundary(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes of each fragment with a neighbour outside, and the cut bonds: ``frag_id, node, outside``."""
     both = edges.select("mol_id", F.col("src").alias("node"), F.col("dst").alias("outside")).unionByName(edges.select("mol_id", F.col("dst").alias("node"), F.col("src").alias("outside")))
-    return members.join(both, ["mol_id", "node"]).join(members.select("mol_id", "frag_id", F.col("node").alias("outside")), ["mol_id", "frag_id", "outside"], "left_anti")
+    own = members.select("mol_id", "frag_id", F.col("node").alias("outside"))
+    return spread(members).join(spread(both), ["mol_id", "node"]).join(spread(own), ["mol_id", "frag_id", "outside"], "left_anti")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -31,3 +31,7 @@ def exploded(spark, name):
 
 def test_entity_counts_broadcast_no_nodes(spark):
     assert not exploded(spark, "entity_counts")
+
+
+def test_fragment_boundary_broadcasts_no_edges(spark):
+    assert not exploded(spark, "fragment_boundary")
