@@ -13,8 +13,8 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     both = edges.select("mol_id", "src", "dst").unionByName(edges.select("mol_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
     out = nodes.select("mol_id", "node", F.col("label").cast("string").alias("label"))
     for _ in range(rounds):
-        near = both.join(out.withColumnsRenamed({"node": "dst", "label": "_l"}), ["mol_id", "dst"]).groupBy("mol_id", F.col("src").alias("node")).agg(F.array_join(F.sort_array(F.collect_list("_l")), ",").alias("_n"))
-        out = out.join(near, ["mol_id", "node"], "left").select("mol_id", "node", F.md5(F.concat_ws("|", "label", F.coalesce("_n", F.lit("")))).alias("label"))
+        near = spread(both).join(spread(out.withColumnsRenamed({"node": "dst", "label": "_l"})), ["mol_id", "dst"]).groupBy("mol_id", F.col("src").alias("node")).agg(F.array_join(F.sort_array(F.collect_list("_l")), ",").alias("_n"))
+        out = out.join(spread(near), ["mol_id", "node"], "left").select("mol_id", "node", F.md5(F.concat_ws("|", "label", F.coalesce("_n", F.lit("")))).alias("label"))
     return out
 
 

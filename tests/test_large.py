@@ -35,3 +35,7 @@ def test_entity_counts_broadcast_no_nodes(spark):
 
 def test_fragment_boundary_broadcasts_no_edges(spark):
     assert not exploded(spark, "fragment_boundary")
+
+
+def test_wl_hash_broadcasts_no_labels(spark):
+    assert not exploded(spark, "wl_hash")
