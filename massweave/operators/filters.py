@@ -151,6 +151,13 @@ def is_sound(elements: list[str], max_atoms: int = MAX_ATOMS) -> Column:
     return (F.col("num_atoms") <= max_atoms) & (F.col("num_radicals") == 0) & (F.col("charge") == 0) & only_elements(F.col("formula"), elements)
 
 
+def sound_molecules(df: DataFrame, elements: list[str], max_atoms: int = MAX_ATOMS) -> DataFrame:
+    """Rows that ``is_sound``; each formula is parsed once, by shuffled tasks, as a table of molecules is often one small file."""
+    plain = df.where((F.col("num_atoms") <= max_atoms) & (F.col("num_radicals") == 0) & (F.col("charge") == 0))
+    good = plain.select("formula").distinct().where(only_elements(F.col("formula"), elements))
+    return plain.join(good, "formula", "left_semi")
+
+
 def sound_candidates(df: DataFrame, elements: list[str], max_atoms: int = MAX_ATOMS) -> DataFrame:
     """One molecule that is sound."""
     return df.where(~F.contains(F.col("smiles"), F.lit(".")) & is_sound(elements, max_atoms))

@@ -3,7 +3,9 @@
 from pathlib import Path
 
 import pytest
+from massweave.operators import retrieval
 from massweave.plans import QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -51,3 +53,70 @@ def test_fragment_of_peak_broadcasts_no_fragments(spark):
 
 def test_formula_coverage_broadcasts_no_formulas(spark):
     assert not exploded(spark, "formula_coverage") and not exploded(spark, "coverage_by_molecule")
+
+
+def molecules(spark, n=300):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, 100.0 + rng.randint(0, 12) * 0.02, rng.randint(1, 5), rng.randint(0, 1), f"K{rng.randint(0, 40)}") for i in range(n)]
+    return spark.createDataFrame(rows, "mol_id long, exact_mw double, num_atoms int, charge int, inchikey_s string")
+
+
+def alike(a, b):
+    return F.least(a, b) / F.greatest(a, b)
+
+
+def every_pair(m):
+    rows = retrieval.mass_candidates(m, m, 500.0, {"num_atoms": "t_num_atoms", "charge": "t_charge"})
+    return rows.withColumns({"similarity": alike(F.col("num_atoms"), F.col("t_num_atoms")), "score": alike(F.col("num_atoms"), F.col("t_num_atoms")) + (F.col("charge") == F.col("t_charge")).cast("int"), "is_target": F.col("mol_id") == F.col(retrieval.TARGET)})
+
+
+def counted(m):
+    rows = retrieval.class_candidates(m, 500.0, ["num_atoms", "charge"])
+    return rows.withColumns({"similarity": alike(F.col("num_atoms"), F.col("t_num_atoms")), "score": alike(F.col("num_atoms"), F.col("t_num_atoms")) + (F.col("charge") == F.col("t_charge")).cast("int")})
+
+
+CLASS = ["target_mw", "t_num_atoms", "t_charge"]
+
+
+def table(df, *columns):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*columns).collect())
+
+
+def test_best_in_windows_is_top_candidates(spark):
+    m = molecules(spark)
+    sound = m.where("charge = 0")
+    plain = retrieval.top_candidates(every_pair(m).where("is_target or charge = 0"), "similarity", 4)
+    got = retrieval.best_in_windows(m, sound, 500.0, 4, "num_atoms", alike)
+    assert table(got, retrieval.TARGET, "mol_id", "score") == table(plain, retrieval.TARGET, "mol_id", "similarity")
+
+
+def test_counted_ranks_are_those_of_every_pair(spark):
+    m = molecules(spark)
+    plain = retrieval.ranked(every_pair(m), "score").where("is_target or rank = 1")
+    got = retrieval.of_targets(retrieval.ranked(counted(m), "score", CLASS, "n").where("is_target or rank = 1"), m, ["num_atoms", "charge"])
+    assert table(got, retrieval.TARGET, "is_target", "rank", "similarity") == table(plain, retrieval.TARGET, "is_target", "rank", "similarity")
+
+
+def test_counted_ndcg_is_that_of_every_pair(spark):
+    m = molecules(spark)
+    for exponential in (False, True):
+        plain = retrieval.ranked_ndcg(every_pair(m), "score", "similarity", 7, exponential)
+        got = retrieval.of_targets(retrieval.ranked_ndcg(counted(m), "score", "similarity", 7, exponential, CLASS, "n"), m, ["num_atoms", "charge"])
+        assert table(got, retrieval.TARGET, "ndcg") == table(plain, retrieval.TARGET, "ndcg")
+
+
+def test_classes_don_t_grow_with_their_members(spark):
+    m = molecules(spark)
+    more = m.unionByName(m.withColumn("mol_id", F.col("mol_id") + 1000)).unionByName(m.withColumn("mol_id", F.col("mol_id") + 2000))
+    others = lambda df: counted(df).where("not is_target").groupBy(*CLASS, "num_atoms", "charge").count().count()
+    assert counted(more).where("is_target").count() == counted(m).where("is_target").count() and others(more) <= 2 * others(m)
+    assert counted(more).agg(F.sum("n")).first()[0] < every_pair(more).count()
+
+
+def test_pair_counts_are_those_of_every_pair(spark):
+    m = molecules(spark)
+    pairs = every_pair(m).where(F.col(retrieval.TARGET) < F.col("mol_id"))
+    plain = pairs.select(F.explode(F.array(retrieval.TARGET, "mol_id")).alias("mol_id")).groupBy("mol_id").agg(F.count("*").alias("pairs"))
+    assert table(retrieval.pair_counts(m, 500.0), "mol_id", "pairs") == table(plain, "mol_id", "pairs")
