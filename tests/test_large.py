@@ -1,10 +1,12 @@
 """Plans that must hold on tables far larger than their sources' bytes tell, on small ones."""
 
+import datetime
 from pathlib import Path
 
+import duckdb
 import pytest
-from massweave.operators import retrieval
-from massweave.plans import QUERIES
+from massweave.operators import aggregates, retrieval
+from massweave.plans import QUERIES, SQL
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +122,29 @@ def test_pair_counts_are_those_of_every_pair(spark):
     pairs = every_pair(m).where(F.col(retrieval.TARGET) < F.col("mol_id"))
     plain = pairs.select(F.explode(F.array(retrieval.TARGET, "mol_id")).alias("mol_id")).groupBy("mol_id").agg(F.count("*").alias("pairs"))
     assert table(retrieval.pair_counts(m, 500.0), "mol_id", "pairs") == table(plain, "mol_id", "pairs")
+
+
+def tables(spark, folder, orders, lines=()):
+    """Small tables of orders (key, customer, price) and lines (order, number, price, quantity)."""
+    made = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(k, c, "F", p, made, "1-URGENT") for k, c, p in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    rows = [(k, 1, 1, n, q, p, 0.0, 0.0, "N", "O", made) for k, n, p, q in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def by_sql(folder, name):
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    return con.execute(SQL[name]).fetchall()
+
+
+def test_best_epoch_of_equal_means_is_the_first(spark, tmp_path):
+    prices = [500.1, 0.05, 1000.3]
+    orders = [(7 * i + 1, 1, p) for i, p in enumerate(prices)] + [(7 * i + 3, 1, p) for i, p in enumerate(reversed(prices))] + [(7 * i + 2, 1, p) for i, p in enumerate([prices[1], prices[0], prices[2]])]
+    folder = tables(spark, tmp_path, orders)
+    got = QUERIES["best_epoch"](spark, folder).select("dset", "best", "epoch").collect()
+    assert [tuple(r) for r in got] == by_sql(folder, "best_epoch") and got[0]["epoch"] == 1
+    means = aggregates.best(spark.createDataFrame([("d", 2, 0.1 + 0.2), ("d", 1, 0.3)], "dset string, epoch int, x double").withColumn("x", F.round("x", 6)), ["dset"], "epoch", "x", False)
+    assert means.first()["epoch"] == 1 and "round(avg(prec_mz), 6)" in SQL["best_epoch"]
