@@ -148,3 +148,10 @@ def test_best_epoch_of_equal_means_is_the_first(spark, tmp_path):
     assert [tuple(r) for r in got] == by_sql(folder, "best_epoch") and got[0]["epoch"] == 1
     means = aggregates.best(spark.createDataFrame([("d", 2, 0.1 + 0.2), ("d", 1, 0.3)], "dset string, epoch int, x double").withColumn("x", F.round("x", 6)), ["dset"], "epoch", "x", False)
     assert means.first()["epoch"] == 1 and "round(avg(prec_mz), 6)" in SQL["best_epoch"]
+
+
+def test_fused_spectra_round_halves_to_even(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(1, 1, 400_000.0)], [(1, 1, 70 * 100.25, 5.0), (1, 2, 70 * 100.21, 4.0), (1, 3, 70 * 100.29, 3.0), (1, 4, 70 * 200.15, 2.0), (1, 5, 70 * 200.19, 1.0)])
+    got = QUERIES["fused_spectra"](spark, folder).select("spec_id", "mz", "ints").collect()
+    assert sorted(map(tuple, got)) == sorted(by_sql(folder, "fused_spectra"))
+    assert [r["mz"] for r in sorted(got, key=lambda r: r["mz"])] == [100.21, 100.29, 200.15]
