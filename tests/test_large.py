@@ -1,11 +1,12 @@
 """Plans that must hold on tables far larger than their sources' bytes tell, on small ones."""
 
 import datetime
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
 import pytest
-from massweave.operators import aggregates, retrieval
+from massweave.operators import aggregates, retrieval, splits
 from massweave.plans import QUERIES, SQL
 from pyspark.sql import functions as F
 
@@ -155,3 +156,12 @@ def test_fused_spectra_round_halves_to_even(spark, tmp_path):
     got = QUERIES["fused_spectra"](spark, folder).select("spec_id", "mz", "ints").collect()
     assert sorted(map(tuple, got)) == sorted(by_sql(folder, "fused_spectra"))
     assert [r["mz"] for r in sorted(got, key=lambda r: r["mz"])] == [100.21, 100.29, 200.15]
+
+
+def test_weighted_draws_are_exact(spark):
+    rows, n = [(i, 1.0 / (1 + i % 7)) for i in range(700)], 10**15 + 7
+    got = {r["id"]: r["draws"] for r in splits.weighted_draws(spark.createDataFrame(rows, "id long, w double"), n, "w", "id").collect()}
+    units = {i: int(w * splits.UNITS) for i, w in rows}
+    total = sum(units.values())
+    assert sum(got.values()) == n
+    assert all(abs(got[i] - Fraction(units[i] * n, total)) < 1 for i in got)
