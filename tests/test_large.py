@@ -165,3 +165,14 @@ def test_weighted_draws_are_exact(spark):
     total = sum(units.values())
     assert sum(got.values()) == n
     assert all(abs(got[i] - Fraction(units[i] * n, total)) < 1 for i in got)
+
+
+def test_copies_are_one_class(spark, tmp_path):
+    lines = [(i, n, 70 * (100.0 + 11 * n + i % 3 * (n == 1)), float(n)) for i in range(12) for n in range(1, 4)]
+    folder = tables(spark, tmp_path, [(1, 1, 400.0)], lines)
+    for name in ("pairwise_jss", "pairwise_cross_entropy", "pairwise_hungarian", "pairwise_matched_ce", "pairwise_matched_jss", "pairwise_cosine_above"):
+        got = [tuple(r) for r in QUERIES[name](spark, folder).collect()]
+        assert {(a, b) for a, b, x in got if x is None} == {(i % 3, i) for i in range(3, 12)}, name
+        assert {v for a, b, x in got if x is not None for v in (a, b)} <= {0, 1, 2}, name
+        near = lambda rows: sorted((a, b, -1 if x is None else round(x, 5)) for a, b, x in rows)
+        assert near(got) == near(by_sql(folder, name)), name
