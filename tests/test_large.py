@@ -6,7 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from massweave.operators import aggregates, retrieval, splits
+from massweave.operators import aggregates, allpairs, retrieval, splits
 from massweave.plans import QUERIES, SQL
 from pyspark.sql import functions as F
 
@@ -176,3 +176,13 @@ def test_copies_are_one_class(spark, tmp_path):
         assert {v for a, b, x in got if x is not None for v in (a, b)} <= {0, 1, 2}, name
         near = lambda rows: sorted((a, b, -1 if x is None else round(x, 5)) for a, b, x in rows)
         assert near(got) == near(by_sql(folder, name)), name
+
+
+def test_tanimoto_search_meets_the_queries_only(spark):
+    rows = [(i, 0, (i * 2654435761) % (1 << 32), (i * 40503) % (1 << 32)) for i in range(300)]
+    f = spark.createDataFrame(rows, "id long, label int, w0 long, w1 long")
+    every = allpairs.tanimoto_topk(f, 3, "id", ["w0", "w1"], "label").where("a % 100 = 0")
+    got = allpairs.tanimoto_topk(f, 3, "id", ["w0", "w1"], "label", f.where("id % 100 = 0"))
+    assert table(got, "a", "b", "tanimoto") == table(every, "a", "b", "tanimoto") and got.count() == 9
+    asked = allpairs.tanimoto_bounds(f, 3, "id", ["w0", "w1"], "label", f.where("id % 100 = 0"))
+    assert asked.count() == 3 and allpairs.counted_pairs(f, asked, "id", ["w0", "w1"], "label").count() <= 3 * 299
