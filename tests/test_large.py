@@ -6,7 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from massweave.operators import aggregates, allpairs, retrieval, splits
+from massweave.operators import aggregates, allpairs, joins, retrieval, splits
 from massweave.plans import QUERIES, SQL
 from pyspark.sql import functions as F
 
@@ -186,3 +186,16 @@ def test_tanimoto_search_meets_the_queries_only(spark):
     assert table(got, "a", "b", "tanimoto") == table(every, "a", "b", "tanimoto") and got.count() == 9
     asked = allpairs.tanimoto_bounds(f, 3, "id", ["w0", "w1"], "label", f.where("id % 100 = 0"))
     assert asked.count() == 3 and allpairs.counted_pairs(f, asked, "id", ["w0", "w1"], "label").count() <= 3 * 299
+
+
+def test_query_candidates_meet_molecules_of_the_queries_only(spark):
+    got = QUERIES["query_candidates"](spark, SF)
+    assert got.where("spec_id % 100 <> 0").isEmpty() and not got.isEmpty()
+
+
+def test_window_join_by_key(spark):
+    a = spark.createDataFrame([(i, i % 3, 100 + 0.3 * i) for i in range(30)], "a long, k int, x double")
+    b = spark.createDataFrame([(i, i % 2, 100 + 0.2 * i) for i in range(50)], "b long, k int, y double")
+    got = joins.window_join(a, b, "x", "y", 5000.0, True, ["k"]).select("a", "b")
+    want = {(i, j) for i in range(30) for j in range(50) if i % 3 == j % 2 and abs((100 + 0.2 * j) - (100 + 0.3 * i)) <= (100 + 0.3 * i) * 5e-3}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
