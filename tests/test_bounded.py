@@ -50,6 +50,29 @@ def test_cosine_above_and_topk(spark, common):
         allpairs.cosine_above(df, 0.0)
 
 
+@pytest.mark.parametrize("common", [None, [1, 2, 200]])
+def test_cosine_search(spark, common):
+    rows = spectra(5, 200, 30, 9, common)
+    rows += [(a + 1000 * i, m, x) for a, m, x in rows if a < 20 for i in range(1, 9)]
+    df, want = spark.createDataFrame(rows, "spec_id bigint, mz double, ints double").repartition(3), cosines_of(rows)
+    best = defaultdict(list)
+    for (a, b), c in want.items():
+        best[a].append((-round(c, 6), b))
+        best[b].append((-round(c, 6), a))
+    asked = {a for a in best if a % 5 == 0}
+    for k in (5, 300):
+        got = {(r["a"], r["b"]): r["cos"] for r in allpairs.cosine_search(df, df.where("spec_id % 5 = 0"), k, 1.0).collect()}
+        assert got.keys() == {(a, b) for a in asked for _, b in sorted(best[a])[:k]}
+
+
+def test_cosine_search_hands_on_few_pairs(spark):
+    rows = [(i + 1000 * j, 1.0 * (i * 7 + n * n * 13) % 60, 1.0 + (i * 31 + n * 17) % 50) for i in range(300) for n in range(5) for j in range(30)]
+    found = allpairs.vectors(spark.createDataFrame(rows, "spec_id bigint, mz double, ints double"), 1.0).cache()
+    asked, few = found.where("spec_id % 100 = 0"), found.where("copy <= 6")
+    made = allpairs.reachable(few, asked, allpairs.seeds(few, asked, 5))
+    assert made.distinct().count() <= 12 * asked.count()
+
+
 def test_a_bin_in_every_spectrum_hands_on_few_pairs(spark):
     n = 600
     rows = [(i, 0.5, 1.0) for i in range(n)] + [(i, 1.5 + (i * 7 + k) % 300, 30.0) for i in range(n) for k in range(2)]
