@@ -209,3 +209,60 @@ def test_mass_classes_are_every_pair_and_don_t_grow_with_their_members(spark):
     got = {r["target_mw"]: r["n"] for r in rows.groupBy("target_mw").agg(F.sum("n").alias("n")).collect()}
     assert {r["target_mw"]: r["pairs"] for r in plain} == {k: n * sizes[k] for k, n in got.items()}
     assert retrieval.mass_classes(m.unionByName(m.withColumn("mol_id", F.col("mol_id") + 1000)), 500.0).count() == rows.count()
+
+
+def plain_batches(sizes, groups, budget, ks):
+    free, queues, out, batch = dict.fromkeys(range(len(sizes))), [list(g) for g in groups], [], 0
+    while free:
+        room, taken = budget, 0
+        for queue, k in zip(queues, ks):
+            done = 0
+            while queue and done < k:
+                left, fits = [i for i in queue[0] if i in free], []
+                for i in left:
+                    if sizes[i] <= room or not taken and not fits:
+                        fits.append(i)
+                        room -= sizes[i]
+                for i in fits:
+                    free.pop(i)
+                    out.append((i, batch))
+                taken += len(fits)
+                if len(fits) < len(left):
+                    break
+                queue.pop(0)
+                done += bool(left)
+        for i in list(free):
+            if sizes[i] <= room or not taken:
+                free.pop(i)
+                out.append((i, batch))
+                room -= sizes[i]
+                taken += 1
+            elif room <= 0:
+                break
+        batch += 1
+    return out
+
+
+def test_contrastive_batches_are_the_plain_ones():
+    import random
+
+    rng = random.Random(5)
+    for least in (0, 1):
+        for _ in range(300):
+            n = rng.randint(1, 60)
+            sizes = [rng.randint(least, 14) for _ in range(n)]
+            groups = []
+            for kinds in (rng.randint(1, 20), rng.randint(1, 4)):
+                of = [rng.randrange(kinds) for _ in range(n)]
+                groups.append([[i for i in range(n) if of[i] == k] for k in dict.fromkeys(of)])
+            args = sizes, groups, rng.choice([5, 10, 30]), (rng.randint(1, 2), rng.randint(1, 2))
+            assert splits.contrastive_batches(*args) == plain_batches(*args)
+
+
+def test_contrastive_batches_of_one_large_group_take_no_square():
+    import time
+
+    n = 300_000
+    began = time.process_time()
+    out = splits.contrastive_batches([1 + i % 13 for i in range(n)], [[list(range(j, n, n // 10)) for j in range(n // 10)], [range(n)]], 64, (2, 2))
+    assert sorted(i for i, _ in out) == list(range(n)) and time.process_time() - began < 30
