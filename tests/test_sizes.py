@@ -27,3 +27,16 @@ def test_nearest_formula_any_parts(spark, monkeypatch):
     assert "RepartitionByExpression [_part" in plan(got)
     want = {i: min((abs(x - y), y, n) for kk, y, n in right if kk == k)[1:] for i, k, x in left}
     assert {r["i"]: (r["y"], r["name"]) for r in got.collect()} == want
+
+
+def test_agreement_of_all_in_one_pass(spark):
+    rows = [("a", 1, 0, [1]), ("b", 1, 0, [1]), ("a", 1, 1, [2]), ("b", 1, 1, [3]), ("a", 2, 0, [1]), ("b", 3, 0, [1]), ("a", 4, 0, [5]), ("b", 4, 0, [5])]
+    df = spark.createDataFrame(rows, "model string, s int, g int, item array<int>")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = retrieval.agreement_of_all(df, "model", ["s", "g"], "s", "item")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert [tuple(r) for r in got.collect()] == [(0.75, 2, 2)]
+    assert [tuple(r) for r in retrieval.agreement_of_all(df.where("s in (2, 3)"), "model", ["s", "g"], "s", "item").collect()] == [(None, 0, 2)]
+    lists = retrieval.top_lists(spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (1, 3, 9.0), (1, 4, 1.0), (2, 1, 0.5), (3, 1, None)], "g int, i int, x double"), ["g"], "i", "x", 2, 2.0)
+    assert "Join" not in plan(lists)
+    assert {r["g"]: (r["items"], r["n"]) for r in lists.collect()} == {1: ([3, 2], 3), 2: ([-1, -1], 0), 3: ([-1, -1], 0)}
