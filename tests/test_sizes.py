@@ -40,3 +40,13 @@ def test_agreement_of_all_in_one_pass(spark):
     lists = retrieval.top_lists(spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (1, 3, 9.0), (1, 4, 1.0), (2, 1, 0.5), (3, 1, None)], "g int, i int, x double"), ["g"], "i", "x", 2, 2.0)
     assert "Join" not in plan(lists)
     assert {r["g"]: (r["items"], r["n"]) for r in lists.collect()} == {1: ([3, 2], 3), 2: ([-1, -1], 0), 3: ([-1, -1], 0)}
+
+
+def test_formula_subsets_rdbe_by_formula(spark):
+    text = plan(QUERIES["formula_subsets_rdbe"](spark, SMOKE))
+    assert "Aggregate [text" in text[text.rindex("Generate explode"):]
+    got = formula.subformulas(spark.createDataFrame([(1, {"C": 2, "H": 3, "X": 1})], "i int, e map<string,int>"), "e", ["C", "H", "X"]).collect()
+    assert {r["sub_mass"] is None for r in got if r["sub"].get("X")} == {True}
+    known = [r for r in got if not r["sub"].get("X")]
+    assert known and all(r["sub_mass"] == pytest.approx(sum(formula.MASSES[k] * n for k, n in r["sub"].items())) for r in known)
+    assert all(1 + 0.5 * (2 * r["sub"].get("C", 0) - r["sub"].get("H", 0)) >= 0 for r in got)
