@@ -50,3 +50,13 @@ def test_formula_subsets_rdbe_by_formula(spark):
     known = [r for r in got if not r["sub"].get("X")]
     assert known and all(r["sub_mass"] == pytest.approx(sum(formula.MASSES[k] * n for k, n in r["sub"].items())) for r in known)
     assert all(1 + 0.5 * (2 * r["sub"].get("C", 0) - r["sub"].get("H", 0)) >= 0 for r in got)
+
+
+def exchanges(df):
+    """Shuffles of a plan whose keys go beyond the spectrum."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange hashpartitioning(" in line and ("idx" in line or "formula" in line or "_b#" in line or "k#" in line.split("hashpartitioning(")[1].split(",")[0])]
+
+
+def test_hungarian_jss_stays_by_spectrum(spark):
+    assert exchanges(QUERIES["hungarian_jss"](spark, SMOKE)) == []
