@@ -60,3 +60,9 @@ def exchanges(df):
 
 def test_hungarian_jss_stays_by_spectrum(spark):
     assert exchanges(QUERIES["hungarian_jss"](spark, SMOKE)) == []
+
+
+def test_matched_ndcg_assigns_once(spark):
+    text = QUERIES["matched_ndcg"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInPandas") == 1
+    assert exchanges(QUERIES["matched_ndcg"](spark, SMOKE)) == []
