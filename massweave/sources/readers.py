@@ -45,13 +45,14 @@ PEAK_LINE = r"^\d+(?:\.\d+)?\s\d+(?:\.\d+)?"
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def entries(pairs: Column) -> Column:
     """A map of (key, value) structs; a later key wins over an earlier one."""
-    last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
-    return last
+    last = lambda ps: F.aggregate(ps, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
+    once = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["k"]))) == F.size(ps)
+    return F.transform(F.array(pairs), lambda ps: F.when(once(ps), F.map_from_entries(ps)).otherwise(last(ps)))[0]
 
 
 def pair(line: Column, sign: str) -> Column:
@@ -67,11 +68,11 @@ def msp(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     found = records(spark, path, BLANK)
     found = found.orderBy(F.md5("value")).limit(first) if first is not None else found
     df = found.withColumn("_l", F.flatten(F.transform(lines(F.col("value")), lambda x: F.when(F.contains(x, F.lit("CAS#")) & F.contains(x, F.lit("NIST#")), F.transform(F.split(x, ";"), lambda x: F.trim(x))).otherwise(F.array(x)))))
-    at = F.array_position(F.transform("_l", lambda x: F.regexp_like(x, F.lit(r"^Num [pP]eaks:"))), F.lit(True))
+    at = F.array_position(F.transform("_l", lambda x: F.startswith(x, F.lit("Num peaks:")) | F.startswith(x, F.lit("Num Peaks:"))), F.lit(True))
     df = df.withColumn("_at", at)
     head = F.when(F.col("_at") > 0, F.slice("_l", 1, F.col("_at").cast("int"))).otherwise(F.col("_l"))
     peaks = F.when(F.col("_at") > 0, F.array_join(F.expr("slice(_l, cast(_at as int) + 1, size(_l))"), "\n"))
-    keyed = F.transform(head, lambda x: pair(F.regexp_replace(x, "^Num Peaks:", "Num peaks:"), ":"))
+    keyed = F.transform(head, lambda x: pair(F.when(F.startswith(x, F.lit("Num Peaks:")), F.concat(F.lit("Num p"), F.substring(x, 6, 1_000_000_000))).otherwise(x), ":"))
     df = df.withColumn("_m", entries(keyed)).withColumn("_c", F.try_element_at("_m", F.lit("Comments")))
     cols = {c: v for c, v in zip(MSP_COLUMNS.values(), picked(df, "_m", MSP_COLUMNS))}
     cols["peaks"] = peaks.alias("peaks")
@@ -84,7 +85,7 @@ def mgf(spark: SparkSession, path: str) -> DataFrame:
     """MGF records with exact keys; words for missing values as null, energies with their unit, first part of SMILES."""
     df = records(spark, path, IONS).withColumn("_l", F.filter(lines(F.col("value")), lambda x: x != "BEGIN IONS"))
     is_peak = lambda x: F.regexp_like(x, F.lit(PEAK_LINE))
-    df = df.withColumn("_m", entries(F.transform(F.filter("_l", lambda x: ~is_peak(x) & F.contains(x, F.lit("="))), lambda x: pair(x, "="))))
+    df = df.withColumn("_m", entries(F.transform(F.filter("_l", lambda x: F.contains(x, F.lit("=")) & ~is_peak(x)), lambda x: pair(x, "="))))
     out = df.select(*[missing_as_null(c).alias(n) for n, c in zip(MGF_COLUMNS.values(), picked(df, "_m", MGF_COLUMNS))], F.array_join(F.transform(F.filter("_l", is_peak), lambda x: F.regexp_replace(x, r"\s+", " ")), "\n").alias("peaks"))
     mode = F.when(F.contains("prec_type", F.lit("+")), "P").when(F.contains("prec_type", F.lit("-")), "N")
     out = out.withColumn("ion_mode", mode)

@@ -7,6 +7,7 @@ own, so the text itself is never shuffled, cached or written. Line ends of any k
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -26,26 +27,42 @@ def records(spark: SparkSession, path: str | list[str], end: str = BLANK) -> Dat
     def pieces(whole: bool):
         """Records that lie whole in a part, or the pieces before its first end and after its last."""
 
+        def rows(part, nth: int, closed: bool, values: pa.Array) -> pa.RecordBatch:
+            n = len(values)
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part[0], pa.string()), n), pa.repeat(pa.scalar(part[1], pa.int64()), n), pa.array(range(nth, nth + n), pa.int64()), pa.repeat(pa.scalar(closed), n), values], schema=fields)
+
+        def text(*parts: pa.Array) -> pa.Array:
+            return pa.array(["\n".join(x for p in parts for x in p.to_pylist())], pa.string())
+
         def assemble(batches):
+            # ``held``: lines since the last end; a batch's records are cut out of it by the places of its ends, not line by line.
             part, nth, held, first = None, 0, [], True
             for batch in batches:
-                out: list[tuple] = []
-                ends = pc.match_substring_regex(batch.column("value"), end).to_pylist()
-                for file, block, line, last in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value")), ends):
-                    if (file, block) != part:
+                file, block, value = (batch.column(c) for c in ("file", "block", "value"))
+                ends = pc.match_substring_regex(value, end).to_numpy(zero_copy_only=False)
+                new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(value)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    if (own := (file[a].as_py(), block[a].as_py())) != part:
                         if part and not whole:
-                            out.append((*part, nth, False, "\n".join(held)))
-                        part, nth, held, first = (file, block), 0, [], True
-                    if last:
-                        if first != whole:
-                            out.append((file, block, nth, True, "\n".join(held)))
-                        nth, held, first = nth + 1, [], False
-                    elif not (whole and first):
-                        held.append(line)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+                            yield rows(part, nth, False, text(*held))
+                        part, nth, held, first = own, 0, [], True
+                    at = np.flatnonzero(ends[a:b]) + a
+                    if not len(at):
+                        if not (whole and first):
+                            held.append(value[a:b])
+                        continue
+                    if first != whole:
+                        yield rows(part, nth, True, text(*held, value[a : at[0]]))
+                    if whole and len(at) > 1:
+                        inside = value[at[0] + 1 : at[-1] + 1].filter(pa.array(~ends[at[0] + 1 : at[-1] + 1]))
+                        offsets = np.concatenate([[0], np.cumsum(np.diff(at) - 1)]).astype(np.int32)
+                        yield rows(part, nth + 1, True, pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), inside), "\n"))
+                    nth, held, first = nth + len(at), [value[at[-1] + 1 : b]], False
             if part and not whole:
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*part, nth, False, "\n".join(held)), fields)], schema=fields)
+                yield rows(part, nth, False, text(*held))
 
         return lines.mapInArrow(assemble, "file string, block bigint, nth bigint, closed boolean, value string")
 

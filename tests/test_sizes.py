@@ -66,3 +66,22 @@ def test_matched_ndcg_assigns_once(spark):
     text = QUERIES["matched_ndcg"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("MapInPandas") == 1
     assert exchanges(QUERIES["matched_ndcg"](spark, SMOKE)) == []
+
+
+def test_records_of_many_batches(spark, tmp_path):
+    from massweave.sources.readers import entries
+    from massweave.sources.records import BLANK, records
+
+    want = [f"r{i}\n" + "\n".join(f"{j} x" for j in range(i % 7)) for i in range(300)]
+    (tmp_path / "a.txt").write_text("\r\n \n".join(want) + "\n")
+    (tmp_path / "b.txt").write_text("open\nend")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = records(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], BLANK).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["value"] for r in got) == sorted([w.rstrip("\n") for w in want] + ["open\nend"])
+    assert {r["file"][-5:] for r in got if r["value"] == "open\nend"} == {"b.txt"}
+    df = spark.createDataFrame([([("a", "1"), ("b", "2")],), ([("a", "1"), ("b", "2"), ("a", "3")],)], "p array<struct<k:string,v:string>>").select(entries(F.col("p")).alias("m"))
+    assert "map_from_entries" in plan(df)
+    assert [r["m"] for r in df.collect()] == [{"a": "1", "b": "2"}, {"a": "3", "b": "2"}]
