@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.functions.formula import MASSES, NEUTRON, SPACING, count_of, literal_map
-from massweave.operators.joins import band_join
+from massweave.operators.joins import band_join, beside
 
 #: What an atom adds to the M+1 and M+2 peaks.
 M1 = {"C": 0.01103, "H": 0.000149, "N": 0.00368, "O": 0.000404, "S": 0.00421, "Si": 0.04683}
@@ -23,30 +23,43 @@ MIN_F, MAX_F, RATIO, ENVELOPE, M0_TOL, M0_SHARE = 0.05, 1.5, (0.05, 10.0), (0.2,
 PEAK = ["spec_id", "peak_idx"]
 
 
-def spaced(peaks: DataFrame, orders: int, spacing: float, tol: float, down: bool) -> DataFrame:
-    """Each peak with the peaks of its spectrum near ``mz -/+ k spacing``: ``..., k, o_idx, o_mz, o_ints``."""
-    step = F.col("k") * (-spacing if down else spacing)
-    left = peaks.withColumn("k", F.explode(F.array(*map(F.lit, range(1, orders + 1))))).withColumn("at", F.col("mz") + step)
-    right = peaks.select("spec_id", F.col("peak_idx").alias("o_idx"), F.col("mz").alias("o_mz"), F.col("ints").alias("o_ints"))
-    return band_join(left, right, ["spec_id"], "at", "o_mz", (F.col("o_mz") >= F.col("at") - tol) & (F.col("o_mz") <= F.col("at") + tol), tol * 1.001)
+def spaced(k: int, spacing: float, tol: float, down: bool) -> Column:
+    """The peaks of a peak's spectrum in a frame about ``mz -/+ k spacing``, as structs ``peak_idx, mz, ints``.
+
+    The frame is a little wider than ``tol``, so ``within`` still decides. It is a window within the spectrum: what is dealt by spectrum isn't dealt again.
+    """
+    at, reach = (-k if down else k) * spacing, tol * 1.001
+    return F.expr(f"collect_list(struct(peak_idx, mz, ints)) over (partition by spec_id order by cast(mz as double) range between {at - reach!r}D following and {at + reach!r}D following)")
+
+
+def within(o: Column, k: int, spacing: float, tol: float, down: bool) -> Column:
+    """Whether a peak ``o`` is within ``tol`` of ``mz -/+ k spacing``."""
+    at = F.col("mz") + k * (-spacing if down else spacing)
+    return (o["mz"] >= at - tol) & (o["mz"] <= at + tol)
 
 
 def flagged(peaks: DataFrame, hits: DataFrame, name: str = "isotope") -> DataFrame:
-    """``peaks`` with a flag for those among ``hits``."""
-    return peaks.join(hits.select(*PEAK).distinct().withColumn(name, F.lit(True)), PEAK, "left").fillna({name: False})
+    """``peaks`` with a flag for those among ``hits``; both stand in one window by peak, so what is dealt by spectrum isn't dealt again."""
+    found = hits.select(*[F.col(c).cast(peaks.schema[c].dataType).alias(c) for c in PEAK], F.lit(True).alias(name), F.lit(False).alias("_peak"))
+    rows = peaks.withColumns({name: F.lit(False), "_peak": F.lit(True)}).unionByName(found, allowMissingColumns=True)
+    return rows.withColumn(name, F.bool_or(name).over(W.partitionBy(*PEAK))).where("_peak").drop("_peak")
 
 
 def by_spacing(peaks: DataFrame, tol: float = 0.02, orders: int = 3, check: bool = True) -> DataFrame:
     """Flags a peak with one as intense a whole number of neutron masses below it."""
-    near = spaced(peaks, orders, NEUTRON, tol, down=True)
-    return flagged(peaks, near.where(F.col("o_ints") >= F.col("ints")) if check else near)
+    rows, hit = peaks, F.lit(False)
+    for k in range(1, orders + 1):
+        rows = rows.withColumn(f"_o_{k}", spaced(k, NEUTRON, tol, down=True))
+        as_intense = lambda o: o["ints"] >= F.col("ints") if check else F.lit(True)
+        hit = hit | F.coalesce(F.exists(f"_o_{k}", lambda o: within(o, k, NEUTRON, tol, True) & as_intense(o)), F.lit(False))
+    return rows.select(*peaks.columns, hit.alias("isotope"))
 
 
 def by_offsets(peaks: DataFrame, offsets: DataFrame, tol: float = 0.02, check: bool = True, low: float = 0.1, high: float = 10.0) -> DataFrame:
     """Flags by rows ``spec_id, offset, ratio`` of the formula's isotope pattern, with a gate on the intensity ratio."""
     left = peaks.join(offsets, "spec_id").withColumn("at", F.col("mz") - F.col("offset")).where("at >= 0")
     right = peaks.select("spec_id", F.col("mz").alias("o_mz"), F.col("ints").alias("o_ints"))
-    near = band_join(left, right, ["spec_id"], "at", "o_mz", F.abs(F.col("o_mz") - F.col("at")) <= tol, tol * 1.001)
+    near = beside(left, right, "spec_id", "at", "o_mz", F.abs(F.col("o_mz") - F.col("at")) <= tol, tol * 1.001)
     mono = near.groupBy(*PEAK, "mz", "ints", "offset", "ratio").agg(F.max("o_ints").alias("mono"))
     seen = F.col("ints") / F.col("mono")
     ok = (F.col("mono") <= 0) | seen.between(low * F.col("ratio"), high * F.col("ratio"))
@@ -113,19 +126,28 @@ def group_fraction(values: DataFrame, by: list[str], x: str, least: int = 2, max
     return g.where((F.col("n") >= least) & (F.col("f") > 0) & (F.col("_s") / F.col("f") <= max_cv)).drop("_s")
 
 
-def envelope_pairs(spectra: DataFrame, peaks: DataFrame, orders: int = 2) -> DataFrame:
-    """Pairs of a peak and the strongest one k spacings above it, with the expected ratio at the fragment's share of the mass."""
+def envelopes(spectra: DataFrame, peaks: DataFrame, orders: int = 2) -> DataFrame:
+    """Peaks with ``near``: for each order k the strongest one k spacings above (``k, o_idx, o_ints``), with the expected ratio at the fragment's share of the mass."""
     s = spectra.where(F.col("inst_type").isin(*FINE) & F.col("elements").isNotNull()).withColumn("delta", of_adduct(F.col("prec_type"), MASSES))
     first, second = shares(F.col("elements"))
     s = s.withColumns({"whole": F.col("prec_mz") - F.col("delta"), "m1": first, "m2": second, "a1": of_adduct(F.col("prec_type"), M1), "a2": of_adduct(F.col("prec_type"), M2)}).where("whole > 0")
-    tol = FINE["FT"]
-    near = spaced(peaks, orders, SPACING, 2 * tol, down=False).where((F.col("k") > 1) | (F.abs(F.col("o_mz") - F.col("at")) <= tol))
-    one = near.groupBy(*PEAK, "mz", "ints", "k").agg(F.max_by(F.struct("o_idx", "o_ints"), F.struct("o_ints", -F.col("o_mz"))).alias("o")).select(*PEAK, "mz", "ints", "k", "o.o_idx", "o.o_ints")
-    pairs = one.join(s.select("spec_id", "delta", "whole", "m1", "m2", "a1", "a2"), "spec_id")
+    tol, rows = FINE["FT"], peaks.select(*PEAK, "mz", "ints")
+    for k in range(1, orders + 1):
+        # The first order is held to the tolerance from both sides of its place, the others to twice that.
+        close = lambda o: within(o, k, SPACING, 2 * tol, False) & (F.abs(o["mz"] - (F.col("mz") + k * SPACING)) <= tol if k == 1 else F.lit(True))
+        best = F.array_max(F.transform(F.filter(f"_o_{k}", close), lambda o: F.struct(o["ints"].alias("o_ints"), -o["mz"], (-o["peak_idx"]).alias("o_idx"))))
+        rows = rows.withColumn(f"_o_{k}", spaced(k, SPACING, 2 * tol, down=False)).withColumn(f"_o_{k}", best)
+    rows = rows.where(F.coalesce(*[f"_o_{k}.o_idx" for k in range(1, orders + 1)]).isNotNull()).join(s.select("spec_id", "delta", "whole", "m1", "m2", "a1", "a2"), "spec_id")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("mz") - F.col("delta")) / F.col("whole")))
     one_, two = (lambda scale: F.col("m1") * scale + F.col("a1")), (lambda scale: F.col("m2") * scale + F.col("a2"))
-    ratio = lambda scale: F.when(F.col("k") == 1, expected_ratio(one_(scale), two(scale), 1)).otherwise(expected_ratio(one_(scale), two(scale), 2))
-    return pairs.withColumn("r_frag", ratio(share)).withColumn("r_prec", ratio(F.lit(1.0))).drop("delta", "whole", "m1", "m2", "a1", "a2")
+    ratio = lambda k, scale: expected_ratio(one_(scale), two(scale), min(k, 2))
+    each = [F.struct(F.lit(k).alias("k"), (-F.col(f"_o_{k}.o_idx")).alias("o_idx"), F.col(f"_o_{k}.o_ints").alias("o_ints"), ratio(k, share).alias("r_frag"), ratio(k, F.lit(1.0)).alias("r_prec")) for k in range(1, orders + 1)]
+    return rows.select(*PEAK, "mz", "ints", F.filter(F.array(*each), lambda x: x["o_idx"].isNotNull()).alias("near"))
+
+
+def envelope_pairs(spectra: DataFrame, peaks: DataFrame, orders: int = 2) -> DataFrame:
+    """Pairs of a peak and the strongest one k spacings above it, with the expected ratio at the fragment's share of the mass."""
+    return envelopes(spectra, peaks, orders).select(*PEAK, "mz", "ints", F.explode("near").alias("x")).select(*PEAK, "mz", "ints", "x.*")
 
 
 def consensus(pairs: DataFrame, least: int = 2, max_cv: float = 0.6) -> DataFrame:
@@ -139,22 +161,33 @@ def consensus(pairs: DataFrame, least: int = 2, max_cv: float = 0.6) -> DataFram
     return g.where((F.col("f") > 0) & (agreed | single)).select("spec_id", "k", "f")
 
 
+def leaks(spectra: DataFrame, peaks: DataFrame, fractions: DataFrame) -> DataFrame:
+    """``spec_id, peak_idx`` of the peaks that co-isolation explains: below their M peak, in proportion to the expected ratio; M+2 only after its M+1."""
+    of = fractions.groupBy("spec_id").agg(F.collect_list(F.struct("k", "f")).alias("_f"))
+    ints = F.col("ints")
+
+    def good(x: Column, y: Column) -> Column:
+        want = F.when(x["k"] == 1, y["f"] * x["r_frag"] / (1 + y["f"] * (x["r_prec"] - x["r_frag"]))).otherwise(y["f"] * x["r_frag"])
+        return (x["k"] == y["k"]) & (x["o_ints"] < ints) & (x["o_ints"] / ints).between(RATIO[0] * want, RATIO[1] * want)
+
+    rows = envelopes(spectra, peaks).join(of, "spec_id")
+    rows = rows.select("spec_id", F.filter("near", lambda x: F.exists("_f", lambda y: good(x, y))).alias("_x")).where(F.exists("_x", lambda x: x["k"] == 1))
+    return rows.select("spec_id", F.explode("_x.o_idx").alias("peak_idx"))
+
+
 def leak_peaks(spectra: DataFrame, peaks: DataFrame, fractions: DataFrame) -> DataFrame:
-    """Flags peaks that co-isolation explains: below their M peak, in proportion to the expected ratio; M+2 only after its M+1."""
-    pairs = envelope_pairs(spectra, peaks).join(fractions, ["spec_id", "k"])
-    want = F.when(F.col("k") == 1, F.col("f") * F.col("r_frag") / (1 + F.col("f") * (F.col("r_prec") - F.col("r_frag")))).otherwise(F.col("f") * F.col("r_frag"))
-    good = pairs.where((F.col("o_ints") < F.col("ints")) & (F.col("o_ints") / F.col("ints")).between(RATIO[0] * want, RATIO[1] * want))
-    first = good.where("k = 1").select(*PEAK)
-    hits = good.where("k = 1").unionByName(good.where("k = 2").join(first, PEAK, "left_semi"))
-    return flagged(peaks, hits.select("spec_id", F.col("o_idx").alias("peak_idx")))
+    """Flags the peaks among ``leaks``."""
+    return flagged(peaks, leaks(spectra, peaks, fractions))
 
 
 def cleaned(peaks: DataFrame, flags: list[DataFrame], name: str = "isotope") -> DataFrame:
-    """Peaks without any flag; a spectrum that would lose all keeps all."""
-    hits = flags[0].where(name).select(*PEAK)
-    for f in flags[1:]:
-        hits = hits.unionByName(f.where(name).select(*PEAK))
-    out = flagged(peaks, hits, "_drop").withColumn("_left", F.count_if(~F.col("_drop")).over(W.partitionBy("spec_id")))
+    """Peaks without any flag, in ``flags`` or of their own; a spectrum that would lose all keeps all."""
+    own, out = name in peaks.columns, peaks
+    for i, f in enumerate(flags):
+        hits = f.where(name).select(*PEAK) if i == 0 else hits.unionByName(f.where(name).select(*PEAK))
+    out = flagged(peaks, hits, "_drop") if flags else peaks.withColumn("_drop", F.lit(False))
+    out = out.withColumn("_drop", F.col("_drop") | F.coalesce(name, F.lit(False))) if own else out
+    out = out.withColumn("_left", F.count_if(~F.col("_drop")).over(W.partitionBy("spec_id")))
     return out.where("_left = 0 or not _drop").drop("_drop", "_left")
 
 

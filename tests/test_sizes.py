@@ -68,6 +68,46 @@ def test_matched_ndcg_assigns_once(spark):
     assert exchanges(QUERIES["matched_ndcg"](spark, SMOKE)) == []
 
 
+def test_isotopes_stay_by_spectrum(spark):
+    for name in ("isotope_cleanup", "isotope_flags", "isotope_flags_by_formula"):
+        assert exchanges(QUERIES[name](spark, SMOKE)) == [], name
+
+
+def test_isotopes_by_brute_force(spark):
+    import random
+
+    from massweave.operators import isotopes
+
+    rng, step = random.Random(5), isotopes.SPACING
+    rows = [(s, i, 100 + rng.randint(0, 3) * 0.5 + rng.randint(0, 3) * step + rng.choice([0, 0.003, -0.003, 0.006, 0.012]), float(rng.randint(1, 60))) for s in range(30) for i in range(rng.randint(0, 12))]
+    p = spark.createDataFrame(rows, "spec_id bigint, peak_idx bigint, mz double, ints double")
+    s = spark.createDataFrame([(i, "FT" if i % 5 else "IT", 103.0, "[M+H]+", {"C": 30, "H": 8, "Cl": 1}) for i in range(30)], "spec_id bigint, inst_type string, prec_mz double, prec_type string, elements map<string,int>")
+    at = lambda x, k, d: [o for o in rows if o[0] == x[0] and x[2] + k * d - 0.02 <= o[2] <= x[2] + k * d + 0.02]
+    low = {x[:2] for x in rows if any(o[3] >= x[3] for k in (1, 2, 3) for o in at(x, -k, isotopes.NEUTRON))}
+    assert {tuple(r) for r in isotopes.by_spacing(p).where("isotope").select("spec_id", "peak_idx").collect()} == low and low
+    best = {}
+    for x in rows:
+        for k in (1, 2):
+            near = [o for o in rows if o[0] == x[0] and x[0] % 5 and x[2] + k * step - 0.008 <= o[2] <= x[2] + k * step + 0.008 and (k > 1 or abs(o[2] - (x[2] + k * step)) <= 0.004)]
+            if near:
+                best[(*x[:2], k)] = max((o[3], -o[2], -o[1]) for o in near)
+    pairs = isotopes.envelope_pairs(s, p).collect()
+    assert {(r["spec_id"], r["peak_idx"], r["k"]): (r["o_ints"], r["o_idx"]) for r in pairs} == {k: (o[0], -o[2]) for k, o in best.items()} and len(pairs) == len(best) > 20
+    fraction = spark.createDataFrame([(i, k, 0.4) for i in range(30) for k in (1, 2) if i % 7], "spec_id bigint, k int, f double")
+
+    def good(r):
+        want = 0.4 * r["r_frag"] / (1 + 0.4 * (r["r_prec"] - r["r_frag"])) if r["k"] == 1 else 0.4 * r["r_frag"]
+        return r["spec_id"] % 7 and r["o_ints"] < r["ints"] and 0.05 * want <= r["o_ints"] / r["ints"] <= 10 * want
+
+    first = {(r["spec_id"], r["peak_idx"]) for r in pairs if good(r) and r["k"] == 1}
+    want = {(r["spec_id"], r["o_idx"]) for r in pairs if good(r) and (r["spec_id"], r["peak_idx"]) in first}
+    leaking = isotopes.leak_peaks(s, p, fraction)
+    assert leaking.count() == len(rows) and {tuple(r) for r in leaking.where("isotope").select("spec_id", "peak_idx").collect()} == want and want
+    kept = isotopes.cleaned(isotopes.by_spacing(p), [leaking]).select("spec_id", "peak_idx").collect()
+    left = {x[:2] for x in rows} - low - want
+    assert sorted(map(tuple, kept)) == sorted(x[:2] for x in rows if x[:2] in left or x[0] not in {y[0] for y in left})
+
+
 def test_records_of_many_batches(spark, tmp_path):
     from massweave.sources.readers import entries
     from massweave.sources.records import BLANK, records
