@@ -42,3 +42,8 @@ def same_on_smallest(spark, name):
 def test_query_candidates_of_every_spectrum(spark):
     got = same_on_smallest(spark, "query_candidates")
     assert {r[0] % 100 for r in got} > {0, 1, 2}
+
+
+def test_tanimoto_topk_of_every_vector(spark):
+    got = same_on_smallest(spark, "tanimoto_topk")
+    assert {r[0] % 100 for r in got} > {0, 1, 2}
