@@ -47,3 +47,8 @@ def test_query_candidates_of_every_spectrum(spark):
 def test_tanimoto_topk_of_every_vector(spark):
     got = same_on_smallest(spark, "tanimoto_topk")
     assert {r[0] % 100 for r in got} > {0, 1, 2}
+
+
+def test_pairwise_jss_pairs_copies_too(spark, tmp_path):
+    got = same_on_copies(spark, tmp_path, "pairwise_jss")
+    assert len(got) == 66 and (0, 3) in {(a, b) for a, b, _ in got} and all(x is not None for _, _, x in got)
