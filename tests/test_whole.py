@@ -82,3 +82,8 @@ def test_pairwise_matched_ce_pairs_copies_too(spark, tmp_path):
 def test_pairwise_matched_jss_pairs_copies_too(spark, tmp_path):
     got = same_on_copies(spark, tmp_path, "pairwise_matched_jss")
     assert len(got) == 66 and (0, 3) in {(a, b) for a, b, _ in got} and all(x is not None for _, _, x in got)
+
+
+def test_pairwise_cross_entropy_pairs_copies_too(spark, tmp_path):
+    got = same_on_copies(spark, tmp_path, "pairwise_cross_entropy")
+    assert len(got) == 132 and (0, 3) in {(a, b) for a, b, _ in got} and all(x is not None for _, _, x in got)
