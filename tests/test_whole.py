@@ -87,3 +87,34 @@ def test_pairwise_matched_jss_pairs_copies_too(spark, tmp_path):
 def test_pairwise_cross_entropy_pairs_copies_too(spark, tmp_path):
     got = same_on_copies(spark, tmp_path, "pairwise_cross_entropy")
     assert len(got) == 132 and (0, 3) in {(a, b) for a, b, _ in got} and all(x is not None for _, _, x in got)
+
+
+def hot(spark, folder):
+    """Forty spectra with a bin in common, and two more that only some share."""
+    lines = [(i, n, 70 * (100.0 + 11 * n * (i % (1 + 2 * n))), float(1 + (i * n) % 7)) for i in range(40) for n in range(3)]
+    return tables(spark, folder, [(1, 1, 400.0)], lines)
+
+
+def exchanges(df):
+    """The columns that a plan deals rows by."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [x.split("hashpartitioning(")[1].split(")")[0] for x in lines if "Exchange hashpartitioning(" in x]
+
+
+def test_meetings_of_a_crowded_bin_are_all_pairs_once(spark, tmp_path, monkeypatch):
+    from massweave.operators import meetings
+
+    folder = hot(spark, tmp_path)
+    for block in (20_000, 7):
+        monkeypatch.setattr(meetings, "BLOCK", block)
+        for name in ("pairwise_jss", "pairwise_cross_entropy"):
+            got = [tuple(r) for r in QUERIES[name](spark, folder).collect()]
+            assert near(got) == near(by_sql(folder, name)) and len(got) >= 780, (name, block)
+
+
+def test_pairwise_jss_deals_nothing_by_pair(spark):
+    assert {x.split("#")[0] for x in exchanges(QUERIES["pairwise_jss"](spark, SF))} == {"bin"}
+
+
+def test_pairwise_cross_entropy_deals_nothing_by_pair(spark):
+    assert {x.split("#")[0] for x in exchanges(QUERIES["pairwise_cross_entropy"](spark, SF))} == {"bin"}
