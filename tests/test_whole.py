@@ -118,3 +118,50 @@ def test_pairwise_jss_deals_nothing_by_pair(spark):
 
 def test_pairwise_cross_entropy_deals_nothing_by_pair(spark):
     assert {x.split("#")[0] for x in exchanges(QUERIES["pairwise_cross_entropy"](spark, SF))} == {"bin"}
+
+
+def close_peaks(spark, n=40):
+    """Peaks so close that many have several partners, across edges of bins too."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, k, 199.99 + 0.0005 * rng.randint(0, 60), float(rng.randint(1, 9))) for i in range(n) for k in range(rng.randint(1, 7))]
+    return spark.createDataFrame(rows, "spec_id long, peak_idx long, mz double, ints double")
+
+
+def test_sharing_matched_is_pairwise_matched(spark, monkeypatch):
+    from massweave.operators import allpairs, matching, meetings
+
+    df = close_peaks(spark)
+    pairs = allpairs.sharing(df, 0.01)
+    for score, least in (("cos", None), ("ce", None), ("ce", 8.0), ("cos", 0.5)):
+        want = matching.pairwise_matched(df, pairs, score=score, least=least)
+        monkeypatch.setattr(matching, "PAIRS", 30 if least is None else 2_000_000)
+        monkeypatch.setattr(meetings, "BLOCK", 9 if least is None else 20_000)
+        got = matching.sharing_matched(df, 0.01, score=score, least=least)
+        assert near(map(tuple, got.select(want.columns).collect())) == near(map(tuple, want.collect())), (score, least)
+        assert got.count() > 10
+    with pytest.raises(ValueError):
+        matching.sharing_matched(df, 0.01, score="odd")
+
+
+def test_matched_jss_is_that_of_its_assignment(spark):
+    """Pairs without ties: gains of every assignment, of which the one of most intensity counts."""
+    import math
+    from itertools import permutations
+
+    from massweave.operators import matching
+
+    rows = [(0, k, m, x) for k, (m, x) in enumerate([(199.991, 3.0), (199.9925, 5.0), (300.0, 1.5)])] + [(1, k, m, x) for k, (m, x) in enumerate([(199.9915, 7.0), (199.9935, 2.0), (300.001, 4.25), (500.0, 1.0)])]
+    df = spark.createDataFrame(rows, "spec_id long, peak_idx long, mz double, ints double")
+    t, p = [[(m, x / sum(v for s, _, _, v in rows if s == side)) for s, _, m, x in rows if s == side] for side in (0, 1)]
+    log = lambda x: x * math.log(x) if x else 0.0
+    gain = lambda x, y: (x + y) / 2 - (0.5 * log(x) + 0.5 * log(y) - log((x + y) / 2)) / math.log(2)
+    best = max(([(x, p[j][1]) for (m, x), j in zip(t, order) if abs(m - p[j][0]) / max(m, 200) < 1e-5] for order in permutations(range(len(p)), len(t))), key=lambda a: sum(map(sum, a)))
+    got = matching.sharing_matched(df, 0.01, score="jss").collect()
+    assert len(got) == 1 and abs(got[0]["jss_hun"] - sum(gain(*v) for v in best)) < 1e-9 and len(best) > 1
+
+
+@pytest.mark.parametrize("name", ["pairwise_hungarian", "pairwise_matched_ce", "pairwise_matched_jss"])
+def test_matched_pairs_are_not_dealt_by_pair(spark, name):
+    assert not {x.split("#")[0] for x in exchanges(QUERIES[name](spark, SF))} - {"bin"}
