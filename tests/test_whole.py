@@ -165,3 +165,28 @@ def test_matched_jss_is_that_of_its_assignment(spark):
 @pytest.mark.parametrize("name", ["pairwise_hungarian", "pairwise_matched_ce", "pairwise_matched_jss"])
 def test_matched_pairs_are_not_dealt_by_pair(spark, name):
     assert not {x.split("#")[0] for x in exchanges(QUERIES[name](spark, SF))} - {"bin"}
+
+
+def some_spectra(spark, n=150, most=14):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, k, rng.randint(0, 9) + 0.5 if i % 3 else rng.randint(0, 30) + 0.5, float(rng.choice([1, 2, 9, 30, 31]))) for i in range(n) for k in range(rng.randint(1, most))]
+    return spark.createDataFrame(rows, "spec_id long, peak_idx long, mz double, ints double")
+
+
+def test_cosine_above_is_every_pair_of_that_cosine(spark, monkeypatch):
+    from massweave.operators import allpairs, similarity
+
+    df = some_spectra(spark)
+    every = {(r["a"], r["b"]): r["cos"] for r in similarity.pairwise_cosine(df, 1.0).collect()}
+    monkeypatch.setattr(allpairs, "CELLS", 50)
+    for least in (0.3, 0.8, 0.95, 1.0):
+        want = {k for k, x in every.items() if round(x, 6) >= least}
+        rows = allpairs.cosine_above(df, least, 1.0).collect()
+        assert {(r["a"], r["b"]) for r in rows} == want and len(rows) == len(want) > 0, least
+        assert all(abs(r["cos"] - every[r["a"], r["b"]]) < 1e-9 for r in rows)
+
+
+def test_cosine_above_deals_nothing_by_pair(spark):
+    assert {x.split("#")[0] for x in exchanges(QUERIES["pairwise_cosine_above"](spark, SF))} == {"key"}
